@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from promolens.llm import mixing, secrets, shards
+from promolens.llm import decontam, mixing, secrets, shards, simhash, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_decontaminate": decontam.op2_decontaminate,
     "op3_jump_sharding": shards.op3_jump_sharding,
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
 }
 
