@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promolens.llm import decontam, mixing, secrets, shards, simhash, toxicity
+from promolens.llm import chat, decontam, mixing, secrets, shards, simhash, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,9 +10,12 @@ QUERIES = {
     "op3_jump_sharding": shards.op3_jump_sharding,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_chat_format": chat.op6_chat_format,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
+    "op10_warc_dictionary": warc.op10_warc_dictionary,
 }
 
 SQL = {
     "op8_poisson_mixing": mixing.OP8_SQL,
+    "op10_warc_dictionary": warc.OP10_SQL,
 }
