@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promolens.llm import chat, decontam, mixing, secrets, shards, simhash, toxicity, warc
+from promolens.llm import chat, decontam, mixing, neighbours, secrets, shards, simhash, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_format": chat.op6_chat_format,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
+    "op9_learned_partitions": neighbours.op9_learned_partitions,
     "op10_warc_dictionary": warc.op10_warc_dictionary,
 }
 
 SQL = {
     "op8_poisson_mixing": mixing.OP8_SQL,
+    "op9_learned_partitions": neighbours.op9_learned_partitions,
     "op10_warc_dictionary": warc.OP10_SQL,
 }
