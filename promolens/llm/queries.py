@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promolens.llm import chat, decontam, mixing, neighbours, secrets, shards, simhash, toxicity, warc
+from promolens.llm import chat, decontam, mixing, neighbours, perplexity, secrets, shards, simhash, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_kneser_ney_quality": perplexity.op7_kneser_ney_quality,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
     "op9_learned_partitions": neighbours.op9_learned_partitions,
     "op10_warc_dictionary": warc.op10_warc_dictionary,
