@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promolens.llm.common import save, ship_by_value, table, text_or_empty, with_fields
+from promolens.llm.common import save, ship_by_value, slices, table, text_or_empty, with_fields
 
 ship_by_value(__name__)
 
@@ -249,7 +249,7 @@ def decontaminate(
         return out
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, spans = batch.schema.get_field_index("text"), batch.column("spans").to_pylist()
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             texts = [_without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
@@ -264,7 +264,7 @@ def _one_pass(spark: SparkSession, docs: DataFrame, pieces: list, window: int, n
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _built(key, shared.value, window)
-        for batch in batches:
+        for batch in slices(batches):
             counts, spans, ids = [], [], []
             earlier = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True) if again else None
             for text in batch.column("text").cast(pa.binary()).to_pylist():

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promolens.llm.common import save, ship_by_value, table, with_fields
+from promolens.llm.common import save, ship_by_value, slices, table, with_fields
 
 ship_by_value(__name__)
 
@@ -71,7 +71,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "finge
     schema = with_fields(docs.select(*kept).schema, field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             seen: dict[bytes, int] = {}
             prints = [seen[t] if t in seen else seen.setdefault(t, fingerprint(t, shingle)) for t in (t or b"" for t in texts)]

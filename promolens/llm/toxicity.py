@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promolens.llm.common import save, ship_by_value, table, with_fields
+from promolens.llm.common import save, ship_by_value, slices, table, with_fields
 
 ship_by_value(__name__)
 
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             made = pa.array([model.score(_lower(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([made if f.name == "score" else batch.column(f.name) for f in schema], [f.name for f in schema])
 
