@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
+from typing import ClassVar
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from promolens.operators import episodes as ep
 from promolens.operators import exposure as ex
+from promolens.operators import features as ft
+from promolens.operators import metrics as mt
 from promolens.operators import donors as dn
 from promolens.operators import pairs as pr
 from promolens.operators import runs as rn
+from promolens.plans import gsc, meta
 from promolens.schema import Config
+from promolens.sources.staging import stage
 from promolens.sources.testdata import TestTables
 
 
@@ -21,6 +27,16 @@ class Tables(TestTables):
         super().__init__(spark, sf_dir)
         self.cfg = Config.monthly()
 
+    #: Tables that were written to the shared folder, by application, test folder and name.
+    written: ClassVar[dict[tuple[str, str, str], DataFrame]] = {}
+
+    def staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Few rows from a deep plan: written once per application, then read by whatever needs them."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in self.written:
+            self.written[key] = stage(build(), name)
+        return self.written[key]
+
     @cached_property
     def sales(self) -> DataFrame:
         return self.panel()
@@ -72,8 +88,7 @@ class Tables(TestTables):
 
     @cached_property
     def episodes(self) -> DataFrame:
-        """Few rows from a deep plan: later steps that use them several times read them from disk."""
-        return pr.good_episodes(self.all_episodes, self.sales, self.cfg).persist(StorageLevel.DISK_ONLY)
+        return self.staged("episodes", lambda: pr.good_episodes(self.all_episodes, self.sales, self.cfg))
 
     @cached_property
     def profiles(self) -> DataFrame:
@@ -85,7 +100,7 @@ class Tables(TestTables):
 
     @cached_property
     def donor_stats(self) -> DataFrame:
-        return dn.with_stats(self.donor_candidates, self.episodes, self.sales).persist(StorageLevel.DISK_ONLY)
+        return self.staged("donor_stats", lambda: dn.with_stats(self.donor_candidates, self.episodes, self.sales))
 
     @cached_property
     def chosen(self) -> DataFrame:
@@ -93,11 +108,11 @@ class Tables(TestTables):
 
     @cached_property
     def donor_ranked(self) -> DataFrame:
-        return dn.rank_per_victim(self.chosen, self.cfg.donors)
+        return self.staged("donor_ranked", lambda: dn.rank_per_victim(self.chosen, self.cfg.donors))
 
     @cached_property
     def donors(self) -> DataFrame:
-        return dn.per_episode(self.donor_ranked, self.episodes).persist(StorageLevel.DISK_ONLY)
+        return dn.per_episode(self.donor_ranked, self.episodes)
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -105,3 +120,63 @@ class Tables(TestTables):
         ep = self.episodes
         units = ep.select(F.col("j_store").alias("store_nbr"), F.col("j_item").alias("item_nbr")).union(ep.select("i_store", "i_item"))
         return units.union(self.donors.filter("store_nbr IS NOT NULL").select("store_nbr", "item_nbr")).distinct()
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return ft.feature_panel(self.sales, self.items(), self.stores(), self.transactions(), self.oil(), self.holidays(), self.cfg.lags)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self.staged("rows", lambda: ep.episode_panel(self.episodes, self.donors, self.sales))
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return ep.donor_quality(self.rows, self.cfg.donor_promo_max, self.cfg.donor_avail_min, 40)
+
+    @cached_property
+    def cf(self) -> DataFrame:
+        """Donor-mean series, the simplest counterfactual."""
+        return ep.victim_vs_donors(self.rows).withColumn("model_type", F.lit("DONOR"))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return mt.with_effect(self.cf).filter("t >= treat_start").select("episode_id", "t", "effect")
+
+    @cached_property
+    def smd(self) -> DataFrame:
+        return mt.balance(self.rows, ["unit_sales", "onpromotion"])
+
+    @cached_property
+    def draws(self) -> DataFrame:
+        """Each donor's effect against the mean of the episode's other donors."""
+        w = Window.partitionBy("episode_id", "t")
+        others = F.count(F.lit(1)).over(w) - 1
+        d = self.rows.filter("is_victim = 0").withColumn("mu0_hat", F.when(others > 0, (F.sum("unit_sales").over(w) - F.col("unit_sales")) / others))
+        d = d.filter("t >= treat_start AND mu0_hat IS NOT NULL")
+        return d.groupBy("episode_id", "unit_id").agg(F.avg(F.col("unit_sales") - F.col("mu0_hat")).alias("att")).withColumn("model_type", F.lit("DONOR"))
+
+    @cached_property
+    def placebos(self) -> DataFrame:
+        return mt.placebo(self.draws, mt.att(self.cf))
+
+    @cached_property
+    def two_models(self) -> DataFrame:
+        att = mt.att(self.cf)
+        half = att.filter("n_post > 5").select("episode_id", F.lit("HALF").alias("model_type"), (F.col("att_mean") / 2).alias("att_mean"), (F.col("att_sum") / 2).alias("att_sum"), "n_post")
+        return att.unionByName(half, allowMissingColumns=True)
+
+    @cached_property
+    def best_spec(self) -> DataFrame:
+        return self.staged("best_spec", lambda: gsc.select_spec(self.rows, gsc.grid(self.rows), gsc.folds(self.rows)))
+
+    stack_features = ("l1", "l2", "roll", "promo", "H", "season_sin", "season_cos")
+
+    @cached_property
+    def stack(self) -> DataFrame:
+        """Episode rows with lagged features, exposure and weights, for the meta-learners."""
+        w = Window.partitionBy("store_nbr", "item_nbr").orderBy("t")
+        past = w.rowsBetween(-6, -1)
+        season = F.col("t") * (2 * 3.141592653589793 / 12)
+        feats = self.exposed.select("store_nbr", "item_nbr", "t", F.lag("unit_sales", 1).over(w).alias("l1"), F.lag("unit_sales", 2).over(w).alias("l2"), F.avg("unit_sales").over(past).alias("roll"), F.col("onpromotion").cast("double").alias("promo"), F.coalesce("H_prop_raw", F.lit(0.0)).alias("H"), F.sin(season).alias("season_sin"), F.cos(season).alias("season_cos"))
+        rows = self.rows.join(feats, ["store_nbr", "item_nbr", "t"]).withColumn("y", F.col("unit_sales"))
+        return self.staged("stack", lambda: meta.sample_weights(meta.treatment(rows, "D")).na.fill(0.0))
