@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 KEYS = ["episode_id", "model_type"]
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate; null for constant series (where `corr` fails under ANSI rules)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
+    return F.when((a > 1e-9) & (b > 1e-9), F.covar_pop(x, y) / (a * b))
+
+
 def with_effect(cf: DataFrame, from_treatment: bool = True) -> DataFrame:
     """effect and its running sum, over all periods or from treat_start on."""
     w = Window.partitionBy(*KEYS).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
@@ -35,7 +42,7 @@ def fit(cf: DataFrame, floor: float = 1.0) -> DataFrame:
     var = F.sum(y * y) - F.count(y) * F.pow(F.avg(y), 2)
     return cf.groupBy(*KEYS).agg(
         (F.sqrt(F.avg(e * e)) / F.greatest(F.lit(floor), F.sqrt(F.avg(y * y)))).alias("rmspe_pre"), F.avg(F.abs(e)).alias("mae_pre"),
-        F.when((F.stddev_pop(y) > 1e-9) & (F.stddev_pop(_pre(F.col("mu0_hat"))) > 1e-9), F.corr(y, _pre(F.col("mu0_hat")))).alias("corr_pre"), F.when(var > 1e-9, 1 - F.sum(e * e) / var).alias("r2_pre"),
+        correlation(y, _pre(F.col("mu0_hat"))).alias("corr_pre"), F.when(var > 1e-9, 1 - F.sum(e * e) / var).alias("r2_pre"),
     )
 
 
@@ -105,7 +112,7 @@ def balance(rows: DataFrame, covariates: list[str], group: str = "treated_unit",
     side = lambda f, g: f(F.when(F.col(group) == g, F.col("x")))
     s = long.groupBy("episode_id", "covariate").agg(*[side(f, g).alias(f"{n}{g}") for g in (0, 1) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     if pooled == "weighted":
-        var = ((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2)
+        var = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2)
     else:
         var = (F.col("v1") + F.col("v0")) / 2
     return s.select("episode_id", "covariate", F.when(var > 1e-12, (F.col("m1") - F.col("m0")) / F.sqrt(var)).alias("smd"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions.scalars import hash_order
+from promolens.operators.metrics import correlation
 
 
 def derive_treatment(rows: DataFrame, adopted: str = "treat_start", unit: str = "unit_id") -> DataFrame:
@@ -65,7 +66,7 @@ def subgroup_effects(effects: DataFrame, feature: str, bins: int = 4) -> DataFra
 def effect_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
     """Correlation of two estimators' cell effects on their common (episode, t)."""
     both = a.select("episode_id", "t", F.col("effect").alias("x")).join(b.select("episode_id", "t", F.col("effect").alias("y")), ["episode_id", "t"])
-    return both.agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+    return both.agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("corr"))
 
 
 def heterogeneity_summary(cells: DataFrame) -> DataFrame:
