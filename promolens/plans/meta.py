@@ -74,10 +74,10 @@ def _regressor(spec: Learner, label: str, features: list[str]):
     common = {"labelCol": label, "predictionCol": "__p", "weightCol": spec.weight, "featuresCol": "__x"}
     stages = [VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="keep"), StandardScaler(inputCol="__raw", outputCol="__x")]
     make = {
-        "ridge": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.0, **(common | spec.params)),
-        "forest": lambda: RandomForestRegressor(seed=42, **(common | {"numTrees": 50} | spec.params)),
-        "boosting": lambda: GBTRegressor(seed=42, **(common | {"maxIter": 30} | spec.params)),
-        "poisson": lambda: GeneralizedLinearRegression(family="poisson", regParam=0.1, **(common | spec.params)),
+        "ridge": lambda: LinearRegression(**({"regParam": 0.1, "elasticNetParam": 0.0} | common | spec.params)),
+        "forest": lambda: RandomForestRegressor(**({"seed": 42, "numTrees": 50} | common | spec.params)),
+        "boosting": lambda: GBTRegressor(**({"seed": 42, "maxIter": 30} | common | spec.params)),
+        "poisson": lambda: GeneralizedLinearRegression(**({"family": "poisson", "regParam": 0.1} | common | spec.params)),
     }
     return Pipeline(stages=[*stages, make[spec.model]()])
 
