@@ -83,9 +83,12 @@ def _(t: Tables) -> DataFrame:
     return fill_both_ways(t.oil(), "dcoilwtico", "price")
 
 
-@query("a6_holidays", "date:d type:s locale:s locale_name:s transferred:s", "SELECT date, type, locale, locale_name, coalesce(transferred, false)::VARCHAR AS transferred FROM holidays")
+@query("a6_holidays", "date:d type:s locale:s locale_name:s transferred:s units:i", """
+  SELECT h.date, type, locale, locale_name, coalesce(transferred, false)::VARCHAR AS transferred, count(p.date) AS units FROM holidays h LEFT JOIN panel p ON p.date = h.date GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    return t.holidays().withColumn("transferred", F.coalesce("transferred", F.lit(False)))
+    h = t.holidays().withColumn("transferred", F.coalesce("transferred", F.lit(False)))
+    cells = t.sales.groupBy("date").agg(F.count("*").alias("units"))
+    return h.join(cells, "date", "left").na.fill(0, ["units"])
 
 
 @query("a7_projected_filter", "store_nbr:i item_nbr:i unit_sales", "SELECT store_nbr, item_nbr, unit_sales FROM panel WHERE date >= DATE '1998-01-01' AND onpromotion = 1")
@@ -155,10 +158,11 @@ def _(t: Tables) -> DataFrame:
     return t.raw("events").groupBy(sc.model_label(x).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("b14_safe_features", "name:s", "SELECT unnest(['t', 'store_nbr', 'item_nbr', 'class']) AS name")
+@query("b14_safe_features", "name:s n:i", " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n FROM panel" for c in ("t", "store_nbr", "item_nbr", "class")))
 def _(t: Tables) -> DataFrame:
     names = safe_features(t.exposed, {"unit_sales", "onpromotion"}, ("H_",))
-    return t.sales.limit(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
+    one = t.exposed.agg(*[F.count(n).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in names])).alias("r")).select("r.name", "r.n")
 
 
 # D1-D3, C1, C14, C15 and I: cleaning and audits
@@ -196,9 +200,10 @@ def _issue(dataset: str, check: str, severity: str, bad: str, source: str) -> st
     return f"SELECT '{dataset}' AS dataset, '{check}' AS \"check\", '{severity}' AS severity, coalesce(sum(({bad})::INT), 0) AS n_affected, count(*) AS n_rows FROM {source}"
 
 
-@query("i1_required_columns", ISSUE, "SELECT 'sales' AS dataset, 'columns' AS \"check\", 'error' AS severity, 1 AS n_affected, 3 AS n_rows")
+@query("i1_required_columns", ISSUE, "SELECT 'sales' AS dataset, 'columns' AS \"check\", 'error' AS severity, 1 AS n_affected, count(*) AS n_rows FROM panel")
 def _(t: Tables) -> DataFrame:
-    return q.missing_columns(t.sales, "sales", ["date", "store_nbr", "price"])
+    found = q.missing_columns(t.sales, "sales", ["date", "store_nbr", "price"]).drop("n_rows").withColumn("k", F.lit(1))
+    return found.join(t.sales.agg(F.count("*").alias("n_rows")).withColumn("k", F.lit(1)), "k")  # one row each
 
 
 @query("i2_non_numeric", ISSUE, _issue("events", "non_numeric_props", "error", "props IS NOT NULL AND TRY_CAST(props AS DOUBLE) IS NULL", "events"))
@@ -270,9 +275,9 @@ def _(t: Tables) -> DataFrame:
     return q.missing_values(t.oil(), "oil", "dcoilwtico")
 
 
-@query("i10_invalid_locale", ISSUE, _issue("holidays", "invalid_locale", "error", "locale NOT IN ('National', 'Regional', 'Local')", "holidays"))
+@query("i10_invalid_locale", ISSUE, _issue("holidays", "invalid_locale", "error", "locale NOT IN ('National', 'Regional', 'Local')", "(SELECT locale FROM panel JOIN holidays USING (date))"))
 def _(t: Tables) -> DataFrame:
-    return q.invalid_locale(t.holidays())
+    return q.invalid_locale(t.sales.select("date").join(t.holidays(), "date"))
 
 
 @query("c15_unmatched_locales", "date:d locale:s locale_name:s", """

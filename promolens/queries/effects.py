@@ -38,9 +38,10 @@ def _(t: Tables) -> DataFrame:
     return ft.regional_share(t.transactions(), t.stores())
 
 
-@query("d12_effective_holidays", "date:d type:s locale_name:s", "SELECT * FROM holidays WHERE lower(type) <> 'transfer'")
+@query("d12_effective_holidays", "date:d type:s locale_name:s units:i", "SELECT h.date, type, locale_name, count(*) AS units FROM holidays h JOIN panel p ON p.date = h.date WHERE lower(type) <> 'transfer' GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return ft.effective_holidays(t.holidays())
+    cells = t.sales.groupBy("date").agg(F.count("*").alias("units"))
+    return ft.effective_holidays(t.holidays()).join(cells, "date")
 
 
 @query("c5_holiday_join", KEY + "HNat:i HReg:i HLoc:i is_bridge:i is_additional:i is_work_day:i", """
@@ -631,3 +632,27 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     cf = _meta(t, "S")
     return mt.fit(cf).join(mt.att(cf), ["episode_id", "model_type"])
+
+
+@query("j16_forest_learner", SERIES + "t:i y_obs mu0_hat")
+def _(t: Tables) -> DataFrame:
+    spec = meta.Learner(t.stack_features, model="forest", params={"numTrees": 10, "maxDepth": 4})
+    return meta.series(meta.cross_fit(t.stack, "S", spec, meta.time_folds(t.stack, 12, 1)), "S")
+
+
+@query("j17_count_target", SERIES + "t:i y_obs mu0_hat")
+def _(t: Tables) -> DataFrame:
+    return meta.series(meta.cross_fit(t.stack, "S", meta.Learner(t.stack_features, model="poisson"), meta.time_folds(t.stack, 12, 1)), "S")
+
+
+@query("j21_filled_predictions", "episode_id:s rows:i filled:i")
+def _(t: Tables) -> DataFrame:
+    out = meta.cross_fit(t.stack, "S", meta.Learner(t.stack_features), meta.time_folds(t.stack, 12, 2))
+    return out.groupBy("episode_id").agg(F.count("*").alias("rows"), F.count("mu0_hat").alias("filled"))
+
+
+@query("j22_tuned_parameters", "regParam score")
+def _(t: Tables) -> DataFrame:
+    candidates = [{"regParam": r} for r in (0.01, 1.0)]
+    best, score = meta.tune(t.stack, "S", meta.Learner(t.stack_features), meta.time_folds(t.stack, 12, 2), candidates)
+    return t.spark.createDataFrame([(best["regParam"], score)], "regParam double, score double")

@@ -15,8 +15,8 @@ SQL: dict[str, str] = {}
 #: Common table expressions that queries' SQL may name.
 CTES: dict[str, str] = {}
 
-_SPARK = {"i": lambda c: c.cast("long"), "s": lambda c: c.cast("string"), "f": lambda c: F.round(F.round(c.cast("double"), 10), 6) + F.lit(0.0), "d": lambda c: c.cast("date").cast("string")}
-_SQL = {"i": '"{0}"::BIGINT AS "{0}"', "s": '"{0}"::VARCHAR AS "{0}"', "f": 'round(round("{0}"::DOUBLE, 10), 6) + 0.0 AS "{0}"', "d": '"{0}"::DATE::VARCHAR AS "{0}"'}
+_SPARK = {"i": lambda c: c.cast("long"), "s": lambda c: c.cast("string"), "f": lambda c: F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0), "d": lambda c: c.cast("date").cast("string")}
+_SQL = {"i": '"{0}"::BIGINT AS "{0}"', "s": '"{0}"::VARCHAR AS "{0}"', "f": 'round("{0}"::DOUBLE + 1e-9, 6) + 0.0 AS "{0}"', "d": '"{0}"::DATE::VARCHAR AS "{0}"'}
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:
@@ -46,7 +46,7 @@ def with_ctes(body: str) -> str:
 
 def query(name: str, columns: str, sql: str | None = None):
     """Register a function of Tables. `columns` lists name:kind with kind i, s, d or f (the default); doubles
-    are rounded to 6 places (by way of 10, so that halves meet) and dates are text, in Spark and in SQL alike."""
+    are rounded to 6 places, a little above halves so that both engines round those alike, and dates are text, in Spark and in SQL alike."""
     cols = _columns(columns)
 
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
