@@ -19,6 +19,5 @@ QUERIES = {
 
 SQL = {
     "op8_poisson_mixing": mixing.OP8_SQL,
-    "op9_learned_partitions": neighbours.op9_learned_partitions,
     "op10_warc_dictionary": warc.OP10_SQL,
 }
