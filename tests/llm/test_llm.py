@@ -406,3 +406,9 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, name):
     out = getattr(cp, name)(spark, df, TINY)
     assert out.count() >= (0 if name == "mix" else 1)
     assert getattr(cp, name)(spark, df.limit(0), TINY).count() == 0
+
+
+def test_registered_sql_is_text_of_registered_queries():
+    from promolens.llm.queries import QUERIES, SQL
+
+    assert set(SQL) <= set(QUERIES) and all(isinstance(v, str) for v in SQL.values())
