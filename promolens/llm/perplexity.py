@@ -4,10 +4,11 @@ Words are numbered by hash into 2^20 buckets (words that share one count togethe
 word have a fixed size and are broadcast; bigrams have no such bound and stay sharded. Scoring is
 additive: a document's log-probability is a sum over words of the unigram level and the back-off
 weight, plus for each bigram that the model has seen a gain over backing off. The first part and
-the most frequent bigrams are summed where the text is read; a bitmap of fixed size drops nearly
-all bigrams that the model has never seen; the others meet the sharded counts in one join. A
+the most frequent bigrams are summed where the text is read; bitmaps of fixed size drop nearly
+all bigrams that can't gain anything; the others meet the sharded counts in one join, for which
+the counts are written in buckets by bigram, so that only the documents' side is shuffled. A
 trusted document is scored without its own bigram counts, so that training on it gives it no
-lead.
+lead; a bigram that no other trusted document holds then gains nothing there.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import save, ship_by_value, table
+from promolens.llm.common import save, save_buckets, ship_by_value, table
 
 ship_by_value(__name__)
 
 WORD_BITS = 20
 WORDS = 1 << WORD_BITS
 BITMAP_BITS = 27
+PIECE_BITS = 15  # of a bitmap that travel together
 
 
 @dataclass
@@ -88,16 +90,18 @@ def _bits(keys: np.ndarray) -> np.ndarray:
 
 
 def count_bigrams(texts: DataFrame) -> DataFrame:
-    """(key, count) of the bigrams of column text, written to the shared folder."""
+    """(key, count, docs) of the bigrams of column text: how often each occurs, and in how many
+    rows; a table in the shared folder, in buckets by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [bigrams_of(words_of(t)) for t in batch.column(0).to_pylist()]
-            keys, n = np.unique(np.concatenate([*grams, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "count"])
+            found = [np.unique(bigrams_of(words_of(t)), return_counts=True) for t in batch.column(0).to_pylist()]
+            keys, at, docs = np.unique(np.concatenate([*(k for k, _ in found), np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+            n = np.bincount(at, np.concatenate([*(n for _, n in found), np.zeros(0, np.int64)]), len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(docs)], ["key", "count", "docs"])
 
-    counts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "key long, count long")
-    return save(counts.groupBy("key").agg(F.sum("count").alias("count")), "bigrams")
+    counts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "key long, count long, docs long")
+    return save_buckets(counts.groupBy("key").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "bigrams", "key")
 
 
 def lower_levels(bigrams: DataFrame) -> Lower:
@@ -121,20 +125,41 @@ def lower_levels(bigrams: DataFrame) -> Lower:
     return Lower(*dense(by_context, "v", "total", "once", "twice", "more"), *dense(by_word, "w", "before"), d)
 
 
-def bitmap(bigrams: DataFrame) -> np.ndarray:
-    """A bit for the hash of each bigram, gathered as at most 2^21 words of 64."""
+def bitmaps(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps of the hashes of bigrams: of all, and of those that several documents hold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task sends its bits as offsets within pieces of 2^15 bits; each piece is put together in one
+    place, so at most 2 x 4096 pieces of 4 KB come to the driver.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.unique(_bits(batch.column(0).to_numpy()))
-            at, first = np.unique(bits >> 6, return_index=True)
-            words = np.bitwise_or.reduceat(np.uint64(1) << (bits & 63).astype(np.uint64), first) if len(bits) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words.view(np.int64))], ["at", "word"])
+            bits, several = _bits(batch.column("key").to_numpy()), batch.column("docs").to_numpy() > 1
+            bits = np.unique(np.concatenate([bits, bits[several] + (1 << BITMAP_BITS)]))
+            piece, first = np.unique(bits >> PIECE_BITS, return_index=True)
+            offsets = np.split((bits & ((1 << PIECE_BITS) - 1)).astype(np.uint16), first[1:]) if len(bits) else []
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array([o.tobytes() for o in offsets], pa.binary())], ["piece", "bits"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, offsets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flags = np.zeros(1 << PIECE_BITS, bool)
+                flags[np.frombuffer(offsets, np.uint16)] = True
+                made[piece] = made.get(piece, 0) | np.packbits(flags, bitorder="little")
+        packed = [x.tobytes() for x in made.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(packed, pa.binary())], ["piece", "bits"])
+
+    fields = "piece long, bits binary"
+    rows = bigrams.select("key", "docs").mapInArrow(deal, fields).repartition("piece").mapInArrow(put, fields).toArrow()
+    out = np.zeros((2 << (BITMAP_BITS - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
+    for piece, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        out[piece] = np.frombuffer(bits, np.uint8)
+    return tuple(out.reshape(2, -1))
+
 
-    rows = bigrams.select("key").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
-    return out.view(np.uint64)
+def _marked(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
 
 def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> DataFrame:
@@ -155,16 +180,16 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     keys, counts = top.column("key").to_numpy(), top.column("count").to_numpy()
     order = np.argsort(keys)
     fields = {k: getattr(lower, k) for k in ("d", "total", "p", "back", "log_p", "log_back")}
-    shared = spark.sparkContext.broadcast((fields, keys[order], counts[order], bitmap(bigrams)))
+    shared = spark.sparkContext.broadcast((fields, keys[order], counts[order], *bitmaps(bigrams)))
 
-    def load() -> tuple[Lower, np.ndarray, np.ndarray, np.ndarray]:
-        fields, hot, counts, bits = shared.value
+    def load() -> tuple[Lower, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        fields, hot, counts, known, several = shared.value
         model = Lower.__new__(Lower)
         model.__dict__.update(fields)
-        return model, hot, counts, bits
+        return model, hot, counts, known, several
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot, hot_counts, bits = load()
+        model, hot, hot_counts, known, several = load()
         for batch in batches:
             doc_ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
             base, size, rest_doc, rest_key, rest_n = [], [], [], [], []
@@ -178,8 +203,7 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
                     seen = hot_counts[at[here]] - (n[here] if own else 0)
                     ll += float((n[here] * model.gain(key[here], seen)).sum())
                     key, n = key[~here], n[~here]
-                    b = _bits(key)
-                    maybe = (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    maybe = _marked(several if own else known, _bits(key))
                     rest_key.append(key[maybe])
                     rest_n.append(-n[maybe] if own else n[maybe])
                     rest_doc += [doc_id] * int(maybe.sum())
@@ -211,7 +235,7 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("n_words"), pa.array(ll)], ["doc_id", "lang", "n_words", "ll"])
 
     rows = marked.mapInArrow(read, "doc_id long, lang string, key long, x double, n_words long")
-    met = rows.join(bigrams.hint("merge"), "key", "left").mapInArrow(add, "doc_id long, lang string, n_words long, ll double")
+    met = rows.join(bigrams.select("key", "count").hint("merge"), "key", "left").mapInArrow(add, "doc_id long, lang string, n_words long, ll double")
     sums = met.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("ll").alias("ll"))
     sums = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("ll") / F.col("n_words"))).otherwise(F.lit(1.0)))
     sums = save(sums.drop("ll"), "perplexity")
