@@ -104,8 +104,8 @@ def count_bigrams(texts: DataFrame) -> DataFrame:
     return save_buckets(counts.groupBy("key").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "bigrams", "key")
 
 
-def lower_levels(bigrams: DataFrame) -> Lower:
-    """Gathers at most 2^20 rows by context and by word, whatever the number of bigrams."""
+def lower_levels(bigrams: DataFrame) -> list[np.ndarray]:
+    """What Lower is made from. Gathers at most 2^20 rows by context and by word, whatever the number of bigrams."""
     seen = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).alias
     kinds = bigrams.agg(*[seen(F.col("count") == i)(f"n{i}") for i in range(1, 5)]).first()
     by_context = bigrams.groupBy(F.shiftright("key", WORD_BITS).alias("v")).agg(
@@ -122,7 +122,7 @@ def lower_levels(bigrams: DataFrame) -> Lower:
         return out
 
     d = discounts(np.array([k or 0 for k in kinds]))
-    return Lower(*dense(by_context, "v", "total", "once", "twice", "more"), *dense(by_word, "w", "before"), d)
+    return [*dense(by_context, "v", "total", "once", "twice", "more"), *dense(by_word, "w", "before"), d]
 
 
 def bitmaps(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +158,14 @@ def bitmaps(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out.reshape(2, -1))
 
 
+def _packed(*arrays: np.ndarray) -> list[tuple[bytes, str]]:
+    return [(zlib.compress(a.tobytes(), 1), a.dtype.str) for a in arrays]
+
+
+def _unpacked(parts: list[tuple[bytes, str]]) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(data), kind) for data, kind in parts]
+
+
 def _marked(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
@@ -175,21 +183,15 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
         ids = F.broadcast(ids)
     marked = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left")
     bigrams = count_bigrams(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    lower = lower_levels(bigrams)
     top = bigrams.orderBy(F.desc("count"), "key").limit(params.hot).toArrow()
     keys, counts = top.column("key").to_numpy(), top.column("count").to_numpy()
     order = np.argsort(keys)
-    fields = {k: getattr(lower, k) for k in ("d", "total", "p", "back", "log_p", "log_back")}
-    shared = spark.sparkContext.broadcast((fields, keys[order], counts[order], *bitmaps(bigrams)))
-
-    def load() -> tuple[Lower, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        fields, hot, counts, known, several = shared.value
-        model = Lower.__new__(Lower)
-        model.__dict__.update(fields)
-        return model, hot, counts, known, several
+    # each executor keeps broadcasts on disk: compressed, and the second step takes the first only
+    lower = spark.sparkContext.broadcast(_packed(*lower_levels(bigrams)))
+    lookups = spark.sparkContext.broadcast(_packed(keys[order], counts[order], *bitmaps(bigrams)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot, hot_counts, known, several = load()
+        model, (hot, hot_counts, known, several) = Lower(*_unpacked(lower.value)), _unpacked(lookups.value)
         for batch in batches:
             doc_ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
             base, size, rest_doc, rest_key, rest_n = [], [], [], [], []
@@ -224,7 +226,7 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, *_ = load()
+        model = Lower(*_unpacked(lower.value))
         for batch in batches:
             key, x = batch.column("key").to_numpy(), batch.column("x").to_numpy()
             count = batch.column("count").fill_null(0).to_numpy().astype(np.int64)
