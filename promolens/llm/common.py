@@ -51,11 +51,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def save_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+def save_buckets(df: DataFrame, name: str, *key: str) -> DataFrame:
     """The same as a table in buckets by `key`, as many as shuffles have partitions: joins on the key leave it in place."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     buckets, made = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(made)
+    df.write.bucketBy(buckets, *key).sortBy(*key).option("path", path).option("compression", "zstd").saveAsTable(made)
     return spark.table(made)
 
 

@@ -1,14 +1,16 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model.
 
-Words are numbered by hash into 2^20 buckets (words that share one count together), so tables by
-word have a fixed size and are broadcast; bigrams have no such bound and stay sharded. Scoring is
-additive: a document's log-probability is a sum over words of the unigram level and the back-off
-weight, plus for each bigram that the model has seen a gain over backing off. The first part and
-the most frequent bigrams are summed where the text is read; bitmaps of fixed size drop nearly
-all bigrams that can't gain anything; the others meet the sharded counts in one join, for which
-the counts are written in buckets by bigram, so that only the documents' side is shuffled. A
-trusted document is scored without its own bigram counts, so that training on it gives it no
-lead; a bigram that no other trusted document holds then gains nothing there.
+Words are told apart by 64 bits of BLAKE2b (two of a billion words agree with a chance of 3 %), and
+bigrams are pairs of words. The words most frequent in trusted texts are numbered and what the
+model knows of them is broadcast; the tables of all other words and of bigrams have no bound and
+stay sharded. Scoring is additive: a document's log-probability is a sum over words of the unigram
+level and the back-off weight, plus for each bigram that the model has seen a gain over backing
+off. What needs numbered words only is summed where the text is read, with the most frequent
+bigrams; bitmaps of fixed size drop nearly all other words and bigrams that the model doesn't know;
+the rest meet the sharded tables in one join, for which these are written in buckets, so that only
+the documents' side is shuffled. A trusted document is scored without its own bigram counts, so
+that training on it gives it no lead; a bigram that no other trusted document holds then gains
+nothing there.
 """
 
 from __future__ import annotations
@@ -16,18 +18,20 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import save, save_buckets, ship_by_value, table
+from promolens.llm.common import save, save_buckets, ship_by_value, slices, table
 
 ship_by_value(__name__)
 
 WORD_BITS = 20
-WORDS = 1 << WORD_BITS
+WORDS = 1 << WORD_BITS  # numbers of words are below; so many words at least share what is left for unseen ones
+REMEMBERED = 1 << 18  # words whose ids a worker keeps
 BITMAP_BITS = 27
 PIECE_BITS = 15  # of a bitmap that travel together
 
@@ -35,18 +39,52 @@ PIECE_BITS = 15  # of a bitmap that travel together
 @dataclass
 class Params:
     quantile: float = 0.9  # of each language's perplexities; documents above it are rejected
-    hot: int = 1 << 17  # most frequent bigrams, looked up where the text is read
+    hot: int = 1 << 17  # most frequent bigrams of numbered words, looked up where the text is read
+    hot_words: int = 1 << 17  # most frequent words, which are numbered; fewer than WORDS
     broadcast_ids: int = 2_000_000  # trusted ids that are broadcast; more are joined by shuffling
 
 
+class _Ids(dict):
+    def __missing__(self, word: bytes) -> int:
+        made = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        made += WORDS if 0 <= made < WORDS else 0
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = made
+        return made
+
+
+_IDS = _Ids()
+
+
 def words_of(text: bytes | None) -> np.ndarray:
-    """Word numbers 1..2^20-1 of lower-cased words between white space; 0 stands for the beginning."""
+    """64-bit ids, none in 0..WORDS-1, of lower-cased words between white space; 0 stands for the beginning."""
     words = (text or b"").lower().split()
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % (WORDS - 1) + 1
+    return np.fromiter(map(_IDS.__getitem__, words), np.int64, len(words))
+
 
+def _cold(x: np.ndarray | Column) -> np.ndarray | Column:
+    """Whether words have no number."""
+    return (x < 0) | (x >= WORDS)
 
-def bigrams_of(words: np.ndarray) -> np.ndarray:
-    return (np.concatenate(([0], words[:-1])) << WORD_BITS) | words if len(words) else words
+
+def _numbered(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """ids with those of the sorted hot ones replaced by their place there, from 1."""
+    at = np.minimum(np.searchsorted(hot, ids), max(len(hot) - 1, 0))
+    return np.where(hot[at] == ids, at + 1, ids) if len(hot) else ids
+
+
+def _pairs(texts: list[bytes | None], hot: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The distinct words of all texts and, by text, the places there of its words, its distinct
+    pairs (place of the first word x number of words + place of the second) and their counts."""
+    found = [words_of(t) for t in texts]
+    ids, place = np.unique(np.concatenate([np.zeros(1, np.int64), *found]), return_inverse=True)
+    ends, out = np.cumsum([1, *map(len, found)]), []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        first = np.concatenate((place[:1], place[a : b - 1])) if b > a else place[:0]
+        out.append((place[a:b], *np.unique(first * len(ids) + place[a:b], return_counts=True)))
+    return _numbered(ids, hot), out
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -58,71 +96,103 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 class Lower:
-    """The levels below the bigrams: by word its log-probability, by context its count and back-off weight."""
-
-    def __init__(self, total: np.ndarray, once: np.ndarray, twice: np.ndarray, more: np.ndarray, before: np.ndarray, d: np.ndarray) -> None:
-        self.d, self.total = d, total.astype(np.float64)
-        kinds = np.bincount(np.clip(before, 0, 5), minlength=6)
-        e = np.concatenate(([0.0], discounts(kinds[1:5])))
-        cut = e[np.minimum(before, 3)]
-        mass = max(before.sum(), 1)
-        left = cut.sum() / mass if before.any() else 1.0
-        self.p = (before - cut) / mass + left / WORDS
-        with np.errstate(invalid="ignore", divide="ignore"):
-            back = (d[0] * once + d[1] * twice + d[2] * more) / self.total
-        self.back = np.where(self.total > 0, back, 1.0)
-        self.log_p, self.log_back = np.log(self.p), np.log(self.back)
+    """The levels below the bigrams for numbered words: log-probability, count held back as a context, back-off weight."""
+
+    def __init__(self, total: np.ndarray, once: np.ndarray, twice: np.ndarray, more: np.ndarray, before: np.ndarray, d: np.ndarray, e: np.ndarray, rest: np.ndarray) -> None:
+        self.d = d
+        mass, self.floor = rest
+        self.p = (before - np.concatenate(([0.0], e))[np.minimum(before, 3)]) / mass + self.floor
+        self.held = d[0] * once + d[1] * twice + d[2] * more
+        self.log_p, self.log_floor = np.log(self.p), float(np.log(self.floor))
+        self.log_back = np.log(np.where(total > 0, self.held / np.maximum(total, 1), 1.0))
 
     def base(self, words: np.ndarray) -> float:
-        context = np.concatenate(([0], words[:-1])) if len(words) else words
-        return float(self.log_p[words].sum() + self.log_back[context].sum())
+        """What the words of a document give, those without a number as if they were unknown."""
+        known = ~_cold(words)
+        context = np.concatenate((np.zeros(1, np.int64), words[:-1])) if len(words) else words
+        return float(self.log_p[words[known]].sum() + self.log_floor * (len(words) - known.sum()) + self.log_back[context[~_cold(context)]].sum())
 
-    def gain(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def gain(self, count: np.ndarray, held: np.ndarray, p: np.ndarray) -> np.ndarray:
         """What a bigram seen `count` times adds to backing off; 0 where the count is 0."""
-        v, w = key >> WORD_BITS, key & (WORDS - 1)
-        rest = self.back[v] * self.p[w]
         seen = np.maximum(count - np.concatenate(([0.0], self.d))[np.clip(count, 0, 3)], 0)
-        return np.where(count > 0, np.log1p(seen / np.maximum(self.total[v], 1) / rest), 0.0)
+        rest = np.where(count > 0, held * p, 1.0)
+        return np.where(count > 0, np.log1p(seen / rest), 0.0)
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+def _bits(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = v.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(31))) + w.astype(np.uint64)
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
-def count_bigrams(texts: DataFrame) -> DataFrame:
-    """(key, count, docs) of the bigrams of column text: how often each occurs, and in how many
-    rows; a table in the shared folder, in buckets by key."""
+def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
+    """Sorted ids of the words of column text that occur most often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(bigrams_of(words_of(t)), return_counts=True) for t in batch.column(0).to_pylist()]
-            keys, at, docs = np.unique(np.concatenate([*(k for k, _ in found), np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-            n = np.bincount(at, np.concatenate([*(n for _, n in found), np.zeros(0, np.int64)]), len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(docs)], ["key", "count", "docs"])
+            found = [words_of(t) for t in batch.column(0).to_pylist()]
+            ids, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
 
-    counts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "key long, count long, docs long")
-    return save_buckets(counts.groupBy("key").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "bigrams", "key")
+    counts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return np.sort(counts.orderBy(F.desc("n"), "id").limit(most).select("id").toArrow().column(0).to_numpy())
 
 
-def lower_levels(bigrams: DataFrame) -> list[np.ndarray]:
-    """What Lower is made from. Gathers at most 2^20 rows by context and by word, whatever the number of bigrams."""
+def count_bigrams(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(v, w, count, docs) of the bigrams of column text: how often each occurs, and in how many
+    rows; a table in the shared folder, in buckets by v and w."""
+    shared = texts.sparkSession.sparkContext.broadcast(_packed(hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (hot,) = _unpacked(shared.value)
+        for batch in batches:
+            ids, found = _pairs(batch.column(0).to_pylist(), hot)
+            keys, at, docs = np.unique(np.concatenate([*(k for _, k, _ in found), np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+            n = np.bincount(at, np.concatenate([*(n for _, _, n in found), np.zeros(0, np.int64)]), len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keys // len(ids)]), pa.array(ids[keys % len(ids)]), pa.array(n), pa.array(docs)], ["v", "w", "count", "docs"])
+
+    counts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "v long, w long, count long, docs long")
+    return save_buckets(counts.groupBy("v", "w").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "bigrams", "v", "w")
+
+
+def lower_levels(bigrams: DataFrame, n_hot: int) -> tuple[list[np.ndarray], DataFrame]:
+    """What Lower is made from, of numbered words only; and a table in buckets by v and w of what
+    the others are needed for: of bigrams the count that v holds back and the probability of w,
+    null where these have numbers; of words (as v, where w is 0) their log-probability beyond an
+    unknown word's and their log back-off weight."""
     seen = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).alias
-    kinds = bigrams.agg(*[seen(F.col("count") == i)(f"n{i}") for i in range(1, 5)]).first()
-    by_context = bigrams.groupBy(F.shiftright("key", WORD_BITS).alias("v")).agg(
+    names = ["total", "once", "twice", "more", "before"]
+    kinds = lambda df, c: [k or 0 for k in df.agg(*[seen(F.col(c) == i)(f"n{i}") for i in range(1, 5)], seen(F.col(c) > 2)("many"), F.sum(c)).first()]
+    by_context = bigrams.groupBy(F.col("v").alias("id")).agg(
         F.sum("count").alias("total"), seen(F.col("count") == 1)("once"), seen(F.col("count") == 2)("twice"), seen(F.col("count") > 2)("more")
     )
-    by_word = bigrams.groupBy(F.col("key").bitwiseAND(WORDS - 1).alias("w")).agg(F.count("*").alias("before"))
-
-    def dense(df: DataFrame, at: str, *names: str) -> list[np.ndarray]:
-        rows, out = df.toArrow(), []
-        for name in names:
-            a = np.zeros(WORDS, np.int64)
-            a[rows.column(at).to_numpy()] = rows.column(name).to_numpy()
-            out.append(a)
-        return out
-
-    d = discounts(np.array([k or 0 for k in kinds]))
-    return [*dense(by_context, "v", "total", "once", "twice", "more"), *dense(by_word, "w", "before"), d]
+    by_word = bigrams.groupBy(F.col("w").alias("id")).agg(F.count("*").alias("before"))
+    levels = by_context.unionByName(by_word, allowMissingColumns=True).groupBy("id").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    levels = save(levels, "levels")
+    d = discounts(np.array(kinds(bigrams, "count")[:4]))
+    n1, n2, n3, n4, many, mass = kinds(levels, "before")
+    e = discounts(np.array([n1, n2, n3, n4]))
+    left = float(e @ [n1, n2, many]) / mass if mass else 1.0
+    rest = np.array([max(mass, 1), left / max(WORDS, n1 + n2 + many + 1)], float)
+
+    rows, dense = levels.filter(~_cold(F.col("id"))).toArrow(), []
+    for name in names:
+        a = np.zeros(n_hot + 1, np.int64)
+        a[rows.column("id").to_numpy()] = rows.column(name).to_numpy()
+        dense.append(a)
+
+    p = (F.col("before") - F.element_at(F.array(*[F.lit(float(x)) for x in e]), F.least("before", F.lit(3)).cast("int"))) / float(rest[0]) + float(rest[1])
+    held = F.col("once") * float(d[0]) + F.col("twice") * float(d[1]) + F.col("more") * float(d[2])
+    cold = levels.filter(_cold(F.col("id"))).withColumns({"held": held, "p": p})
+    back = F.when(F.col("total") > 0, F.log(F.col("held") / F.col("total"))).otherwise(F.lit(0.0))
+    none = F.lit(None).cast("double")
+    parts = [
+        cold.select(F.col("id").alias("v"), F.lit(0).cast("long").alias("w"), (F.log("p") - F.log(F.lit(float(rest[1])))).alias("held"), back.alias("p")),
+        bigrams.filter(_cold(F.col("v"))).join(cold.select(F.col("id").alias("v"), "held"), "v").select("v", "w", "held", none.alias("p")),
+        bigrams.filter(_cold(F.col("w"))).join(cold.select(F.col("id").alias("w"), "p"), "w").select("v", "w", none.alias("held"), "p"),
+    ]
+    facts = parts[0].union(parts[1]).union(parts[2]).groupBy("v", "w").agg(F.max("held").alias("held"), F.max("p").alias("p"))
+    return [*dense, d, e, rest], save_buckets(facts, "cold", "v", "w")
 
 
 def bitmaps(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +204,7 @@ def bitmaps(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, several = _bits(batch.column("key").to_numpy()), batch.column("docs").to_numpy() > 1
+            bits, several = _bits(batch.column("v").to_numpy(), batch.column("w").to_numpy()), batch.column("docs").to_numpy() > 1
             bits = np.unique(np.concatenate([bits, bits[several] + (1 << BITMAP_BITS)]))
             piece, first = np.unique(bits >> PIECE_BITS, return_index=True)
             offsets = np.split((bits & ((1 << PIECE_BITS) - 1)).astype(np.uint16), first[1:]) if len(bits) else []
@@ -151,7 +221,7 @@ def bitmaps(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(packed, pa.binary())], ["piece", "bits"])
 
     fields = "piece long, bits binary"
-    rows = bigrams.select("key", "docs").mapInArrow(deal, fields).repartition("piece").mapInArrow(put, fields).toArrow()
+    rows = bigrams.select("v", "w", "docs").mapInArrow(deal, fields).repartition("piece").mapInArrow(put, fields).toArrow()
     out = np.zeros((2 << (BITMAP_BITS - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
     for piece, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
         out[piece] = np.frombuffer(bits, np.uint8)
@@ -182,62 +252,78 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     if ids.count() <= params.broadcast_ids:
         ids = F.broadcast(ids)
     marked = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left")
-    bigrams = count_bigrams(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    top = bigrams.orderBy(F.desc("count"), "key").limit(params.hot).toArrow()
-    keys, counts = top.column("key").to_numpy(), top.column("count").to_numpy()
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    numbered = frequent_words(texts, min(params.hot_words, WORDS - 1))
+    bigrams = count_bigrams(texts, numbered)
+    levels, cold = lower_levels(bigrams, len(numbered))
+    top = bigrams.filter(~_cold(F.col("v")) & ~_cold(F.col("w"))).orderBy(F.desc("count"), "v", "w").limit(params.hot).toArrow()
+    keys, counts = (top.column("v").to_numpy() << WORD_BITS) | top.column("w").to_numpy(), top.column("count").to_numpy()
     order = np.argsort(keys)
+    known_words = cold.filter("w = 0").select("v", "w", F.lit(1).cast("long").alias("docs"))
     # each executor keeps broadcasts on disk: compressed, and the second step takes the first only
-    lower = spark.sparkContext.broadcast(_packed(*lower_levels(bigrams)))
-    lookups = spark.sparkContext.broadcast(_packed(keys[order], counts[order], *bitmaps(bigrams)))
+    lower = spark.sparkContext.broadcast(_packed(*levels))
+    lookups = spark.sparkContext.broadcast(_packed(numbered, keys[order], counts[order], *bitmaps(bigrams.select("v", "w", "docs").union(known_words))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (hot, hot_counts, known, several) = Lower(*_unpacked(lower.value)), _unpacked(lookups.value)
-        for batch in batches:
+        model, (numbered, hot, hot_counts, known, several) = Lower(*_unpacked(lower.value)), _unpacked(lookups.value)
+        for batch in slices(batches, 1024):
             doc_ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
-            base, size, rest_doc, rest_key, rest_n = [], [], [], [], []
-            for doc_id, text, own in zip(doc_ids, batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                words = words_of(text)
-                key, n = np.unique(bigrams_of(words), return_counts=True)
-                ll = model.base(words)
-                if len(hot) and len(key):
+            ids, found = _pairs(batch.column("text").to_pylist(), numbered)
+            far, heard = _cold(ids), _marked(known, _bits(ids, np.zeros_like(ids)))
+            base, size, rest_doc, rest = [], [], [], []
+            for doc_id, (place, pair, n), own in zip(doc_ids, found, batch.column("own").to_pylist(), strict=True):
+                ll = model.base(ids[place])
+                v, w = ids[pair // len(ids)], ids[pair % len(ids)]
+                near = ~(_cold(v) | _cold(w))
+                if len(hot) and len(v):
+                    key = np.where(near, (v << WORD_BITS) | w, -1)
                     at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                     here = hot[at] == key
                     seen = hot_counts[at[here]] - (n[here] if own else 0)
-                    ll += float((n[here] * model.gain(key[here], seen)).sum())
-                    key, n = key[~here], n[~here]
-                    maybe = _marked(several if own else known, _bits(key))
-                    rest_key.append(key[maybe])
-                    rest_n.append(-n[maybe] if own else n[maybe])
-                    rest_doc += [doc_id] * int(maybe.sum())
+                    ll += float((n[here] * model.gain(seen, model.held[v[here]], model.p[w[here]])).sum())
+                    v, w, n = v[~here], w[~here], n[~here]
+                maybe = _marked(several if own else known, _bits(v, w))
+                rest.append((v[maybe], w[maybe], -n[maybe] if own else n[maybe], np.zeros(int(maybe.sum()), np.int64)))
+                rest_doc += [doc_id] * len(rest[-1][0])
+                if len(lone := place[far[place] & heard[place]]):
+                    lone, n = np.unique(lone, return_counts=True)
+                    rest.append((ids[lone], np.zeros_like(lone), n, n - (lone == place[-1])))
+                    rest_doc += [doc_id] * len(lone)
                 base.append(ll)
-                size.append(len(words))
-            # the sums travel with the bigrams, under negative keys that spread them over the tasks
+                size.append(len(place))
+            # the sums travel with these, under keys that spread them over the tasks
             spread = -1 - np.random.default_rng(len(doc_ids)).integers(0, 1 << 40, len(doc_ids))
             pad = len(rest_doc)
+            columns = [np.concatenate(x) for x in zip((spread, np.full(len(spread), -1), base, np.array(size, np.int64)), *rest, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc_ids + rest_doc, pa.int64()),
                     pa.array(langs + [None] * pad, pa.string()),
-                    pa.array(np.concatenate([spread, *rest_key])),
-                    pa.array(np.concatenate([base, *rest_n]).astype(np.float64)),
-                    pa.array(size + [0] * pad, pa.int64()),
+                    pa.array(columns[0].astype(np.int64)),
+                    pa.array(columns[1].astype(np.int64)),
+                    pa.array(columns[2].astype(np.float64)),
+                    pa.array(columns[3].astype(np.int64)),
                 ],
-                ["doc_id", "lang", "key", "x", "n_words"],
+                ["doc_id", "lang", "v", "w", "x", "n_words"],
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Lower(*_unpacked(lower.value))
         for batch in batches:
-            key, x = batch.column("key").to_numpy(), batch.column("x").to_numpy()
-            count = batch.column("count").fill_null(0).to_numpy().astype(np.int64)
-            bigram = key >= 0
-            n = np.abs(x)
-            seen = np.where(bigram, count - np.where(x < 0, n, 0).astype(np.int64), 0)
-            ll = np.where(bigram, n * model.gain(np.where(bigram, key, 0), np.maximum(seen, 0)), x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("n_words"), pa.array(ll)], ["doc_id", "lang", "n_words", "ll"])
-
-    rows = marked.mapInArrow(read, "doc_id long, lang string, key long, x double, n_words long")
-    met = rows.join(bigrams.select("key", "count").hint("merge"), "key", "left").mapInArrow(add, "doc_id long, lang string, n_words long, ll double")
+            v, w, x, m = (batch.column(c).to_numpy() for c in ("v", "w", "x", "n_words"))
+            count, held, p = (batch.column(c).fill_null(0).to_numpy() for c in ("count", "held", "p"))
+            whole = batch.column("lang").is_valid().to_numpy(zero_copy_only=False)
+            n, pair = np.abs(x), ~whole & (w != 0)
+            seen = np.where(pair, count - np.where(x < 0, n, 0).astype(np.int64), 0)
+            near_v, near_w = pair & ~_cold(v), pair & ~_cold(w)
+            of_v, of_w = np.where(near_v, model.held[np.where(near_v, v, 0)], held), np.where(near_w, model.p[np.where(near_w, w, 0)], p)
+            ll = np.where(pair, n * model.gain(np.maximum(seen, 0), of_v, of_w), np.where(whole, x, x * held + m * p))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(np.where(whole, m, 0)), pa.array(ll)], ["doc_id", "lang", "n_words", "ll"])
+
+    # n_words: of a row of sums, the document's; of a word's, how often another one follows
+    rows = marked.mapInArrow(read, "doc_id long, lang string, v long, w long, x double, n_words long")
+    met = rows.join(bigrams.select("v", "w", "count").hint("merge"), ["v", "w"], "left").join(cold.hint("merge"), ["v", "w"], "left")
+    met = met.mapInArrow(add, "doc_id long, lang string, n_words long, ll double")
     sums = met.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("ll").alias("ll"))
     sums = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("ll") / F.col("n_words"))).otherwise(F.lit(1.0)))
     sums = save(sums.drop("ll"), "perplexity")

@@ -293,6 +293,45 @@ def test_perplexity_equals_brute_force(spark):
         assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
 
 
+def test_perplexity_tells_colliding_words_apart(spark):
+    # crc32 % (2^20 - 1) can't: by the birthday bound these 20,000 words share buckets
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(20_000)]
+    old = {}
+    for w in vocabulary:
+        old.setdefault(zlib.crc32(w.encode()) % ((1 << 20) - 1), []).append(w)
+    same = [x[:2] for x in old.values() if len(set(x)) > 1]
+    assert len(same) > 20
+    seen = [a for a, _ in same] * 4 + vocabulary[:300]
+    texts = [(i, " ".join(rng.choice(seen) for _ in range(30))) for i in range(60)]
+    texts += [(100 + i, b) for i, (_, b) in enumerate(same) if b not in seen]
+    trusted = [i for i, _ in texts if i < 60]
+    words = {i: t.split() for i, t in texts}
+    grams = {i: Counter(zip(["", *w[:-1]], w, strict=True)) for i, w in words.items()}
+    counts = sum((grams[i] for i in trusted), Counter())
+    before, kinds = Counter(w for _, w in counts), Counter(counts.values())
+    d = perplexity.discounts(np.array([kinds[k] for k in (1, 2, 3, 4)]))
+    e = perplexity.discounts(np.array([Counter(before.values())[k] for k in (1, 2, 3, 4)]))
+    cut = lambda c, d: 0 if c == 0 else d[min(c, 3) - 1]
+    mass, left = sum(before.values()), sum(cut(c, e) for c in before.values()) / sum(before.values())
+    total, back = Counter(), Counter()
+    for (v, _), c in counts.items():
+        total[v] += c
+        back[v] += cut(c, d)
+    want = {}
+    for i, w in words.items():
+        ll = 0.0
+        for (v, x), n in grams[i].items():
+            c = counts[(v, x)] - (n if i < 60 else 0)
+            p = max(before[x] - cut(before[x], e), 0) / mass + left / perplexity.WORDS
+            ll += n * math.log((back[v] / total[v] if total[v] else 1.0) * p + (max(c - cut(c, d), 0) / total[v] if c else 0))
+        want[i] = math.exp(-ll / len(w))
+    lab = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    for params in (perplexity.Params(), perplexity.Params(hot=3, hot_words=5), perplexity.Params(hot=50, hot_words=100)):
+        got = {r.doc_id: r.perplexity for r in perplexity.score(docs(spark, texts), lab, params).collect()}
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
 def test_perplexity_odd_rows(spark):
     lab = spark.createDataFrame([(3,), (None,)], "doc_id long")
     got = {r.doc_id: r for r in perplexity.score(docs(spark, ODD, keep=1, perplexity=2), lab).collect()}
