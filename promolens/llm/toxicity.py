@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Training takes a bounded sample of labelled rows, as many of either class, chosen by a hash of the
-id. A first pass counts in how many toxic and other documents each n-gram (of lower-cased UTF-8
+id, and reads their whole texts. A first pass counts in how many toxic and other documents each n-gram (of lower-cased UTF-8
 bytes) occurs; the n-grams with the strongest evidence become features, each scaled by its
 smoothed log-count ratio; a logistic regression over the scaled presence features sets the
 weights (Wang and Manning, 2012). Scoring walks every whole text: a table over hash buckets drops
@@ -32,7 +32,6 @@ CHUNK = 1 << 20  # bytes of text hashed at once
 @dataclass
 class Params:
     sample_rows: int = 3000  # bound on the training documents of either class
-    sample_bytes: int = 20_000  # training reads so much of a longer text; scoring reads all of it
     features: int = 20_000
     min_docs: int = 5  # sampled documents that hold a feature
     min_z: float = 5.0  # of the difference between the classes' shares; chance passes it about once in two million n-grams
@@ -60,7 +59,15 @@ def _lower(text: bytes | None) -> bytes:
 
 
 def _distinct(text: bytes) -> np.ndarray:
-    return np.unique(np.concatenate([*_hashes(text), np.zeros(0, np.uint64)]))
+    """The text's distinct hashes; repeated ones of a very long text are dropped as it is walked."""
+    parts, size, limit = [np.zeros(0, np.uint64)], 0, 4 * CHUNK
+    for h in _hashes(text):
+        parts.append(h)
+        size += len(h)
+        if size > limit:
+            parts = [np.unique(np.concatenate(parts))]
+            size, limit = len(parts[0]), 2 * len(parts[0]) + 4 * CHUNK
+    return np.unique(np.concatenate(parts))
 
 
 @dataclass
@@ -101,11 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     # at most 2 x sample_rows small rows: a size that holds for any input
     texts = texts.join(F.broadcast(chosen), "doc_id")
-    texts = save(texts.select("doc_id", "toxic", F.substring("text", 1, params.sample_bytes).alias("text")), "train")
+    texts = save(texts.select("doc_id", "toxic", "text"), "train")
     texts = texts.repartition(params.tasks, "doc_id").dropDuplicates(["doc_id"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             toxic = batch.column("toxic").to_pylist()
             grams = [_distinct(_lower(t)) for t in batch.column("text").to_pylist()]
             out = []
@@ -131,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
-        for batch in batches:
+        for batch in slices(batches, 64):
             rows = []
             for text in batch.column("text").to_pylist():
                 grams = _distinct(_lower(text))

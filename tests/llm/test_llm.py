@@ -232,6 +232,22 @@ def test_toxicity_learns_planted_words(spark):
     assert all(0 <= v <= 1 for v in out.values()) and out[1000] == out[1001]
 
 
+def test_toxicity_learns_from_the_ends_of_long_texts(spark):
+    rng = random.Random(17)
+    fill = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(4000))  # 24,000 bytes
+    texts = [(i, f"{fill} {i} {'quxzzy' if i % 4 == 0 else 'harmless'}") for i in range(200)]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    df = docs(spark, texts)
+    out = {r.doc_id: r.score for r in toxicity.score(df, toxicity.train_on_seen(df, lab)).collect()}
+    assert all((out[i] >= 0.5) == (i % 4 == 0) for i, _ in texts if zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_toxicity_distinct_hashes_of_very_long_texts():
+    text = bytes(random.Random(18).choices(b"abcdefgh ", k=3_000_000))
+    want = np.unique(np.concatenate(list(toxicity._hashes(text))))
+    assert np.array_equal(toxicity._distinct(text), want)
+
+
 def test_toxicity_without_labels(spark):
     df = docs(spark, [(1, "a b")])
     lab = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
