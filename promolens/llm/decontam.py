@@ -172,7 +172,8 @@ def item_blocks(items: DataFrame, window: int, block_words: int = BLOCK_WORDS) -
             )
 
     pieces = items.select(F.col("item_id").cast("string").alias("id"), text_or_empty().cast("binary").alias("text"))
-    pieces = pieces.mapInArrow(cut, fields).withColumn("n", F.size("words"))
+    # repeated items count once: without their copies no block outgrows its bound
+    pieces = pieces.mapInArrow(cut, fields).distinct().withColumn("n", F.size("words"))
     total = pieces.agg(F.sum("n")).first()[0] or 0
     if total <= block_words:
         yield [tuple(r) for r in pieces.drop("n").collect()]

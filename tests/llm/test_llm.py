@@ -96,6 +96,14 @@ def test_decontamination_equals_brute_force(spark):
         assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_decontamination_blocks_stay_bounded_with_repeated_items(spark):
+    items = [(7, "same ten words " * 10)] * 40 + [(i, f"w{i} " * 12) for i in range(100, 120)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    blocks = list(decontam.item_blocks(bench, 10, block_words=150))
+    assert max(sum(len(words) for _, words, _ in b) for b in blocks) <= 150
+    assert sorted(i for b in blocks for i, _, _ in b) == sorted({str(i) for i, _ in items})
+
+
 def test_decontamination_cleans_and_rejects(spark):
     item = " ".join(f"a{i}" for i in range(12))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
