@@ -39,8 +39,8 @@ PIECE_BITS = 15  # of a bitmap that travel together
 @dataclass
 class Params:
     quantile: float = 0.9  # of each language's perplexities; documents above it are rejected
-    hot: int = 1 << 17  # most frequent bigrams of numbered words, looked up where the text is read
-    hot_words: int = 1 << 17  # most frequent words, which are numbered; fewer than WORDS
+    hot: int = 1 << 17  # bound on the most frequent bigrams of numbered words, looked up where the text is read
+    hot_words: int = 1 << 17  # bound on the most frequent words, which are numbered; below WORDS
     broadcast_ids: int = 2_000_000  # trusted ids that are broadcast; more are joined by shuffling
 
 
@@ -125,8 +125,21 @@ def _bits(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, at most `most`: all whose count reaches a step of a 64th of an
+    octave. Only the number of rows of each step, 4,096 at most, is gathered."""
+    step = F.floor(F.log2(count) * 64).cast("int")
+    left, least = most, None
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    return counted.filter(step >= least) if least is not None else counted.limit(0)
+
+
 def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
-    """Sorted ids of the words of column text that occur most often."""
+    """Sorted ids of the words of column text that occur most often, at most `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +148,7 @@ def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
 
     counts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return np.sort(counts.orderBy(F.desc("n"), "id").limit(most).select("id").toArrow().column(0).to_numpy())
+    return np.sort(most_frequent(save(counts, "words"), "n", most).select("id").toArrow().column(0).to_numpy())
 
 
 def count_bigrams(texts: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -241,22 +254,24 @@ def _marked(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, lang, n_words, perplexity, keep for each doc_id; trusted: a column doc_id.
+    """doc_id, lang, n_words, perplexity, keep for each row of docs; trusted: a column doc_id.
 
-    Rows that share a doc_id (or have none) are scored as one document. Null texts have no words and
-    perplexity 1; they are kept. Null languages are one language of their own, the empty one. With
-    no trusted text all words are equally likely. An empty table gives no rows.
+    Rows that repeat a doc_id, or have none, are documents of their own; all rows of a trusted id are
+    trusted. Null texts have no words and perplexity 1; they are kept. Null languages are one language
+    of their own, the empty one. With no trusted text all words are equally likely. Other columns are
+    left out. An empty table gives no rows. Rows are numbered as they are read: docs should be a table
+    that is read, not the outcome of a shuffle.
     """
     spark = docs.sparkSession
     ids = save(trusted.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("own", F.lit(True)), "trusted")
     if ids.count() <= params.broadcast_ids:
         ids = F.broadcast(ids)
-    marked = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left")
+    marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left")
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     numbered = frequent_words(texts, min(params.hot_words, WORDS - 1))
     bigrams = count_bigrams(texts, numbered)
     levels, cold = lower_levels(bigrams, len(numbered))
-    top = bigrams.filter(~_cold(F.col("v")) & ~_cold(F.col("w"))).orderBy(F.desc("count"), "v", "w").limit(params.hot).toArrow()
+    top = most_frequent(bigrams.filter(~_cold(F.col("v")) & ~_cold(F.col("w"))), "count", params.hot).select("v", "w", "count").toArrow()
     keys, counts = (top.column("v").to_numpy() << WORD_BITS) | top.column("w").to_numpy(), top.column("count").to_numpy()
     order = np.argsort(keys)
     known_words = cold.filter("w = 0").select("v", "w", F.lit(1).cast("long").alias("docs"))
@@ -267,11 +282,11 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (numbered, hot, hot_counts, known, several) = Lower(*_unpacked(lower.value)), _unpacked(lookups.value)
         for batch in slices(batches, 1024):
-            doc_ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
+            doc_rows = batch.column("row").to_pylist()
             ids, found = _pairs(batch.column("text").to_pylist(), numbered)
             far, heard = _cold(ids), _marked(known, _bits(ids, np.zeros_like(ids)))
             base, size, rest_doc, rest = [], [], [], []
-            for doc_id, (place, pair, n), own in zip(doc_ids, found, batch.column("own").to_pylist(), strict=True):
+            for doc_row, (place, pair, n), own in zip(doc_rows, found, batch.column("own").to_pylist(), strict=True):
                 ll = model.base(ids[place])
                 v, w = ids[pair // len(ids)], ids[pair % len(ids)]
                 near = ~(_cold(v) | _cold(w))
@@ -284,27 +299,28 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
                     v, w, n = v[~here], w[~here], n[~here]
                 maybe = _marked(several if own else known, _bits(v, w))
                 rest.append((v[maybe], w[maybe], -n[maybe] if own else n[maybe], np.zeros(int(maybe.sum()), np.int64)))
-                rest_doc += [doc_id] * len(rest[-1][0])
+                rest_doc.append(np.full(len(rest[-1][0]), doc_row))
                 if len(lone := place[far[place] & heard[place]]):
                     lone, n = np.unique(lone, return_counts=True)
                     rest.append((ids[lone], np.zeros_like(lone), n, n - (lone == place[-1])))
-                    rest_doc += [doc_id] * len(lone)
+                    rest_doc.append(np.full(len(lone), doc_row))
                 base.append(ll)
                 size.append(len(place))
             # the sums travel with these, under keys that spread them over the tasks
-            spread = -1 - np.random.default_rng(len(doc_ids)).integers(0, 1 << 40, len(doc_ids))
-            pad = len(rest_doc)
+            spread = -1 - np.random.default_rng(len(doc_rows)).integers(0, 1 << 40, len(doc_rows))
+            pad = sum(map(len, rest_doc))
             columns = [np.concatenate(x) for x in zip((spread, np.full(len(spread), -1), base, np.array(size, np.int64)), *rest, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc_ids + rest_doc, pa.int64()),
-                    pa.array(langs + [None] * pad, pa.string()),
+                    pa.array(np.concatenate([doc_rows, *rest_doc]).astype(np.int64)),
+                    pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(pad, pa.int64())]),
+                    pa.concat_arrays([batch.column("lang").cast(pa.string()), pa.nulls(pad, pa.string())]),
                     pa.array(columns[0].astype(np.int64)),
                     pa.array(columns[1].astype(np.int64)),
                     pa.array(columns[2].astype(np.float64)),
                     pa.array(columns[3].astype(np.int64)),
                 ],
-                ["doc_id", "lang", "v", "w", "x", "n_words"],
+                ["row", "doc_id", "lang", "v", "w", "x", "n_words"],
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,15 +334,15 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
             near_v, near_w = pair & ~_cold(v), pair & ~_cold(w)
             of_v, of_w = np.where(near_v, model.held[np.where(near_v, v, 0)], held), np.where(near_w, model.p[np.where(near_w, w, 0)], p)
             ll = np.where(pair, n * model.gain(np.maximum(seen, 0), of_v, of_w), np.where(whole, x, x * held + m * p))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(np.where(whole, m, 0)), pa.array(ll)], ["doc_id", "lang", "n_words", "ll"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "lang")), pa.array(np.where(whole, m, 0)), pa.array(ll)], ["row", "doc_id", "lang", "n_words", "ll"])
 
     # n_words: of a row of sums, the document's; of a word's, how often another one follows
-    rows = marked.mapInArrow(read, "doc_id long, lang string, v long, w long, x double, n_words long")
+    rows = marked.mapInArrow(read, "row long, doc_id long, lang string, v long, w long, x double, n_words long")
     met = rows.join(bigrams.select("v", "w", "count").hint("merge"), ["v", "w"], "left").join(cold.hint("merge"), ["v", "w"], "left")
-    met = met.mapInArrow(add, "doc_id long, lang string, n_words long, ll double")
-    sums = met.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("ll").alias("ll"))
+    met = met.mapInArrow(add, "row long, doc_id long, lang string, n_words long, ll double")
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("ll").alias("ll"))
     sums = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("ll") / F.col("n_words"))).otherwise(F.lit(1.0)))
-    sums = save(sums.drop("ll"), "perplexity")
+    sums = save(sums.drop("ll", "row"), "perplexity")
     limits = save(sums.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(params.quantile), F.lit(10_000)).alias("limit")), "limits")
     return sums.join(limits, "lang").select("doc_id", "lang", "n_words", "perplexity", (F.col("perplexity") <= F.col("limit")).alias("keep"))
 
