@@ -4,8 +4,12 @@ A bounded sample's nearest-neighbour graph is cut into balanced parts by recursi
 bisection with swaps; a small network learns where a vector's neighbours lie, as shares of the parts. It
 gives every row of the table to its most probable part and routes each query to the most probable
 ones until their shares reach `mass`: few in clustered data, most of them where neighbours lie
-scattered. There all rows are compared in double precision. Parts are dealt in blocks of bounded size for rows and
+scattered. There all rows are compared in double precision. The number of parts follows that of rows,
+as far as the sample can tell parts apart; parts are dealt in blocks of bounded size for rows and
 queries, so no group grows with the table.
+
+The most frequent vector length is indexed so; vectors of any other length can only be compared with
+their like and form one part for each length.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promolens.llm.common import save, ship_by_value, table
 
@@ -27,7 +32,8 @@ ship_by_value(__name__)
 @dataclass
 class Params:
     sample_rows: int = 4096  # bound on the vectors that the graph and the network are made from
-    levels: int = 4  # 2 ** levels parts
+    part_rows: int = 500  # rows of a part that the number of parts, a power of two, aims at
+    least_sampled: int = 16  # sampled vectors of a part, which bounds the number of parts
     graph_k: int = 10
     mass: float = 0.95  # share of a query's neighbours that its parts are expected to hold
     block_rows: int = 20_000
@@ -122,9 +128,10 @@ def train(x: np.ndarray, target: np.ndarray, params: Params) -> list[np.ndarray]
         back = (off @ net[2].T) * (h > 0)
         for i, g in enumerate((scaled.T @ back, back.sum(axis=0), h.T @ off, off.sum(axis=0))):
             first, second = moments[i]
-            first += 0.1 * (g + params.decay * net[i] - first)
+            first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
-            net[i] = net[i] - 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+            # the decay stands beside the scaled step: dividing it by a vanishing gradient would blow weights up
+            net[i] = net[i] * (1 - 0.01 * params.decay) - 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     return net
 
 
@@ -141,89 +148,111 @@ def _probable(x: np.ndarray, net: list[np.ndarray], mass: float) -> list[np.ndar
     return [o[:n] for o, n in zip(order, count, strict=True)]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision times powers of two, so that squares of no finite vector overflow or vanish; cosines stay the same to the last bit."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return _scaled(flat.reshape(len(column), -1))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part: an id, and a vector of the most frequent length without
-    nulls or non-finite components and not all zero. Of rows that repeat an id the smallest vector stays."""
-    v = F.col("embedding").cast("array<double>")
+    """(row, vec_id, v) of the rows that take part: an id, and a vector without nulls or non-finite
+    components that is not all zero. Written once, so that the row numbers hold."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    v = F.col("embedding").cast("array<float>" if single else "array<double>")
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", v.alias("v"))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.filter(~F.exists("v", bad) & F.exists("v", lambda c: c != 0))
-    rows = save(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == size["n"]) if size else rows
+    return save(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, params: Params = Params()) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`,
-    ties to the smaller vec_id. Tables of fewer rows give fewer neighbours; empty ones none."""
-    spark, rows = vectors.sparkSession, usable(vectors)
-    sample = rows.orderBy(F.xxhash64(F.lit(params.seed), "vec_id"), "vec_id").limit(params.sample_rows).select("v").toArrow()
-    if sample.num_rows < 2:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+def fit(rows: DataFrame, params: Params) -> tuple[int, list[np.ndarray]]:
+    """The length of vectors that are indexed, and the network that tells their parts."""
+    sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    rows = rows.filter(F.size("v") == sizes["size"])
+    sample = rows.orderBy(F.xxhash64(F.lit(params.seed), "vec_id", "v"), "vec_id").limit(params.sample_rows).select("v").toArrow()
     x = _unit(_matrix(sample.column("v").combine_chunks()))
-    levels = min(params.levels, max(int(np.log2(len(x) / 8)), 0))
-    net = train(x, shares(x, balanced_parts(x, levels, params.graph_k), params.graph_k), params)
+    levels = max(int(np.log2(min(sizes["count"] / params.part_rows * 2, len(x) / params.least_sampled))), 0)
+    if not levels or len(x) < 3:
+        return sizes["size"], train(x, np.ones((len(x), 1)), params)
+    return sizes["size"], train(x, shares(x, balanced_parts(x, levels, params.graph_k), params.graph_k), params)
+
 
-    def route(mass: float):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    parts = _probable(_matrix(batch.column("v")), net, mass)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
+def routed(rows: DataFrame, size: int, net: list[np.ndarray], mass: float) -> DataFrame:
+    """rows, each with the array of its most probable parts; those of another length get part -length."""
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                parts = _probable(_matrix(batch.column("v")), net, mass)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], ["row", "vec_id", "v", "parts"])
 
-    fields = "vec_id long, v array<double>, parts array<int>"
-    index = save(rows.mapInArrow(route(0.0), fields).select("vec_id", "v", F.col("parts")[0].alias("part")), "index")
-    asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(route(params.mass), fields)
-    queries = save(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part")), "routed")
+    schema = T.StructType([*rows.schema.fields, T.StructField("parts", T.ArrayType(T.IntegerType()))])
+    own = rows.filter(F.size("v") == size).mapInArrow(run, schema)
+    return own.union(rows.filter(F.size("v") != size).withColumn("parts", F.array(-F.size("v"))))
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, params: Params = Params()) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
+
+    Ties go to the smaller vec_id. Rows that repeat a vec_id are rows of their own, as queries and as
+    candidates, so a query may find another row of its id. Rows without an id or with a vector that is
+    null, all zero or not finite take no part; vectors are compared with those of their length. Fewer
+    candidates give fewer neighbours, empty tables none. Other columns are left out.
+    """
+    spark, rows = vectors.sparkSession, usable(vectors)
+    if rows.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size, net = fit(rows, params)
+    index = save(routed(rows, size, net, 0.0).withColumn("part", F.col("parts")[0]).drop("parts"), "index")
+    asked = routed(rows.filter(F.col("vec_id") % every == 0), size, net, params.mass)
+    queries = save(asked.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part")), "routed")
 
-    # 2 ** levels counts of either table set the blocks
+    # counts of the parts of either table, which `least_sampled` and the lengths bound, set the blocks
     n_rows = {r["part"]: -(-r["count"] // params.block_rows) for r in index.groupBy("part").count().collect()}
     n_asked = {r["part"]: -(-r["count"] // params.block_queries) for r in queries.groupBy("part").count().collect()}
     blocks = spark.createDataFrame([(p, n_rows[p], n_asked[p]) for p in n_rows if p in n_asked], "part int, rows int, asked int")
-    deal = lambda df, key, own, other: (
+    deal = lambda df, own, other: (
         df.join(F.broadcast(blocks), "part")
-        .withColumn(own, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        .withColumn(own, F.pmod(F.xxhash64("row"), F.col(own)).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     )
-    left = deal(queries, "query_id", "asked", "rows").groupBy("part", "rows", "asked")
-    right = deal(index, "vec_id", "rows", "asked").groupBy("part", "rows", "asked")
+    left = deal(queries, "asked", "rows").groupBy("part", "rows", "asked")
+    right = deal(index, "rows", "asked").groupBy("part", "rows", "asked")
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return _best(q["query_id"].to_numpy(), q["q"], r["vec_id"].to_numpy(), r["v"], k)
+        return _best(q, r, k)
 
-    found = left.cogroup(right).applyInPandas(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.cogroup(right).applyInPandas(compare, "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _best(ids: np.ndarray, queries: pd.Series, own: np.ndarray, rows: pd.Series, k: int) -> pd.DataFrame:
+def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of each query. A product of matrices sorts out all that can't be among them;
     the rest are scored pair by pair, so that equal vectors tie exactly."""
     out: list[pd.DataFrame] = []
-    if len(ids) and len(own):
-        order = np.argsort(own, kind="stable")
-        own, x = own[order], np.stack(rows.to_numpy())[order]
-        q = np.stack(queries.to_numpy())
+    if len(queries) and len(rows):
+        rows = rows.sort_values("vec_id", kind="stable")
+        own, own_row, x = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), _scaled(np.stack(rows["v"].to_numpy()))
+        ids, id_rows, q = queries["query_id"].to_numpy(), queries["row"].to_numpy(), _scaled(np.stack(queries["q"].to_numpy()))
         x_norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         for at in range(0, len(ids), 64):
             part = slice(at, at + 64)
             s = (q[part] / q_norm[part, None]) @ (x / x_norm[:, None]).T
-            s[ids[part, None] == own[None, :]] = -np.inf
+            s[id_rows[part, None] == own_row[None, :]] = -np.inf
             least = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
             for i, j in enumerate(range(at, min(at + 64, len(ids)))):
                 near = np.flatnonzero((s[i] >= least[i] - 1e-9) & (s[i] > -np.inf))
                 score = (x[near] * q[j]).sum(axis=1) / (x_norm[near] * q_norm[j])
                 top = np.lexsort((own[near], -score))[:k]
-                out.append(pd.DataFrame({"query_id": ids[j], "vec_id": own[near[top]], "score": score[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"query_row": id_rows[j], "query_id": ids[j], "vec_id": own[near[top]], "score": score[top]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
 
 
 def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Training takes a bounded sample of labelled rows, as many of either class, chosen by a hash of the
-id, and reads their whole texts. A first pass counts in how many toxic and other documents each n-gram (of lower-cased UTF-8
+Training takes a bounded sample of labelled documents, as many of either class, chosen by a hash of
+the id, and reads their whole texts. A first pass counts in how many toxic and other documents each n-gram (of lower-cased UTF-8
 bytes) occurs; the n-grams with the strongest evidence become features, each scaled by its
 smoothed log-count ratio; a logistic regression over the scaled presence features sets the
 weights (Wang and Manning, 2012). Scoring walks every whole text: a table over hash buckets drops
@@ -90,41 +90,58 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def sample(labels: DataFrame, rows: int, seed: int = 5) -> tuple[DataFrame, list[int]]:
-    """(doc_id, toxic) and the number of labelled ids of either class: at most `rows` ids of either class, in order of a hash; ids labelled both ways are left out."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int = 5) -> tuple[DataFrame, list[int]]:
+    """(doc_id, toxic) of at most `rows` documents of either class, in order of a hash of the id, and the
+    number of labelled documents of either class. Labels of ids that docs lacks, and ids labelled both
+    ways, are left out."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
     known = known.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     known = save(known.withColumn("at", F.xxhash64(F.lit(seed), "doc_id")), "labels")
     parts = [known.filter(F.col("toxic") == c).orderBy("at", "doc_id").limit(rows).drop("at") for c in (0, 1)]
     return save(parts[0].union(parts[1]), "sample"), [known.filter(F.col("toxic") == c).count() for c in (0, 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
-    """Train on labelled documents. One class alone, or no labels, gives a constant score."""
-    chosen, totals = sample(labels, params.sample_rows)
-    prior = float(np.log((totals[1] + 1) / (totals[0] + 1)))
+    """Train on the labelled documents found in docs.
+
+    Where either class has none there is nothing to learn: all documents get one score below a half,
+    so that no filter drops them. Null texts count as empty. Of rows that repeat an id the smallest
+    text is trained on. Rows without id, or with a label other than 0 and 1, aren't.
+    """
+    chosen, totals = sample(docs, labels, params.sample_rows)
     if not all(totals):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), prior)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -float(np.log(sum(totals) + 2)))
+    sizes = [min(n, params.sample_rows) for n in totals]
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     # at most 2 x sample_rows small rows: a size that holds for any input
-    texts = texts.join(F.broadcast(chosen), "doc_id")
-    texts = save(texts.select("doc_id", "toxic", "text"), "train")
-    texts = texts.repartition(params.tasks, "doc_id").dropDuplicates(["doc_id"])
+    texts = texts.join(F.broadcast(chosen), "doc_id").repartition(params.tasks, "doc_id")
+    texts = save(texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")), "train")
+    texts = texts.repartition(params.tasks, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            toxic = batch.column("toxic").to_pylist()
-            grams = [_distinct(_lower(t)) for t in batch.column("text").to_pylist()]
+        held: tuple[list, list] = ([], [])
+
+        def counted() -> pa.RecordBatch:
             out = []
             for c in (0, 1):
-                own = [g for g, y in zip(grams, toxic, strict=True) if y == c]
-                keys, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
+                keys, n = np.unique(np.concatenate([*held[c], np.zeros(0, np.uint64)]), return_counts=True)
                 out.append((keys.view(np.int64), n if c == 0 else np.zeros_like(n), n if c == 1 else np.zeros_like(n)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "other", "toxic"])
+                held[c].clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "other", "toxic"])
+
+        size = 0
+        for batch in slices(batches, 64):
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                held[y].append(_distinct(_lower(text)))
+                size += len(held[y][-1])
+                if size > 4 * CHUNK:
+                    yield counted()
+                    size = 0
+        yield counted()
 
     counts = texts.mapInArrow(count, "key long, other long, toxic long").groupBy("key")
     counts = counts.agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).filter(F.col("other") + F.col("toxic") >= params.min_docs)
-    sizes = [chosen.filter(F.col("toxic") == c).count() for c in (0, 1)]
     pooled = (F.col("toxic") + F.col("other")) / float(sum(sizes))
     apart = F.abs(F.col("toxic") / float(sizes[1]) - F.col("other") / float(sizes[0]))
     z = apart / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * float(1 / sizes[0] + 1 / sizes[1]))
@@ -152,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     columns = flat.values.to_numpy(zero_copy_only=False)[flat.offsets[0].as_py() :]
     owner = np.repeat(np.arange(rows.num_rows), np.diff(flat.offsets.to_numpy()))
     weights, bias = _regress(owner, columns, rows.column("toxic").to_numpy().astype(float), ratios, params)
-    shown = float(np.log(max(sizes[1], 1) / max(sizes[0], 1)))
-    return Model(keys, weights * ratios, bias + prior - shown)
+    # the sample shows the classes as often as `sizes` has it, the documents as `totals`
+    return Model(keys, weights * ratios, bias + float(np.log(totals[1] / totals[0]) - np.log(sizes[1] / sizes[0])))
 
 
 def _regress(owner: np.ndarray, column: np.ndarray, y: np.ndarray, ratios: np.ndarray, params: Params) -> tuple[np.ndarray, float]:
@@ -171,16 +188,20 @@ def _regress(owner: np.ndarray, column: np.ndarray, y: np.ndarray, ratios: np.nd
     return w, float(b)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` in 0..1; null texts count as empty; an input column `score` is replaced."""
-    schema = with_fields(docs.schema, T.StructField("score", T.DoubleType()))
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the column `name` in 0..1, which replaces one that docs has of this name.
+
+    Null texts count as empty. Rows are scored by their texts alone, so null and repeated ids and
+    repeated rows keep their own score; an empty table gives no rows.
+    """
+    schema = with_fields(docs.schema, T.StructField(name, T.DoubleType()))
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in slices(batches):
             made = pa.array([model.score(_lower(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([made if f.name == "score" else batch.column(f.name) for f in schema], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([made if f.name == name else batch.column(f.name) for f in schema], [f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 

@@ -256,11 +256,64 @@ def test_toxicity_distinct_hashes_of_very_long_texts():
     assert np.array_equal(toxicity._distinct(text), want)
 
 
+def toxicity_by_brute_force(texts, labels, params):
+    """Scores by id, from dictionaries of the n-grams' bytes and dense matrices."""
+    grams = {}
+    for i, t in texts.items():
+        b = b" ".join([b"", *(t or "").encode().lower().split(), b""])
+        grams[i] = {b[k : k + n] for n in (3, 4, 5, 6) for k in range(len(b) - n + 1)}
+    ids = sorted(labels)
+    y = np.array([labels[i] for i in ids], float)
+    n1, n0 = y.sum(), len(y) - y.sum()
+    c1, c0 = Counter(g for i in ids if labels[i] for g in grams[i]), Counter(g for i in ids if not labels[i] for g in grams[i])
+    z = {}
+    for g in c1.keys() | c0.keys():
+        pooled = (c1[g] + c0[g]) / (n1 + n0)
+        z[g] = abs(c1[g] / n1 - c0[g] / n0) / math.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / n0 + 1 / n1))
+    features = sorted(g for g in z if z[g] >= params.min_z and c1[g] + c0[g] >= params.min_docs)
+    ratio = np.array([math.log((c1[g] + 1) / (n1 + 2)) - math.log((c0[g] + 1) / (n0 + 2)) for g in features])
+    x = np.array([[g in grams[i] for g in features] for i in ids]) * ratio
+    w, b, m, v = np.zeros(len(features)), 0.0, np.zeros(len(features) + 1), np.zeros(len(features) + 1)
+    for step in range(1, params.steps + 1):
+        err = 1 / (1 + np.exp(-(x @ w + b))) - y
+        g = np.append(x.T @ err / len(y) + params.l2 * w / len(y), err.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return {i: 1 / (1 + math.exp(-(b + sum(r * k for f, r, k in zip(features, ratio, w, strict=True) if f in grams[i])))) for i in texts}
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6)))
+    texts, labels = {}, {}
+    for i in range(240):
+        labels[i] = int(i % 3 == 0)
+        texts[i] = " ".join([word() for _ in range(30)] + (["Vile", "Ärger"] if labels[i] and i % 2 else ["nice"] * (i % 2)))
+    texts |= {1000: None, 1001: "", 1002: "vile \t words"}
+    lab = spark.createDataFrame([*labels.items(), (5000, 1), (5001, 0)], "doc_id long, toxic int")
+    params = toxicity.Params(min_z=3.0)
+    want = toxicity_by_brute_force(texts, labels, params)
+    df = docs(spark, list(texts.items()))
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, lab, params)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+    assert len({round(v, 6) for v in want.values()}) > 20
+
+
 def test_toxicity_without_labels(spark):
-    df = docs(spark, [(1, "a b")])
-    lab = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
-    assert toxicity.score(df, toxicity.fit(df, lab)).first().score == 0.5
-    assert toxicity.score(df.limit(0), toxicity.fit(df, lab)).count() == 0
+    df = docs(spark, [(1, "a b"), (2, None), (None, "c")])
+    for labels in ([(1, None)], [(1, 0)], [(1, 1)], [(7, 1), (8, 0)], [(1, 0), (7, 1)], [(i, i % 2) for i in range(100, 120)], [(1, 0), (1, 1)]):
+        lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+        got = {r.score for r in toxicity.score(df, toxicity.fit(df, lab)).collect()}
+        assert len(got) == 1 and 0 < got.pop() < 0.5
+    assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), lab)).count() == 0
+
+
+def test_toxicity_of_repeated_ids_does_not_depend_on_the_order(spark):
+    rows = [(i, f"fine words {i}") for i in range(40)] + [(i, f"vile words {i}") for i in range(40, 80)] + [(i, f"other {i} words") for i in range(30, 50)]
+    lab = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, toxic int")
+    models = [toxicity.fit(docs(spark, rows).repartition(n), lab) for n in (1, 7)]
+    assert np.array_equal(models[0].keys, models[1].keys) and np.allclose(models[0].weights, models[1].weights)
 
 
 # op6
@@ -387,32 +440,77 @@ def test_mixing_large_rates_and_odd_rows(spark):
 
 
 # op9
+def nearest_by_brute_force(rows, every=50, k=5):
+    """(query row, [(vec_id, cosine)]) over all rows of the query's length, in double precision."""
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    out = []
+    for a, (i, v) in enumerate(ok):
+        if i % every == 0:
+            v = v / np.abs(v).max()
+            other = [(-float((w / np.abs(w).max() * v).sum() / (np.sqrt((v * v).sum()) * np.sqrt(((w / np.abs(w).max()) ** 2).sum()))), j) for b, (j, w) in enumerate(ok) if a != b and len(w) == len(v)]
+            out.append((i, [(j, -c) for c, j in sorted(other)[:k]]))
+    return out
+
+
+def recall(got, want):
+    found = Counter((r.query_id, r.vec_id) for r in got)
+    asked = Counter((i, j) for i, near in want for j, _ in near)
+    return (found & asked).total() / asked.total()
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[100:200] = x[100]
-    rows = [(int(i), [float(v) for v in x[i]]) for i in range(600)] + [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] + [1.0] * 15), (1150, [1.0]), (None, [1.0] * 16), (0, [float(v) for v in x[0]])]
+    rows = [(int(i), [float(v) for v in x[i]]) for i in range(600)] + [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] + [1.0] * 15), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
-    got = neighbours.nearest(df).collect()
-    wide = x.astype(float)
-    norm = np.sqrt((wide * wide).sum(1))
-    hit = 0
-    for q in range(0, 600, 50):
-        s = (wide * wide[q]).sum(1) / (norm * norm[q])
-        s[q] = -9
-        want = np.lexsort((np.arange(600), -s))[:5].tolist()
+    got, want = neighbours.nearest(df).collect(), nearest_by_brute_force(rows)
+    assert recall(got, want) >= 0.9
+    for q, near in want:
         mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        hit += len({v for _, v, _ in mine} & set(want))
+        assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5]
+        cosine = dict(nearest_by_brute_force([*rows[:600]], k=600)[q // 50][1])
+        assert all(math.isclose(c, cosine[v], abs_tol=1e-12) for _, v, c in mine)
         if q in (100, 150):
-            assert [v for _, v, _ in mine] == want
-        assert all(math.isclose(c, s[v], abs_tol=1e-12) for _, v, c in mine)
-    assert hit / 60 >= 0.9
+            assert [v for _, v, _ in mine] == [v for v, _ in near]
     assert {r.query_id for r in got} == set(range(0, 600, 50))
     assert neighbours.nearest(df.limit(0)).count() == 0
     few = neighbours.nearest(df.filter("vec_id in (50, 51, 52)")).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(50, 1), (50, 2)]
 
 
+def test_neighbours_keep_repeated_ids_all_lengths_and_huge_vectors(spark):
+    rng = np.random.default_rng(10)
+    rows = [(int(i), rng.normal(size=8).tolist()) for i in range(60)]
+    rows += [(0, rng.normal(size=8).tolist()), (0, rows[0][1]), (7, rng.normal(size=8).tolist())]  # repeated ids
+    rows += [(100, [1.0, 2.0]), (101, [2.0, 1.0]), (102, [-1.0, 0.0])]  # another length
+    rows += [(150, (rng.normal(size=8) * 1e200).tolist()), (151, (rng.normal(size=8) * 1e-200).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = neighbours.nearest(df).collect(), nearest_by_brute_force(rows)
+    assert recall(got, want) == 1.0 and len(got) == sum(len(near) for _, near in want)
+    assert all(np.isfinite(r.score) and abs(r.score) <= 1 + 1e-12 for r in got)
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 100] == [101, 102]
+
+
+def test_neighbours_scan_few_parts_of_clustered_vectors(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 24)) * 3
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 24))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    params = neighbours.Params(part_rows=200)
+    assert recall(neighbours.nearest(df, params=params).collect(), nearest_by_brute_force([(i, v) for i, v in enumerate(x)])) >= 0.9
+    rows = neighbours.usable(df)
+    size, net = neighbours.fit(rows, params)
+    parts = neighbours.routed(rows, size, net, params.mass).select(F.size("parts").alias("n")).agg(F.avg("n")).first()[0]
+    assert net[3].shape[0] == 16 and parts / 16 < 0.3
+
+
+def test_network_stays_finite():
+    x = neighbours._unit(np.random.default_rng(1).normal(size=(3, 8)))
+    for target in (np.ones((3, 1)), np.eye(3)[:, :2] + 1e-3):
+        assert all(np.isfinite(w).all() for w in neighbours.train(x, target / target.sum(axis=1, keepdims=True), neighbours.Params()))
+
+
 def test_balanced_parts():
     x = neighbours._unit(np.random.default_rng(1).normal(size=(500, 8)))
     sizes = np.bincount(neighbours.balanced_parts(x, 3, 10))
