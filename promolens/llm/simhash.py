@@ -11,8 +11,11 @@ full Hamming check.
 
 Equal fingerprints meet first and count as one, so copies cost nothing here. A key's
 fingerprints are never expanded into all pairs: each task walks sorted keys and writes only the
-links of a spanning forest of each key. Components come from those links by hooking to the
-smallest neighbour and shortcutting, each round written to the shared folder.
+links of a spanning forest of each key, found by breadth-first search, which compares each
+fingerprint with those only that aren't reached yet; many near copies under one key are soon all
+reached. Components come from those links by hooking to the smallest neighbour and shortcutting,
+each round written to the shared folder. Whatever a large component's nodes are joined with is a
+written table, so that Spark can split them over tasks.
 """
 
 from __future__ import annotations
@@ -32,7 +35,6 @@ ship_by_value(__name__)
 
 SHINGLE, LIMIT, SEGMENTS = 4, 4, 5
 CUTS = [64 * i // SEGMENTS for i in range(SEGMENTS + 1)]
-BLOCK = 1 << 16  # fingerprints compared with one at once
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -133,15 +135,18 @@ def _forest(fps: np.ndarray, n_exact: int, masks: list[tuple[np.uint64, int]]) -
 
     Pairs of variants lie two bits apart in the second segment and are found elsewhere.
     """
-    labels, links = np.arange(len(fps)), []
-    for r in range(n_exact):
-        for at in range(r + 1, len(fps), BLOCK):
-            near = at + _near(fps[at : at + BLOCK] ^ fps[r], masks)
-            near = near[labels[near] != labels[r]]
-            while len(near):
-                links.append((fps[r], fps[near[0]]))
-                labels[labels == labels[near[0]]] = labels[r]
-                near = near[labels[near] != labels[r]]
+    left, links, queue = np.arange(len(fps)), [], []
+    while queue or (len(left) and left[0] < n_exact):
+        if queue:
+            r = queue.pop()
+        else:
+            r, left = left[0], left[1:]
+        among = left if r < n_exact else left[: np.searchsorted(left, n_exact)]
+        near = among[_near(fps[among] ^ fps[r], masks)]
+        if len(near):
+            links += zip(np.repeat(fps[r], len(near)), fps[near], strict=True)
+            queue += near.tolist()
+            left = left[~np.isin(left, near, assume_unique=True)]
     return links
 
 
@@ -213,39 +218,62 @@ def components(edges: DataFrame) -> DataFrame:
             )
         last = sign
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = save(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "large")
+        least = save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m")))
         edges = save(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 
 
+def _components_of(nodes: DataFrame, limit: int) -> DataFrame:
+    """(fp, first) of nodes (fp, least): the smallest `least` among the fingerprints that links reach."""
+    roots = components(links(nodes, limit))
+    linked = save(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "linked")
+    firsts = save(linked.groupBy("root").agg(F.min("least").alias("first")), "firsts")
+    return linked.join(firsts, "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint (long), component_id: the smallest doc_id that links reach.
 
     Null texts count as empty, and empty texts share fingerprint 0. Rows with a null id get the
-    smallest id of their component, null if there is none. Repeated rows each get a row. An empty
-    table gives no rows.
+    smallest id of their component, null if there is none. Repeated rows each get a row. Other columns
+    are left out. An empty table gives no rows.
     """
     prints = save(with_fingerprint(docs, shingle, "fp", keep=["doc_id"]), "prints")
     nodes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, limit))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    firsts = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(firsts, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    named = save(_components_of(nodes, limit), "named")
+    return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def _keyed_rows(docs: DataFrame) -> DataFrame:
+    """docs with (__id, __text): equal for rows of equal id (null: the least long) and equal text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__text": F.xxhash64(F.col("doc_id").isNull(), text)})
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """docs without all but one document of each component, that with the smallest doc_id. Rows that
-    repeat an id count as copies of it; rows without an id stay."""
-    found = near_duplicates(docs, shingle, limit)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*columns).union(docs.filter(F.col("doc_id").isNull()))
+    """docs with one row of each component: that of the smallest doc_id, rows without an id last.
+
+    Rows that repeat an id are told apart by their texts; of rows equal in both the one stays whose
+    other columns hash lowest. Null texts count as empty. Columns keep their names, order and values;
+    an empty table gives no rows.
+    """
+    keyed = _keyed_rows(docs)
+    prints = save(with_fingerprint(keyed, shingle, "fp", keep=["doc_id", "__id", "__text"]), "prints")
+    rows = prints.groupBy("fp", F.col("doc_id").isNull().alias("none"), "__id", "__text").agg(F.count("*").alias("rows"))
+    nodes = save(rows.groupBy("fp").agg(F.min(F.struct("none", "__id", "__text", "rows")).alias("least")), "nodes")
+    kept = save(_components_of(nodes, limit).select("first.*").distinct(), "kept")
+    single = keyed.join(kept.filter("rows = 1"), ["__id", "__text"], "left_semi").select(*docs.columns)
+    several = kept.filter("rows > 1")
+    if several.isEmpty():
+        return single
+    equal = keyed.join(several, ["__id", "__text"], "left_semi")
+    order = F.xxhash64(*[F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = equal.groupBy("__id", "__text").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return single.union(one.select("row.*"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,10 @@ def test_near_duplicate_odd_rows(spark):
     assert got.count() == len(ODD)
     kept = simhash.drop_near_duplicates(docs(spark, ODD)).select("doc_id").collect()
     assert sorted((r.doc_id for r in kept), key=repr) == sorted([1, 3, 4, 6, None], key=repr)
+    rows = [(1, "a b c d e"), (1, "quite another text"), (1, "a b c d e"), (None, "a b c d e"), (None, "lone text here"), (None, "lone text here"), (2, "quite another text")]
+    kept = simhash.drop_near_duplicates(docs(spark, rows, fp=0, row=1, least=2))
+    assert kept.columns == docs(spark, [], fp=0, row=1, least=2).columns
+    assert sorted(((r.doc_id, r.text, r.fp, r.row, r.least) for r in kept.collect()), key=repr) == sorted([(1, "a b c d e", 0, 1, 2), (1, "quite another text", 0, 1, 2), (None, "lone text here", 0, 1, 2)], key=repr)
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs(spark, ODD).limit(0)).count() == 0
 
 
