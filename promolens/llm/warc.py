@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import fresh_path, save, ship_by_value, table, text_or_empty
+from promolens.llm.common import fresh_path, save, ship_by_value, slices, table, text_or_empty
 
 ship_by_value(__name__)
 
@@ -34,6 +34,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20  # of the records that train an archive's dictionary
 ARCHIVE_BYTES = 256 << 20  # of records in an archive
 LEVEL = 3
+CHUNK = 1 << 14  # bytes read at once; what a record leaves of them is copied, so they are few
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -141,7 +142,7 @@ def read_archive(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]
     rest = b""
     one = None
     parts: list[bytes] = []
-    while data := rest or bytes(stream.read(1 << 20)):
+    while data := rest or bytes(stream.read(CHUNK)):
         one = one or unpack.decompressobj()
         parts.append(one.decompress(data))
         rest = b""
@@ -162,14 +163,15 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 def with_response(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages with __refers_to: null for responses, else the page_id of the response with the same payload.
 
-    Only ids and digests are grouped. The payloads meet them by digest; a payload that many pages
-    share makes a skewed join, which Spark splits.
+    Only ids and digests are grouped, and only digests that several rows share are joined. While these
+    are few Spark broadcasts them and no payload is shuffled; else the payloads meet them by digest, and
+    a payload that many pages share makes a skewed join, which Spark splits.
     """
     html = text_or_empty("html").cast("binary")
     keyed = pages.withColumn("__digest", F.sha1(html))
-    firsts = keyed.filter(F.octet_length(html) >= min_bytes).groupBy("__digest").agg(F.max("page_id").alias("__first"))
-    firsts = save(firsts, "payloads")
-    joined = keyed.join(firsts.hint("merge"), "__digest", "left").drop("__digest")
+    firsts = keyed.filter(F.octet_length(html) >= min_bytes).groupBy("__digest").agg(F.max("page_id").alias("__first"), F.count("*").alias("__n"))
+    firsts = save(firsts.filter("__n > 1").drop("__n"), "payloads")
+    joined = keyed.join(firsts, "__digest", "left").drop("__digest")
     return joined.withColumn(
         "__refers_to", F.when(F.col("page_id") != F.col("__first"), F.col("__first"))
     ).drop("__first")
@@ -179,12 +181,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     """Write the archives; a table (path, records) of them, fixed by Spark's commit.
 
     Null html is an empty payload; a null url is empty. Rows without page_id are responses, and so
-    are rows that repeat the id of their payload's response. An empty table writes no archive.
+    are rows that repeat the id of their payload's response; each repeated row is a record. Columns
+    other than page_id, url and html are left out. An empty table writes no archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Writer(folder)
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 writer.add(record(page_id, url, html, refers_to))
         writer.close()
@@ -195,7 +198,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the archives, from their fields and blocks; responses are verified."""
+    """One row per record of the archives, from their fields and blocks; responses are verified. As many
+    tasks as archives; no archives give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(folder)
@@ -203,7 +207,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows: list[tuple] = []
-                with fs.open_input_stream(path, compression=None) as stream:
+                with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                     for fields, block in read_archive(stream):
                         payload = block.partition(b"\r\n\r\n")[2]
                         digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
@@ -214,7 +218,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = archives.repartition(F.xxhash64("path"))
+    spread = archives.repartitionByRange(max(archives.count(), 1), "path")
     return spread.mapInArrow(run, SCHEMA)
 
 
