@@ -62,28 +62,49 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def replicate(
-    docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 17, shuffle: bool = True
+    docs: DataFrame,
+    weights: dict[str, float] | None = None,
+    temperature: float = 0.5,
+    seed: int = 17,
+    shuffle: bool = True,
+    names: tuple[str, str] = ("n_copies", "copy"),
 ) -> DataFrame:
-    """docs, each row repeated by its count, with n_copies and copy (from 1), in a global random order.
-
-    Rows of one id draw the same count, also where the id is null or repeated; null texts weigh
-    nothing; null sources are one source; columns named n_copies or copy are replaced. The rates
-    table is joined by source: Spark broadcasts it when its written size is below the session's
-    limit and else splits skewed sources.
+    """docs, each row repeated by its count, with the columns `names` of the number of copies and of the
+    copy (from 1), in a global random order.
+
+    A row's draw and its place in the order come from its id. Rows without an id, or with one that
+    several rows have, add their place in the table as it is read, so each draws for itself and no
+    key gathers them; docs should then be a table that is read, not the outcome of a shuffle. Null
+    texts weigh nothing; null sources are one source; columns of `names` are replaced. An empty table
+    gives no rows. The rates table is joined by source: Spark broadcasts it when its written size is
+    below the session's limit and else splits skewed sources.
     """
+    n_copies, copy = names
     rates = source_rates(docs, weights, temperature).select("__source", "pieces", "cdf")
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("pieces")),
         F.lit(0),
-        lambda n, r: n + F.size(F.filter("cdf", lambda c: c < uniform(seed, F.col("doc_id"), r))),
+        lambda n, r: n + F.size(F.filter("cdf", lambda c: c < uniform(seed, F.col("__draw"), r))),
     )
-    df = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    df = df.join(rates, "__source").withColumn("n_copies", count).drop("__source", "pieces", "cdf")
-    df = df.filter(F.col("n_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    df = _with_draw(docs).withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    df = df.join(rates, "__source").withColumn(n_copies, count).drop("__source", "pieces", "cdf")
+    df = df.filter(F.col(n_copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
     if not shuffle:
-        return df
-    key = F.xxhash64(F.lit(seed), "doc_id", "copy")
-    return df.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key").drop("__key")
+        return df.drop("__draw")
+    key = F.xxhash64(F.lit(seed), "__draw", copy)
+    return df.withColumn("__key", key).drop("__draw").repartition("__key").sortWithinPartitions("__key").drop("__key")
+
+
+def _with_draw(docs: DataFrame) -> DataFrame:
+    """docs with __draw, a text that differs from row to row: the id, and where that doesn't tell rows apart their place too."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    shared = save(docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__shared")), "shared")
+    if shared.isEmpty():
+        return docs.withColumn("__draw", name)
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    placed = placed.join(shared, placed["doc_id"] == shared["__id"], "left")
+    own = F.when(F.col("__shared") | F.col("doc_id").isNull(), F.concat_ws("#", name, F.col("__row").cast("string"))).otherwise(name)
+    return placed.withColumn("__draw", own).drop("__row", "__id", "__shared")
 
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ evidence of random tokens flags none. Everything is per row except one histogram
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,35 +39,51 @@ LENGTHS = (32, 64, 128)  # bounds of the length classes
 STEPS = 100  # of the p-value histogram
 
 
+BLOCK = 128  # matches whose spans one fold gathers
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _with_spans(df: DataFrame, name: str, pattern: str, kind: int, least: int = 0) -> DataFrame:
     """df with an array of (start, kind, end, match) of the pattern in __text, in code points: the
     lengths of the pieces between matches and of the matches add up to the positions. With
-    `least`, a match stays if its group 2 has so many characters."""
+    `least`, a match stays if its group 2 has so many characters.
 
-    def build(pieces: Column, text: Column) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else hits
-        each = F.arrays_zip(
-            F.slice(pieces, F.lit(1), F.size(hits)).alias("p"), hits.alias("h"), values.alias("v")
-        )
-        empty = F.from_json(F.lit("[]"), "array<struct<start:bigint,kind:int,end:bigint,match:string>>")
-        zero = F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("out"))
+    A fold copies its array for each element that it adds, so matches are gathered in blocks of a
+    bounded number; a first fold over the blocks finds where each begins.
+    """
+    zero = F.lit(0).cast("long")
+
+    def sized(x: Column) -> Column:
+        keep = F.length(x["v"]) >= least if least else F.lit(True)
+        return F.struct(F.length(x["p"]).cast("long").alias("gap"), F.length(x["h"]).cast("long").alias("size"), keep.alias("keep"), x["h"].alias("match"))
+
+    def blocks(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def begins(bs: Column) -> Column:
+        first = F.struct(zero.alias("pos"), F.array().cast("array<bigint>").alias("at"))
+        long = lambda b: F.aggregate(b, zero, lambda n, x: n + x["gap"] + x["size"])
+        return F.aggregate(bs, first, lambda a, b: F.struct((a["pos"] + long(b)).alias("pos"), F.concat(a["at"], F.array(a["pos"])).alias("at")), lambda a: a["at"])
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["pos"] + F.length(x["p"])
-            end = start + F.length(x["h"])
-            span = F.struct(
-                start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), x["h"].alias("match")
-            )
-            out = F.concat(acc["out"], F.array(span))
-            if least:
-                out = F.when(F.length(x["v"]) >= least, out).otherwise(acc["out"])
-            return F.struct(end.cast("long").alias("pos"), out.alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), x["match"].alias("match"))
+        return F.struct((start + x["size"]).alias("pos"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-        return F.when(F.size(pieces) > 1, F.aggregate(each, zero, step, lambda a: a["out"])).otherwise(empty)
+    def spans(b: Column, at: Column) -> Column:
+        return F.aggregate(b, F.struct(at.alias("pos"), empty.alias("out")), step, lambda a: a["out"])
 
-    pieces = F.split("__text", pattern, -1)
-    return df.withColumn("__pieces", pieces).withColumn(name, build(F.col("__pieces"), F.col("__text"))).drop("__pieces")
+    hits = F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all("__text", F.lit(pattern), F.lit(2))
+    empty = F.from_json(F.lit("[]"), "array<struct<start:bigint,kind:int,end:bigint,match:string>>")
+    zipped = lambda p: _let(hits, lambda h: F.arrays_zip(F.slice(p, F.lit(1), F.size(h)).alias("p"), h.alias("h"), (values if least else h).alias("v")))
+    found = lambda p: _let(F.transform(zipped(p), sized), lambda xs: _let(blocks(xs), lambda bs: F.flatten(F.zip_with(bs, begins(bs), spans))))
+    return df.withColumn(name, _let(F.split("__text", pattern, -1), lambda p: F.when(F.size(p) > 1, found(p)).otherwise(empty)))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -186,7 +204,8 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """docs with `found`: array of (start, kind, end) by start and kind, kind an index of KINDS.
 
     Null texts count as empty and find nothing; ids are never looked at, so null or repeated ids
-    and repeated rows each keep their own result; a column named `found` is replaced.
+    and repeated rows each keep their own result; a column named `found` is replaced. An empty table
+    gives no rows, and no thresholds, so that none would count as random.
     """
     least = thresholds(docs, fdr)
     df = docs.withColumn("__text", text_or_empty())

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promolens.llm.common import save, table, text_or_empty
 
@@ -17,7 +18,11 @@ SLOT_GROUPS = 1024  # pieces in which a shard's rows are numbered
 
 
 def _walk(key: Column, n_shards: int) -> Column:
-    """The state (b, j) after the jumps below n_shards; b is the shard, j the next jump's aim."""
+    """The state (b, j) after the jumps below n_shards; b is the shard, j the next jump's aim.
+
+    About ln n_shards jumps are expected and most keys end within the first fold; the others go on in
+    a second one that allows for n_shards of them.
+    """
     m, two64 = F.lit(MULTIPLIER).cast("decimal(19,0)"), F.lit(TWO_64).cast("decimal(20,0)")
     start = F.struct(
         F.lit(-1).cast("long").alias("b"),
@@ -31,7 +36,12 @@ def _walk(key: Column, n_shards: int) -> Column:
         aim = F.floor((s["j"] + 1).cast("double") * (F.lit(float(2**31)) / top)).cast("long")
         return F.when(s["j"] >= n_shards, s).otherwise(F.struct(s["j"].alias("b"), aim.alias("j"), k.alias("k")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n_shards)), start, step)
+    few = min(n_shards, 2 * n_shards.bit_length() + 4)
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, step)
+    if few == n_shards:
+        return first
+    more = lambda s: F.aggregate(F.sequence(F.lit(few + 1), F.lit(n_shards)), s, step)
+    return F.transform(F.array(first), lambda s: F.when(s["j"] >= n_shards, s).otherwise(more(s)))[0]
 
 
 def jump_hash(key: Column, n_shards: int) -> Column:
@@ -53,8 +63,14 @@ def jump_hash_grown(key: Column, n_shards: int) -> Column:
 
 
 def with_shard(df: DataFrame, n_shards: int, key: str = "doc_id", shard: str = "shard", grown: str | None = None) -> DataFrame:
-    """df with its shard column(s); a narrow map, no shuffle. Existing columns of these names are replaced."""
-    both = df.withColumn("__jump", jump_hash_grown(F.col(key), n_shards))
+    """df with its shard column(s); a narrow map, no shuffle. Existing columns of these names are replaced.
+
+    Keys that aren't integers are hashed to such first; null keys count as 0. Rows that share a key
+    share a shard, whatever else they hold; an empty table gives no rows.
+    """
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    number = F.col(key) if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key))
+    both = df.withColumn("__jump", jump_hash_grown(number, n_shards))
     both = both.withColumn(shard, F.col("__jump.shard"))
     if grown:
         both = both.withColumn(grown, F.col("__jump.grown"))
