@@ -8,11 +8,13 @@ in some item are walked; a window can't reach beyond such a run.
 
 The items are gathered to the driver in blocks of at most `block_words` words and broadcast, one
 block per pass over the documents. Long items are cut into overlapping pieces, which keeps every
-window, so a block's size has a bound whatever the table holds.
+window, so a block's size has a bound whatever the table holds. With several blocks the documents
+are written once with a row number; each pass reads their texts and writes the rows that it hits.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -179,10 +181,17 @@ def item_blocks(items: DataFrame, window: int, block_words: int = BLOCK_WORDS) -
         yield [tuple(r) for r in pieces.drop("n").collect()]
         return
     kept = save(pieces, "pieces")
-    share = -(-2 * total // block_words)
+    share = -(-16 * total // block_words)
     parts = kept.withColumn("part", F.pmod(F.xxhash64("id", "words"), F.lit(share)))
-    for part in range(share):
-        yield [tuple(r) for r in parts.filter(F.col("part") == part).select("id", "words", "whole").collect()]
+    block, size = [], 0
+    # the words of each part are known before it is gathered, so as many parts as fit make a block
+    sizes = sorted(parts.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    for i, (part, n) in enumerate(sizes):
+        block.append(part)
+        size += n
+        if i + 1 == len(sizes) or size + sizes[i + 1]["n"] > block_words:
+            yield [tuple(r) for r in parts.filter(F.col("part").isin(block)).select("id", "words", "whole").collect()]
+            block, size = [], 0
 
 
 _BUILT: dict[str, Automaton] = {}
@@ -222,72 +231,102 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+NEW = ("n_words", "spans", "item_ids", "coverage", "rejected")
+FOUND = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField("item_ids", T.ArrayType(T.StringType())),
+    ]
+)
+
+
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, clean: bool = False, block_words: int = BLOCK_WORDS
+    docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, clean: bool = False, block_words: int = BLOCK_WORDS, prefix: str = ""
 ) -> DataFrame:
     """docs with n_words, spans (word numbers, merged, in order), item_ids and coverage; with
     `clean`, text loses the spans, and rejected tells documents whose coverage exceeds max_coverage.
+    `prefix` stands before the names of these columns.
 
     Null texts have no words. Items without words match nothing; a null item_id still marks words
     but isn't listed. Repeated items count once. Rows are independent, so repeated rows and null
     ids keep their own result; input columns of the new names are replaced. Empty tables give no
     spans or no rows.
     """
-    new = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-    ]
-    spark, out, passes = docs.sparkSession, docs, 0
-    for pieces in item_blocks(items, window, block_words):
-        if passes:
-            out = save(out, "decontam")
-        out = _one_pass(spark, out, pieces, window, new, bool(passes))
-        passes += 1
-    covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s[1] - s[0])
-    out = out.withColumn("coverage", F.when(F.col("n_words") > 0, covered / F.col("n_words")).otherwise(F.lit(0.0)))
+    n_words, spans, item_ids, coverage, rejected = (prefix + n for n in NEW)
+    found = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in FOUND])
+    blocks = item_blocks(items, window, block_words)
+    first = next(blocks, [])
+    more = next(blocks, None)
+    if more is None:
+        out = _matched(docs, first, window, found)
+    else:
+        out = _in_passes(docs, itertools.chain([first, more], blocks), window, found)
+    covered = F.aggregate(spans, F.lit(0), lambda n, s: n + s[1] - s[0])
+    out = out.withColumn(coverage, F.when(F.col(n_words) > 0, covered / F.col(n_words)).otherwise(F.lit(0.0)))
     if not clean:
         return out
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at, spans = batch.schema.get_field_index("text"), batch.column("spans").to_pylist()
+            at, of = batch.schema.get_field_index("text"), batch.column(spans).to_pylist()
             texts = batch.column(at).cast(pa.binary()).to_pylist()
-            texts = [_without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+            texts = [_without(t, s) if s else t for t, s in zip(texts, of, strict=True)]
             yield batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
-    return out.mapInArrow(cut, out.schema).withColumn("rejected", F.col("coverage") > max_coverage)
+    return out.mapInArrow(cut, out.schema).withColumn(rejected, F.col(coverage) > max_coverage)
+
+
+def _with_columns(batch: pa.RecordBatch, made: dict[str, pa.Array], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names)
 
 
-def _one_pass(spark: SparkSession, docs: DataFrame, pieces: list, window: int, new: list, again: bool) -> DataFrame:
-    schema, key = with_fields(docs.schema, *new), uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(pieces)
+def _matched(docs: DataFrame, pieces: list, window: int, found: T.StructType) -> DataFrame:
+    """docs with the fields `found`, by one pass with an automaton of the pieces."""
+    schema, key, names = with_fields(docs.schema, *found.fields), uuid.uuid4().hex, found.names
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _built(key, shared.value, window)
         for batch in slices(batches):
             counts, spans, ids = [], [], []
-            earlier = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True) if again else None
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(text or b"")
                 here, items = automaton.matches(words)
-                items.discard(None)
-                if earlier:
-                    before, named = next(earlier)
-                    here, items = _merged(here + [tuple(s) for s in before]), items | set(named)
                 counts.append(len(words))
                 spans.append(here)
-                ids.append(sorted(items))
-            made = {
-                "n_words": pa.array(counts, pa.int64()),
-                "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                "item_ids": pa.array(ids, pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays([made.get(f.name, None) if f.name in made else batch.column(f.name) for f in schema], [f.name for f in schema])
+                ids.append(sorted(items - {None}))
+            arrays = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string()))]
+            yield _with_columns(batch, dict(zip(names, arrays, strict=True)), schema.names)
 
     return docs.mapInArrow(match, schema)
 
 
+def _in_passes(docs: DataFrame, blocks: Iterator[list], window: int, found: T.StructType) -> DataFrame:
+    """The same by a pass for each block. Only rows that a block hits are written and joined."""
+    n_words, spans, item_ids = found.names
+    rows = save(docs.drop(*found.names).withColumn("__row", F.monotonically_increasing_id()), "decontam")
+    hits = None
+    for pieces in blocks:
+        hit = _matched(rows.select("__row", "text"), pieces, window, found).filter(F.size(spans) > 0)
+        hit = save(hit.select("__row", spans, item_ids), "hits")
+        hits = hit if hits is None else hits.union(hit)
+    # a row's hits are as many as its words at most, and its blocks
+    each = hits.groupBy("__row").agg(F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(item_ids)))).alias(item_ids))
+    joined = rows.join(save(each, "hits"), "__row", "left").drop("__row")
+    schema = with_fields(docs.schema, *found.fields)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts = [len(words_of(t or b"")) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            merged = [_merged([tuple(s) for s in of or ()]) for of in batch.column(spans).to_pylist()]
+            ids = [x or [] for x in batch.column(item_ids).to_pylist()]
+            arrays = [pa.array(counts, pa.int64()), pa.array(merged, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string()))]
+            yield _with_columns(batch, dict(zip(found.names, arrays, strict=True)), schema.names)
+
+    return joined.mapInArrow(merge, schema)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -300,5 +339,3 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
-
-

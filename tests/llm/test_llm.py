@@ -107,6 +107,7 @@ def test_decontamination_blocks_stay_bounded_with_repeated_items(spark):
     items = [(7, "same ten words " * 10)] * 40 + [(i, f"w{i} " * 12) for i in range(100, 120)]
     bench = spark.createDataFrame(items, "item_id long, text string").repartition(5)
     blocks = list(decontam.item_blocks(bench, 10, block_words=150))
+    assert len(blocks) < 5
     assert max(sum(len(words) for _, words, _ in b) for b in blocks) <= 150
     assert sorted(i for b in blocks for i, _, _ in b) == sorted({str(i) for i, _ in items})
 
@@ -117,7 +118,11 @@ def test_decontamination_cleans_and_rejects(spark):
     out = decontam.decontaminate(docs(spark, [(1, f"keep {item}. And this, and a great deal of other text besides it"), (2, item)]), bench, clean=True)
     got = {r.doc_id: (r.text, r.rejected) for r in out.collect()}
     assert got[1] == ("keep . And this, and a great deal of other text besides it", False) and got[2] == ("", True)
-    assert decontam.decontaminate(docs(spark, [(1, "x")]), bench.limit(0)).count() in (0, 1)
+    for block in (10**6, 3):
+        assert [r.asDict()["spans"] for r in decontam.decontaminate(docs(spark, [(1, "x")]), bench.limit(0), block_words=block).collect()] == [[]]
+        assert decontam.decontaminate(docs(spark, []), bench, block_words=block).count() == 0
+    mine = decontam.decontaminate(docs(spark, [(1, item)], spans="mine"), bench, prefix="__").first()
+    assert mine.spans == "mine" and mine["__spans"] == [[0, 12]]
 
 
 # op3
