@@ -146,3 +146,23 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_chats(given.unionByName(hard)))
+
+
+#: The same in DuckDB: lengths of the rendered turns, summed over the examples' prefixes.
+OP6_SQL = r"""
+WITH given AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         length('### :  </turn>') + 1 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) AS chars
+  FROM given
+), prefixes AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY pos) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n FROM turns
+)
+SELECT conv_id, any_value(n)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(prefix) FILTER (role = 'assistant' OR pos = n)::BIGINT AS formatted_chars
+FROM prefixes GROUP BY conv_id
+"""

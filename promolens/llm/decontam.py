@@ -339,3 +339,30 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+#: The same in DuckDB: windows of the items met with the documents' windows of the same lengths.
+OP2_SQL = r"""
+WITH item AS (
+  SELECT DISTINCT item_id::VARCHAR AS item_id, w, len(w) AS n FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  ) WHERE len(w) > 0
+), windows AS (
+  SELECT item_id, least(n, 10) AS size, array_to_string(w[pos : pos + least(n, 10) - 1], ' ') AS win
+  FROM (SELECT item_id, w, n, unnest(range(1, greatest(n - 9, 1) + 1)) AS pos FROM item)
+), doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), own AS (
+  SELECT r, size, pos, array_to_string(w[pos : pos + size - 1], ' ') AS win
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM doc, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)
+), hits AS (
+  SELECT r, pos, own.size, item_id FROM own JOIN windows ON own.size = windows.size AND own.win = windows.win
+), words AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(pos, pos + size)) AS p FROM (SELECT DISTINCT r, pos, size FROM hits)) GROUP BY r
+), ids AS (
+  SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS listed FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_decontaminate": decontam.OP2_SQL,
+    "op6_chat_format": chat.OP6_SQL,
     "op8_poisson_mixing": mixing.OP8_SQL,
     "op10_warc_dictionary": warc.OP10_SQL,
 }
