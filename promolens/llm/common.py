@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +50,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files go as soon as the action ends. For actions that end a lineage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and later
     stages see one fixed result even if executors are lost."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +75,8 @@ def save_buckets(df: DataFrame, name: str, *key: str) -> DataFrame:
     """The same as a table in buckets by `key`, as many as shuffles have partitions: joins on the key leave it in place."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     buckets, made = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, *key).sortBy(*key).option("path", path).option("compression", "zstd").saveAsTable(made)
+    with tidy(spark):
+        df.write.bucketBy(buckets, *key).sortBy(*key).option("path", path).option("compression", "zstd").saveAsTable(made)
     return spark.table(made)
 
 
@@ -78,3 +95,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most `limit` bytes in column `name`, or with one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")), at + 1)
+            yield batch.slice(at, end - at)
+            at = end

@@ -1,16 +1,16 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model.
 
-Words are told apart by 64 bits of BLAKE2b (two of a billion words agree with a chance of 3 %), and
-bigrams are pairs of words. The words most frequent in trusted texts are numbered and what the
-model knows of them is broadcast; the tables of all other words and of bigrams have no bound and
-stay sharded. Scoring is additive: a document's log-probability is a sum over words of the unigram
-level and the back-off weight, plus for each bigram that the model has seen a gain over backing
-off. What needs numbered words only is summed where the text is read, with the most frequent
-bigrams; bitmaps of fixed size drop nearly all other words and bigrams that the model doesn't know;
-the rest meet the sharded tables in one join, for which these are written in buckets, so that only
-the documents' side is shuffled. A trusted document is scored without its own bigram counts, so
-that training on it gives it no lead; a bigram that no other trusted document holds then gains
-nothing there.
+Words are told apart by XXH64 and bigrams by 63 bits of a mix of their words (two of a billion words
+agree with a chance of 3 %). The words most frequent in trusted texts are numbered and what the
+model knows of them is broadcast, as are the most frequent bigrams of such words, up to stated bounds;
+the tables of all other words and bigrams have no bound and stay sharded. Scoring is additive: a
+document's log-probability is a sum over words of the unigram level and the back-off weight, plus
+for each bigram that the model has seen a gain over backing off. What needs broadcast facts only is
+summed where the text is read; bitmaps of fixed size drop most other words and bigrams that the
+model doesn't know; the rest meet the sharded tables in one join, for which these are written in
+buckets, so that only the documents' side is shuffled. A trusted document is scored without its own
+bigram counts, so that training on it gives it no lead; a bigram that no other trusted document
+holds then gains nothing there.
 """
 
 from __future__ import annotations
@@ -18,20 +18,20 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import save, save_buckets, ship_by_value, slices, table
+from promolens.llm.common import save, save_buckets, ship_by_value, table, text_slices, tidy
 
 ship_by_value(__name__)
 
 WORD_BITS = 20
 WORDS = 1 << WORD_BITS  # numbers of words are below; so many words at least share what is left for unseen ones
-REMEMBERED = 1 << 18  # words whose ids a worker keeps
 BITMAP_BITS = 27
 PIECE_BITS = 15  # of a bitmap that travel together
 
@@ -39,29 +39,22 @@ PIECE_BITS = 15  # of a bitmap that travel together
 @dataclass
 class Params:
     quantile: float = 0.9  # of each language's perplexities; documents above it are rejected
-    hot: int = 1 << 17  # bound on the most frequent bigrams of numbered words, looked up where the text is read
-    hot_words: int = 1 << 17  # bound on the most frequent words, which are numbered; below WORDS
+    hot: int = 1 << 20  # bound on the most frequent bigrams of numbered words, looked up where the text is read
+    hot_words: int = 1 << 19  # bound on the most frequent words, which are numbered; below WORDS
     broadcast_ids: int = 2_000_000  # trusted ids that are broadcast; more are joined by shuffling
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        made = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-        made += WORDS if 0 <= made < WORDS else 0
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = made
-        return made
-
-
-_IDS = _Ids()
-
-
-def words_of(text: bytes | None) -> np.ndarray:
-    """64-bit ids, none in 0..WORDS-1, of lower-cased words between white space; 0 stands for the beginning."""
-    words = (text or b"").lower().split()
-    return np.fromiter(map(_IDS.__getitem__, words), np.int64, len(words))
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased words between white space: 64-bit ids of the distinct ones, none in 0..WORDS-1; and for
+    each word of the texts in order its place among them and its text's place."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    flat, owner = words.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    real = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(real).dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
+    place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where((ids >= 0) & (ids < WORDS), ids + WORDS, ids), place, owner[real.to_numpy(zero_copy_only=False)]
 
 
 def _cold(x: np.ndarray | Column) -> np.ndarray | Column:
@@ -75,16 +68,28 @@ def _numbered(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.where(hot[at] == ids, at + 1, ids) if len(hot) else ids
 
 
-def _pairs(texts: list[bytes | None], hot: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """The distinct words of all texts and, by text, the places there of its words, its distinct
-    pairs (place of the first word x number of words + place of the second) and their counts."""
-    found = [words_of(t) for t in texts]
-    ids, place = np.unique(np.concatenate([np.zeros(1, np.int64), *found]), return_inverse=True)
-    ends, out = np.cumsum([1, *map(len, found)]), []
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        first = np.concatenate((place[:1], place[a : b - 1])) if b > a else place[:0]
-        out.append((place[a:b], *np.unique(first * len(ids) + place[a:b], return_counts=True)))
-    return _numbered(ids, hot), out
+def _before(place: np.ndarray, owner: np.ndarray, start: int) -> np.ndarray:
+    """The place of the word before each one, `start` at the beginning of a text."""
+    first = np.concatenate(([True], owner[1:] != owner[:-1]))[: len(owner)]
+    return np.where(first, start, np.concatenate(([start], place[:-1]))[: len(place)])
+
+
+def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A bigram's key: of two numbered words both numbers, else a negative mix of their ids. With w = 0, a cold word's own."""
+    x = v.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = ((x ^ (x >> np.uint64(31))) + w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (x ^ (x >> np.uint64(29))) | np.uint64(1 << 63)
+    return np.where(_cold(v) | _cold(w), mixed.view(np.int64), (v << WORD_BITS) | w)
+
+
+def _first(key: np.ndarray | Column, v: np.ndarray | Column) -> np.ndarray | Column:
+    """The first word of a bigram, where only keys below 0 come with it."""
+    return F.when(key >= 0, F.shiftright(key, WORD_BITS)).otherwise(v) if isinstance(key, Column) else np.where(key >= 0, key >> WORD_BITS, v)
+
+
+def _second(key: np.ndarray | Column, w: np.ndarray | Column) -> np.ndarray | Column:
+    return F.when(key >= 0, key.bitwiseAND(F.lit(WORDS - 1))).otherwise(w) if isinstance(key, Column) else np.where(key >= 0, key & (WORDS - 1), w)
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -106,12 +111,6 @@ class Lower:
         self.log_p, self.log_floor = np.log(self.p), float(np.log(self.floor))
         self.log_back = np.log(np.where(total > 0, self.held / np.maximum(total, 1), 1.0))
 
-    def base(self, words: np.ndarray) -> float:
-        """What the words of a document give, those without a number as if they were unknown."""
-        known = ~_cold(words)
-        context = np.concatenate((np.zeros(1, np.int64), words[:-1])) if len(words) else words
-        return float(self.log_p[words[known]].sum() + self.log_floor * (len(words) - known.sum()) + self.log_back[context[~_cold(context)]].sum())
-
     def gain(self, count: np.ndarray, held: np.ndarray, p: np.ndarray) -> np.ndarray:
         """What a bigram seen `count` times adds to backing off; 0 where the count is 0."""
         seen = np.maximum(count - np.concatenate(([0.0], self.d))[np.clip(count, 0, 3)], 0)
@@ -119,10 +118,8 @@ class Lower:
         return np.where(count > 0, np.log1p(seen / rest), 0.0)
 
 
-def _bits(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = v.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(31))) + w.astype(np.uint64)
-    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+def _bits(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
 def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
@@ -142,37 +139,46 @@ def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
     """Sorted ids of the words of column text that occur most often, at most `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [words_of(t) for t in batch.column(0).to_pylist()]
-            ids, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
+        for batch in text_slices(batches):
+            ids, place, _ = tokens(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(place, minlength=len(ids)))], ["id", "n"])
 
-    counts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return np.sort(most_frequent(save(counts, "words"), "n", most).select("id").toArrow().column(0).to_numpy())
 
 
 def count_bigrams(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(v, w, count, docs) of the bigrams of column text: how often each occurs, and in how many
-    rows; a table in the shared folder, in buckets by v and w."""
+    """(key, v, w, count, docs) of the bigrams of column text: how often each occurs, and in how many
+    rows; v and w are 0 where the key has them. A table in the shared folder, in buckets by key."""
     shared = texts.sparkSession.sparkContext.broadcast(_packed(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hot,) = _unpacked(shared.value)
-        for batch in batches:
-            ids, found = _pairs(batch.column(0).to_pylist(), hot)
-            keys, at, docs = np.unique(np.concatenate([*(k for _, k, _ in found), np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-            n = np.bincount(at, np.concatenate([*(n for _, _, n in found), np.zeros(0, np.int64)]), len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keys // len(ids)]), pa.array(ids[keys % len(ids)]), pa.array(n), pa.array(docs)], ["v", "w", "count", "docs"])
-
-    counts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "v long, w long, count long, docs long")
-    return save_buckets(counts.groupBy("v", "w").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "bigrams", "v", "w")
+        for batch in text_slices(batches):
+            ids, place, owner = tokens(batch.column(0))
+            ids = np.append(_numbered(ids, hot), 0)
+            v, w = ids[_before(place, owner, len(ids) - 1)], ids[place]
+            key = _key(v, w)
+            order = np.argsort(key, kind="stable")  # within a key, by text
+            key, owner = key[order], owner[order]
+            new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+            text = new | np.concatenate(([True], owner[1:] != owner[:-1]))[: len(key)]
+            at = np.flatnonzero(new)
+            n, docs = np.diff(np.append(at, len(key))), np.add.reduceat(text.astype(np.int64), at) if len(at) else at
+            near, at = key[at] >= 0, order[at]
+            columns = [key[new], np.where(near, 0, v[at]), np.where(near, 0, w[at]), n, docs]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["key", "v", "w", "count", "docs"])
+
+    counts = texts.select("text").mapInArrow(run, "key long, v long, w long, count long, docs long").groupBy("key")
+    return save_buckets(counts.agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("count").alias("count"), F.sum("docs").alias("docs")), "bigrams", "key")
 
 
 def lower_levels(bigrams: DataFrame, n_hot: int) -> tuple[list[np.ndarray], DataFrame]:
-    """What Lower is made from, of numbered words only; and a table in buckets by v and w of what
-    the others are needed for: of bigrams the count that v holds back and the probability of w,
-    null where these have numbers; of words (as v, where w is 0) their log-probability beyond an
-    unknown word's and their log back-off weight."""
+    """What Lower is made from, of numbered words only; and a table in buckets by key of what the others
+    are needed for: of bigrams the count that the first word holds back and the probability of the
+    second, null where these have numbers; of words their log-probability beyond an unknown word's
+    and their log back-off weight."""
+    bigrams = bigrams.withColumns({"v": _first(F.col("key"), F.col("v")), "w": _second(F.col("key"), F.col("w"))})
     seen = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).alias
     names = ["total", "once", "twice", "more", "before"]
     kinds = lambda df, c: [k or 0 for k in df.agg(*[seen(F.col(c) == i)(f"n{i}") for i in range(1, 5)], seen(F.col(c) > 2)("many"), F.sum(c)).first()]
@@ -199,43 +205,50 @@ def lower_levels(bigrams: DataFrame, n_hot: int) -> tuple[list[np.ndarray], Data
     cold = levels.filter(_cold(F.col("id"))).withColumns({"held": held, "p": p})
     back = F.when(F.col("total") > 0, F.log(F.col("held") / F.col("total"))).otherwise(F.lit(0.0))
     none = F.lit(None).cast("double")
+
+    def own_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_key(ids, np.zeros_like(ids))), batch.column("held"), batch.column("p")], ["key", "held", "p"])
+
+    words = cold.select("id", (F.log("p") - F.log(F.lit(float(rest[1])))).alias("held"), back.alias("p"))
     parts = [
-        cold.select(F.col("id").alias("v"), F.lit(0).cast("long").alias("w"), (F.log("p") - F.log(F.lit(float(rest[1])))).alias("held"), back.alias("p")),
-        bigrams.filter(_cold(F.col("v"))).join(cold.select(F.col("id").alias("v"), "held"), "v").select("v", "w", "held", none.alias("p")),
-        bigrams.filter(_cold(F.col("w"))).join(cold.select(F.col("id").alias("w"), "p"), "w").select("v", "w", none.alias("held"), "p"),
+        words.mapInArrow(own_key, "key long, held double, p double"),
+        bigrams.filter(_cold(F.col("v"))).join(cold.select(F.col("id").alias("v"), "held"), "v").select("key", "held", none.alias("p")),
+        bigrams.filter(_cold(F.col("w"))).join(cold.select(F.col("id").alias("w"), "p"), "w").select("key", none.alias("held"), "p"),
     ]
-    facts = parts[0].union(parts[1]).union(parts[2]).groupBy("v", "w").agg(F.max("held").alias("held"), F.max("p").alias("p"))
-    return [*dense, d, e, rest], save_buckets(facts, "cold", "v", "w")
+    facts = parts[0].union(parts[1]).union(parts[2]).groupBy("key").agg(F.max("held").alias("held"), F.max("p").alias("p"))
+    return [*dense, d, e, rest], save_buckets(facts, "cold", "key")
 
 
-def bitmaps(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Two bitmaps of the hashes of bigrams: of all, and of those that several documents hold.
+def bitmaps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps of the hashes of the rows (key, docs): of all, and of those that several documents hold.
 
-    A task sends its bits as offsets within pieces of 2^15 bits; each piece is put together in one
-    place, so at most 2 x 4096 pieces of 4 KB come to the driver.
+    A task holds both and sends what it has of them in pieces of 2^15 bits; each piece is put together
+    in one place, so at most 2 x 4096 pieces of 4 KB come to the driver.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros((2 << (BITMAP_BITS - PIECE_BITS), 1 << PIECE_BITS >> 3), np.uint8)
         for batch in batches:
-            bits, several = _bits(batch.column("v").to_numpy(), batch.column("w").to_numpy()), batch.column("docs").to_numpy() > 1
-            bits = np.unique(np.concatenate([bits, bits[several] + (1 << BITMAP_BITS)]))
-            piece, first = np.unique(bits >> PIECE_BITS, return_index=True)
-            offsets = np.split((bits & ((1 << PIECE_BITS) - 1)).astype(np.uint16), first[1:]) if len(bits) else []
-            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array([o.tobytes() for o in offsets], pa.binary())], ["piece", "bits"])
+            bits, several = _bits(batch.column("key").to_numpy()), batch.column("docs").to_numpy() > 1
+            bits = np.concatenate([bits, bits[several] + (1 << BITMAP_BITS)])
+            np.bitwise_or.at(flags.reshape(-1), bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
+        at = np.flatnonzero(flags.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([zlib.compress(flags[i].tobytes(), 1) for i in at], pa.binary())], ["piece", "bits"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, offsets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                flags = np.zeros(1 << PIECE_BITS, bool)
-                flags[np.frombuffer(offsets, np.uint16)] = True
-                made[piece] = made.get(piece, 0) | np.packbits(flags, bitorder="little")
+            for piece, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made[piece] = made.get(piece, 0) | np.frombuffer(zlib.decompress(bits), np.uint8)
         packed = [x.tobytes() for x in made.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(packed, pa.binary())], ["piece", "bits"])
 
     fields = "piece long, bits binary"
-    rows = bigrams.select("v", "w", "docs").mapInArrow(deal, fields).repartition("piece").mapInArrow(put, fields).toArrow()
-    out = np.zeros((2 << (BITMAP_BITS - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
+    with tidy(keys.sparkSession):
+        rows = keys.mapInArrow(deal, fields).repartition("piece").mapInArrow(put, fields).toArrow()
+    out = np.zeros((2 << (BITMAP_BITS - PIECE_BITS), 1 << PIECE_BITS >> 3), np.uint8)
     for piece, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
         out[piece] = np.frombuffer(bits, np.uint8)
     return tuple(out.reshape(2, -1))
@@ -266,79 +279,96 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     ids = save(trusted.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("own", F.lit(True)), "trusted")
     if ids.count() <= params.broadcast_ids:
         ids = F.broadcast(ids)
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    marked = marked.join(ids, "doc_id", "left")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
     numbered = frequent_words(texts, min(params.hot_words, WORDS - 1))
     bigrams = count_bigrams(texts, numbered)
     levels, cold = lower_levels(bigrams, len(numbered))
-    top = most_frequent(bigrams.filter(~_cold(F.col("v")) & ~_cold(F.col("w"))), "count", params.hot).select("v", "w", "count").toArrow()
-    keys, counts = (top.column("v").to_numpy() << WORD_BITS) | top.column("w").to_numpy(), top.column("count").to_numpy()
+    top = most_frequent(bigrams.filter("key >= 0"), "count", params.hot).select("key", "count").toArrow()
+    keys, counts = top.column("key").to_numpy(), top.column("count").to_numpy()
     order = np.argsort(keys)
-    known_words = cold.filter("w = 0").select("v", "w", F.lit(1).cast("long").alias("docs"))
     # each executor keeps broadcasts on disk: compressed, and the second step takes the first only
     lower = spark.sparkContext.broadcast(_packed(*levels))
-    lookups = spark.sparkContext.broadcast(_packed(numbered, keys[order], counts[order], *bitmaps(bigrams.select("v", "w", "docs").union(known_words))))
+    known = bitmaps(bigrams.select("key", "docs").union(cold.select("key", F.lit(1).cast("long"))))
+    lookups = spark.sparkContext.broadcast(_packed(numbered, keys[order], counts[order], *known))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (numbered, hot, hot_counts, known, several) = Lower(*_unpacked(lower.value)), _unpacked(lookups.value)
-        for batch in slices(batches, 1024):
-            doc_rows = batch.column("row").to_pylist()
-            ids, found = _pairs(batch.column("text").to_pylist(), numbered)
-            far, heard = _cold(ids), _marked(known, _bits(ids, np.zeros_like(ids)))
-            base, size, rest_doc, rest = [], [], [], []
-            for doc_row, (place, pair, n), own in zip(doc_rows, found, batch.column("own").to_pylist(), strict=True):
-                ll = model.base(ids[place])
-                v, w = ids[pair // len(ids)], ids[pair % len(ids)]
-                near = ~(_cold(v) | _cold(w))
-                if len(hot) and len(v):
-                    key = np.where(near, (v << WORD_BITS) | w, -1)
-                    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                    here = hot[at] == key
-                    seen = hot_counts[at[here]] - (n[here] if own else 0)
-                    ll += float((n[here] * model.gain(seen, model.held[v[here]], model.p[w[here]])).sum())
-                    v, w, n = v[~here], w[~here], n[~here]
-                maybe = _marked(several if own else known, _bits(v, w))
-                rest.append((v[maybe], w[maybe], -n[maybe] if own else n[maybe], np.zeros(int(maybe.sum()), np.int64)))
-                rest_doc.append(np.full(len(rest[-1][0]), doc_row))
-                if len(lone := place[far[place] & heard[place]]):
-                    lone, n = np.unique(lone, return_counts=True)
-                    rest.append((ids[lone], np.zeros_like(lone), n, n - (lone == place[-1])))
-                    rest_doc.append(np.full(len(lone), doc_row))
-                base.append(ll)
-                size.append(len(place))
+        for batch in text_slices(batches):
+            ids, place, owner = tokens(batch.column("text"))
+            ids, n_docs = np.append(_numbered(ids, numbered), 0), batch.num_rows
+            far = _cold(ids)
+            known_at = np.where(far, 0, ids)
+            before = _before(place, owner, len(ids) - 1)
+            log_p, log_back = np.where(far, model.log_floor, model.log_p[known_at]), np.where(far, 0.0, model.log_back[known_at])
+            ll = np.bincount(owner, log_p[place] + log_back[before], n_docs).astype(np.float64)
+            pairs, pair = np.unique(_key(ids[before], ids[place]), return_inverse=True)
+            at = np.minimum(np.searchsorted(hot, pairs), max(len(hot) - 1, 0))
+            here = (hot[at] == pairs) if len(hot) else np.zeros(len(pairs), bool)
+            v, w = np.where(here, _first(pairs, 0), 0), np.where(here, _second(pairs, 0), 0)
+            count = np.where(here, hot_counts[at], 0) if len(hot) else np.zeros(len(pairs), np.int64)
+            own = batch.column("own").is_valid().to_numpy(zero_copy_only=False)
+            mine = own[owner]
+            ll += np.bincount(owner, np.where(mine, 0.0, model.gain(count, model.held[v], model.p[w])[pair]), n_docs)
+
+            # by document and bigram: what the tables are needed for, and in a trusted text the bigrams looked up here
+            bits = _bits(pairs)
+            asked = np.where(mine, (here | _marked(several, bits))[pair], (~here & _marked(known, bits))[pair])
+            both, n = np.unique(owner[asked] * len(pairs) + pair[asked], return_counts=True)
+            doc, pair = (both // len(pairs), both % len(pairs)) if len(pairs) else (both, both)
+            near = here[pair]
+            seen = count[pair[near]] - n[near]
+            ll += np.bincount(doc[near], n[near] * model.gain(seen, model.held[v[pair[near]]], model.p[w[pair[near]]]), n_docs)
+            doc, pair, n = doc[~near], pair[~near], n[~near]
+
+            # cold words that the model knows, and how often another word follows them
+            heard = far & _marked(known, _bits(_key(ids, np.zeros_like(ids))))
+            last = np.concatenate((owner[1:] != owner[:-1], [True]))[: len(owner)]
+            lone = heard[place]
+            words, back, times = np.unique(owner[lone] * len(ids) + place[lone], return_inverse=True, return_counts=True)
+            follows = times - np.bincount(back, last[lone], len(words)).astype(np.int64)
+
+            doc_rows, size = batch.column("row").to_numpy(), np.bincount(owner, minlength=n_docs)
             # the sums travel with these, under keys that spread them over the tasks
-            spread = -1 - np.random.default_rng(len(doc_rows)).integers(0, 1 << 40, len(doc_rows))
-            pad = sum(map(len, rest_doc))
-            columns = [np.concatenate(x) for x in zip((spread, np.full(len(spread), -1), base, np.array(size, np.int64)), *rest, strict=True)]
+            spread = -np.random.default_rng(n_docs).integers(1, 1 << 62, n_docs)
+            asked_of = [np.arange(n_docs), doc, words // len(ids)]
+            columns = [
+                doc_rows[np.concatenate(asked_of)],
+                np.concatenate([spread, pairs[pair], _key(ids[words % len(ids)], np.zeros_like(words))]),
+                np.concatenate([size, np.where(own[doc], -n, n), times]),
+                np.concatenate([np.zeros(n_docs, np.int64), np.full(len(doc), -1), follows]),
+            ]
+            pad = len(doc) + len(words)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([doc_rows, *rest_doc]).astype(np.int64)),
+                    *[pa.array(c.astype(np.int64)) for c in columns],
+                    pa.concat_arrays([pa.array(ll), pa.nulls(pad, pa.float64())]),
                     pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(pad, pa.int64())]),
                     pa.concat_arrays([batch.column("lang").cast(pa.string()), pa.nulls(pad, pa.string())]),
-                    pa.array(columns[0].astype(np.int64)),
-                    pa.array(columns[1].astype(np.int64)),
-                    pa.array(columns[2].astype(np.float64)),
-                    pa.array(columns[3].astype(np.int64)),
                 ],
-                ["row", "doc_id", "lang", "v", "w", "x", "n_words"],
+                ["row", "key", "n", "follows", "ll", "doc_id", "lang"],
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Lower(*_unpacked(lower.value))
         for batch in batches:
-            v, w, x, m = (batch.column(c).to_numpy() for c in ("v", "w", "x", "n_words"))
-            count, held, p = (batch.column(c).fill_null(0).to_numpy() for c in ("count", "held", "p"))
-            whole = batch.column("lang").is_valid().to_numpy(zero_copy_only=False)
-            n, pair = np.abs(x), ~whole & (w != 0)
-            seen = np.where(pair, count - np.where(x < 0, n, 0).astype(np.int64), 0)
+            key, n, follows = (batch.column(c).to_numpy() for c in ("key", "n", "follows"))
+            ll, v, w, count, held, p = (batch.column(c).fill_null(0).to_numpy() for c in ("ll", "v", "w", "count", "held", "p"))
+            whole, pair = batch.column("lang").is_valid().to_numpy(zero_copy_only=False), follows < 0
+            v, w = _first(key, v), _second(key, w)
             near_v, near_w = pair & ~_cold(v), pair & ~_cold(w)
             of_v, of_w = np.where(near_v, model.held[np.where(near_v, v, 0)], held), np.where(near_w, model.p[np.where(near_w, w, 0)], p)
-            ll = np.where(pair, n * model.gain(np.maximum(seen, 0), of_v, of_w), np.where(whole, x, x * held + m * p))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "lang")), pa.array(np.where(whole, m, 0)), pa.array(ll)], ["row", "doc_id", "lang", "n_words", "ll"])
+            seen = np.where(pair, np.maximum(count + np.minimum(n, 0), 0), 0)
+            gained = np.where(pair, np.abs(n) * model.gain(seen, of_v, of_w), n * held + follows * p)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), batch.column("lang"), pa.array(np.where(whole, n, 0)), pa.array(np.where(whole, ll, gained))],
+                ["row", "doc_id", "lang", "n_words", "ll"],
+            )
 
-    # n_words: of a row of sums, the document's; of a word's, how often another one follows
-    rows = marked.mapInArrow(read, "row long, doc_id long, lang string, v long, w long, x double, n_words long")
-    met = rows.join(bigrams.select("v", "w", "count").hint("merge"), ["v", "w"], "left").join(cold.hint("merge"), ["v", "w"], "left")
+    # n: of a document's sums its words, of a bigram how often it occurs (below 0 in a trusted text), of a word the same
+    rows = marked.mapInArrow(read, "row long, key long, n long, follows long, ll double, doc_id long, lang string")
+    met = rows.join(bigrams.select("key", "v", "w", "count").hint("merge"), "key", "left").join(cold.hint("merge"), "key", "left")
     met = met.mapInArrow(add, "row long, doc_id long, lang string, n_words long, ll double")
     sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("ll").alias("ll"))
     sums = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("ll") / F.col("n_words"))).otherwise(F.lit(1.0)))

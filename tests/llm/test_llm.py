@@ -605,12 +605,114 @@ def test_pipeline_stages(spark):
 def test_pipeline_stages_on_odd_and_empty_tables(spark, name):
     import corpus_pipeline as cp
 
-    df = docs(spark, ODD, score=1, spans=1)
+    mine = {"score": "s", "spans": "x", "n_words": "n", "item_ids": "i", "copy": "c", "n_copies": "m", "fp": "f", "coverage": "v", "row": "r"}
+    df = docs(spark, ODD, **mine)
     out = getattr(cp, name)(spark, df, TINY)
-    assert out.count() >= (0 if name == "mix" else 1)
+    rows = out.collect()
+    assert out.columns[: len(df.columns)] == df.columns and [f.dataType for f in out.schema][: len(df.columns)] == [f.dataType for f in df.schema]
+    assert all(tuple(r[c] for c in mine) == tuple(mine.values()) for r in rows)
+    got = Counter((r.doc_id, r.text) for r in rows)
+    if name == "mix":
+        assert got.keys() <= set(ODD)
+    elif name == "drop_copies":
+        assert got == {(1, None): 1, ODD[2]: 1, ODD[3]: 1, (4, "tie"): 1, ODD[-1]: 1}
+    else:
+        assert got == Counter(ODD)
     assert getattr(cp, name)(spark, df.limit(0), TINY).count() == 0
 
 
+def test_toxicity_stage_keeps_all_without_labelled_documents(spark):
+    import corpus_pipeline as cp
+
+    df = docs(spark, [(-i, f"text {i}") for i in range(1, 30)])  # no label names these
+    assert cp.drop_toxic(spark, df, TINY).count() == 29
+
+
+# the registered queries, over the whole smallest tables
+def given(spark, name, columns):
+    return [tuple(r) for r in spark.read.parquet(f"{TINY}/{name}.parquet").select(*columns).collect()]
+
+
+def registered(spark, name):
+    from promolens.llm.queries import QUERIES
+
+    return QUERIES[name](spark, TINY)
+
+
+def test_op1_query(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "TINY", "/root/testdata/sf0.01")  # the smallest tables hold no secret
+    texts = dict(given(spark, "documents", ["doc_id", "text"]))
+    got = registered(spark, "op1_secret_scan").collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        base = base_spans(texts[r.doc_id] or "")
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        listed = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("random")] == listed
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
+
+
+def test_op3_query(spark):
+    texts = dict(given(spark, "documents", ["doc_id", "text"]))
+    got = registered(spark, "op3_jump_sharding").collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    slots = {}
+    for r in got:
+        b = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) == (len(b) + 16, zlib.crc32(b), "key", jump(r.doc_id, 40), jump(r.doc_id, 41))
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_op4_query(spark):
+    prints = {i: fingerprint(t or "") for i, t in given(spark, "documents", ["doc_id", "text"])}
+    want = components(prints)
+    got = registered(spark, "op4_simhash_near_dedup").collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
+    assert len(got) == len(prints) > len(set(want.values()))
+
+
+def test_op5_query(spark):
+    ids = [i for (i,) in given(spark, "documents", ["doc_id"])]
+    got = registered(spark, "op5_toxicity").collect()
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+
+
+def test_op7_query(spark):
+    rows = given(spark, "documents", ["doc_id", "lang", "text"])
+    got = {r.doc_id: r for r in registered(spark, "op7_kneser_ney_quality").collect()}
+    assert {i: (r.lang, r.n_words) for i, r in got.items()} == {i: (lang or "", len((t or "").encode().lower().split())) for i, lang, t in rows}
+    for lang in {r.lang for r in got.values()}:
+        mine = sorted(r.perplexity for r in got.values() if r.lang == lang)
+        limit = mine[math.ceil(0.9 * len(mine)) - 1]
+        assert all(r.keep == (r.perplexity <= limit) for r in got.values() if r.lang == lang)
+
+
+def test_op9_query(spark):
+    rows = given(spark, "embeddings", ["vec_id", "embedding"])
+    got = registered(spark, "op9_learned_partitions").collect()
+    want = nearest_by_brute_force(rows)
+    assert recall(got, want) >= 0.9 and Counter(r.query_id for r in got) == {i: 5 for i, _ in want}
+
+
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op6_chat_format", "op8_poisson_mixing", "op10_warc_dictionary"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from promolens.llm.queries import SQL
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "pages"):
+        con.sql(f"create view {t} as select * from '{TINY}/{t}.parquet'")
+    got, want = registered(spark, name), con.sql(SQL[name])
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    text = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
+    assert text(got.select(columns).collect()) == text(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
 def test_registered_sql_is_text_of_registered_queries():
     from promolens.llm.queries import QUERIES, SQL
 
