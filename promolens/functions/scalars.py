@@ -114,6 +114,11 @@ def donor_score(donor: Column, victim: Column, distance: Column, alpha: float =
     return F.when(gap <= 0.5, score * 0.85).otherwise(score)
 
 
+def counts_like(x: Column, near: float = 0.05, share: float = 0.9) -> Column:
+    """As an aggregate: whether values are never negative and nearly all whole."""
+    return (F.min(x) >= 0) & (F.avg((F.abs(x - F.round(x)) <= near).cast("int")) >= share)
+
+
 def clip_to_unit(x: Column, mean: Column, sd: Column, width: float = 3.5) -> Column:
     """x within mean +- width x max(sd, 1), and not below 0."""
     half = width * F.greatest(F.coalesce(sd, F.lit(1.0)), F.lit(1.0))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions.shipping import ship_by_value
+from promolens.operators.metrics import correlation, level_calibration, smooth
 
 ship_by_value(__name__)
 
@@ -33,17 +34,21 @@ def soft_impute(y: np.ndarray, mask: np.ndarray, tau: float, rank: int, iteratio
     return low
 
 
-def complete(y: np.ndarray, mask: np.ndarray, x: np.ndarray | None, rank: int, tau: float, alpha: float, outer: int = 10) -> np.ndarray:
-    """Predicted sales of every cell from the visible ones: log link, standardised, low rank plus ridge on x."""
+def complete(
+    y: np.ndarray, mask: np.ndarray, x: np.ndarray | None, rank: int, tau: float, alpha: float, outer: int = 10, inner: int = 120, growth: float = 1.0, cap: float = 6.0
+) -> np.ndarray:
+    """Predicted sales of every cell from the visible ones: log link, standardised, low rank plus ridge on x.
+    From round to round tau and alpha grow by `growth`, to `cap` times their start at most."""
     z = np.log1p(np.maximum(y, 0.0))
     mean, sd = z[mask].mean(), max(z[mask].std(), 1e-6)
     z = np.where(mask, (z - mean) / sd, 0.0)
     fixed, last = np.zeros_like(z), np.inf
-    for _ in range(outer):
-        low = soft_impute(np.where(mask, z - fixed, 0.0), mask, tau, rank)
+    for i in range(outer):
+        more = min(growth**i, cap)
+        low = soft_impute(np.where(mask, z - fixed, 0.0), mask, tau * more, rank, inner)
         if x is not None:
             a = x[mask]
-            beta = np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ (z - low)[mask])
+            beta = np.linalg.solve(a.T @ a + alpha * more * np.eye(a.shape[1]), a.T @ (z - low)[mask])
             fixed = x @ beta
         error = float(np.sqrt(np.mean((z - low - fixed)[mask] ** 2)))
         if x is None or abs(last - error) < 1e-5:
@@ -52,6 +57,19 @@ def complete(y: np.ndarray, mask: np.ndarray, x: np.ndarray | None, rank: int, t
     return np.maximum(np.expm1(np.clip((low + fixed) * sd + mean, -20, 20)), 0.0)
 
 
+def train_mask(mask: np.ndarray, units: np.ndarray, periods: np.ndarray, job: pd.Series) -> np.ndarray:
+    """The cells that a job trains on: not the hidden unit's (with all_rows, any unit's) periods from gap_from (else
+    hide_from) to hide_to, the victim's POST periods or its last `embargo` PRE periods."""
+    out = mask.copy()
+    hide = (periods >= job.get("gap_from", job["hide_from"])) & (periods <= job["hide_to"])
+    out[np.ix_(np.full(len(units), True) if job.get("all_rows", False) else units == job["hidden_unit"], hide)] = False
+    own = np.flatnonzero(mask[units == job["victim"]].any(axis=0) & (periods < job["treat_start"]))
+    late = periods >= job["treat_start"]
+    late[own[len(own) - min(int(job.get("embargo", 0)), len(own)) :]] = True
+    out[np.ix_(units == job["victim"], late)] = False
+    return out
+
+
 def _fit_job(pdf: pd.DataFrame) -> pd.DataFrame:
     job = pdf.iloc[0]
     pdf = pdf[pdf["unit_id"] != job["excluded_unit"]]
@@ -64,23 +82,23 @@ def _fit_job(pdf: pd.DataFrame) -> pd.DataFrame:
     if not len(row):
         return out
     hide = (periods >= job["hide_from"]) & (periods <= job["hide_to"])
-    seen = mask.copy()
-    seen[row[0], hide] = False
-    seen[units == job["victim"], :] &= (periods < job["treat_start"])[None, :]
+    gap = (periods >= job.get("gap_from", job["hide_from"])) & (periods < job["hide_from"])
+    seen = train_mask(mask, units, periods, job)
     if not seen[row[0]].any() or seen.sum() < 4:
         return out
     x = None
     if job["covariates"]:
         year = 2 * np.pi * periods / 12.0
         x = np.stack([np.broadcast_to(c, y.shape) for c in (np.sin(year), np.cos(year), (periods - periods.mean()) / max(periods.std(), 1))], axis=2)
-    fitted = complete(np.nan_to_num(y), seen, x, int(min(job["rank"], *y.shape)), float(job["tau"]), float(job["alpha"]))
+    schedule = {k: kind(job[k]) for k, kind in (("inner", int), ("growth", float), ("cap", float)) if k in job}
+    fitted = complete(np.nan_to_num(y), seen, x, int(min(job["rank"], *y.shape)), float(job["tau"]), float(job["alpha"]), **schedule)
     at = row[0]
-    return pd.DataFrame({"episode_id": job["episode_id"], "job_id": job["job_id"], "unit_id": units[at], "t": periods.astype("int32"), "treat_start": np.int32(job["treat_start"]), "y_obs": y[at], "mu0_hat": fitted[at], "hidden": hide.astype("int32")})
+    return pd.DataFrame({"episode_id": job["episode_id"], "job_id": job["job_id"], "unit_id": units[at], "t": periods.astype("int32"), "treat_start": np.int32(job["treat_start"]), "y_obs": y[at], "mu0_hat": fitted[at], "hidden": np.where(hide, 1, np.where(gap, 2, 0)).astype("int32")})
 
 
 def fits(rows: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Fitted series of each job's hidden unit. jobs: episode_id, job_id, hidden_unit, hide_from, hide_to,
-    excluded_unit, rank, tau, alpha, covariates."""
+    """Fitted series of each job's hidden unit; hidden is 1 in the periods it doesn't see, 2 in the gap before them. jobs: episode_id, job_id, hidden_unit, hide_from, hide_to,
+    excluded_unit, rank, tau, alpha, covariates; and, where wanted, gap_from, all_rows, embargo, inner, growth, cap."""
     victims = rows.filter("is_victim = 1").groupBy("episode_id").agg(F.first("unit_id").alias("victim"))
     data = rows.select("episode_id", "unit_id", "t", "treat_start", "unit_sales").join(victims, "episode_id").join(jobs, "episode_id")
     return data.groupBy(*JOB).applyInPandas(_fit_job, FITTED)
@@ -108,22 +126,25 @@ def grid(rows: DataFrame, ranks: tuple[int, ...] = (1, 2), taus: tuple[float, ..
     return df.select("episode_id", "s.spec_id", "s.rank", (F.col("s.share") * F.col("scale")).alias("tau"), "s.alpha", F.lit(True).alias("covariates"))
 
 
-def random_specs(rows: DataFrame, draws: int, seed: int = 42, max_rank: int = 5, tau: tuple[float, float] = (0.05, 0.8), alpha: tuple[float, float] = (1e-4, 1e-2)) -> DataFrame:
-    """Random specifications per episode from seeded hashes: rank uniform, tau and alpha log-uniform, covariates on or off."""
+def random_specs(rows: DataFrame, draws: int, seed: int = 42, max_rank: int = 5, tau: tuple[float, float] = (0.05, 0.8), alpha: tuple[float, float] = (1e-4, 1e-2), schedule: bool = False) -> DataFrame:
+    """Random specifications per episode from seeded hashes: rank uniform, tau (as a share of the scale) and alpha
+    log-uniform, covariates on or off; with schedule also the inner rounds and the growth of both penalties."""
     df = scales(rows).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
 
     def u(name: str) -> Column:
         return F.conv(F.substring(F.md5(F.concat_ws("|", "episode_id", "draw", F.lit(name), F.lit(seed))), 1, 8), 16, 10).cast("double") / float(2**32)
 
     log_uniform = lambda lo, hi, x: F.exp(np.log(lo) + x * float(np.log(hi / lo)))
+    more = [(60 + F.floor(u("inner") * 141)).cast("int").alias("inner"), (1 + 0.25 * u("growth")).alias("growth"), (1 + 2 * u("cap")).alias("cap")] if schedule else []
     return df.select(
         "episode_id", F.concat(F.lit("d"), F.col("draw")).alias("spec_id"), (1 + F.floor(u("rank") * max_rank)).cast("int").alias("rank"),
-        (log_uniform(*tau, u("tau")) * F.col("scale")).alias("tau"), log_uniform(*alpha, u("alpha")).alias("alpha"), (u("x") < 0.5).alias("covariates"),
+        (log_uniform(*tau, u("tau")) * F.col("scale")).alias("tau"), log_uniform(*alpha, u("alpha")).alias("alpha"), (u("x") < 0.5).alias("covariates"), *more,
     )
 
 
 def folds(rows: DataFrame, horizon: int = 3, gap: int = 1, k: int = 3) -> DataFrame:
-    """Rolling folds inside each PRE window: (episode_id, fold_id, hide_from, hide_to), the last periods always."""
+    """Rolling folds inside each PRE window: (episode_id, fold_id, gap_from, hide_from, hide_to), the last periods
+    always. Training leaves out the gap before a fold's periods too."""
     pre = rows.filter("is_victim = 1 AND is_pre = 1").groupBy("episode_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     least = max(2, horizon)
     span = F.col("b") - F.col("a") + 1 - (least + gap + horizon)
@@ -132,33 +153,72 @@ def folds(rows: DataFrame, horizon: int = 3, gap: int = 1, k: int = 3) -> DataFr
     last = F.col("b") - horizon + 1
     df = pre.withColumn("h", F.explode(F.array_distinct(F.concat(F.transform(starts, lambda x: F.least(x, last).cast("long")), F.array(last.cast("long"))))))
     df = df.filter((F.col("h") - F.lit(gap) - F.col("a")) >= 1)
-    return df.select("episode_id", F.concat(F.lit("f"), F.col("h")).alias("fold_id"), F.col("h").cast("int").alias("hide_from"), (F.col("h") + horizon - 1).cast("int").alias("hide_to"))
+    return df.select("episode_id", F.concat(F.lit("f"), F.col("h")).alias("fold_id"), (F.col("h") - gap).cast("int").alias("gap_from"), F.col("h").cast("int").alias("hide_from"), (F.col("h") + horizon - 1).cast("int").alias("hide_to"))
+
+
+def holdout_mask(rows: DataFrame, fold_table: DataFrame, all_rows: bool = False) -> DataFrame:
+    """rows by fold with train_mask: 0 where a fold hides the cell (its gap and its periods, of the victim or of all
+    units) and in the victim's POST periods."""
+    df = rows.join(fold_table, "episode_id")
+    hidden = F.col("t").between(F.col("gap_from"), F.col("hide_to")) & (F.lit(True) if all_rows else F.col("is_victim") == 1)
+    late = (F.col("is_victim") == 1) & (F.col("t") >= F.col("treat_start"))
+    return df.withColumn("train_mask", (~(hidden | late)).cast("int"))
 
 
 def _jobs(specs: DataFrame, targets: DataFrame, *names: str) -> DataFrame:
     return specs.join(targets, "episode_id").withColumn("job_id", F.concat_ws("|", *names))
 
 
+def _fold_rows(fitted: DataFrame) -> DataFrame:
+    """Per (episode, job) what a search looks at, on the hidden periods (hold) and on all of PRE (pre)."""
+    y, m = F.col("y_obs"), F.col("mu0_hat")
+    d = F.log1p(F.greatest(y, F.lit(0.0))) - F.log1p(m)
+    by_time = Window.partitionBy(*JOB).orderBy("t")
+    inside = Window.partitionBy(*JOB, "hidden").orderBy("t")
+    pre = fitted.filter("t < treat_start AND y_obs IS NOT NULL").withColumns({
+        "d2": d * d, "e2": (y - m) * (y - m), "q95": F.percentile("y_obs", 0.95).over(Window.partitionBy(*JOB)),
+        "dy": y - F.lag(y).over(by_time), "dm": m - F.lag(m).over(by_time), "hy": y - F.lag(y).over(inside), "hm": m - F.lag(m).over(inside),
+    })
+    hold = lambda c: F.when(F.col("hidden") == 1, c)
+    train = lambda c: F.when((F.col("hidden") == 0) & (F.col("t") < F.col("first_hidden")), c)
+    spread = lambda c: F.stddev_pop(c) / (F.avg(F.abs(c)) + 1e-8)
+
+    def ratio(a: Column, b: Column, least: float) -> Column:
+        return F.when(b > least, a / (b + 1e-8)).otherwise(F.lit(1.0))
+
+    excess = F.when(F.col("q95") > 0, F.greatest(m - 3 * F.col("q95"), F.lit(0.0)) / (F.col("q95") + 1e-8)).otherwise(F.greatest(m - 10, F.lit(0.0)) / 10)
+    pre = pre.withColumn("first_hidden", F.min(hold(F.col("t"))).over(Window.partitionBy(*JOB)))
+    return pre.groupBy(*JOB).agg(
+        F.sqrt(F.avg(hold(F.col("d2")))).alias("hold"), F.sqrt(F.avg(train(F.col("e2")))).alias("train"), F.sqrt(F.avg("d2")).alias("error"),
+        ratio(spread(hold(m)), spread(hold(y)), 0.05).alias("cv_hold"), ratio(spread(m), spread(y), 0.05).alias("cv"),
+        ratio(F.stddev_pop(hold(F.col("hm"))), F.stddev_pop(hold(F.col("hy"))), 1e-6).alias("steps_hold"), ratio(F.stddev_pop("dm"), F.stddev_pop("dy"), 1e-6).alias("steps"),
+        F.coalesce(correlation(y, m), F.lit(0.0)).alias("corr"), F.avg(excess).alias("spike"),
+    )
+
+
+def penalised(per: DataFrame) -> DataFrame:
+    """(episode_id, spec_id, score): the upper quartile of the fold errors, plus penalties for fits that are too close,
+    too flat or too jumpy, worse ahead than behind, or spiky."""
+    names = ["train", "error", "cv_hold", "cv", "steps_hold", "steps", "corr", "spike"]
+    m = per.groupBy("episode_id", "spec_id").agg(F.percentile("hold", 0.75).alias("score"), *[F.percentile(n, 0.5).alias(n) for n in names])
+    over = lambda c, limit: F.greatest(c - limit, F.lit(0.0))
+    flat, jump = F.least("cv_hold", "cv"), F.least("steps_hold", "steps")
+    close = F.when((F.col("corr") > 0.97) & (F.col("error") < 0.12), 5 * (F.col("corr") - 0.97) + 4 * (0.12 - F.col("error"))).otherwise(0.0)
+    score = F.col("score") + 5 * over(0.15 - F.col("train"), 0) + 6 * over(0.9 - flat, 0)
+    score = score + F.when(jump < 0.7, 4 * (0.7 - jump)).otherwise(over(F.col("cv_hold"), 1.15)) + close
+    m = m.withColumn("score", score)
+    ahead = F.when((F.col("train") > 0) & (F.col("score") > 0), 0.8 * over(F.col("score") / (F.col("train") + 1e-8), 1.5)).otherwise(0.0)
+    return m.select("episode_id", "spec_id", (F.col("score") + ahead + 3 * F.col("spike")).alias("score"))
+
+
 def select_spec(rows: DataFrame, specs: DataFrame, fold_table: DataFrame, penalties: bool = False) -> DataFrame:
     """The specification with the lowest score per episode: the median fold error of log1p, or with
-    penalties its upper quartile plus terms for over-fitting and flat series."""
+    penalties the score of `penalised`."""
     targets = fold_table.join(_victims(rows).select("episode_id", "hidden_unit"), "episode_id").withColumn("excluded_unit", F.lit(""))
-    out = fits(rows, _jobs(specs, targets, "spec_id", "fold_id"))
-    d = F.log1p(F.greatest("y_obs", F.lit(0.0))) - F.log1p("mu0_hat")
-    pre = out.filter("t < treat_start AND y_obs IS NOT NULL").withColumn("d2", d * d)
-    per = pre.groupBy(*JOB).agg(
-        F.sqrt(F.avg(F.when(F.col("hidden") == 1, F.col("d2")))).alias("hold"), F.sqrt(F.avg(F.when(F.col("hidden") == 0, F.col("d2")))).alias("train"),
-        (F.stddev_pop("mu0_hat") / F.greatest(F.stddev_pop("y_obs"), F.lit(1e-6))).alias("spread"),
-    )
-    per = per.withColumn("spec_id", F.substring_index("job_id", "|", 1))
-    if penalties:
-        train, spread = F.percentile("train", 0.5), F.min("spread")
-        score = F.percentile("hold", 0.75) + 5 * F.greatest(0.15 - train, F.lit(0.0)) + 6 * F.greatest(0.9 - spread, F.lit(0.0))
-    else:
-        score = F.percentile("hold", 0.5)
-    best = per.groupBy("episode_id", "spec_id").agg(score.alias("score")).filter("score IS NOT NULL")
+    per = _fold_rows(fits(rows, _jobs(specs, targets, "spec_id", "fold_id"))).withColumn("spec_id", F.substring_index("job_id", "|", 1))
+    best = penalised(per) if penalties else per.groupBy("episode_id", "spec_id").agg(F.percentile("hold", 0.5).alias("score"))
     w = Window.partitionBy("episode_id").orderBy("score", "spec_id")
-    best = best.withColumn("n", F.row_number().over(w)).filter("n = 1").select("episode_id", "spec_id", "score")
+    best = best.filter("score IS NOT NULL").withColumn("n", F.row_number().over(w)).filter("n = 1").select("episode_id", "spec_id", "score")
     return specs.join(best, ["episode_id", "spec_id"])
 
 
@@ -168,6 +228,22 @@ def counterfactual(rows: DataFrame, specs: DataFrame) -> DataFrame:
     return fits(rows, _jobs(specs, v.withColumn("excluded_unit", F.lit("")), "spec_id"))
 
 
+def final_run(rows: DataFrame, specs: DataFrame, fold_table: DataFrame, embargo: int = 2, bags: int = 2, calibrate_last: int = 28, smooth_half: int = 0) -> DataFrame:
+    """The victim's final series: the last PRE periods under embargo, the median of the fit and of `bags` more that
+    each hide a fold, without growth of the penalties; level calibration, smoothing, nothing below 0."""
+    v = _victims(rows).withColumn("excluded_unit", F.lit("")).withColumn("embargo", F.lit(embargo))
+    none = v.select("episode_id", "hidden_unit", "excluded_unit", "embargo", F.lit("all").alias("bag"), F.col("treat_start").alias("gap_from"), F.col("treat_start").alias("hide_from"), F.col("last_t").alias("hide_to"))
+    first = F.row_number().over(Window.partitionBy("episode_id").orderBy("hide_from"))
+    bag = fold_table.withColumn("n", first).filter(F.col("n") <= bags).join(v, "episode_id")
+    bag = bag.select("episode_id", "hidden_unit", "excluded_unit", "embargo", F.col("fold_id").alias("bag"), "gap_from", "hide_from", "hide_to")
+    plain = specs.drop(*[c for c in ("growth", "cap") if c in specs.columns])
+    out = fits(rows, _jobs(plain, none.unionByName(bag), "spec_id", "bag"))
+    cf = as_series(out.groupBy("episode_id", "t", "treat_start").agg(F.first("y_obs").alias("y_obs"), F.percentile("mu0_hat", 0.5).alias("mu0_hat")))
+    cf = level_calibration(cf, calibrate_last)
+    cf = smooth(cf, smooth_half) if smooth_half else cf
+    return cf.withColumn("mu0_hat", F.greatest("mu0_hat", F.lit(0.0)))
+
+
 def placebo_space(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """The same with each control in the victim's place."""
     v = _victims(rows).select("episode_id", F.col("treat_start").alias("hide_from"), F.col("last_t").alias("hide_to"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+import random
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -11,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promolens.functions.scalars import clip_to_unit
+from promolens.functions.scalars import clip_to_unit, counts_like
 from promolens.operators.metrics import ols_calibration
 from promolens.schema import UNIT
 
@@ -24,6 +27,7 @@ class Learner:
     propensity: str = "logistic"  # logistic, boosting
     weight: str = "w"
     params: dict = field(default_factory=dict)
+    propensity_params: dict = field(default_factory=dict)
 
 
 def time_folds(rows: DataFrame, horizon: int, k: int, embargo: int = 1) -> DataFrame:
@@ -82,14 +86,16 @@ def _regressor(spec: Learner, label: str, features: list[str]):
     return Pipeline(stages=[*stages, make[spec.model]()])
 
 
-def fit_predict(train: DataFrame, to: DataFrame, spec: Learner, label: str, name: str, features: list[str] | None = None) -> DataFrame:
-    """`to` with the prediction `name`; without varied training rows it is their weighted mean, or 0."""
+def fit(train: DataFrame, spec: Learner, label: str, features: list[str] | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """A function of (rows, name) that adds the prediction `name`. Fitted once, however many tables it is
+    applied to; without varied training rows it predicts their weighted mean, or 0."""
     features = features or spec.features
-    seen = train.filter(F.col(label).isNotNull()).agg(F.count("*"), F.sum(F.col(label) * F.col(spec.weight)) / F.sum(spec.weight), F.stddev_pop(label)).first()
+    train = train.filter(F.col(label).isNotNull())
+    seen = train.agg(F.count("*"), F.sum(F.col(label) * F.col(spec.weight)) / F.sum(spec.weight), F.stddev_pop(label)).first()
     if seen[0] < 10 or not seen[2]:
-        return to.withColumn(name, F.lit(float(seen[1] or 0.0)))
-    model = _regressor(spec, label, features).fit(train.filter(F.col(label).isNotNull()).na.fill(0.0, features))
-    return model.transform(to.na.fill(0.0, features)).withColumnRenamed("__p", name).drop("__raw", "__x")
+        return lambda to, name: to.withColumn(name, F.lit(float(seen[1] or 0.0)))
+    model = _regressor(spec, label, features).fit(train.na.fill(0.0, features))
+    return lambda to, name: model.transform(to.na.fill(0.0, features)).withColumnRenamed("__p", name).drop("__raw", "__x")
 
 
 def propensity(train: DataFrame, to: DataFrame, spec: Learner, name: str = "p") -> DataFrame:
@@ -98,36 +104,37 @@ def propensity(train: DataFrame, to: DataFrame, spec: Learner, name: str = "p")
     if share in (0.0, 1.0):
         return to.withColumn(name, F.lit(min(max(float(share), 0.001), 0.999)))
     cls = LogisticRegression if spec.propensity == "logistic" else GBTClassifier
-    common = {"labelCol": "D_bin", "featuresCol": "__x", "weightCol": spec.weight, "predictionCol": "__c", "rawPredictionCol": "__r", "probabilityCol": "__q"}
-    model = Pipeline(stages=[VectorAssembler(inputCols=spec.features, outputCol="__x", handleInvalid="keep"), cls(**common)]).fit(train.na.fill(0.0, spec.features))
+    common = {"labelCol": "D_bin", "featuresCol": "__x", "weightCol": spec.weight, "predictionCol": "__c"}
+    model = Pipeline(stages=[VectorAssembler(inputCols=spec.features, outputCol="__x", handleInvalid="keep"), cls(**(common | spec.propensity_params))]).fit(train.na.fill(0.0, spec.features))
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(to.na.fill(0.0, spec.features)).withColumn(name, vector_to_array("__q")[1])
-    return out.withColumn(name, F.greatest(F.least(name, F.lit(0.999)), F.lit(0.001))).drop("__x", "__c", "__r", "__q")
+    out = model.transform(to.na.fill(0.0, spec.features)).withColumn(name, vector_to_array("probability")[1])
+    return out.withColumn(name, F.greatest(F.least(name, F.lit(0.999)), F.lit(0.001))).drop("__x", "__c", "rawPrediction", "probability")
 
 
 def t_learner(train: DataFrame, to: DataFrame, spec: Learner) -> DataFrame:
-    out = fit_predict(train.filter("D_bin = 0"), to, spec, "y", "mu0_hat")
-    out = fit_predict(train.filter("D_bin = 1"), out, spec, "y", "mu1_hat")
-    return out.withColumn("tau_hat", F.col("mu1_hat") - F.col("mu0_hat"))
+    mu0, mu1 = (fit(train.filter(F.col("D_bin") == d), spec, "y") for d in (0, 1))
+    return mu1(mu0(to, "mu0_hat"), "mu1_hat").withColumn("tau_hat", F.col("mu1_hat") - F.col("mu0_hat"))
 
 
 def s_learner(train: DataFrame, to: DataFrame, spec: Learner, reference: float = 0.0) -> DataFrame:
-    names = [*spec.features, "D_cont"]
-    out = to.withColumn("__d", F.col("D_cont"))
-    out = fit_predict(train, out.withColumn("D_cont", F.lit(reference)), spec, "y", "mu0_hat", names)
-    out = fit_predict(train, out.withColumn("D_cont", F.col("__d")), spec, "y", "mu1_hat", names).drop("__d")
+    model = fit(train, spec, "y", [*spec.features, "D_cont"])
+    out = model(to.withColumn("__d", F.col("D_cont")).withColumn("D_cont", F.lit(reference)), "mu0_hat")
+    out = model(out.withColumn("D_cont", F.col("__d")), "mu1_hat").drop("__d")
     return out.withColumn("tau_hat", F.col("mu1_hat") - F.col("mu0_hat"))
 
 
-def x_learner(train: DataFrame, to: DataFrame, spec: Learner) -> DataFrame:
-    """Effects imputed on either side, blended by the propensity: tau = p x g0 + (1 - p) x g1."""
-    out = t_learner(train, to, spec)
-    both = t_learner(train, train, spec)
-    d1 = both.filter("D_bin = 1").withColumn("d", F.col("y") - F.col("mu0_hat"))
-    d0 = both.filter("D_bin = 0").withColumn("d", F.col("mu1_hat") - F.col("y"))
-    out = fit_predict(d1, fit_predict(d0, out, spec, "d", "g0"), spec, "d", "g1")
-    out = propensity(train, out, spec)
+def x_learner(train: DataFrame, to: DataFrame, spec: Learner, least: int = 10) -> DataFrame:
+    """Effects imputed on either side, blended by the propensity: tau = p x g0 + (1 - p) x g1. With fewer than
+    `least` training rows on a side, the T-learner's."""
+    mu0, mu1 = (fit(train.filter(F.col("D_bin") == d), spec, "y") for d in (0, 1))
+    out = mu1(mu0(to, "mu0_hat"), "mu1_hat")
+    sides = train.agg(F.sum("D_bin"), F.sum(1 - F.col("D_bin"))).first()
+    if min(n or 0 for n in sides) < least:
+        return out.withColumn("tau_hat", F.col("mu1_hat") - F.col("mu0_hat"))
+    g1 = fit(mu0(train.filter("D_bin = 1"), "__m").withColumn("d", F.col("y") - F.col("__m")), spec, "d")
+    g0 = fit(mu1(train.filter("D_bin = 0"), "__m").withColumn("d", F.col("__m") - F.col("y")), spec, "d")
+    out = propensity(train, g1(g0(out, "g0"), "g1"), spec)
     out = out.withColumn("tau_hat", F.col("p") * F.col("g0") + (1 - F.col("p")) * F.col("g1"))
     return out.withColumn("mu1_hat", F.col("mu0_hat") + F.col("tau_hat")).drop("g0", "g1", "p")
 
@@ -185,8 +192,35 @@ def temporal_score(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame)
     return float(r["m"] + 0.1 * r["sd"])
 
 
+#: name, low, high, on a log scale, whole number: what a search draws for each model
+SEARCH = {
+    "ridge": (("regParam", 1e-3, 10.0, True, False),),
+    "poisson": (("regParam", 1e-3, 1.0, True, False),),
+    "forest": (("numTrees", 10, 40, False, True), ("maxDepth", 3, 10, False, True), ("minInstancesPerNode", 1, 20, False, True)),
+    "boosting": (("maxDepth", 3, 8, False, True), ("stepSize", 0.01, 0.2, True, False), ("maxIter", 10, 40, False, True)),
+}
+
+
+def random_params(model: str, draws: int, seed: int = 42) -> list[dict]:
+    """Parameter sets drawn within the bounds of SEARCH; the same for the same seed."""
+    rng, out = random.Random(seed), []
+    for _ in range(draws):
+        drawn = {}
+        for name, low, high, log, whole in SEARCH[model]:
+            x = math.exp(rng.uniform(math.log(low), math.log(high))) if log else rng.uniform(low, high + (1 if whole else 0))
+            drawn[name] = min(int(x), int(high)) if whole else x
+        out.append(drawn)
+    return out
+
+
 def tune(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame, candidates: list[dict]) -> tuple[dict, float]:
     """The parameter set with the lowest temporal score; sets are few and tried in turn."""
-    scored = [(temporal_score(rows, kind, Learner(spec.features, spec.treatment, spec.model, spec.propensity, spec.weight, p), folds), i) for i, p in enumerate(candidates)]
+    scored = [(temporal_score(rows, kind, replace(spec, params=p), folds), i) for i, p in enumerate(candidates)]
     best = min(scored)
     return candidates[best[1]], best[0]
+
+
+def for_target(rows: DataFrame, spec: Learner, label: str = "y") -> Learner:
+    """spec with a Poisson model where the target looks like counts; forests stay."""
+    counts = rows.agg(counts_like(F.col(label))).first()[0]
+    return replace(spec, model="poisson") if counts and spec.model in ("ridge", "boosting") else spec

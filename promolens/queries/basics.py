@@ -354,8 +354,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("h13_count_target", "event_type:s counts:i", "SELECT event_type, (min(value) >= 0 AND avg((abs(value - round(value)) <= 0.05)::INT) >= 0.9)::INT AS counts FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    near = F.avg((F.abs(F.col("value") - F.round("value")) <= 0.05).cast("int"))
-    return t.raw("events").groupBy("event_type").agg(((F.min("value") >= 0) & (near >= 0.9)).cast("int").alias("counts"))
+    return t.raw("events").groupBy("event_type").agg(sc.counts_like(F.col("value")).cast("int").alias("counts"))
 
 
 @query("h14_clip_to_unit", "date:d store_nbr:i item_nbr:i clipped", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.operators import episodes as ep
@@ -334,21 +334,43 @@ def _(t: Tables) -> DataFrame:
     return t.placebos
 
 
+CTES["loo_draws"] = """
+  SELECT d.episode_id, 'DONOR' AS model_type, unit_id, avg(cf.y_obs - d.mu0_hat) AS att FROM others d JOIN cf ON cf.episode_id = d.episode_id AND cf.t = d.t
+  WHERE d.t >= d.treat_start AND d.mu0_hat IS NOT NULL GROUP BY ALL"""
+CTES["level_cf"] = """
+  SELECT c.episode_id, c.model_type, t, treat_start, y_obs, mu0_hat + coalesce(level, 0) AS mu0_hat FROM cf c LEFT JOIN (
+    SELECT episode_id, model_type, avg(e) AS level FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, model_type ORDER BY t DESC) AS k FROM cfe WHERE pre) WHERE k <= 6 GROUP BY ALL) l
+  ON l.episode_id = c.episode_id AND l.model_type = c.model_type"""
+CTES["ols_cf"] = """
+  SELECT episode_id, model_type, t, treat_start, y_obs, CASE WHEN n >= 5 AND v > 1e-9 THEN my + c / v * (mu0_hat - mx) ELSE mu0_hat END AS mu0_hat FROM cf JOIN (
+    SELECT episode_id, model_type, count(*) AS n, covar_pop(y_obs, mu0_hat) AS c, var_pop(mu0_hat) AS v, avg(mu0_hat) AS mx, avg(y_obs) AS my FROM cfe WHERE pre GROUP BY ALL) USING (episode_id, model_type)"""
+CTES["smooth_cf"] = "SELECT episode_id, model_type, t, treat_start, y_obs, sum(mu0_hat) OVER (PARTITION BY episode_id, model_type ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS mu0_hat FROM cf"
+CTES["spec_draws"] = " UNION ALL ".join(f"SELECT episode_id, model_type, '{n}' AS spec_id, avg(y_obs - mu0_hat) AS att FROM {c} WHERE t >= treat_start GROUP BY ALL" for n, c in (("plain", "cf"), ("level", "level_cf"), ("ols", "ols_cf"), ("smooth", "smooth_cf")))
 _flip = "least(avg((att > 0)::INT), avg((att < 0)::INT)) AS sign_flip_rate"
 CTES["sens"] = f"""
   SELECT episode_id, model_type, count(att) AS n, avg(att) AS mean, stddev_pop(att) AS sd, CASE WHEN abs(avg(att)) > 1e-8 THEN stddev_pop(att) / abs(avg(att)) END AS cv, max(att) - min(att) AS range, {_flip},
          quantile_cont(att, 0.05) AS q05, quantile_cont(att, 0.5) AS q50, CASE WHEN abs(quantile_cont(att, 0.5)) > 1e-8 THEN (quantile_cont(att, 0.75) - quantile_cont(att, 0.25)) / abs(quantile_cont(att, 0.5)) END AS robust_ratio
-  FROM draws GROUP BY ALL"""
+  FROM spec_draws GROUP BY ALL"""
 
 
 @query("d27_sensitivity", SERIES + "n:i mean sd cv range sign_flip_rate q05 q50 robust_ratio", "SELECT * FROM sens")
 def _(t: Tables) -> DataFrame:
-    return mt.sensitivity(t.draws)
+    return mt.sensitivity(t.spec_draws)
 
 
-@query("d29_leave_one_out", SERIES + "n:i sd min max range sign_flip_rate", f"SELECT episode_id, model_type, count(att) AS n, stddev_samp(att) AS sd, min(att) AS min, max(att) AS max, max(att) - min(att) AS range, {_flip} FROM draws GROUP BY ALL")
+@query("d27_gsc_sensitivity", SERIES + "n:i mean sd cv range sign_flip_rate")
 def _(t: Tables) -> DataFrame:
-    return mt.leave_one_out(t.draws)
+    return mt.sensitivity(t.gsc_draws)
+
+
+@query("d29_leave_one_out", SERIES + "n:i sd min max range sign_flip_rate", f"SELECT episode_id, model_type, count(att) AS n, stddev_samp(att) AS sd, min(att) AS min, max(att) AS max, max(att) - min(att) AS range, {_flip} FROM loo_draws GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return mt.leave_one_out(t.loo_draws)
+
+
+@query("d29_gsc_leave_one_out", SERIES + "n:i sd min max range sign_flip_rate")
+def _(t: Tables) -> DataFrame:
+    return mt.leave_one_out(t.gsc_loo)
 
 
 @query("d58_significance", "model_type:s significant median_p", "SELECT model_type, avg((p_value < 0.2)::INT) AS significant, quantile_cont(p_value, 0.5) AS median_p FROM placebos GROUP BY 1")
@@ -430,14 +452,35 @@ def _(t: Tables) -> DataFrame:
     return t.cf.join(t.episodes.select("episode_id", "pre_start"), "episode_id")
 
 
-@query("j28_report", "episode_id:s model_type:s rmspe_pre att_mean tau_sd cv_obs_pre p_value n_placebo:i sens_rel_sd mean_abs_smd")
+CTES["fit"] = f"""
+  SELECT episode_id, model_type, sqrt(avg(e * e) FILTER (pre)) / greatest(1, sqrt(avg(y_obs * y_obs) FILTER (pre))) AS rmspe_pre, stddev_pop(y_obs) FILTER (pre) / (avg(abs(y_obs)) FILTER (pre) + 1e-8) AS cv_obs_pre,
+         stddev_pop(e) FILTER (NOT pre) AS tau_sd, CASE WHEN abs(avg(e) FILTER (NOT pre)) > 1e-8 THEN stddev_pop(e) FILTER (NOT pre) / abs(avg(e) FILTER (NOT pre)) END AS tau_cv {_g}"""
+CTES["report"] = """
+  SELECT f.*, a.att_mean, a.n_post, p.p_value, p.n AS n_placebo, s.cv AS sens_rel_sd, s.sign_flip_rate AS sens_flip_rate, b.mean_abs_smd
+  FROM fit f JOIN att a ON a.episode_id = f.episode_id AND a.model_type = f.model_type LEFT JOIN placebos p ON p.episode_id = f.episode_id AND p.model_type = f.model_type
+  LEFT JOIN sens s ON s.episode_id = f.episode_id AND s.model_type = f.model_type LEFT JOIN (SELECT episode_id, avg(abs(smd)) AS mean_abs_smd FROM smd GROUP BY 1) b ON b.episode_id = f.episode_id"""
+REPORT = SERIES + "rmspe_pre att_mean tau_sd cv_obs_pre p_value n_placebo:i sens_rel_sd sens_flip_rate mean_abs_smd"
+
+
+def _report(t: Tables) -> DataFrame:
+    return mt.report(t.cf, t.rows, ["unit_sales", "onpromotion"], t.draws, t.spec_draws)
+
+
+@query("j28_report", REPORT, "SELECT * FROM report")
+def _(t: Tables) -> DataFrame:
+    return _report(t)
+
+
+@query("j28_gsc_report", REPORT)
 def _(t: Tables) -> DataFrame:
-    return mt.report(t.cf, t.rows, ["unit_sales", "onpromotion"], t.draws, t.draws)
+    return mt.report(t.gsc_cf, t.rows, ["unit_sales", "onpromotion"], t.gsc_placebos, t.gsc_draws)
 
 
-@query("d57_radar", "model_type:s fit stability heterogeneity balance significance")
+@query("d57_radar", "model_type:s fit stability heterogeneity balance significance", """
+  SELECT model_type, greatest(least(1 - quantile_cont(rmspe_pre, 0.5), 1), 0) AS fit, 1 / (1 + quantile_cont(sens_rel_sd, 0.5)) AS stability, greatest(least(quantile_cont(tau_cv, 0.5) / 2, 1), 0) AS heterogeneity,
+         greatest(least(1 - quantile_cont(mean_abs_smd, 0.5) / 0.5, 1), 0) AS balance, quantile_cont(p_value, 0.5) AS significance FROM report GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    return mt.radar(mt.report(t.cf, t.rows, ["unit_sales", "onpromotion"], t.draws, t.draws))
+    return mt.radar(_report(t))
 
 
 @query("a20_json_report", "value:s")
@@ -447,9 +490,9 @@ def _(t: Tables) -> DataFrame:
     return report_json(mt.att(t.cf))
 
 
-@query("j29_robustness", SERIES + "n:i sign_flip_rate p_value", "SELECT * FROM sens JOIN (SELECT episode_id, model_type, p_value FROM placebos) USING (episode_id, model_type)")
+@query("j29_robustness", SERIES + "n:i sign_flip_rate p_value", f"SELECT * FROM (SELECT episode_id, model_type, count(att) AS n, {_flip} FROM loo_draws GROUP BY ALL) JOIN (SELECT episode_id, model_type, p_value FROM placebos) USING (episode_id, model_type)")
 def _(t: Tables) -> DataFrame:
-    return mt.leave_one_out(t.draws).join(t.placebos.select("episode_id", "model_type", "p_value"), ["episode_id", "model_type"])
+    return mt.leave_one_out(t.loo_draws).join(t.placebos.select("episode_id", "model_type", "p_value"), ["episode_id", "model_type"])
 
 
 @query("j30_consolidated", "model_type:s att_mean_median p_value_median", "SELECT model_type, quantile_cont(att_mean, 0.5) AS att_mean_median, quantile_cont(p_value, 0.5) AS p_value_median FROM att LEFT JOIN placebos USING (episode_id, model_type) GROUP BY 1")
@@ -496,10 +539,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("c22_mapped_stats", KEY + "u_mean", """
-  SELECT p.*, coalesce(m, g) AS u_mean FROM panel p LEFT JOIN (SELECT store_nbr, item_nbr, avg(unit_sales) AS m FROM panel WHERE t < 40 AND item_nbr < 20 GROUP BY ALL) s ON s.store_nbr = p.store_nbr AND s.item_nbr = p.item_nbr,
-  (SELECT avg(m) AS g FROM (SELECT avg(unit_sales) AS m FROM panel WHERE t < 40 AND item_nbr < 20 GROUP BY store_nbr, item_nbr))""")
+  SELECT p.*, coalesce(m, g) AS u_mean FROM panel p LEFT JOIN (SELECT store_nbr, item_nbr, avg(unit_sales) AS m FROM panel WHERE t < 72 GROUP BY ALL) s ON s.store_nbr = p.store_nbr AND s.item_nbr = p.item_nbr,
+  (SELECT avg(m) AS g FROM (SELECT avg(unit_sales) AS m FROM panel WHERE t < 72 GROUP BY store_nbr, item_nbr))""")
 def _(t: Tables) -> DataFrame:
-    return meta.map_stats(t.sales, meta.unit_stats(t.sales.filter("t < 40 AND item_nbr < 20")), ["u_mean"])
+    return meta.map_stats(t.sales, meta.unit_stats(t.sales.filter("t < 72")), ["u_mean"])
 
 
 @query("d21_sample_weights", KEY + "w", "SELECT *, v / avg(v) OVER () AS w FROM (SELECT *, exp(-0.01 * (max(t) OVER () - t)) / count(*) OVER (PARTITION BY store_nbr, item_nbr) AS v FROM panel)")
@@ -517,11 +560,30 @@ def _(t: Tables) -> DataFrame:
     return meta.placebo_time(t.cf, 3)
 
 
-@query("j6_rolling_folds", "episode_id:s fold_id:s hide_from:i hide_to:i")
+CTES["folds"] = """
+  SELECT DISTINCT episode_id, 'f' || h AS fold_id, h - 1 AS gap_from, h AS hide_from, h + 2 AS hide_to FROM (
+    SELECT episode_id, a, unnest(list_append(CASE WHEN span >= 0 THEN list_transform(range(0, 3), lambda i: least(a + 4 + i * greatest(span // 3, 1), b - 2)) ELSE [b - 2] END, b - 2)) AS h
+    FROM (SELECT episode_id, min(t) AS a, max(t) AS b, max(t) - min(t) + 1 - 7 AS span FROM erows WHERE is_victim = 1 AND is_pre = 1 GROUP BY 1)) WHERE h - 1 - a >= 1"""
+
+
+@query("j6_rolling_folds", "episode_id:s fold_id:s gap_from:i hide_from:i hide_to:i", "SELECT * FROM folds")
 def _(t: Tables) -> DataFrame:
     return gsc.folds(t.rows)
 
 
+_masked = "SELECT r.episode_id, fold_id, unit_id, t, (NOT (t BETWEEN gap_from AND hide_to AND {rows}) AND NOT (is_victim = 1 AND t >= treat_start))::INT AS train_mask FROM erows r JOIN folds f ON f.episode_id = r.episode_id"
+
+
+@query("j7_holdout_mask", "episode_id:s fold_id:s unit_id:s t:i train_mask:i", _masked.format(rows="is_victim = 1"))
+def _(t: Tables) -> DataFrame:
+    return gsc.holdout_mask(t.rows, gsc.folds(t.rows))
+
+
+@query("j7_holdout_mask_all_rows", "episode_id:s fold_id:s unit_id:s t:i train_mask:i", _masked.format(rows="true"))
+def _(t: Tables) -> DataFrame:
+    return gsc.holdout_mask(t.rows, gsc.folds(t.rows), all_rows=True)
+
+
 @query("j5_scales", "episode_id:s scale")
 def _(t: Tables) -> DataFrame:
     return gsc.scales(t.rows)
@@ -542,6 +604,13 @@ def _(t: Tables) -> DataFrame:
     return gsc.as_series(gsc.counterfactual(t.rows, gsc.grid(t.rows, (2,), (0.1,))))
 
 
+@query("j2_two_stage_fit", SERIES + "t:i mu0_hat")
+def _(t: Tables) -> DataFrame:
+    """With growing penalties, without covariates: the low-rank steps alone."""
+    specs = gsc.grid(t.rows, (2,), (0.1,)).withColumns({"covariates": F.lit(False), "growth": F.lit(1.2), "cap": F.lit(2.0), "inner": F.lit(60)})
+    return gsc.as_series(gsc.counterfactual(t.rows, specs))
+
+
 @query("j8_grid_selection", "episode_id:s spec_id:s score")
 def _(t: Tables) -> DataFrame:
     return t.best_spec
@@ -549,12 +618,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("j9_random_search", "episode_id:s spec_id:s score")
 def _(t: Tables) -> DataFrame:
-    return gsc.select_spec(t.rows, gsc.random_specs(t.rows, 4), gsc.folds(t.rows), penalties=True)
+    return gsc.select_spec(t.rows, gsc.random_specs(t.rows, 8, tau=(0.02, 0.25), alpha=(1e-4, 0.2), schedule=True), gsc.folds(t.rows), penalties=True)
 
 
 @query("j10_placebo_space", "episode_id:s job_id:s att")
 def _(t: Tables) -> DataFrame:
-    return gsc.effects(gsc.placebo_space(t.rows, t.best_spec))
+    return t.gsc_placebos
 
 
 @query("j11_placebo_time", "episode_id:s job_id:s att")
@@ -564,17 +633,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("j12_leave_one_out", "episode_id:s job_id:s att")
 def _(t: Tables) -> DataFrame:
-    return gsc.effects(gsc.leave_one_out(t.rows, t.best_spec))
+    return t.gsc_loo
 
 
 @query("j13_global_sensitivity", "episode_id:s job_id:s att")
 def _(t: Tables) -> DataFrame:
-    return gsc.effects(gsc.counterfactual(t.rows, gsc.random_specs(t.rows, 6)))
+    return t.gsc_draws
 
 
 @query("j14_final_gsc", SERIES + "rmspe_pre att_mean")
 def _(t: Tables) -> DataFrame:
-    cf = mt.smooth(mt.level_calibration(gsc.as_series(gsc.counterfactual(gsc.prune_spiky(t.rows), t.best_spec)), 6), 0)
+    rows = gsc.prune_spiky(t.rows)
+    cf = gsc.final_run(rows, t.best_spec, gsc.folds(rows), embargo=1, bags=2, calibrate_last=6, smooth_half=1)
     return mt.fit(cf).join(mt.att(cf), ["episode_id", "model_type"])
 
 
@@ -591,9 +661,12 @@ def _(t: Tables) -> DataFrame:
     return placebo.effect_correlation(t.cells, t.cf.select("episode_id", "t", F.col("mu0_hat").alias("effect")))
 
 
-@query("g6_common_cells", "episode_id:s t:i", "SELECT episode_id, t FROM cells INTERSECT SELECT episode_id, t FROM cfe WHERE t % 2 = 0")
+@query("g6_common_cells", "episode_id:s t:i", "SELECT episode_id, t FROM cells INTERSECT SELECT episode_id, t FROM others WHERE mu0_hat IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    return t.cells.select("episode_id", "t").intersect(t.cf.filter("t % 2 = 0").select("episode_id", "t"))
+    """Cells of the victims' effects that leave-one-out means have too."""
+    w = Window.partitionBy("episode_id", "t")
+    others = t.rows.filter("is_victim = 0").withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1")
+    return t.cells.select("episode_id", "t").intersect(others.select("episode_id", "t"))
 
 
 @query("d53_heterogeneity_summary", "tau_mean tau_sd q25 q50 q75 iqr att_i_mean att_i_sd att_t_mean att_t_sd", """
@@ -640,9 +713,22 @@ def _(t: Tables) -> DataFrame:
     return meta.series(meta.cross_fit(t.stack, "S", spec, meta.time_folds(t.stack, 12, 1)), "S")
 
 
+@query("j16_boosting_learner", SERIES + "t:i y_obs mu0_hat")
+def _(t: Tables) -> DataFrame:
+    spec = meta.Learner(t.stack_features, model="boosting", params={"maxIter": 5, "maxDepth": 3})
+    return meta.series(meta.cross_fit(t.stack, "S", spec, meta.time_folds(t.stack, 12, 1)), "S")
+
+
+@query("j16_boosted_propensity", SERIES + "t:i y_obs mu0_hat")
+def _(t: Tables) -> DataFrame:
+    spec = meta.Learner(t.stack_features, propensity="boosting", propensity_params={"maxIter": 5, "maxDepth": 3})
+    return meta.series(meta.cross_fit(t.stack, "X", spec, meta.time_folds(t.stack, 12, 1)), "X")
+
+
 @query("j17_count_target", SERIES + "t:i y_obs mu0_hat")
 def _(t: Tables) -> DataFrame:
-    return meta.series(meta.cross_fit(t.stack, "S", meta.Learner(t.stack_features, model="poisson"), meta.time_folds(t.stack, 12, 1)), "S")
+    spec = meta.for_target(t.stack, meta.Learner(t.stack_features))
+    return meta.series(meta.cross_fit(t.stack, "S", spec, meta.time_folds(t.stack, 12, 1)), "S")
 
 
 @query("j21_filled_predictions", "episode_id:s rows:i filled:i")
@@ -653,6 +739,5 @@ def _(t: Tables) -> DataFrame:
 
 @query("j22_tuned_parameters", "regParam score")
 def _(t: Tables) -> DataFrame:
-    candidates = [{"regParam": r} for r in (0.01, 1.0)]
-    best, score = meta.tune(t.stack, "S", meta.Learner(t.stack_features), meta.time_folds(t.stack, 12, 2), candidates)
+    best, score = meta.tune(t.stack, "S", meta.Learner(t.stack_features), meta.time_folds(t.stack, 12, 2), meta.random_params("ridge", 4))
     return t.spark.createDataFrame([(best["regParam"], score)], "regParam double, score double")

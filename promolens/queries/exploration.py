@@ -135,10 +135,10 @@ def _(t: Tables) -> DataFrame:
     return io.read_panel(t.spark, path)
 
 
-@query("a9_store_shards", "store_nbr:i t:i item_nbr:i H_prop_raw", "SELECT * FROM exposure WHERE store_nbr = 3")
+@query("a9_store_shards", "store_nbr:i t:i item_nbr:i H_prop_raw", "SELECT * FROM exposure")
 def _(t: Tables) -> DataFrame:
     io.write_by_store(t.exposed, path := _path(t, "exposure"))
-    return t.spark.read.parquet(path).filter("store_nbr = 3")
+    return t.spark.read.parquet(path)
 
 
 @query("a16_exposure_sink", "store_nbr:i t:i item_nbr:i H_bin:i", "SELECT * FROM exposure")
@@ -177,6 +177,46 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+def _by_model(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    """df, written in a folder per model and read back."""
+    io.write_table(df, path := _path(t, name), "model_type")
+    return t.spark.read.parquet(path)
+
+
+@query("a17_panel_sink", "episode_id:s unit_id:s t:i unit_sales", "SELECT * FROM erows")
+def _(t: Tables) -> DataFrame:
+    io.write_table(t.rows, path := _path(t, "panels"))
+    return t.spark.read.parquet(path)
+
+
+@query("a17_observed_sink", "episode_id:s t:i unit_sales", "SELECT episode_id, t, unit_sales FROM erows WHERE is_victim = 1")
+def _(t: Tables) -> DataFrame:
+    io.write_table(t.rows.filter("is_victim = 1").select("episode_id", "t", "unit_sales"), path := _path(t, "observed"))
+    return t.spark.read.parquet(path)
+
+
+@query("a17_placebo_sink", "episode_id:s model_type:s unit_id:s att", "SELECT * FROM draws")
+def _(t: Tables) -> DataFrame:
+    return _by_model(t, t.draws, "placebos")
+
+
+@query("a17_leave_one_out_sink", "episode_id:s model_type:s unit_id:s att", "SELECT * FROM loo_draws")
+def _(t: Tables) -> DataFrame:
+    return _by_model(t, t.loo_draws, "loo")
+
+
+@query("a17_sensitivity_sink", "episode_id:s model_type:s spec_id:s att", "SELECT * FROM spec_draws")
+def _(t: Tables) -> DataFrame:
+    return _by_model(t, t.spec_draws, "sensitivity")
+
+
+@query("a17_metrics_sink", "episode_id:s model_type:s att_mean p_value", "SELECT * FROM att LEFT JOIN placebos USING (episode_id, model_type)")
+def _(t: Tables) -> DataFrame:
+    from promolens.operators import metrics as mt
+
+    return _by_model(t, mt.merge_latest(mt.att(t.cf), t.placebos.select("episode_id", "model_type", "p_value"), "p_value"), "causal_metrics")
+
+
 @query("a18_stack_sinks", "episode_id:s unit_id:s t:i onpromotion:i", "SELECT * FROM erows")
 def _(t: Tables) -> DataFrame:
     keys = ["episode_id", "unit_id", "t"]

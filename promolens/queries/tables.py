@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -155,6 +155,41 @@ class Tables(TestTables):
         d = d.filter("t >= treat_start AND mu0_hat IS NOT NULL")
         return d.groupBy("episode_id", "unit_id").agg(F.avg(F.col("unit_sales") - F.col("mu0_hat")).alias("att")).withColumn("model_type", F.lit("DONOR"))
 
+    @cached_property
+    def loo_draws(self) -> DataFrame:
+        """The victim's effect against the mean of all donors but one, by the donor left out."""
+        w = Window.partitionBy("episode_id", "t")
+        others = F.count(F.lit(1)).over(w) - 1
+        d = self.rows.filter("is_victim = 0").withColumn("mu0_hat", F.when(others > 0, (F.sum("unit_sales").over(w) - F.col("unit_sales")) / others))
+        d = d.join(self.cf.select("episode_id", "t", "y_obs"), ["episode_id", "t"]).filter("t >= treat_start AND mu0_hat IS NOT NULL")
+        return d.groupBy("episode_id", "unit_id").agg(F.avg(F.col("y_obs") - F.col("mu0_hat")).alias("att")).withColumn("model_type", F.lit("DONOR"))
+
+    @cached_property
+    def spec_draws(self) -> DataFrame:
+        """The victim's effect under each way to treat the donor mean: as it is, moved to PRE's level, regressed on PRE, smoothed."""
+        kinds = {"plain": self.cf, "level": mt.level_calibration(self.cf, 6), "ols": mt.ols_calibration(self.cf), "smooth": mt.smooth(self.cf)}
+        parts = [mt.att(df).select("episode_id", "model_type", F.lit(kind).alias("spec_id"), F.col("att_mean").alias("att")) for kind, df in kinds.items()]
+        return reduce(DataFrame.union, parts)
+
+    @cached_property
+    def gsc_cf(self) -> DataFrame:
+        return self.staged("gsc_cf", lambda: gsc.as_series(gsc.counterfactual(self.rows, self.best_spec)))
+
+    @cached_property
+    def gsc_draws(self) -> DataFrame:
+        return self.staged("gsc_draws", lambda: self._gsc(gsc.counterfactual(self.rows, gsc.random_specs(self.rows, 6))))
+
+    @cached_property
+    def gsc_loo(self) -> DataFrame:
+        return self.staged("gsc_loo", lambda: self._gsc(gsc.leave_one_out(self.rows, self.best_spec)))
+
+    @cached_property
+    def gsc_placebos(self) -> DataFrame:
+        return self.staged("gsc_placebos", lambda: self._gsc(gsc.placebo_space(self.rows, self.best_spec)))
+
+    def _gsc(self, fitted: DataFrame) -> DataFrame:
+        return gsc.effects(fitted).withColumn("model_type", F.lit("GSC"))
+
     @cached_property
     def placebos(self) -> DataFrame:
         return mt.placebo(self.draws, mt.att(self.cf))
