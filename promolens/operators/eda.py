@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions.scalars import hash_order
+from promolens.operators.ranks import buckets
 
 
 def daily_counts(panel: DataFrame, value: str = "unit_sales", rows: int = 7) -> DataFrame:
@@ -79,7 +80,7 @@ def episode_quality(index: DataFrame, donors: DataFrame, min_pre: int = 60, min_
 
 def sales_buckets(units: DataFrame, value: str, n: int = 5) -> DataFrame:
     """Units in n equal buckets by value; ties by id. One row per unit."""
-    return units.withColumn("bucket", F.ntile(n).over(Window.partitionBy(F.lit(0)).orderBy(value, "store_nbr", "item_nbr")))
+    return buckets(units, [value, "store_nbr", "item_nbr"], n, "bucket")
 
 
 def stratified_sample(episodes: DataFrame, strata: list[str], n: int, seed: int = 42) -> DataFrame:

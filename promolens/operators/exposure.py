@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promolens.operators.ranks import quantiles
 from promolens.schema import UNIT
 
 
@@ -38,6 +39,9 @@ def ema_alpha(alpha: float | None = None, halflife: float | None = None, span: f
     return 2 / (span + 1)
 
 
+EMA_BLOCK = 64  # rows whose means one fold gathers
+
+
 def ema(df: DataFrame, value: str, name: str, alpha: float, time: str = "t", unit: list[str] = UNIT) -> DataFrame:
     """Exponential mean per unit in time order. A missing value carries the last mean on and lets its
     weight decay; leading missing values stay missing. A group is one unit's series."""
@@ -51,8 +55,17 @@ def ema(df: DataFrame, value: str, name: str, alpha: float, time: str = "t", uni
         weight = F.when(x.isNull() & acc["y"].isNotNull(), w).otherwise(F.lit(1.0))
         return F.struct(y.alias("y"), weight.alias("w"), F.concat(acc["out"], F.array(y)).alias("out"))
 
+    # adding to an array copies it, so the values of a block are gathered first, and the blocks then
+    begin = F.struct(start["y"].alias("y"), start["w"].alias("w"), F.array().cast("array<array<double>>").alias("blocks"))
+
+    def block(acc: Column, i: Column) -> Column:
+        empty = F.struct(acc["y"].alias("y"), acc["w"].alias("w"), F.array().cast("array<double>").alias("out"))
+        inner = F.array(F.aggregate(F.slice("__rows", i * EMA_BLOCK + 1, F.lit(EMA_BLOCK)), empty, step))
+        return F.transform(inner, lambda b: F.struct(b["y"].alias("y"), b["w"].alias("w"), F.concat(acc["blocks"], F.array(b["out"])).alias("blocks")))[0]
+
     series = df.groupBy(*unit).agg(rows.alias("__rows"))
-    series = series.withColumn("__y", F.aggregate("__rows", start, step, lambda a: a["out"]))
+    each = F.sequence(F.lit(0), F.floor((F.size("__rows") - 1) / EMA_BLOCK).cast("int"))
+    series = series.withColumn("__y", F.flatten(F.aggregate(each, begin, block, lambda a: a["blocks"])))
     flat = series.select(*unit, F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__y").alias("y"))).alias("z"))
     return flat.select(*[F.col(f"z.r.{c}").alias(c) if c in keep else F.col(c) for c in df.columns if c != name], F.col("z.y").alias(name))
 
@@ -67,15 +80,14 @@ def winsorise(df: DataFrame, value: str, name: str, by: list[str], low: float =
 
     Two small tables of quantiles are joined back.
     """
-    bounds = [F.percentile(value, low).alias("lo"), F.percentile(value, high).alias("hi")]
-    whole = df.agg(bounds[0].alias("__glo"), bounds[1].alias("__ghi")).withColumn("__k", F.lit(1))  # one row
+    whole = quantiles(df, value, {"__glo": low, "__ghi": high}).drop("n").withColumn("__k", F.lit(1))  # one row
     if by:
-        groups = df.groupBy(*by).agg(F.count(value).alias("n"), *bounds)
+        groups = quantiles(df, value, {"lo": low, "hi": high}, by)
         groups = groups.select(*by, F.when(F.col("n") >= min_obs, F.col("lo")).alias("__lo"), F.when(F.col("n") >= min_obs, F.col("hi")).alias("__hi"))
         df = df.join(groups, by, "left")
     else:
         df = df.withColumns({"__lo": F.lit(None).cast("double"), "__hi": F.lit(None).cast("double")})
-    df = df.withColumn("__k", F.lit(1)).join(F.broadcast(whole), "__k")
+    df = df.withColumn("__k", F.lit(1)).join(F.broadcast(whole), "__k", "left")
     lo, hi = F.coalesce("__lo", "__glo"), F.coalesce("__hi", "__ghi")
     return df.withColumn(name, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), lo), hi))).drop("__k", "__lo", "__hi", "__glo", "__ghi")
 

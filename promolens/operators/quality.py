@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolens.functions.scalars import is_boolean_like, is_numeric_like, non_negative, promo_flag
+from promolens.operators.ranks import quantiles
 
 ISSUE = ["dataset", "check", "severity", "n_affected", "n_rows"]
 
@@ -93,7 +94,7 @@ def weekly_negative(panel: DataFrame, dataset: str = "sales", period: str = "wee
 
 def iqr_bound(df: DataFrame, column: str, k: float = 6.0) -> DataFrame:
     """One row: the upper bound q3 + k x IQR, or the 99.9th percentile where the IQR is 0."""
-    q = df.agg(*[F.percentile(column, p).alias(n) for n, p in (("q1", 0.25), ("q3", 0.75), ("q999", 0.999))])
+    q = quantiles(df, column, {"q1": 0.25, "q3": 0.75, "q999": 0.999})
     return q.select(F.when(F.col("q3") > F.col("q1"), F.col("q3") + k * (F.col("q3") - F.col("q1"))).otherwise(F.col("q999")).alias("bound"))
 
 

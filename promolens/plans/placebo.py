@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promolens.functions.scalars import hash_order
 from promolens.operators.metrics import correlation
+from promolens.operators.ranks import buckets
 
 
 def derive_treatment(rows: DataFrame, adopted: str = "treat_start", unit: str = "unit_id") -> DataFrame:
@@ -29,7 +30,7 @@ def unit_changes(rows: DataFrame) -> DataFrame:
     ).filter("change IS NOT NULL")
 
 
-def assignment_test(rows: DataFrame, draws: int = 50, seed: int = 42, controls_only: bool = False) -> DataFrame:
+def assignment_test(rows: DataFrame, draws: int = 200, seed: int = 42, controls_only: bool = False) -> DataFrame:
     """Difference-in-differences against random assignments of the treatment: one grouped aggregate over
     (episode, draw). Per episode: att, p (two-sided), quantiles of the placebo effects."""
     changes = unit_changes(rows)
@@ -59,8 +60,7 @@ def best_of_grid(fitted: DataFrame) -> DataFrame:
 
 def subgroup_effects(effects: DataFrame, feature: str, bins: int = 4) -> DataFrame:
     """Effects of units by quantile bins of a unit-level feature."""
-    b = F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy(feature, "episode_id"))  # one row per unit
-    return effects.withColumn("bin", b).groupBy("bin").agg(F.count("*").alias("n"), F.avg("att").alias("mean"), F.stddev_samp("att").alias("sd"))
+    return buckets(effects, [feature, "episode_id"], bins, "bin").groupBy("bin").agg(F.count("*").alias("n"), F.avg("att").alias("mean"), F.stddev_samp("att").alias("sd"))
 
 
 def effect_correlation(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -393,7 +393,7 @@ def _(t: Tables) -> DataFrame:
     return mt.top_by_abs(mt.att(t.cf), "att_mean", 25)
 
 
-CTES["att2"] = "SELECT * FROM att UNION ALL SELECT episode_id, 'HALF', att_mean / 2, att_sum / 2, n_post FROM att WHERE n_post > 5"
+CTES["att2"] = "SELECT * FROM att UNION ALL SELECT episode_id, 'OLS', avg(y_obs - mu0_hat), sum(y_obs - mu0_hat), count(*) FROM ols_cf WHERE t >= treat_start GROUP BY episode_id HAVING count(*) > 5"
 
 
 @query("d30_summary_by_model", "model_type:s att_mean_median att_mean_mean att_mean_sd att_mean_n:i", "SELECT model_type, quantile_cont(att_mean, 0.5) AS att_mean_median, avg(att_mean) AS att_mean_mean, stddev_samp(att_mean) AS att_mean_sd, count(att_mean) AS att_mean_n FROM att2 GROUP BY 1")
@@ -416,9 +416,9 @@ def _(t: Tables) -> DataFrame:
     return mt.coverage(t.episodes, t.two_models)
 
 
-@query("g4_missing_episodes", "episode_id:s", "SELECT episode_id FROM episodes EXCEPT SELECT episode_id FROM att2 WHERE model_type = 'HALF'")
+@query("g4_missing_episodes", "episode_id:s", "SELECT episode_id FROM episodes EXCEPT SELECT episode_id FROM att2 WHERE model_type = 'OLS'")
 def _(t: Tables) -> DataFrame:
-    return mt.missing_episodes(t.episodes, t.two_models.filter("model_type = 'HALF'"))
+    return mt.missing_episodes(t.episodes, t.two_models.filter("model_type = 'OLS'"))
 
 
 @query("g5_computed_episodes", "episode_id:s", "SELECT DISTINCT episode_id FROM att2")
@@ -426,9 +426,9 @@ def _(t: Tables) -> DataFrame:
     return t.two_models.select("episode_id").distinct()
 
 
-@query("c17_coverage_flags", "episode_id:s donor:i half:i any:i", "SELECT episode_id, (episode_id IN (SELECT episode_id FROM att))::INT AS donor, (episode_id IN (SELECT episode_id FROM att WHERE n_post > 5))::INT AS half, (episode_id IN (SELECT episode_id FROM att))::INT AS \"any\" FROM (SELECT DISTINCT episode_id FROM episodes)")
+@query("c17_coverage_flags", "episode_id:s donor:i ols:i any:i", "SELECT episode_id, (episode_id IN (SELECT episode_id FROM att))::INT AS donor, (episode_id IN (SELECT episode_id FROM att2 WHERE model_type = 'OLS'))::INT AS ols, (episode_id IN (SELECT episode_id FROM att))::INT AS \"any\" FROM (SELECT DISTINCT episode_id FROM episodes)")
 def _(t: Tables) -> DataFrame:
-    return mt.coverage_flags(t.episodes, {"donor": mt.att(t.cf), "half": t.two_models.filter("model_type = 'HALF'")})
+    return mt.coverage_flags(t.episodes, {"donor": mt.att(t.cf), "ols": t.two_models.filter("model_type = 'OLS'")})
 
 
 @query("c16_merge_metrics", SERIES + "att_mean p_value", "SELECT * FROM att LEFT JOIN placebos USING (episode_id, model_type)")
@@ -511,7 +511,7 @@ CTES["changes"] = """
   SELECT * FROM (SELECT episode_id, unit_id, is_victim, avg(unit_sales) FILTER (is_pre = 0) - avg(unit_sales) FILTER (is_pre = 1) AS change FROM erows GROUP BY ALL) WHERE change IS NOT NULL"""
 CTES["fake"] = """
   SELECT episode_id, draw, avg(change) FILTER (k = 1) - avg(change) FILTER (k > 1) AS x FROM (
-    SELECT *, row_number() OVER (PARTITION BY episode_id, draw ORDER BY md5(concat_ws('|', episode_id, draw, unit_id, 42))) AS k FROM (SELECT *, unnest(range(0, 50)) AS draw FROM changes)) GROUP BY ALL"""
+    SELECT *, row_number() OVER (PARTITION BY episode_id, draw ORDER BY md5(concat_ws('|', episode_id, draw, unit_id, 42))) AS k FROM (SELECT *, unnest(range(0, 200)) AS draw FROM changes)) GROUP BY ALL"""
 
 
 @query("j26_assignment_test", "episode_id:s att n:i p_value q05 q50 q95", """
@@ -656,9 +656,9 @@ def _(t: Tables) -> DataFrame:
 CTES["cells"] = "SELECT episode_id, t, e AS effect FROM cfe WHERE NOT pre"
 
 
-@query("d51_effect_correlation", "n:i corr", "SELECT count(*) AS n, corr(a.effect, b.effect) AS corr FROM cells a JOIN (SELECT episode_id, t, mu0_hat AS effect FROM cfe) b ON a.episode_id = b.episode_id AND a.t = b.t")
+@query("d51_effect_correlation", "n:i corr", "SELECT count(*) AS n, corr(a.effect, b.effect) AS corr FROM cells a JOIN (SELECT episode_id, t, y_obs - mu0_hat AS effect FROM ols_cf) b ON a.episode_id = b.episode_id AND a.t = b.t")
 def _(t: Tables) -> DataFrame:
-    return placebo.effect_correlation(t.cells, t.cf.select("episode_id", "t", F.col("mu0_hat").alias("effect")))
+    return placebo.effect_correlation(t.cells, mt.ols_calibration(t.cf).select("episode_id", "t", (F.col("y_obs") - F.col("mu0_hat")).alias("effect")))
 
 
 @query("g6_common_cells", "episode_id:s t:i", "SELECT episode_id, t FROM cells INTERSECT SELECT episode_id, t FROM others WHERE mu0_hat IS NOT NULL")

@@ -62,7 +62,7 @@ _cand = """
          sqrt(0.5 * (d.h_mean - v.h_mean) ** 2 + 0.2 * (d.h_sd - v.h_sd) ** 2 + 0.3 * (d.p_any - v.p_any) ** 2) AS distance
   FROM episodes e JOIN profiles v ON v.store_nbr = e.j_store AND v.item_nbr = e.j_item JOIN profiles d ON {on} AND d.store_nbr <> e.j_store AND d.store_nbr <> e.i_store"""
 CTES["donor_all"] = _cand.format(kind="same_item", on="d.item_nbr = e.j_item") + " UNION ALL " + _cand.format(kind="same_class", on="d.class = e.class AND d.item_nbr <> e.j_item")
-CTES["donor_near"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, donor_kind ORDER BY distance, store_nbr, item_nbr) AS near FROM donor_all) WHERE near <= 40"
+CTES["donor_near"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, donor_kind ORDER BY distance, store_nbr, item_nbr) AS near FROM donor_all) WHERE near <= 120"
 CTES["donor_own"] = _stats.format(units="donor_near")
 CTES["donor_stats"] = """
   SELECT *, gap / greatest(abs(v_pre_mean), 1e-6) AS rel FROM (
@@ -254,24 +254,25 @@ def _(t: Tables) -> DataFrame:
 CAND = "episode_id:s " + UNIT + "donor_kind:s distance"
 
 
-@query("c9_same_item_candidates", CAND, "SELECT * FROM donor_all WHERE donor_kind = 'same_item'")
+@query("c9_same_item_candidates", CAND, "SELECT * FROM donor_near WHERE donor_kind = 'same_item'")
 def _(t: Tables) -> DataFrame:
-    return dn.candidates(t.episodes, t.profiles, 1 << 30).filter("donor_kind = 'same_item'")
+    return t.donor_candidates.filter("donor_kind = 'same_item'")
 
 
-@query("c10_same_class_candidates", CAND, "SELECT * FROM donor_all WHERE donor_kind = 'same_class'")
+@query("c10_same_class_candidates", CAND, "SELECT * FROM donor_near WHERE donor_kind = 'same_class'")
 def _(t: Tables) -> DataFrame:
-    return dn.candidates(t.episodes, t.profiles, 1 << 30).filter("donor_kind = 'same_class'")
+    return t.donor_candidates.filter("donor_kind = 'same_class'")
 
 
-@query("f1_nearest_candidates", CAND, "SELECT * FROM donor_near")
+@query("f1_nearest_candidates", CAND, "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, donor_kind ORDER BY distance, store_nbr, item_nbr) AS k FROM donor_all) WHERE k <= 20")
 def _(t: Tables) -> DataFrame:
-    return t.donor_candidates
+    """Fewer than the flow's own cut, so that the cut takes effect in these small classes."""
+    return dn.candidates(t.episodes, t.profiles, 20)
 
 
-@query("h10_profile_distance", CAND, "SELECT * FROM donor_all WHERE distance <= 0.05")
+@query("h10_profile_distance", CAND, "SELECT * FROM donor_near WHERE distance <= 0.05")
 def _(t: Tables) -> DataFrame:
-    return dn.candidates(t.episodes, t.profiles, 1 << 30).filter("distance <= 0.05")
+    return t.donor_candidates.filter("distance <= 0.05")
 
 
 @query("d15_donor_stats", "episode_id:s " + UNIT + "pre_mean pre_sd pre_p95 pre_max coverage", "SELECT * FROM donor_stats")

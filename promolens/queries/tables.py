@@ -27,12 +27,19 @@ class Tables(TestTables):
         super().__init__(spark, sf_dir)
         self.cfg = Config.monthly()
 
-    #: Tables that were written to the shared folder, by application, test folder and name.
-    written: ClassVar[dict[tuple[str, str, str], DataFrame]] = {}
+    #: Tables that were written to the shared folder, by application, test folder with its state, and name.
+    written: ClassVar[dict[tuple[str, str, str, str], DataFrame]] = {}
+
+    @cached_property
+    def state(self) -> str:
+        """Changes when files of the test folder do."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.dir)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return "|".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
 
     def staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Few rows from a deep plan: written once per application, then read by whatever needs them."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        key = (self.spark.sparkContext.applicationId, self.dir, self.state, name)
         if key not in self.written:
             self.written[key] = stage(build(), name)
         return self.written[key]
@@ -197,8 +204,8 @@ class Tables(TestTables):
     @cached_property
     def two_models(self) -> DataFrame:
         att = mt.att(self.cf)
-        half = att.filter("n_post > 5").select("episode_id", F.lit("HALF").alias("model_type"), (F.col("att_mean") / 2).alias("att_mean"), (F.col("att_sum") / 2).alias("att_sum"), "n_post")
-        return att.unionByName(half, allowMissingColumns=True)
+        ols = mt.att(mt.ols_calibration(self.cf).withColumn("model_type", F.lit("OLS"))).filter("n_post > 5")
+        return att.unionByName(ols)
 
     @cached_property
     def best_spec(self) -> DataFrame:

@@ -30,7 +30,8 @@ HOLIDAYS = T.StructType([T.StructField("date", T.DateType()), *[T.StructField(c,
 class Config:
     """Thresholds and window lengths; windows count periods of the integer time column t.
 
-    The defaults are those of daily panels; `monthly()` fits the month panel of the test tables.
+    Fixed values: the defaults are those of daily panels. `monthly()` fits the month panel of the test
+    tables: its windows and thresholds, and fewer cannibals and victims, each with a fit of its own.
     """
 
     bin_threshold: float = 0.02
@@ -68,7 +69,7 @@ class Config:
     def monthly() -> Config:
         return Config(
             window=(53, 107), min_run=2, min_item_obs=20, p_promo_j_max=0.16, top_cannibals=40, top_victims=5, pre=12, gap=1,
-            treat_max=3, post=6, pre_coverage=0.40, pre_zero_max=0.80, pre_cv_max=3.0, donor_preselect=40, donor_coverage=0.40,
+            treat_max=3, post=6, pre_coverage=0.40, pre_zero_max=0.80, pre_cv_max=3.0, donor_coverage=0.40,
             donor_promo_max=0.20, donor_avail_min=0.40, lags=(1, 2, 3, 6),
         )
 
