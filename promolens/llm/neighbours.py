@@ -3,8 +3,9 @@
 A bounded sample's nearest-neighbour graph is cut into balanced parts by recursive spectral
 bisection with swaps; a small network learns where a vector's neighbours lie, as shares of the parts. It
 gives every row of the table to its most probable part and routes each query to the most probable
-ones until their shares reach `mass`: few in clustered data, most of them where neighbours lie
-scattered. There all rows are compared in double precision. The number of parts follows that of rows,
+ones until their shares reach a mass: few in clustered data, most of them where neighbours lie
+scattered. The mass is the least that finds the wanted share of the neighbours of sampled vectors that
+neither graph nor network has seen. There all rows are compared in double precision. The number of parts follows that of rows,
 as far as the sample can tell parts apart; parts are dealt in blocks of bounded size for rows and
 queries, so no group grows with the table.
 
@@ -35,7 +36,8 @@ class Params:
     part_rows: int = 500  # rows of a part that the number of parts, a power of two, aims at
     least_sampled: int = 16  # sampled vectors of a part, which bounds the number of parts
     graph_k: int = 10
-    mass: float = 0.95  # share of a query's neighbours that its parts are expected to hold
+    held_rows: int = 1024  # bound on the further sampled vectors, which set the mass; a fifth of a small sample
+    found: float = 0.97  # share of these vectors' neighbours that their parts hold
     block_rows: int = 20_000
     block_queries: int = 2_000
     hidden: int = 256
@@ -140,11 +142,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _shares_of(x: np.ndarray, net: list[np.ndarray]) -> np.ndarray:
+    return _softmax(np.maximum(x * np.sqrt(x.shape[1]) @ net[0] + net[1], 0) @ net[2] + net[3])
+
+
 def _probable(x: np.ndarray, net: list[np.ndarray], mass: float) -> list[np.ndarray]:
     """Parts of each vector, most probable first, until their shares reach mass."""
-    p = _softmax(np.maximum(_unit(x) * np.sqrt(x.shape[1]) @ net[0] + net[1], 0) @ net[2] + net[3])
+    p = _shares_of(_unit(x), net)
     order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
-    count = (np.cumsum(np.take_along_axis(p, order, 1), axis=1) < mass).sum(axis=1) + 1
+    count = np.minimum((np.cumsum(np.take_along_axis(p, order, 1), axis=1) < mass).sum(axis=1) + 1, p.shape[1])
     return [o[:n] for o, n in zip(order, count, strict=True)]
 
 
@@ -170,16 +176,31 @@ def usable(vectors: DataFrame) -> DataFrame:
     return save(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
 
 
-def fit(rows: DataFrame, params: Params) -> tuple[int, list[np.ndarray]]:
-    """The length of vectors that are indexed, and the network that tells their parts."""
+def fit(rows: DataFrame, params: Params) -> tuple[int, list[np.ndarray], float]:
+    """The length of vectors that are indexed, the network that tells their parts, and the mass that queries are routed to."""
     sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     rows = rows.filter(F.size("v") == sizes["size"])
-    sample = rows.orderBy(F.xxhash64(F.lit(params.seed), "vec_id", "v"), "vec_id").limit(params.sample_rows).select("v").toArrow()
+    sample = rows.orderBy(F.xxhash64(F.lit(params.seed), "vec_id", "v"), "vec_id").limit(params.sample_rows + params.held_rows).select("v").toArrow()
     x = _unit(_matrix(sample.column("v").combine_chunks()))
+    held = x[: min(params.held_rows, len(x) // 5)]
+    x = x[len(held) :]
     levels = max(int(np.log2(min(sizes["count"] / params.part_rows * 2, len(x) / params.least_sampled))), 0)
     if not levels or len(x) < 3:
-        return sizes["size"], train(x, np.ones((len(x), 1)), params)
-    return sizes["size"], train(x, shares(x, balanced_parts(x, levels, params.graph_k), params.graph_k), params)
+        return sizes["size"], train(x, np.ones((len(x), 1)), params), 1.0
+    net = train(x, shares(x, balanced_parts(x, levels, params.graph_k), params.graph_k), params)
+    return sizes["size"], net, needed_mass(held, np.concatenate([held, x]), net, params)
+
+
+def needed_mass(held: np.ndarray, x: np.ndarray, net: list[np.ndarray], params: Params) -> float:
+    """The least mass at which the wanted share of the neighbours among x of held (its first rows) is found."""
+    part, p = _shares_of(x, net).argmax(axis=1), _shares_of(held, net)
+    order = np.argsort(-p, axis=1, kind="stable")
+    before = np.zeros_like(p)  # the shares of more probable parts
+    np.put_along_axis(before, order, np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1), 1)
+    s = held @ x.T
+    s[np.arange(len(held)), np.arange(len(held))] = -2
+    near = np.argpartition(-s, params.graph_k - 1, axis=1)[:, : params.graph_k]
+    return float(np.quantile(np.take_along_axis(before, part[near], 1), params.found, method="higher")) + 1e-9
 
 
 def routed(rows: DataFrame, size: int, net: list[np.ndarray], mass: float) -> DataFrame:
@@ -207,9 +228,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, params: Params = Pa
     spark, rows = vectors.sparkSession, usable(vectors)
     if rows.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, net = fit(rows, params)
+    size, net, mass = fit(rows, params)
     index = save(routed(rows, size, net, 0.0).withColumn("part", F.col("parts")[0]).drop("parts"), "index")
-    asked = routed(rows.filter(F.col("vec_id") % every == 0), size, net, params.mass)
+    asked = routed(rows.filter(F.col("vec_id") % every == 0), size, net, mass)
     queries = save(asked.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part")), "routed")
 
     # counts of the parts of either table, which `least_sampled` and the lengths bound, set the blocks
@@ -236,11 +257,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, params: Params = Pa
 def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of each query. A product of matrices sorts out all that can't be among them;
     the rest are scored pair by pair, so that equal vectors tie exactly."""
-    out: list[pd.DataFrame] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    ids, id_rows = queries["query_id"].to_numpy(), queries["row"].to_numpy()
     if len(queries) and len(rows):
         rows = rows.sort_values("vec_id", kind="stable")
         own, own_row, x = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), _scaled(np.stack(rows["v"].to_numpy()))
-        ids, id_rows, q = queries["query_id"].to_numpy(), queries["row"].to_numpy(), _scaled(np.stack(queries["q"].to_numpy()))
+        q = _scaled(np.stack(queries["q"].to_numpy()))
         x_norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         for at in range(0, len(ids), 64):
             part = slice(at, at + 64)
@@ -251,8 +273,9 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
                 near = np.flatnonzero((s[i] >= least[i] - 1e-9) & (s[i] > -np.inf))
                 score = (x[near] * q[j]).sum(axis=1) / (x_norm[near] * q_norm[j])
                 top = np.lexsort((own[near], -score))[:k]
-                out.append(pd.DataFrame({"query_row": id_rows[j], "query_id": ids[j], "vec_id": own[near[top]], "score": score[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
+                out.append((np.full(len(top), j), own[near[top]], score[top]))
+    place, found, score = (np.concatenate(a) for a in zip(*out, strict=True))
+    return pd.DataFrame({"query_row": id_rows[place], "query_id": ids[place], "vec_id": found, "score": score})
 
 
 def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:

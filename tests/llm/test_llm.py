@@ -541,8 +541,8 @@ def test_neighbours_scan_few_parts_of_clustered_vectors(spark):
     params = neighbours.Params(part_rows=200)
     assert recall(neighbours.nearest(df, params=params).collect(), nearest_by_brute_force([(i, v) for i, v in enumerate(x)])) >= 0.9
     rows = neighbours.usable(df)
-    size, net = neighbours.fit(rows, params)
-    parts = neighbours.routed(rows, size, net, params.mass).select(F.size("parts").alias("n")).agg(F.avg("n")).first()[0]
+    size, net, mass = neighbours.fit(rows, params)
+    parts = neighbours.routed(rows, size, net, mass).select(F.size("parts").alias("n")).agg(F.avg("n")).first()[0]
     assert net[3].shape[0] == 16 and parts / 16 < 0.3
 
 
