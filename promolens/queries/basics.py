@@ -306,7 +306,25 @@ def _audit(t: Tables) -> DataFrame:
     return q.audit(t.sales, t.items(), t.stores(), t.transactions(), t.oil(), t.holidays(), "1992-01-01", "1998-12-31")
 
 
-@query("i12_full_audit", ISSUE + " pct")
+_no = "false"
+_duplicates = lambda dataset, keys, source: _issue(dataset, "duplicate_keys", "error", "n > 1", f"(SELECT count(*) AS n FROM {source} GROUP BY {keys})")
+_few = "SELECT '{0}' AS dataset, 'few_{1}' AS \"check\", 'warning' AS severity, greatest({2} - count(DISTINCT {1}), 0) AS n_affected, count(DISTINCT {1}) AS n_rows FROM {0}"
+_orphan = lambda key, source: _issue("sales", f"orphan_{key}", "error", f"{key} NOT IN (SELECT {key} FROM {source})", f"(SELECT DISTINCT {key} FROM panel)")
+_checks = [
+    "SELECT 'sales' AS dataset, 'columns' AS \"check\", 'error' AS severity, 0 AS n_affected, 5 AS n_rows",
+    _issue("sales", "non_numeric_unit_sales", "error", _no, "panel"), _issue("transactions", "non_numeric_transactions", "error", _no, "transactions"), _issue("sales", "not_boolean_onpromotion", "warning", _no, "panel"),
+    _duplicates("sales", "date, store_nbr, item_nbr", "panel"), _duplicates("items", "item_nbr", "items"), _duplicates("stores", "store_nbr", "stores"), _duplicates("transactions", "date, store_nbr", "transactions"),
+    _issue("sales", "date_range", "warning", "date NOT BETWEEN DATE '1992-01-01' AND DATE '1998-12-31'", "panel"),
+    _issue("sales", "weekly_negative", "warning", "s < -1", "(SELECT sum(unit_sales) AS s FROM panel GROUP BY date_trunc('week', date), store_nbr, item_nbr)"),
+    _issue("sales", "high_outliers", "info", f"unit_sales > {_iqr.format(k='6')}", "panel"), _few.format("items", "family", 33), _few.format("stores", "store_nbr", 54),
+    _issue("transactions", "negative_transactions", "warning", "transactions < 0", "transactions"),
+    _issue("transactions", "date_coverage", "warning", "c < 0.9", "(SELECT count(DISTINCT date) / (SELECT count(DISTINCT date) FROM transactions)::DOUBLE AS c FROM transactions GROUP BY store_nbr)"),
+    _issue("oil", "missing_dcoilwtico", "info", "dcoilwtico IS NULL", "oil"), _issue("holidays", "invalid_locale", "error", "locale NOT IN ('National', 'Regional', 'Local')", "holidays"),
+    _orphan("item_nbr", "items"), _orphan("store_nbr", "stores"),
+]
+
+
+@query("i12_full_audit", ISSUE + " pct", "SELECT *, CASE WHEN n_rows > 0 THEN n_affected / n_rows::DOUBLE ELSE 0 END AS pct FROM (" + " UNION ALL ".join(_checks) + ")")
 def _(t: Tables) -> DataFrame:
     return _audit(t)
 

@@ -130,7 +130,18 @@ def _(t: Tables) -> DataFrame:
     return ft.dummies(t.stores(), "type", list("ABCDE"), "type")
 
 
-@query("b15_feature_panel", KEY + "unit_sales onpromotion:i HNat:i F_state R_share promo_share_excl roll_mean_7 trend_T zero_streak:i ADI sin_1 is_month_start:i")
+@query("b15_feature_panel", KEY + "unit_sales onpromotion:i HNat:i F_state R_share promo_share_excl roll_mean_7 trend_T zero_streak:i ADI sin_1 is_month_start:i", """
+  SELECT c.date, c.store_nbr, c.item_nbr, c.unit_sales, c.onpromotion, (c.date IN (SELECT date FROM day_holidays WHERE locale = 'National'))::INT AS HNat, F_state, R_share, promo_share_excl,
+         CASE WHEN count(*) OVER w >= 2 THEN avg(c.unit_sales) OVER w END AS roll_mean_7, avg(c.unit_sales) OVER s AS trend_T, zero_streak,
+         (count(*) OVER a - sum((c.unit_sales > 0)::INT) OVER a) / (sum((c.unit_sales > 0)::INT) OVER a + 1)::DOUBLE AS ADI,
+         sin(0.01720242383895848 * dayofyear(c.date)) AS sin_1, (day(c.date) <= 3)::INT AS is_month_start
+  FROM (SELECT *, isoyear(date)::VARCHAR || '-' || lpad(week(date)::VARCHAR, 2, '0') AS year_week FROM context) c
+  LEFT JOIN (SELECT year_week, store_nbr, ln(1 + sum(transactions)) AS F_state FROM weeks GROUP BY ALL) f ON f.year_week = c.year_week AND f.store_nbr = c.store_nbr
+  LEFT JOIN share h ON h.year_week = c.year_week AND h.store_nbr = c.store_nbr
+  JOIN (SELECT store_nbr, item_nbr, t, CASE WHEN z = 1 THEN row_number() OVER (PARTITION BY store_nbr, item_nbr, z, island ORDER BY t) ELSE 0 END AS zero_streak FROM (
+    SELECT *, row_number() OVER (PARTITION BY store_nbr, item_nbr ORDER BY t) - row_number() OVER (PARTITION BY store_nbr, item_nbr, z ORDER BY t) AS island FROM (SELECT *, (unit_sales <= 0)::INT AS z FROM panel))) z
+  ON z.store_nbr = c.store_nbr AND z.item_nbr = c.item_nbr AND z.t = c.t
+  WINDOW w AS (PARTITION BY c.store_nbr, c.item_nbr ORDER BY c.t ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), s AS (PARTITION BY c.store_nbr, c.item_nbr ORDER BY c.t ROWS 6 PRECEDING), a AS (PARTITION BY c.store_nbr, c.item_nbr)""")
 def _(t: Tables) -> DataFrame:
     return t.features
 
@@ -483,11 +494,13 @@ def _(t: Tables) -> DataFrame:
     return mt.radar(_report(t))
 
 
-@query("a20_json_report", "value:s")
+@query("a20_json_report", "value:s", """
+  SELECT json_object('episode_id', episode_id, 'model_type', model_type, 'att_mean', printf('%.4f', round(att_mean + 1e-9, 4)), 'n_post', n_post)::VARCHAR AS value FROM att WHERE n_post > 0""")
 def _(t: Tables) -> DataFrame:
     from promolens.sources.io import report_json
 
-    return report_json(mt.att(t.cf))
+    mean = F.format_string("%.4f", F.round(F.col("att_mean") + 1e-9, 4))
+    return report_json(mt.att(t.cf).filter("n_post > 0").select("episode_id", "model_type", mean.alias("att_mean"), "n_post"))
 
 
 @query("j29_robustness", SERIES + "n:i sign_flip_rate p_value", f"SELECT * FROM (SELECT episode_id, model_type, count(att) AS n, {_flip} FROM loo_draws GROUP BY ALL) JOIN (SELECT episode_id, model_type, p_value FROM placebos) USING (episode_id, model_type)")

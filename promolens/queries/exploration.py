@@ -14,6 +14,7 @@ from promolens.operators import pairs as pr
 from promolens.queries.registry import CTES, query
 from promolens.queries.selection import UNIT
 from promolens.queries.tables import Tables
+from promolens.schema import rename_synonyms, require_columns
 from promolens.sources import io
 from promolens.sources.staging import shared_dir
 from promolens.streaming import events as ev
@@ -238,6 +239,13 @@ def _(t: Tables) -> DataFrame:
     return pr.subset(t.episodes, "explicit", 0, allowed=io.read_any(t.spark, path))
 
 
+@query("a2_required_columns", "date:d store_nbr:i item_nbr:i unit_sales onpromotion:i", "SELECT * FROM panel")
+def _(t: Tables) -> DataFrame:
+    """The panel under another name for its sales, brought back and checked."""
+    named = rename_synonyms(t.sales.withColumnRenamed("unit_sales", "sales"), {"unit_sales": ("sales", "y")})
+    return require_columns(named, ["date", "store_nbr", "item_nbr", "unit_sales", "onpromotion"], "sales")
+
+
 @query("a2_promo_synonyms", "date:d store_nbr:i item_nbr:i flag:i", "SELECT date, store_nbr, item_nbr, onpromotion AS flag FROM panel")
 def _(t: Tables) -> DataFrame:
     return t.sales.withColumn("flag", promo_flag(F.col("onpromotion").cast("string")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promolens.functions import scalars as sc
-from promolens.operators import donors, eda, exposure, features, metrics, pairs, quality, runs
+from promolens.operators import donors, eda, exposure, features, metrics, pairs, quality, ranks, runs
 from promolens.operators import episodes as ep
 from promolens.plans import gsc, meta, placebo
 from promolens.schema import Config, nan_to_null, require_columns
@@ -232,3 +232,90 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("select * from totals").collect()} == {tuple(r) for r in ev.windowed_totals(df, "6 hours").collect()}
+
+
+def test_quantiles_and_buckets_of_any_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 400), rng.integers(0, 40, 400), strict=True)] + [(0, None), (7, None), (8, 5.0)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(5)
+    got = {r.g: (r.n, r.a, r.b) for r in ranks.quantiles(df, "x", {"a": 0.05, "b": 0.5}, ["g"]).collect()}
+    for g in (0, 1, 2, 8):
+        own = [x for h, x in rows if h == g and x is not None]
+        assert got[g][0] == len(own) and np.allclose(got[g][1:], np.quantile(own, [0.05, 0.5]))
+    assert set(got) == {0, 1, 2, 8}
+    assert np.isclose(ranks.quantiles(df, "x", {"q": 0.9}).first().q, np.quantile([x for _, x in rows if x is not None], 0.9))
+    assert ranks.quantiles(df.limit(0), "x", {"q": 0.9}, ["g"]).count() == 0
+    units = spark.createDataFrame([(i, (i * 7) % 23) for i in range(23)], "store_nbr int, v int")
+    buckets = ranks.buckets(units, ["v", "store_nbr"], 5, "b").orderBy("v").collect()
+    assert [r.b for r in buckets] == [1] * 5 + [2] * 5 + [3] * 5 + [4] * 4 + [5] * 4
+    assert sorted(r.b for r in ranks.buckets(units.limit(3), ["v"], 5, "b").collect()) == [1, 2, 3]
+
+
+def test_ema_of_a_long_series_equals_pandas(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = [None if rng.random() < 0.2 else float(rng.random()) for _ in range(300)]
+    df = spark.createDataFrame([(1, 1, t, v) for t, v in enumerate(x)], "store_nbr int, item_nbr int, t int, x double")
+    got = [r.y for r in exposure.ema(df, "x", "y", 0.25).orderBy("t").collect()]
+    want = pd.Series(x, dtype=float).ewm(alpha=0.25, adjust=False, ignore_na=False).mean()
+    assert np.allclose(np.array(got, float), want.to_numpy(), equal_nan=True)
+
+
+def test_train_mask_hides_gap_fold_post_and_embargo():
+    import pandas as pd
+
+    mask, units, periods = np.full((2, 10), True), np.array(["a", "v"]), np.arange(10)
+    job = pd.Series({"hidden_unit": "v", "victim": "v", "hide_from": 3, "hide_to": 4, "gap_from": 2, "treat_start": 8, "embargo": 1})
+    assert np.flatnonzero(~gsc.train_mask(mask, units, periods, job)[1]).tolist() == [2, 3, 4, 7, 8, 9] and gsc.train_mask(mask, units, periods, job)[0].all()
+    assert np.flatnonzero(~gsc.train_mask(mask, units, periods, pd.Series({**job, "all_rows": True}))[0]).tolist() == [2, 3, 4]
+
+
+def test_search_penalties(spark):
+    row = {"episode_id": "e", "spec_id": "s", "hold": 0.2, "train": 0.3, "error": 0.2, "cv_hold": 1.0, "cv": 1.0, "steps_hold": 1.0, "steps": 1.0, "corr": 0.5, "spike": 0.0}
+    cases = {  # each breaks one rule: (changes, score)
+        "plain": ({}, 0.2), "close": ({"train": 0.14}, 0.25 + 0.8 * (0.25 / 0.14 - 1.5)), "flat": ({"cv": 0.5}, 0.2 + 6 * 0.4 + 0.8 * (2.6 / 0.3 - 1.5)), "jumpy": ({"cv_hold": 1.25}, 0.3), "smooth": ({"steps": 0.65}, 0.4),
+        "copied": ({"corr": 0.99, "error": 0.1}, 0.2 + 0.1 + 0.08), "ahead": ({"hold": 0.9}, 0.9 + 0.8 * 1.5), "spiky": ({"spike": 0.1}, 0.5),
+    }
+    df = spark.createDataFrame([{**row, **c, "spec_id": n} for n, (c, _) in cases.items()])
+    got = {r.spec_id: r.score for r in gsc.penalised(df).collect()}
+    assert all(abs(got[n] - want) < 1e-6 for n, (_, want) in cases.items())
+
+
+def test_growing_penalties_shrink_more():
+    rng = np.random.default_rng(5)
+    y = np.outer(rng.random(6) + 1, rng.random(20) + 1) * 10
+    mask = np.full(y.shape, True)
+    mask[0, 15:] = False
+    x = np.stack([np.broadcast_to(np.sin(np.arange(20)), y.shape)], axis=2)
+    plain, grown = (gsc.complete(y, mask, x, 2, 0.5, 0.01, growth=g, cap=3.0) for g in (1.0, 1.25))
+    assert not np.allclose(plain, grown) and np.allclose(plain, gsc.complete(y, mask, x, 2, 0.5, 0.01))
+
+
+def test_final_run_finds_a_planted_effect(spark):
+    rows = episode_rows(spark, drop=2.0)
+    specs = gsc.grid(rows, (2,), (0.001,)).withColumn("covariates", F.lit(False))
+    cf = gsc.final_run(rows, specs, gsc.folds(rows), embargo=2, bags=2, calibrate_last=6, smooth_half=0)
+    assert abs(metrics.att(cf).first().att_mean + 2) < 0.5 and cf.agg(F.min("mu0_hat")).first()[0] >= 0
+    assert cf.count() == rows.filter("is_victim = 1").count()
+
+
+def test_search_sets_are_seeded_and_bounded():
+    for model, bounds in meta.SEARCH.items():
+        sets = meta.random_params(model, 20)
+        assert sets == meta.random_params(model, 20) and len({str(s) for s in sets}) > 5
+        assert all(low <= s[name] <= high and (isinstance(s[name], int) or not whole) for s in sets for name, low, high, _, whole in bounds)
+
+
+def test_learners_with_few_treated_rows_and_boosting(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 7, 1, i, "e", x, 2.0 * x + (3.0 if i % 5 == 0 else 0.0), int(i % 5 == 0), float(i % 5 == 0), 1.0) for i, x in enumerate(rng.random(200).tolist())]
+    df = spark.createDataFrame(rows, "store_nbr int, item_nbr int, t int, episode_id string, f double, y double, D_bin int, D_cont double, w double")
+    for spec in (meta.Learner(["f"], params={"regParam": 1e-4}), meta.Learner(["f"], model="boosting", propensity="boosting", params={"maxIter": 10, "maxDepth": 3}, propensity_params={"maxIter": 3, "maxDepth": 2})):
+        for learn in (meta.t_learner, meta.x_learner):
+            assert abs(learn(df, df, spec).agg(F.avg("tau_hat")).first()[0] - 3) < 0.6
+    few = df.filter("D_bin = 0 OR t < 20")
+    x, t = (learn(few, df, meta.Learner(["f"])).orderBy("t").select("tau_hat").toPandas() for learn in (meta.x_learner, meta.t_learner))
+    assert np.allclose(x, t)
+    assert meta.for_target(df, meta.Learner(["f"])).model == "ridge"
+    assert meta.for_target(df.withColumn("y", F.round("y")), meta.Learner(["f"])).model == "poisson"

@@ -6,7 +6,11 @@ import pytest
 from promolens.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["a1_sales_panel", "d1_collapse_sales", "e1_competitive_exposure", "e3_ema", "e5_runs", "d16_cannibal_scores", "e9_sales_history", "k2_sessions"]
+NAMES = [
+    "a1_sales_panel", "a2_required_columns", "d1_collapse_sales", "e1_competitive_exposure", "e3_ema", "e4_winsorise", "e5_runs", "d16_cannibal_scores", "e9_sales_history", "k2_sessions", "b15_feature_panel", "i12_full_audit",
+    "e20_sales_buckets", "d48_iqr_bound", "d27_sensitivity", "d29_leave_one_out", "d57_radar", "j28_report", "j29_robustness", "j6_rolling_folds", "j7_holdout_mask", "j7_holdout_mask_all_rows", "d52_subgroup_effects", "a20_json_report",
+    "a17_leave_one_out_sink", "a17_sensitivity_sink", "c17_coverage_flags", "d54_comparison", "g6_common_cells", "f1_nearest_candidates", "h13_count_target",
+]
 
 
 def rows(records):
