@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,17 +52,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it, an action's shuffle files go as soon as the action ends. For actions that end a lineage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def setting(spark: SparkSession, name: str, value: str, default: str) -> Iterator[None]:
+    before = spark.conf.get(name, default)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def tidy(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Within it, an action's shuffle files go as soon as the action ends. For actions that end a lineage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true", "false")
+
+
+def small_batches(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager:
+    """Within it, an action hands Python so many rows at a time, so that workers hold fewer long texts."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows), "10000")
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and later
     stages see one fixed result even if executors are lost."""
@@ -71,12 +80,55 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if ":" in uri else f"file://{uri}")
+
+
+def share(spark: SparkSession, name: str, arrays: list[np.ndarray]) -> str:
+    """The path of arrays written to the shared folder, where shared_arrays() finds them: one copy for all
+    executors, for models of bounded size that would else lie on each executor's disk."""
+    path = fresh_path(spark, name)
+    fs, folder = open_fs(path)
+    fs.create_dir(folder, recursive=True)
+    for i, a in enumerate(arrays):
+        batch = pa.RecordBatch.from_arrays([pa.array(a)], ["x"])
+        with fs.open_output_stream(f"{folder}/{i}", compression=None) as out, pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(batch)
+    return f"{path}/{len(arrays)}"
+
+
+_SHARED: dict[str, list[np.ndarray]] = {}
+
+
+def shared_arrays(path: str) -> list[np.ndarray]:
+    """What share() wrote; a worker reads it once and keeps the last."""
+    if path not in _SHARED:
+        _SHARED.clear()
+        uri, n = path.rsplit("/", 1)
+        fs, folder = open_fs(uri)
+        made = []
+        for i in range(int(n)):
+            with fs.open_input_stream(f"{folder}/{i}", compression=None) as stream:
+                made.append(pa.ipc.open_stream(stream).read_all().column(0).combine_chunks().to_numpy())
+        _SHARED[path] = made
+    return _SHARED[path]
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that save() wrote and that nothing reads any more."""
+    if files := df.inputFiles():
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def save_buckets(df: DataFrame, name: str, *key: str) -> DataFrame:
     """The same as a table in buckets by `key`, as many as shuffles have partitions: joins on the key leave it in place."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     buckets, made = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
     with tidy(spark):
-        df.write.bucketBy(buckets, *key).sortBy(*key).option("path", path).option("compression", "zstd").saveAsTable(made)
+        # sorted keys lie close together: version 2 of the format stores their differences
+        write = df.write.bucketBy(buckets, *key).sortBy(*key).option("path", path)
+        write.option("compression", "zstd").option("parquet.writer.version", "v2").saveAsTable(made)
     return spark.table(made)
 
 

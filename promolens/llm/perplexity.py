@@ -1,11 +1,11 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model.
 
 Words are told apart by XXH64 and bigrams by 63 bits of a mix of their words (two of a billion words
-agree with a chance of 3 %). The words most frequent in trusted texts are numbered and what the
-model knows of them is broadcast, as are the most frequent bigrams of such words, up to stated bounds;
+agree with a chance of 3 %). The words most frequent in trusted texts are numbered and every worker
+holds what the model knows of them, as of the most frequent bigrams of such words, up to stated bounds;
 the tables of all other words and bigrams have no bound and stay sharded. Scoring is additive: a
 document's log-probability is a sum over words of the unigram level and the back-off weight, plus
-for each bigram that the model has seen a gain over backing off. What needs broadcast facts only is
+for each bigram that the model has seen a gain over backing off. What needs these facts only is
 summed where the text is read; bitmaps of fixed size drop most other words and bigrams that the
 model doesn't know; the rest meet the sharded tables in one join, for which these are written in
 buckets, so that only the documents' side is shuffled. A trusted document is scored without its own
@@ -26,14 +26,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import save, save_buckets, ship_by_value, table, text_slices, tidy
+from promolens.llm.common import discard, save, save_buckets, share, shared_arrays, ship_by_value, small_batches, table, text_slices, tidy
 
 ship_by_value(__name__)
 
 WORD_BITS = 20
 WORDS = 1 << WORD_BITS  # numbers of words are below; so many words at least share what is left for unseen ones
-BITMAP_BITS = 27
+BITMAP_BITS = 28  # of the bitmap of all known keys
+FEWER_BITS = 2  # by which that of keys that several documents hold is smaller
 PIECE_BITS = 15  # of a bitmap that travel together
+PIECES = (1 << (BITMAP_BITS - PIECE_BITS)) + (1 << (BITMAP_BITS - FEWER_BITS - PIECE_BITS))
 
 
 @dataclass
@@ -101,15 +103,20 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 class Lower:
-    """The levels below the bigrams for numbered words: log-probability, count held back as a context, back-off weight."""
+    """The levels below the bigrams for numbered words: probability, count held back as a context, logarithms of
+    the former and of the back-off weight; and of an unknown word's probability."""
 
-    def __init__(self, total: np.ndarray, once: np.ndarray, twice: np.ndarray, more: np.ndarray, before: np.ndarray, d: np.ndarray, e: np.ndarray, rest: np.ndarray) -> None:
-        self.d = d
-        mass, self.floor = rest
-        self.p = (before - np.concatenate(([0.0], e))[np.minimum(before, 3)]) / mass + self.floor
-        self.held = d[0] * once + d[1] * twice + d[2] * more
-        self.log_p, self.log_floor = np.log(self.p), float(np.log(self.floor))
-        self.log_back = np.log(np.where(total > 0, self.held / np.maximum(total, 1), 1.0))
+    @classmethod
+    def made(cls, total: np.ndarray, once: np.ndarray, twice: np.ndarray, more: np.ndarray, before: np.ndarray, d: np.ndarray, e: np.ndarray, rest: np.ndarray) -> Lower:
+        mass, floor = rest
+        p = (before - np.concatenate(([0.0], e))[np.minimum(before, 3)]) / mass + floor
+        held = d[0] * once + d[1] * twice + d[2] * more
+        return cls(p, held, np.log(p), np.log(np.where(total > 0, held / np.maximum(total, 1), 1.0)), np.append(d, np.log(floor)))
+
+    def __init__(self, *arrays: np.ndarray) -> None:
+        self.arrays = arrays
+        self.p, self.held, self.log_p, self.log_back, rest = arrays
+        self.d, self.log_floor = rest[:3], float(rest[3])
 
     def gain(self, count: np.ndarray, held: np.ndarray, p: np.ndarray) -> np.ndarray:
         """What a bigram seen `count` times adds to backing off; 0 where the count is 0."""
@@ -144,16 +151,19 @@ def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(place, minlength=len(ids)))], ["id", "n"])
 
     counts = texts.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return np.sort(most_frequent(save(counts, "words"), "n", most).select("id").toArrow().column(0).to_numpy())
+    counts = save(counts, "words")
+    found = np.sort(most_frequent(counts, "n", most).select("id").toArrow().column(0).to_numpy())
+    discard(counts)
+    return found
 
 
 def count_bigrams(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     """(key, v, w, count, docs) of the bigrams of column text: how often each occurs, and in how many
     rows; v and w are 0 where the key has them. A table in the shared folder, in buckets by key."""
-    shared = texts.sparkSession.sparkContext.broadcast(_packed(hot))
+    shared = share(texts.sparkSession, "numbered", [hot])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot,) = _unpacked(shared.value)
+        (hot,) = shared_arrays(shared)
         for batch in text_slices(batches):
             ids, place, owner = tokens(batch.column(0))
             ids = np.append(_numbered(ids, hot), 0)
@@ -218,21 +228,23 @@ def lower_levels(bigrams: DataFrame, n_hot: int) -> tuple[list[np.ndarray], Data
         bigrams.filter(_cold(F.col("w"))).join(cold.select(F.col("id").alias("w"), "p"), "w").select("key", none.alias("held"), "p"),
     ]
     facts = parts[0].union(parts[1]).union(parts[2]).groupBy("key").agg(F.max("held").alias("held"), F.max("p").alias("p"))
-    return [*dense, d, e, rest], save_buckets(facts, "cold", "key")
+    facts = save_buckets(facts, "cold", "key")
+    discard(levels)
+    return [*dense, d, e, rest], facts
 
 
 def bitmaps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Two bitmaps of the hashes of the rows (key, docs): of all, and of those that several documents hold.
 
     A task holds both and sends what it has of them in pieces of 2^15 bits; each piece is put together
-    in one place, so at most 2 x 4096 pieces of 4 KB come to the driver.
+    in one place, so at most 8192 + 2048 pieces of 4 KB come to the driver.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros((2 << (BITMAP_BITS - PIECE_BITS), 1 << PIECE_BITS >> 3), np.uint8)
+        flags = np.zeros((PIECES, 1 << PIECE_BITS >> 3), np.uint8)
         for batch in batches:
             bits, several = _bits(batch.column("key").to_numpy()), batch.column("docs").to_numpy() > 1
-            bits = np.concatenate([bits, bits[several] + (1 << BITMAP_BITS)])
+            bits = np.concatenate([bits, (bits[several] >> FEWER_BITS) + (1 << BITMAP_BITS)])
             np.bitwise_or.at(flags.reshape(-1), bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
         at = np.flatnonzero(flags.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([zlib.compress(flags[i].tobytes(), 1) for i in at], pa.binary())], ["piece", "bits"])
@@ -248,18 +260,10 @@ def bitmaps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     fields = "piece long, bits binary"
     with tidy(keys.sparkSession):
         rows = keys.mapInArrow(deal, fields).repartition("piece").mapInArrow(put, fields).toArrow()
-    out = np.zeros((2 << (BITMAP_BITS - PIECE_BITS), 1 << PIECE_BITS >> 3), np.uint8)
+    out = np.zeros((PIECES, 1 << PIECE_BITS >> 3), np.uint8)
     for piece, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
         out[piece] = np.frombuffer(bits, np.uint8)
-    return tuple(out.reshape(2, -1))
-
-
-def _packed(*arrays: np.ndarray) -> list[tuple[bytes, str]]:
-    return [(zlib.compress(a.tobytes(), 1), a.dtype.str) for a in arrays]
-
-
-def _unpacked(parts: list[tuple[bytes, str]]) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(data), kind) for data, kind in parts]
+    return tuple(np.split(out.reshape(-1), [1 << BITMAP_BITS >> 3]))
 
 
 def _marked(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -286,16 +290,18 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     bigrams = count_bigrams(texts, numbered)
     levels, cold = lower_levels(bigrams, len(numbered))
     top = most_frequent(bigrams.filter("key >= 0"), "count", params.hot).select("key", "count").toArrow()
-    keys, counts = top.column("key").to_numpy(), top.column("count").to_numpy()
+    keys, counts = top.column("key").to_numpy(), top.column("count").to_numpy().astype(np.int32)
     order = np.argsort(keys)
-    # each executor keeps broadcasts on disk: compressed, and the second step takes the first only
-    lower = spark.sparkContext.broadcast(_packed(*levels))
+    # files in place of broadcasts, of which each executor keeps a copy on disk
+    model = Lower.made(*levels)
+    lower = share(spark, "lower", list(model.arrays))
     known = bitmaps(bigrams.select("key", "docs").union(cold.select("key", F.lit(1).cast("long"))))
-    lookups = spark.sparkContext.broadcast(_packed(numbered, keys[order], counts[order], *known))
+    lookups = share(spark, "lookups", [*model.arrays, numbered, keys[order], counts[order], *known])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (numbered, hot, hot_counts, known, several) = Lower(*_unpacked(lower.value)), _unpacked(lookups.value)
-        for batch in text_slices(batches):
+        *levels, numbered, hot, hot_counts, known, several = shared_arrays(lookups)
+        model = Lower(*levels)
+        for batch in text_slices(batches, limit=2 << 20):
             ids, place, owner = tokens(batch.column("text"))
             ids, n_docs = np.append(_numbered(ids, numbered), 0), batch.num_rows
             far = _cold(ids)
@@ -307,14 +313,14 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
             at = np.minimum(np.searchsorted(hot, pairs), max(len(hot) - 1, 0))
             here = (hot[at] == pairs) if len(hot) else np.zeros(len(pairs), bool)
             v, w = np.where(here, _first(pairs, 0), 0), np.where(here, _second(pairs, 0), 0)
-            count = np.where(here, hot_counts[at], 0) if len(hot) else np.zeros(len(pairs), np.int64)
+            count = np.where(here, hot_counts[at], 0).astype(np.int64) if len(hot) else np.zeros(len(pairs), np.int64)
             own = batch.column("own").is_valid().to_numpy(zero_copy_only=False)
             mine = own[owner]
             ll += np.bincount(owner, np.where(mine, 0.0, model.gain(count, model.held[v], model.p[w])[pair]), n_docs)
 
             # by document and bigram: what the tables are needed for, and in a trusted text the bigrams looked up here
             bits = _bits(pairs)
-            asked = np.where(mine, (here | _marked(several, bits))[pair], (~here & _marked(known, bits))[pair])
+            asked = np.where(mine, (here | _marked(several, bits >> FEWER_BITS))[pair], (~here & _marked(known, bits))[pair])
             both, n = np.unique(owner[asked] * len(pairs) + pair[asked], return_counts=True)
             doc, pair = (both // len(pairs), both % len(pairs)) if len(pairs) else (both, both)
             near = here[pair]
@@ -351,7 +357,7 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Lower(*_unpacked(lower.value))
+        model = Lower(*shared_arrays(lower))
         for batch in batches:
             key, n, follows = (batch.column(c).to_numpy() for c in ("key", "n", "follows"))
             ll, v, w, count, held, p = (batch.column(c).fill_null(0).to_numpy() for c in ("ll", "v", "w", "count", "held", "p"))
@@ -372,7 +378,8 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     met = met.mapInArrow(add, "row long, doc_id long, lang string, n_words long, ll double")
     sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("ll").alias("ll"))
     sums = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("ll") / F.col("n_words"))).otherwise(F.lit(1.0)))
-    sums = save(sums.drop("ll", "row"), "perplexity")
+    with small_batches(spark, 4000):
+        sums = save(sums.drop("ll", "row"), "perplexity")
     limits = save(sums.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(params.quantile), F.lit(10_000)).alias("limit")), "limits")
     return sums.join(limits, "lang").select("doc_id", "lang", "n_words", "perplexity", (F.col("perplexity") <= F.col("limit")).alias("keep"))
 

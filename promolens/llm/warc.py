@@ -20,12 +20,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import fresh_path, save, ship_by_value, slices, table, text_or_empty
+from promolens.llm.common import fresh_path, open_fs, save, ship_by_value, slices, table, text_or_empty
 
 ship_by_value(__name__)
 
@@ -78,10 +77,6 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(records)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if ":" in uri else f"file://{uri}")
-
-
 class Writer:
     """Archives of one task."""
 
