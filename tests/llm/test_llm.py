@@ -58,6 +58,53 @@ def test_secret_battery_finds_random_tokens_only(spark):
     assert sum(found[i] for i, _ in keys) >= 70 and sum(found[i] for i, _ in words) <= 4
 
 
+def random_spans(texts, fdr=0.05):
+    """{id: [(start, end)]} of the battery, from its definition: exact normal tails, one token at a time."""
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    found = []
+    for i, t in texts:
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            core, token = m[0].rstrip("=").replace("-", "+").replace("_", "/"), m[0].rstrip("=")
+            enc = next((e for e, (_, _, pattern) in enumerate(secrets.ENCODINGS) if re.match(pattern, token)), None)
+            if enc is None:
+                continue
+            alphabet, core = secrets.ENCODINGS[enc][1], core.lower() if enc in (0, 2) else core
+            n, k = len(core), len(alphabet)
+            at = np.array([alphabet.index(c) + 1 for c in core], float)
+            chi = (k * sum(core.count(c) ** 2 for c in alphabet) / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+            bits = at > k // 2
+            mixed = 2 * bits.sum() * (n - bits.sum()) / n
+            var = mixed * (mixed - 1) / (n - 1)
+            runs = abs((bits[1:] != bits[:-1]).sum() + 1 - mixed - 1) / math.sqrt(var) if var > 0 else 12.0
+            d = at - at.mean()
+            serial = abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n) if (d * d).sum() > 0 else 12.0
+            half = -sum(math.log(max(min(q, 1.0), 1e-30)) for q in (tail(chi), 2 * tail(runs), 2 * tail(serial)))
+            found.append((i, m.start(), m.end(), enc * 4 + sum(n >= b for b in (32, 64, 128)), math.exp(-half) * (1 + half + half * half / 2)))
+    out, classes = {i: [] for i, _ in texts}, {f[3] for f in found}
+    for c in classes:
+        p = np.array([f[4] for f in found if f[3] == c])
+        steps = np.minimum(np.floor(p * 100), 100)
+        for t in range(1, 51):
+            above = (steps >= t).sum()
+            if above and 1 - 2 * (steps >= 50).sum() * (1 - t / 100) / above <= fdr:
+                for i, a, b, cls, q in found:
+                    if cls == c and q >= t / 100:
+                        out[i].append((a, b))
+                break
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def test_secret_battery_equals_brute_force(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = [lambda n: "".join(rng.choice(letters) for _ in range(n)) + "=", lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)), lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n)),
+            lambda n: "Ab1" * (n // 3), lambda n: "word_and-Word2_" * (n // 15 + 1), lambda n: "".join(rng.choice("aab1") for _ in range(n))]
+    texts = [(i, "é see " + " and ".join(rng.choice(made)(rng.randrange(22, 150)) for _ in range(3)) + " 😀 end") for i in range(150)]
+    want = random_spans(texts)
+    got = {r.doc_id: sorted((x.start, x.end) for x in r.found if x.kind == 3) for r in secrets.scan(docs(spark, texts)).collect()}
+    assert got == want and sum(map(len, want.values())) > 100 and sum(len(x) < 3 for x in want.values()) > 50
+
+
 def test_secret_thresholds():
     assert secrets.least_p({0: [1] * 101}, 0.05)[0] == 0.01
     assert secrets.least_p({0: [50] + [0] * 100}, 0.05) == {}
@@ -578,27 +625,58 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 # pipeline
-def test_pipeline_stages(spark):
+def copies_by_brute_force(rows):
+    """{doc_id: copies} of rows (doc_id, source, text) at temperature 0.5, by inverting the Poisson distribution."""
+    size = Counter()
+    for _, source, text in rows:
+        size[source or ""] += len((text or "").encode())
+    shares = sum(math.sqrt(b) for b in size.values() if b)
+    out = {}
+    for i, source, _ in rows:
+        b = size[source or ""]
+        rate = math.sqrt(b) / shares * sum(size.values()) / b if b else 1.0
+        pieces = max(math.ceil(rate / 32), 1)
+        out[i] = 0
+        for r in range(1, pieces + 1):
+            u = (int(hashlib.md5(f"17|{i}|{r}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = c = math.exp(-rate / pieces)
+            k = 0
+            while c < u:
+                k += 1
+                p *= rate / pieces / k
+                c += p
+            out[i] += k
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(spark, monkeypatch):
     import corpus_pipeline as cp
 
-    frame = spark.read.parquet(f"{TINY}/documents.parquet")
-    columns, ids = frame.columns, None
-    for name, stage in cp.STAGES:
-        before = ids
+    monkeypatch.setitem(globals(), "TINY", "/root/testdata/sf0.01")  # the smallest tables teach no toxicity
+    given_docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    columns, whole = given_docs.columns, {r.doc_id: r for r in given_docs.collect()}
+    toxic = {r.doc_id for r in registered(spark, "op5_toxicity").collect() if r.predicted}
+    clean = {i: fingerprint(r.text or "") for i, r in whole.items() if i not in toxic}
+    unique = {i for i, root in components(clean).items() if i == root}
+    bench = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(r.text or "")) for r in spark.read.parquet(f"{TINY}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + 10]) for w in bench for k in range(max(len(w) - 9, 1)) if w}
+
+    def leaks(text):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text or ""))
+        return any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
+
+    left = {i for i in unique if not leaks(whole[i].text)}
+    mixed = copies_by_brute_force([(i, whole[i].source, whole[i].text) for i in left])
+    want = [Counter(clean.keys()), Counter(unique), Counter(left), +Counter(mixed), +Counter(mixed)]
+    assert len(toxic) and len(unique) < len(clean) and len(left) < len(unique)
+    frame = given_docs
+    for (name, stage), expected in zip(cp.STAGES, want, strict=True):
         frame = stage(spark, frame, TINY).persist()
-        ids = {r.doc_id for r in frame.select("doc_id").collect()}
-        assert before is None or ids <= before, name
-        assert frame.columns[: len(columns)] == columns
-    texts = {r.doc_id: r.text or "" for r in frame.collect()}
-    assert len(texts) > 50
-    bench = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(r.text)) for r in spark.read.parquet(f"{TINY}/benchmark.parquet").collect()]
-    grams = {tuple(w[k : k + 10]) for w in bench for k in range(len(w) - 9)}
-    for t in texts.values():
-        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
-        assert not any(tuple(w[k : k + 10]) in grams for k in range(len(w) - 9))
-    prints = {i: fingerprint(t) for i, t in texts.items()}
-    assert components(prints) == {i: i for i in prints}
-    assert all(r.shard == jump(r.doc_id, 40) for r in frame.collect())
+        rows = frame.collect()
+        assert Counter(r.doc_id for r in rows) == expected, name
+        assert frame.columns[: len(columns)] == columns and all(tuple(r[c] for c in columns) == tuple(whole[r.doc_id]) for r in rows)
+    assert all((r.shard, r.grown_shard) == (jump(r.doc_id, 40), jump(r.doc_id, 41)) for r in rows)
+    assert Counter(r.doc_id for r in cp.run(spark, TINY).collect()) == want[-1]
 
 
 @pytest.mark.parametrize("name", ["drop_toxic", "drop_copies", "drop_leaks", "mix", "shard"])
