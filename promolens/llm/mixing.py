@@ -2,7 +2,8 @@
 
 A source with weight w and b of the corpus's T bytes repeats w x T / b times on average. Each
 document draws its count by inverting the Poisson distribution at a uniform number that a hash of
-its id and the seed gives, so the draw never depends on partitions or retries. Rates above
+its id and the seed gives, so the draw never depends on partitions or retries; only rows that their
+id doesn't tell apart add their place in the table. Rates above
 PIECE are drawn as sums of independent Poisson numbers, which is the same distribution.
 """
 
