@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promolens.operators.ranks import quantiles
+from promolens.operators.ranks import counted_quantiles, value_counts
 from promolens.schema import UNIT
+from promolens.sources.staging import stage
 
 
 def exposure(panel: DataFrame, threshold: float = 0.02, neighbourhood: str = "class", include_self: bool = False) -> DataFrame:
@@ -80,9 +81,10 @@ def winsorise(df: DataFrame, value: str, name: str, by: list[str], low: float =
 
     Two small tables of quantiles are joined back.
     """
-    whole = quantiles(df, value, {"__glo": low, "__ghi": high}).drop("n").withColumn("__k", F.lit(1))  # one row
+    counts = stage(value_counts(df, value, by), "counts")
+    whole = counted_quantiles(counts, {"__glo": low, "__ghi": high}, []).drop("n").withColumn("__k", F.lit(1))  # one row
     if by:
-        groups = quantiles(df, value, {"lo": low, "hi": high}, by)
+        groups = counted_quantiles(counts, {"lo": low, "hi": high}, by)
         groups = groups.select(*by, F.when(F.col("n") >= min_obs, F.col("lo")).alias("__lo"), F.when(F.col("n") >= min_obs, F.col("hi")).alias("__hi"))
         df = df.join(groups, by, "left")
     else:

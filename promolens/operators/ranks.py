@@ -31,7 +31,16 @@ def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: li
     """Per group n and the interpolated quantiles, by the names given. Equal values are counted before they
     are ordered; null values don't count."""
     by = by or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__x")).agg(F.count("*").alias("__n"))
+    return counted_quantiles(value_counts(df, value, by), probabilities, by)
+
+
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__x")).agg(F.count("*").alias("__n"))
+
+
+def counted_quantiles(counts: DataFrame, probabilities: dict[str, float], by: list[str]) -> DataFrame:
+    """The same from value_counts(), whose groups may be finer than `by`."""
+    counts = counts.groupBy(*by, "__x").agg(F.sum("__n").alias("__n"))
     placed = with_before(counts, by, ["__x"], F.col("__n"), "__before")
     n = placed.groupBy(*by).agg(F.sum("__n").alias("n"))
     if by:
