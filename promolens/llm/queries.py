@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promolens.llm import chat, decontam, mixing, neighbours, perplexity, secrets, shards, simhash, toxicity, warc
+from promolens.llm import chat, decontam, divergence, mixing, neighbours, perplexity, personal, prefixes, secrets, shards, simhash, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
     "op9_learned_partitions": neighbours.op9_learned_partitions,
     "op10_warc_dictionary": warc.op10_warc_dictionary,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_personal_data": personal.op12_personal_data,
+    "op13_conversation_trie": prefixes.op13_conversation_trie,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op6_chat_format": chat.OP6_SQL,
     "op8_poisson_mixing": mixing.OP8_SQL,
     "op10_warc_dictionary": warc.OP10_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
+    "op13_conversation_trie": prefixes.OP13_SQL,
 }
