@@ -90,8 +90,8 @@ def _any(blocks: Column, start: Column, end: Column, test: Callable[[Column], Co
 
 
 def _words(text: Column, front: bool) -> Column:
-    """The words of a context, with a mark where it ends."""
-    near = F.concat(F.lit("^ "), F.substring(text, -REACH, REACH)) if not front else F.concat(F.substring(text, 1, REACH), F.lit(" $"))
+    """The words of a context, with marks where it ends."""
+    near = F.concat(F.lit("^ ^ "), F.substring(text, -REACH, REACH)) if not front else F.concat(F.substring(text, 1, REACH), F.lit(" $"))
     return F.filter(F.split(F.lower(near), r"\s+"), lambda w: w != "")
 
 
