@@ -116,10 +116,19 @@ def by_store(df: DataFrame, value: str = "H_prop_raw") -> DataFrame:
 
 
 def top_stores(df: DataFrame, n: int, value: str = "H_prop_raw", min_obs: int = 30) -> DataFrame:
-    return by_store(df, value).filter(F.col("n") >= min_obs).orderBy(F.desc("n"), "store_nbr").limit(n)
+    """The stores with most values, ties by mean."""
+    return by_store(df, value).filter(F.col("n") >= min_obs).orderBy(F.desc("n"), F.desc("mean"), "store_nbr").limit(n)
+
+
+def matrix_stores(df: DataFrame, n: int, value: str = "H_prop_raw") -> list[int]:
+    """The n stores with most values, as the columns of a matrix: the largest mean of daily means first."""
+    top = top_stores(df, n, value, 1).select("store_nbr")
+    daily = df.join(top, "store_nbr", "left_semi").groupBy("store_nbr", "date").agg(F.avg(value).alias("mean"))
+    means = daily.groupBy("store_nbr").agg(F.avg("mean").alias("mean"))
+    return [r["store_nbr"] for r in means.orderBy(F.desc("mean"), "store_nbr").collect()]  # n rows
 
 
 def date_store_matrix(df: DataFrame, stores: list[int], value: str = "H_prop_raw") -> DataFrame:
-    """Mean by date, a column per store."""
+    """Mean by date, a column per store in the order given."""
     out = df.filter(F.col("store_nbr").isin(stores)).groupBy("date").pivot("store_nbr", stores).agg(F.avg(value))
     return out.select("date", *[F.col(f"`{s}`").alias(f"store_{s}") for s in stores])

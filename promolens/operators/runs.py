@@ -29,13 +29,14 @@ def first_runs(found: DataFrame, unit: list[str] = UNIT) -> DataFrame:
 
 
 def gap_runs(df: DataFrame, min_run: int = 1, max_gap: int = 0, flag: str = "onpromotion", time: str = "t", unit: list[str] = UNIT) -> DataFrame:
-    """Runs on an integer calendar that tolerate up to max_gap untreated periods in between."""
+    """Runs on an integer calendar that tolerate up to max_gap untreated periods in between. A run is as long as it
+    spans, tolerated periods included; n counts the treated ones."""
     w = Window.partitionBy(*unit).orderBy(time)
     on = df.filter(F.col(flag) == 1)
     new = F.coalesce((F.col(time) - F.lag(time).over(w) > max_gap + 1).cast("int"), F.lit(1))
     marked = on.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w))
     found = marked.groupBy(*unit, "__run").agg(F.min(time).alias("run_start"), F.max(time).alias("run_end"), F.count("*").alias("n"))
-    return found.filter(F.col("n") >= min_run).drop("__run")
+    return found.filter(F.col("run_end") - F.col("run_start") + 1 >= min_run).drop("__run")
 
 
 def run_lengths(found: DataFrame) -> DataFrame:

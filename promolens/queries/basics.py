@@ -484,7 +484,7 @@ def _(t: Tables) -> DataFrame:
   SELECT store_nbr, item_nbr, min(t) AS run_start, max(t) AS run_end, count(*) AS n FROM (
     SELECT *, sum(new) OVER (PARTITION BY store_nbr, item_nbr ORDER BY t) AS run FROM (
       SELECT *, coalesce((t - lag(t) OVER (PARTITION BY store_nbr, item_nbr ORDER BY t) > 2)::INT, 1) AS new FROM panel WHERE onpromotion = 1))
-  GROUP BY store_nbr, item_nbr, run HAVING count(*) >= 2""")
+  GROUP BY store_nbr, item_nbr, run HAVING max(t) - min(t) + 1 >= 2""")
 def _(t: Tables) -> DataFrame:
     return rn.gap_runs(t.sales, 2, 1)
 
@@ -525,11 +525,17 @@ def _(t: Tables) -> DataFrame:
     return ex.by_store(t.exposed)
 
 
-@query("d36_date_store_matrix", "date:d store_1 store_2 store_3", "SELECT date, avg(H_prop_raw) FILTER (store_nbr = 1) AS store_1, avg(H_prop_raw) FILTER (store_nbr = 2) AS store_2, avg(H_prop_raw) FILTER (store_nbr = 3) AS store_3 FROM exposure WHERE store_nbr IN (1, 2, 3) GROUP BY date")
+@query("d36_date_store_matrix", "date:d place:i store_nbr:i mean", """
+  WITH top AS MATERIALIZED (SELECT store_nbr FROM (SELECT store_nbr, count(H_prop_raw) AS n, avg(H_prop_raw) AS m FROM exposure GROUP BY 1 HAVING count(H_prop_raw) >= 1 ORDER BY n DESC, m DESC, store_nbr LIMIT 10)),
+  daily AS MATERIALIZED (SELECT date, store_nbr, avg(H_prop_raw) AS mean FROM exposure JOIN top USING (store_nbr) GROUP BY ALL)
+  SELECT date, place, store_nbr, mean FROM daily JOIN (SELECT store_nbr, row_number() OVER (ORDER BY avg(mean) DESC, store_nbr) AS place FROM daily GROUP BY 1) USING (store_nbr) WHERE mean IS NOT NULL""")
 def _(t: Tables) -> DataFrame:
-    return ex.date_store_matrix(t.exposed, [1, 2, 3])
+    """The matrix of the ten largest stores, with each column's place and store beside its values."""
+    stores = ex.matrix_stores(t.exposed, 10)
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("store_nbr"), F.col(f"store_{s}").alias("mean")) for i, s in enumerate(stores, 1)])
+    return ex.date_store_matrix(t.exposed, stores).select("date", F.explode(cells).alias("x")).select("date", "x.*").filter("mean IS NOT NULL")
 
 
-@query("f15_top_stores", "store_nbr:i n:i mean", "SELECT store_nbr, count(H_prop_raw) AS n, avg(H_prop_raw) AS mean FROM exposure GROUP BY 1 HAVING count(H_prop_raw) >= 30 ORDER BY n DESC, store_nbr LIMIT 10")
+@query("f15_top_stores", "store_nbr:i n:i mean", "SELECT store_nbr, count(H_prop_raw) AS n, avg(H_prop_raw) AS mean FROM exposure GROUP BY 1 HAVING count(H_prop_raw) >= 30 ORDER BY n DESC, mean DESC, store_nbr LIMIT 10")
 def _(t: Tables) -> DataFrame:
     return ex.top_stores(t.exposed, 10)

@@ -39,8 +39,10 @@ def with_ctes(body: str) -> str:
                 needed.append(name)
 
     visit(body)
-    recursive = any(named(n, CTES[n]) for n in needed)
-    head = ", ".join(f"{n} AS ({CTES[n].strip()})" for n in needed)
+    loops = {n for n in needed if named(n, CTES[n])}
+    recursive = bool(loops)
+    # each is computed once, however often it is named
+    head = ", ".join(f"{n} AS {'' if n in loops else 'MATERIALIZED '}({CTES[n].strip()})" for n in needed)
     return f"WITH {'RECURSIVE ' * recursive}{head} {body}" if needed else body
 
 
