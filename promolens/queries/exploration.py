@@ -16,7 +16,7 @@ from promolens.queries.selection import UNIT
 from promolens.queries.tables import Tables
 from promolens.schema import rename_synonyms, require_columns
 from promolens.sources import io
-from promolens.sources.staging import shared_dir
+from promolens.sources.staging import fresh_path
 from promolens.streaming import events as ev
 
 
@@ -125,9 +125,9 @@ def _(t: Tables) -> DataFrame:
 
 # sources and sinks: written to the shared folder and read back
 def _path(t: Tables, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(t.spark)}/{name.replace('.', '-' + uuid.uuid4().hex + '.', 1) if '.' in name else name + '-' + uuid.uuid4().hex}"
+    """A new path whose extension is kept."""
+    stem, dot, kind = name.partition(".")
+    return fresh_path(t.spark, stem) if not dot else f"{fresh_path(t.spark, stem)}/{stem}.{kind}"
 
 
 @query("a15_csv_sink", "date:d store_nbr:i item_nbr:i unit_sales onpromotion:i", "SELECT * FROM panel")

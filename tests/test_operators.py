@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from promolens.plans import gsc, meta, placebo
 from promolens.schema import Config, nan_to_null, require_columns
 from promolens.sources import io
 from promolens.streaming import events as ev
+from promolens.streaming import incremental as inc
 
 D = datetime.date
 
@@ -225,6 +227,68 @@ def test_empty_panel(spark):
     assert exposure.exposure(df).count() == 0 and runs.runs(df).count() == 0 and pairs.promo_profile(df).count() == 0
 
 
+def random_panel(spark, seed=8, months=10):
+    rng = random.Random(seed)
+    rows = [(D(2020, 1 + m, 1), m, s, i, i % 3, float(rng.randint(0, 9)), int(rng.random() < 0.4)) for m in range(months) for s in range(3) for i in range(7) if rng.random() < 0.8]
+    return spark.createDataFrame(rows, "date date, t int, store_nbr int, item_nbr int, `class` int, unit_sales double, onpromotion int")
+
+
+def compared(df, names):
+    return sorted(df.select(*[F.round(c, 9).alias(c) if df.schema[c].dataType.typeName() == "double" else c for c in names]).collect(), key=str)
+
+
+def test_incremental_exposure_survives_replays_late_rows_and_merging(spark, tmp_path):
+    panel, feed, path = random_panel(spark), f"{tmp_path}/in", f"{tmp_path}/out"
+    names = ["date", "store_nbr", "item_nbr", "H_disc", "H_prop_raw", "H_bin"]
+    late = F.col("item_nbr") == 2  # comes a part later than it should
+    steps = [(F.col("t") < 4) & ~late, ((F.col("t") < 7) & ~late) | ((F.col("t") < 4) & late), ((F.col("t") >= 7) & ~late) | ((F.col("t") >= 4) & late)]
+    for k, wanted in enumerate(steps):
+        panel.filter(wanted).write.mode("append").parquet(feed)
+        if k == 2:
+            panel.filter("t = 9 AND NOT item_nbr = 2").write.mode("append").parquet(feed)  # the same rows once more
+        query = inc.stream_exposure(spark.readStream.schema(panel.schema).parquet(feed), path, late="300 days")
+        query.awaitTermination()
+        if k == 1:
+            first = spark.read.schema(panel.schema).parquet(f"{path}/rows/epoch=0")
+            inc.write_epoch(spark.createDataFrame(first.collect(), panel.schema), 0, path)  # epoch 0 is replayed
+            inc.merge_epochs(spark, path, 0)
+            inc.merge_epochs(spark, path, 0)
+    want = exposure.exposure(panel)
+    assert compared(inc.current_exposure(spark, path), names) == compared(want, names)
+    for by, of in (("date", exposure.by_date), ("store_nbr", exposure.by_store)):
+        got = inc.exposure_totals(inc.totals(spark, path), by)
+        assert compared(got, of(want).columns) == compared(of(want), of(want).columns)
+
+
+def test_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
+    panel, feed, path = random_panel(spark), f"{tmp_path}/in", f"{tmp_path}/out"
+    for wanted in ("t = 8", "t = 9", "t = 0"):
+        panel.filter(wanted).write.mode("append").parquet(feed)
+        inc.stream_exposure(spark.readStream.schema(panel.schema).parquet(feed), path, late="1 day").awaitTermination()
+    assert {r["date"].month for r in inc.totals(spark, path).select("date").distinct().collect()} == {9, 10}
+
+
+@pytest.mark.parametrize(("min_run", "max_gap"), [(1, 0), (2, 1), (3, 2)])
+def test_gap_run_stream_equals_table(spark, tmp_path, min_run, max_gap):
+    rng = random.Random(9)
+    rows = [(u, 1, t, int(rng.random() < 0.4)) for u in range(4) for t in range(40)]
+    df = spark.createDataFrame([*rows, (9, 9, 5, 1), (9, 9, 5, 1)], "store_nbr int, item_nbr int, t int, onpromotion int")
+    inc.rocksdb_state(spark)
+    # each part holds rows up to four periods too late
+    late = (F.col("t") - F.when(F.col("t") % 3 == 0, 0).otherwise(4)).alias("at")
+    marked = df.select("*", late)
+    for k in range(5):
+        part = marked.filter(F.col("at").between(-4 + k * 9, 4 + k * 9)).drop("at")
+        part = part.unionByName(spark.createDataFrame([(-1, -1, 1000, 0)], df.schema)) if k == 4 else part
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        found = inc.stream_gap_runs(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), min_run, max_gap, late="9 days")
+        query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = spark.read.schema(found.schema).parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, runs.gap_runs(df.distinct(), min_run, max_gap).collect()))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0  # no state is left
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(datetime.datetime(2020, 1, 1, h), h % 3, "a", 1.0) for h in range(24)], "ts timestamp, user_id int, event_type string, value double")
     df.write.parquet(f"{tmp_path}/e")
