@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from promolens.functions.scalars import clip_to_unit, counts_like
 from promolens.operators.metrics import ols_calibration
+from promolens.plans import boosting
 from promolens.schema import UNIT
 
 
@@ -23,7 +25,7 @@ from promolens.schema import UNIT
 class Learner:
     features: list[str]
     treatment: str = "D"
-    model: str = "ridge"  # ridge, forest, boosting, poisson
+    model: str = "ridge"  # ridge, forest, boosting, poisson, count_boosting
     propensity: str = "logistic"  # logistic, boosting
     weight: str = "w"
     params: dict = field(default_factory=dict)
@@ -86,6 +88,10 @@ def _regressor(spec: Learner, label: str, features: list[str]):
     return Pipeline(stages=[*stages, make[spec.model]()])
 
 
+#: models of counts, and those that stand in where the label is none
+PLAIN = {"poisson": "ridge", "count_boosting": "boosting"}
+
+
 def fit(train: DataFrame, spec: Learner, label: str, features: list[str] | None = None) -> Callable[[DataFrame, str], DataFrame]:
     """A function of (rows, name) that adds the prediction `name`. Fitted once, however many tables it is
     applied to; without varied training rows it predicts their weighted mean, or 0."""
@@ -94,6 +100,11 @@ def fit(train: DataFrame, spec: Learner, label: str, features: list[str] | None
     seen = train.agg(F.count("*"), F.sum(F.col(label) * F.col(spec.weight)) / F.sum(spec.weight), F.stddev_pop(label)).first()
     if seen[0] < 10 or not seen[2]:
         return lambda to, name: to.withColumn(name, F.lit(float(seen[1] or 0.0)))
+    if label != "y" and spec.model in PLAIN:
+        spec = replace(spec, model=PLAIN[spec.model], params={})  # imputed effects are no counts
+    if spec.model == "count_boosting":
+        trees = boosting.fit(train.na.fill(0.0, features), features, label, spec.weight, boosting.Params(**spec.params))
+        return lambda to, name: trees.predict(to.na.fill(0.0, features), name)
     model = _regressor(spec, label, features).fit(train.na.fill(0.0, features))
     return lambda to, name: model.transform(to.na.fill(0.0, features)).withColumnRenamed("__p", name).drop("__raw", "__x")
 
@@ -142,19 +153,29 @@ def x_learner(train: DataFrame, to: DataFrame, spec: Learner, least: int = 10) -
 LEARNERS = {"T": t_learner, "S": s_learner, "X": x_learner}
 
 
+KEYS, PREDICTED = ["episode_id", *UNIT, "t"], ["mu0_hat", "mu1_hat", "tau_hat"]
+
+
+def fold_bounds(folds: DataFrame) -> list[tuple[int, int]]:
+    """(fold, train_before) in order: k rows."""
+    return sorted({(r["fold"], r["train_before"]) for r in folds.select("fold", "train_before").distinct().collect()})
+
+
+def fold_predictions(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame, fold: int, before: int) -> DataFrame:
+    """The rows of one fold, predicted from those before it."""
+    own = rows.join(folds.filter(F.col("fold") == fold).select("t"), "t", "left_semi")
+    return LEARNERS[kind](rows.filter(F.col("t") < before), own, spec)
+
+
 def cross_fit(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame) -> DataFrame:
     """Predictions for every row: from the fold that doesn't train on it, else from the full fit."""
-    learn = LEARNERS[kind]
-    keys = ["episode_id", *UNIT, "t"]
-    names = ["mu0_hat", "mu1_hat", "tau_hat"]
     parts = None
-    for fold, before in sorted({(r["fold"], r["train_before"]) for r in folds.collect()}):  # k rows
-        own = rows.join(folds.filter(F.col("fold") == fold).select("t"), "t", "left_semi")
-        done = learn(rows.filter(F.col("t") < before), own, spec).select(*keys, *[F.col(n).alias(f"cf_{n}") for n in names])
+    for fold, before in fold_bounds(folds):
+        done = fold_predictions(rows, kind, spec, folds, fold, before).select(*KEYS, *[F.col(n).alias(f"cf_{n}") for n in PREDICTED])
         parts = done if parts is None else parts.unionByName(done)
-    full = learn(rows, rows, spec)
-    out = full.join(parts, keys, "left")
-    return out.withColumns({n: F.coalesce(f"cf_{n}", n) for n in names}).drop(*[f"cf_{n}" for n in names])
+    full = LEARNERS[kind](rows, rows, spec)
+    out = full.join(parts, KEYS, "left")
+    return out.withColumns({n: F.coalesce(f"cf_{n}", n) for n in PREDICTED}).drop(*[f"cf_{n}" for n in PREDICTED])
 
 
 def clip_predictions(rows: DataFrame, stats: DataFrame) -> DataFrame:
@@ -182,21 +203,29 @@ def placebo_time(cf: DataFrame, post: int, least: int = 2) -> DataFrame:
     return out.filter(F.col("n_pre") >= max(least, post)).drop("n_pre")
 
 
-def temporal_score(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame) -> float:
-    """Median + 0.1 x sd over folds of rmse / max(1, rms) on untreated rows."""
-    keys = folds.select("t", "fold")
-    out = cross_fit(rows, kind, spec, folds).filter("D_bin = 0").join(keys, "t")
+def fold_score(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame, fold: int, before: int) -> float:
+    """rmse / max(1, rms) on the fold's untreated rows; no rows, no error."""
     e: Column = F.col("y") - F.col("mu0_hat")
-    per = out.groupBy("fold").agg((F.sqrt(F.avg(e * e)) / F.greatest(F.lit(1.0), F.sqrt(F.avg(F.col("y") * F.col("y"))))).alias("s"))
-    r = per.agg(F.percentile("s", 0.5).alias("m"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("sd")).first()
-    return float(r["m"] + 0.1 * r["sd"])
+    out = fold_predictions(rows, kind, spec, folds, fold, before).filter("D_bin = 0")
+    r = out.agg(F.sqrt(F.avg(e * e)), F.greatest(F.lit(1.0), F.sqrt(F.avg(F.col("y") * F.col("y"))))).first()
+    return r[0] / r[1] if r[0] is not None else 0.0
+
 
+def combined_score(scores: list[float]) -> float:
+    """Median + 0.1 x sd over folds."""
+    return statistics.median(scores) + 0.1 * statistics.pstdev(scores)
 
-#: name, low, high, on a log scale, whole number: what a search draws for each model
+
+def temporal_score(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame) -> float:
+    return combined_score([fold_score(rows, kind, spec, folds, *bounds) for bounds in fold_bounds(folds)])
+
+
+#: Name, low, high, on a log scale, whole number: what a search draws for each model
 SEARCH = {
     "ridge": (("regParam", 1e-3, 10.0, True, False),),
     "poisson": (("regParam", 1e-3, 1.0, True, False),),
     "forest": (("numTrees", 10, 40, False, True), ("maxDepth", 3, 10, False, True), ("minInstancesPerNode", 1, 20, False, True)),
+    "count_boosting": (("depth", 3, 6, False, True), ("rate", 0.01, 0.2, True, False), ("trees", 10, 40, False, True)),
     "boosting": (("maxDepth", 3, 8, False, True), ("stepSize", 0.01, 0.2, True, False), ("maxIter", 10, 40, False, True)),
 }
 
@@ -213,14 +242,26 @@ def random_params(model: str, draws: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def tune(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame, candidates: list[dict]) -> tuple[dict, float]:
-    """The parameter set with the lowest temporal score; sets are few and tried in turn."""
-    scored = [(temporal_score(rows, kind, replace(spec, params=p), folds), i) for i, p in enumerate(candidates)]
-    best = min(scored)
-    return candidates[best[1]], best[0]
+def tune(rows: DataFrame, kind: str, spec: Learner, folds: DataFrame, candidates: list[dict], keep: float | None = None) -> tuple[dict, float]:
+    """The parameter set with the lowest temporal score, and the score.
+
+    With `keep` the folds are rungs: after each fold only that share of the sets, the best so far, goes on to the
+    next, so a draw that fails on one fold costs one fit. The sets that reach the last rung have all folds' scores.
+    """
+    alive = {i: [] for i in range(len(candidates))}
+    bounds = fold_bounds(folds)
+    for rung, at in enumerate(bounds, 1):
+        for i, scores in alive.items():
+            scores.append(fold_score(rows, kind, replace(spec, params=candidates[i]), folds, *at))
+        if keep is not None and rung < len(bounds):
+            stay = sorted(alive, key=lambda i: (combined_score(alive[i]), i))[: max(1, math.ceil(len(alive) * keep))]
+            alive = {i: alive[i] for i in stay}
+    score, i = min((combined_score(s), i) for i, s in alive.items())
+    return candidates[i], score
 
 
 def for_target(rows: DataFrame, spec: Learner, label: str = "y") -> Learner:
-    """spec with a Poisson model where the target looks like counts; forests stay."""
+    """spec with a model of counts where the target looks like counts: boosting with a Poisson loss, or a Poisson
+    regression; forests stay."""
     counts = rows.agg(counts_like(F.col(label))).first()[0]
-    return replace(spec, model="poisson") if counts and spec.model in ("ridge", "boosting") else spec
+    return replace(spec, model={v: k for k, v in PLAIN.items()}.get(spec.model, spec.model)) if counts else spec

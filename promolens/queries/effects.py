@@ -744,6 +744,13 @@ def _(t: Tables) -> DataFrame:
     return meta.series(meta.cross_fit(t.stack, "S", spec, meta.time_folds(t.stack, 12, 1)), "S")
 
 
+@query("j17_count_boosting", SERIES + "t:i y_obs mu0_hat")
+def _(t: Tables) -> DataFrame:
+    """Boosting with a Poisson loss, which the target calls for."""
+    spec = meta.for_target(t.stack, meta.Learner(t.stack_features, model="boosting", params={"trees": 10, "depth": 3}))
+    return meta.series(meta.cross_fit(t.stack, "S", spec, meta.time_folds(t.stack, 12, 1)), "S")
+
+
 @query("j21_filled_predictions", "episode_id:s rows:i filled:i")
 def _(t: Tables) -> DataFrame:
     out = meta.cross_fit(t.stack, "S", meta.Learner(t.stack_features), meta.time_folds(t.stack, 12, 2))

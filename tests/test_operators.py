@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from promolens.functions import scalars as sc
 from promolens.operators import donors, eda, exposure, features, metrics, pairs, quality, ranks, runs
 from promolens.operators import episodes as ep
-from promolens.plans import gsc, meta, placebo
+from promolens.plans import boosting, gsc, meta, placebo
 from promolens.schema import Config, nan_to_null, require_columns
 from promolens.sources import io
 from promolens.streaming import events as ev
@@ -227,6 +227,70 @@ def test_empty_panel(spark):
     assert exposure.exposure(df).count() == 0 and runs.runs(df).count() == 0 and pairs.promo_profile(df).count() == 0
 
 
+def poisson_trees(x, y, w, edges, p):
+    """The same model by loops over arrays; returns the fitted means."""
+    bins = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
+    score = np.full(len(y), math.log((w * y).sum() / w.sum()))
+    for _ in range(p.trees):
+        m = w * np.exp(score)
+        g, h = np.round((m - w * y) * 2**20) / 2**20, np.round(m * 2**20) / 2**20
+        step = np.zeros(len(y))
+
+        def grow(rows, depth, g=g, h=h, step=step):
+            best = (p.gain, None)
+            for j in range(x.shape[1]) if depth else ():
+                for b in range(len(edges[j])):
+                    left = rows & (bins[:, j] <= b)
+                    right = rows & ~left
+                    if min(left.sum(), right.sum()) >= p.least:
+                        gain = sum(g[s].sum() ** 2 / (h[s].sum() + p.l2) for s in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + p.l2)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (left, right))
+            if best[1]:
+                for side in best[1]:
+                    grow(side, depth - 1)
+            else:
+                step[rows] = -p.rate * g[rows].sum() / (h[rows].sum() + p.l2)
+
+        grow(np.full(len(y), True), p.depth)
+        score += step
+    return np.exp(score)
+
+
+def test_poisson_boosting_equals_numpy_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 3)), 3)
+    x[:, 2] = rng.integers(0, 3, 300)
+    y = rng.poisson(np.exp(0.8 * (x[:, 0] > 0.3) + 0.5 * (x[:, 2] == 1)))
+    w = rng.integers(1, 4, 300).astype(float)
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i]), float(w[i])) for i in range(300)], "i int, a double, b double, c double, y int, w double")
+    p = boosting.Params(trees=13, depth=3, bins=8)
+    models = [boosting.fit(df.repartition(n), ["a", "b", "c"], "y", "w", p) for n in (1, 7)]
+    assert models[0] == models[1]
+    edges = [boosting.bin_edges(df, [c], 8)[c] for c in "abc"]
+    assert all(1 <= len(e) <= 7 for e in edges)
+    got = np.array([r["p"] for r in models[0].predict(df, "p").orderBy("i").collect()])
+    assert np.allclose(got, poisson_trees(x, y, w, edges, p), rtol=1e-9)
+    assert np.corrcoef(got, np.exp(0.8 * (x[:, 0] > 0.3) + 0.5 * (x[:, 2] == 1)))[0, 1] > 0.8
+
+
+def test_poisson_boosting_of_odd_tables(spark):
+    df = spark.createDataFrame([(None, 2), (1.0, None), (3.0, 4)], "a double, y int")
+    model = boosting.fit(df.filter("y IS NOT NULL"), ["a"], "y")
+    assert [round(r["p"], 6) for r in model.predict(df, "p").collect()] == [3.0] * 3
+    assert boosting.fit(df.filter("false"), ["a"], "y").predict(df, "p").first()["p"] < 1e-5
+
+
+def test_rungs_find_what_the_whole_search_finds(spark):
+    rng = random.Random(2)
+    rows = [(f"e{u}", 1, u, t, int(t % 3 == 0), float(3 * t + u + rng.random()), float(t), 1.0) for u in range(4) for t in range(30)]
+    df = spark.createDataFrame(rows, "episode_id string, store_nbr int, item_nbr int, t int, D_bin int, y double, x double, w double").withColumn("D_cont", F.col("D_bin").cast("double"))
+    folds, spec = meta.time_folds(df, 4, 3), meta.Learner(["x"])
+    sets = [{"regParam": r} for r in (50.0, 1e-3, 5.0, 500.0)]
+    whole, rungs = meta.tune(df, "S", spec, folds, sets), meta.tune(df, "S", spec, folds, sets, keep=0.5)
+    assert whole[0] == {"regParam": 1e-3} and rungs[0] == whole[0] and abs(whole[1] - rungs[1]) < 1e-12
+
+
 def random_panel(spark, seed=8, months=10):
     rng = random.Random(seed)
     rows = [(D(2020, 1 + m, 1), m, s, i, i % 3, float(rng.randint(0, 9)), int(rng.random() < 0.4)) for m in range(months) for s in range(3) for i in range(7) if rng.random() < 0.8]
