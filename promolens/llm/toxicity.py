@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Training takes a bounded sample of labelled documents, as many of either class, chosen by a hash of
-the id, and reads their whole texts. A first pass counts in how many toxic and other documents each n-gram (of lower-cased UTF-8
-bytes) occurs; the n-grams with the strongest evidence become features, each scaled by its
+the id, and reads their whole texts. A first pass counts in how many toxic and other documents each n-gram (of case-folded
+characters, whatever their bytes) occurs; the n-grams with the strongest evidence become features, each scaled by its
 smoothed log-count ratio; a logistic regression over the scaled presence features sets the
 weights (Wang and Manning, 2012). Scoring walks every whole text: a table over hash buckets drops
 nearly all positions, the rest are looked up exactly. The model is broadcast; its size is fixed
@@ -26,7 +26,7 @@ ship_by_value(__name__)
 
 SIZES = (3, 4, 5, 6)  # characters in an n-gram
 BUCKETS = 20  # bits of the table that drops positions without features
-CHUNK = 1 << 20  # bytes of text hashed at once
+CHUNK = 1 << 20  # characters of text hashed at once
 
 
 @dataclass
@@ -40,11 +40,11 @@ class Params:
     steps: int = 300
 
 
-def _hashes(text: bytes) -> Iterator[np.ndarray]:
+def _hashes(text: str) -> Iterator[np.ndarray]:
     """64-bit hashes of the n-grams of each size, in chunks that overlap so that none is lost."""
     longest = max(SIZES)
     for at in range(0, max(len(text) - longest + 1, 1), CHUNK):
-        b = np.frombuffer(text[at : at + CHUNK + longest - 1], np.uint8).astype(np.uint64)
+        b = np.frombuffer(text[at : at + CHUNK + longest - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
         h = np.zeros(len(b), np.uint64)
         for n in range(1, longest + 1):
             if len(b) < n:
@@ -54,11 +54,12 @@ def _hashes(text: bytes) -> Iterator[np.ndarray]:
                 yield h ^ (h >> np.uint64(29))
 
 
-def _lower(text: bytes | None) -> bytes:
-    return b" ".join([b"", *(text or b"").lower().split(), b""])
+def _lower(text: bytes | None) -> str:
+    """Words between single spaces, case-folded; bytes that are no UTF-8 count as U+FFFD."""
+    return " ".join(["", *(text or b"").decode(errors="replace").casefold().split(), ""])
 
 
-def _distinct(text: bytes) -> np.ndarray:
+def _distinct(text: str) -> np.ndarray:
     """The text's distinct hashes; repeated ones of a very long text are dropped as it is walked."""
     parts, size, limit = [np.zeros(0, np.uint64)], 0, 4 * CHUNK
     for h in _hashes(text):
@@ -77,7 +78,7 @@ class Model:
     bias: float
     flags: np.ndarray | None = None
 
-    def score(self, text: bytes) -> float:
+    def score(self, text: str) -> float:
         if self.flags is None:
             self.flags = np.zeros(1 << BUCKETS, bool)
             self.flags[self.keys >> np.uint64(64 - BUCKETS)] = True
@@ -115,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     sizes = [min(n, params.sample_rows) for n in totals]
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     # at most 2 x sample_rows small rows: a size that holds for any input
-    texts = texts.join(F.broadcast(chosen), "doc_id").repartition(params.tasks, "doc_id")
+    texts = texts.join(F.broadcast(chosen), "doc_id")
+    # one text of each id is left in every task before any is dealt out
     texts = save(texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")), "train")
     texts = texts.repartition(params.tasks, "doc_id")
 
@@ -163,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
                 rows.append(at[keys[at] == grams].astype(np.int32) if len(keys) else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "toxic", "at"])
 
+    # gathered: at most 2 x sample_rows rows, each of as many numbers as it holds of the `features`
     schema = T.StructType([docs.schema["doc_id"], chosen.schema["toxic"], T.StructField("at", T.ArrayType(T.IntegerType()))])
     rows = texts.mapInArrow(present, schema).orderBy("doc_id").toArrow()
     flat = rows.column("at").combine_chunks()

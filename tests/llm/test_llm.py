@@ -323,16 +323,16 @@ def test_toxicity_learns_from_the_ends_of_long_texts(spark):
 
 
 def test_toxicity_distinct_hashes_of_very_long_texts():
-    text = bytes(random.Random(18).choices(b"abcdefgh ", k=3_000_000))
+    text = "".join(random.Random(18).choices("abcdéfgж漢\U0001f600 ", k=3_000_000))
     want = np.unique(np.concatenate(list(toxicity._hashes(text))))
     assert np.array_equal(toxicity._distinct(text), want)
 
 
 def toxicity_by_brute_force(texts, labels, params):
-    """Scores by id, from dictionaries of the n-grams' bytes and dense matrices."""
+    """Scores by id, from dictionaries of the n-grams and dense matrices."""
     grams = {}
     for i, t in texts.items():
-        b = b" ".join([b"", *(t or "").encode().lower().split(), b""])
+        b = " ".join(["", *(t or "").casefold().split(), ""])
         grams[i] = {b[k : k + n] for n in (3, 4, 5, 6) for k in range(len(b) - n + 1)}
     ids = sorted(labels)
     y = np.array([labels[i] for i in ids], float)
@@ -361,8 +361,8 @@ def test_toxicity_equals_brute_force(spark):
     texts, labels = {}, {}
     for i in range(240):
         labels[i] = int(i % 3 == 0)
-        texts[i] = " ".join([word() for _ in range(30)] + (["Vile", "Ärger"] if labels[i] and i % 2 else ["nice"] * (i % 2)))
-    texts |= {1000: None, 1001: "", 1002: "vile \t words"}
+        texts[i] = " ".join([word() for _ in range(30)] + (["Vile", "ÄRGER", "Мразь", "漢字\U0001f600"] if labels[i] and i % 2 else ["nice", "хорошо"] * (i % 2)))
+    texts |= {1000: None, 1001: "", 1002: "vile \t words", 1003: "МРАЗЬ", 1004: "ärger", 1005: "漢字\U0001f600 漢字"}
     lab = spark.createDataFrame([*labels.items(), (5000, 1), (5001, 0)], "doc_id long, toxic int")
     params = toxicity.Params(min_z=3.0)
     want = toxicity_by_brute_force(texts, labels, params)
@@ -372,6 +372,12 @@ def test_toxicity_equals_brute_force(spark):
     assert len({round(v, 6) for v in want.values()}) > 20
 
 
+def test_toxicity_ngrams_are_characters():
+    assert all(len(h) == max(len("ж漢é\U0001f600b") - n + 1, 0) for h, n in zip(toxicity._hashes("ж漢é\U0001f600b"), toxicity.SIZES, strict=False))
+    assert np.array_equal(toxicity._distinct(toxicity._lower("STRASSE Ärger".encode())), toxicity._distinct(toxicity._lower("straße  ärger".encode())))
+    assert toxicity._lower(b"\xff\xfea") == " \ufffd\ufffda "
+
+
 def test_toxicity_without_labels(spark):
     df = docs(spark, [(1, "a b"), (2, None), (None, "c")])
     for labels in ([(1, None)], [(1, 0)], [(1, 1)], [(7, 1), (8, 0)], [(1, 0), (7, 1)], [(i, i % 2) for i in range(100, 120)], [(1, 0), (1, 1)]):
