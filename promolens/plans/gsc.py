@@ -2,11 +2,13 @@
 
 Cross-validation, placebos, leave-one-out and sensitivity are the same operator on different job
 tables: a job names its episode, the unit whose periods are hidden, the units left out and the
-parameters. Each (episode, job) is a group of a few dozen units by a few hundred periods.
+parameters. An episode, a few dozen units by a few hundred periods, is packed into one row that its jobs meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from promolens.functions.shipping import ship_by_value
 from promolens.operators.metrics import correlation, level_calibration, smooth
+from promolens.sources.staging import stage
 
 ship_by_value(__name__)
 
@@ -21,12 +24,23 @@ JOB = ["episode_id", "job_id"]
 FITTED = "episode_id string, job_id string, unit_id string, t int, treat_start int, y_obs double, mu0_hat double, hidden int"
 
 
-def soft_impute(y: np.ndarray, mask: np.ndarray, tau: float, rank: int, iterations: int = 120, tol: float = 1e-4) -> np.ndarray:
-    """Low-rank completion: fill, shrink singular values by tau, keep at most `rank`, until it settles."""
-    low = np.zeros_like(y)
+def soft_impute(y: np.ndarray, mask: np.ndarray, tau: float, rank: int, iterations: int = 120, tol: float = 1e-4, start: np.ndarray | None = None) -> np.ndarray:
+    """Low-rank completion: fill, shrink singular values by tau, keep at most `rank`, until it settles. `start` is a
+    solution near by, as of a larger tau.
+
+    Singular values and one side's vectors come from the product with itself, units by units.
+    """
+    low = np.zeros_like(y) if start is None else start
+    flat = y.shape[0] > y.shape[1]
     for _ in range(iterations):
-        u, s, v = np.linalg.svd(np.where(mask, y, low), full_matrices=False)
-        new = (u[:, :rank] * np.maximum(s[:rank] - tau, 0)) @ v[:rank]
+        full = np.where(mask, y, low)
+        full = full.T if flat else full
+        values, u = np.linalg.eigh(full @ full.T)
+        s, u = np.sqrt(np.maximum(values[::-1][:rank], 0.0)), u[:, ::-1][:, :rank]
+        held = s > tau
+        u = u[:, held]
+        new = (u * (1 - tau / s[held])) @ (u.T @ full)
+        new = new.T if flat else new
         moved = np.linalg.norm(new - low) / max(np.linalg.norm(low), 1e-9)
         low = new
         if moved < tol:
@@ -35,25 +49,31 @@ def soft_impute(y: np.ndarray, mask: np.ndarray, tau: float, rank: int, iteratio
 
 
 def complete(
-    y: np.ndarray, mask: np.ndarray, x: np.ndarray | None, rank: int, tau: float, alpha: float, outer: int = 10, inner: int = 120, growth: float = 1.0, cap: float = 6.0
-) -> np.ndarray:
+    y: np.ndarray, mask: np.ndarray, x: np.ndarray | None, rank: int, tau: float, alpha: float, outer: int = 10, inner: int = 120, growth: float = 1.0, cap: float = 6.0,
+    tol: float = 1e-4, start: tuple[np.ndarray, np.ndarray] | None = None, ends: list | None = None,
+) -> np.ndarray:
     """Predicted sales of every cell from the visible ones: log link, standardised, low rank plus ridge on x.
-    From round to round tau and alpha grow by `growth`, to `cap` times their start at most."""
+    From round to round tau and alpha grow by `growth`, to `cap` times their start at most. `start` holds the low-rank
+    and the ridge part of a fit near by on the same cells; this fit's own parts are left in `ends`."""
     z = np.log1p(np.maximum(y, 0.0))
     mean, sd = z[mask].mean(), max(z[mask].std(), 1e-6)
     z = np.where(mask, (z - mean) / sd, 0.0)
-    fixed, last = np.zeros_like(z), np.inf
+    low, fixed = start or (None, np.zeros_like(z))
+    fixed, last = fixed if x is not None else np.zeros_like(z), np.inf
     for i in range(outer):
         more = min(growth**i, cap)
-        low = soft_impute(np.where(mask, z - fixed, 0.0), mask, tau * more, rank, inner)
+        # a cold fit starts anew each time, a warm one goes on from where it is
+        low = soft_impute(np.where(mask, z - fixed, 0.0), mask, tau * more, rank, inner, tol, low if start else None)
         if x is not None:
             a = x[mask]
             beta = np.linalg.solve(a.T @ a + alpha * more * np.eye(a.shape[1]), a.T @ (z - low)[mask])
             fixed = x @ beta
         error = float(np.sqrt(np.mean((z - low - fixed)[mask] ** 2)))
-        if x is None or abs(last - error) < 1e-5:
+        if x is None or abs(last - error) < tol / 10:
             break
         last = error
+    if ends is not None:
+        ends[:] = [low, fixed]
     return np.maximum(np.expm1(np.clip((low + fixed) * sd + mean, -20, 20)), 0.0)
 
 
@@ -70,38 +90,81 @@ def train_mask(mask: np.ndarray, units: np.ndarray, periods: np.ndarray, job: pd
     return out
 
 
-def _fit_job(pdf: pd.DataFrame) -> pd.DataFrame:
-    job = pdf.iloc[0]
-    pdf = pdf[pdf["unit_id"] != job["excluded_unit"]]
-    wide = pdf.pivot_table(index="unit_id", columns="t", values="unit_sales", aggfunc="sum").sort_index()
-    y = wide.to_numpy(float)
-    mask = ~np.isnan(y)
-    periods, units = wide.columns.to_numpy(), wide.index.to_numpy()
+def fit_job(y: np.ndarray, present: np.ndarray, units: np.ndarray, periods: np.ndarray, job: pd.Series, start: tuple | None = None, ends: list | None = None) -> pd.DataFrame | None:
+    """The fitted series of one job on an episode's matrix, units by periods; None where it has nothing to learn from."""
+    stay = units != job["excluded_unit"]
+    seen_at = present[stay].any(axis=0)
+    y, mask, units, periods = y[stay][:, seen_at], present[stay][:, seen_at], units[stay], periods[seen_at]
     row = np.flatnonzero(units == job["hidden_unit"])
-    out = pd.DataFrame(columns=[c.split()[0] for c in FITTED.split(", ")])
     if not len(row):
-        return out
+        return None
     hide = (periods >= job["hide_from"]) & (periods <= job["hide_to"])
     gap = (periods >= job.get("gap_from", job["hide_from"])) & (periods < job["hide_from"])
     seen = train_mask(mask, units, periods, job)
     if not seen[row[0]].any() or seen.sum() < 4:
-        return out
+        return None
     x = None
     if job["covariates"]:
         year = 2 * np.pi * periods / 12.0
         x = np.stack([np.broadcast_to(c, y.shape) for c in (np.sin(year), np.cos(year), (periods - periods.mean()) / max(periods.std(), 1))], axis=2)
-    schedule = {k: kind(job[k]) for k, kind in (("inner", int), ("growth", float), ("cap", float)) if k in job}
-    fitted = complete(np.nan_to_num(y), seen, x, int(min(job["rank"], *y.shape)), float(job["tau"]), float(job["alpha"]), **schedule)
+    schedule = {k: kind(job[k]) for k, kind in (("inner", int), ("growth", float), ("cap", float), ("tol", float)) if k in job}
+    fitted = complete(y, seen, x, int(min(job["rank"], *y.shape)), float(job["tau"]), float(job["alpha"]), **schedule, start=start, ends=ends)
     at = row[0]
-    return pd.DataFrame({"episode_id": job["episode_id"], "job_id": job["job_id"], "unit_id": units[at], "t": periods.astype("int32"), "treat_start": np.int32(job["treat_start"]), "y_obs": y[at], "mu0_hat": fitted[at], "hidden": np.where(hide, 1, np.where(gap, 2, 0)).astype("int32")})
+    return pd.DataFrame({"episode_id": job["episode_id"], "job_id": job["job_id"], "unit_id": units[at], "t": periods.astype("int32"), "treat_start": np.int32(job["treat_start"]), "y_obs": np.where(mask[at], y[at], np.nan), "mu0_hat": fitted[at], "hidden": np.where(hide, 1, np.where(gap, 2, 0)).astype("int32")})
+
+
+#: What jobs of one path have in common, besides the unit and the periods they hide.
+PATH = ["hidden_unit", "excluded_unit", "hide_from", "hide_to", "gap_from", "all_rows", "embargo", "rank", "covariates", "growth", "cap"]
+
+
+def fit_episode(units: np.ndarray, periods: np.ndarray, values: np.ndarray, jobs: pd.DataFrame, warm: bool) -> list[pd.DataFrame]:
+    """All jobs of one episode, whose cells are given as (unit, period, value) in three arrays; several values of a
+    cell are added up. With `warm`, jobs that differ in tau and alpha only start from the one with the next larger tau."""
+    names, i = np.unique(units, return_inverse=True)
+    times, j = np.unique(periods, return_inverse=True)
+    y, present = np.zeros((len(names), len(times))), np.zeros((len(names), len(times)), bool)
+    np.add.at(y, (i, j), np.nan_to_num(values))
+    present[i, j] = True
+    if not warm:
+        return [d for _, job in jobs.iterrows() if (d := fit_job(y, present, names, times, job)) is not None]
+    out = []
+    for _, path in jobs.groupby([c for c in PATH if c in jobs], dropna=False, sort=False):
+        start = None
+        for _, job in path.sort_values(["tau", "job_id"], ascending=[False, True]).iterrows():
+            ends: list = []
+            if (d := fit_job(y, present, names, times, job, start, ends)) is not None:
+                out.append(d)
+                start = tuple(ends)
+    return out
 
 
-def fits(rows: DataFrame, jobs: DataFrame) -> DataFrame:
+def fits(rows: DataFrame, jobs: DataFrame, warm: bool = False, slots: int = 8) -> DataFrame:
     """Fitted series of each job's hidden unit; hidden is 1 in the periods it doesn't see, 2 in the gap before them. jobs: episode_id, job_id, hidden_unit, hide_from, hide_to,
-    excluded_unit, rank, tau, alpha, covariates; and, where wanted, gap_from, all_rows, embargo, inner, growth, cap."""
+    excluded_unit, rank, tau, alpha, covariates; and, where wanted, gap_from, all_rows, embargo, inner, growth, cap, tol.
+
+    An episode is packed into one row, and its jobs into at most `slots` rows that meet it: cells are shuffled once, however
+    many jobs there are. Jobs of one path share a slot.
+    """
     victims = rows.filter("is_victim = 1").groupBy("episode_id").agg(F.first("unit_id").alias("victim"))
-    data = rows.select("episode_id", "unit_id", "t", "treat_start", "unit_sales").join(victims, "episode_id").join(jobs, "episode_id")
-    return data.groupBy(*JOB).applyInPandas(_fit_job, FITTED)
+    cells = F.array_sort(F.collect_list(F.struct("unit_id", "t", "unit_sales")))
+    packed = rows.groupBy("episode_id").agg(F.min("treat_start").alias("treat_start"), cells.alias("c")).join(victims, "episode_id")
+    packed = packed.select("episode_id", "treat_start", "victim", F.col("c.unit_id").alias("units"), F.col("c.t").alias("periods"), F.col("c.unit_sales").cast("array<double>").alias("values"))
+    packed = packed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    own = [c for c in jobs.columns if c not in ("episode_id", "treat_start")]
+    slot = F.pmod(F.xxhash64(*([c for c in PATH if c in own] if warm else ["job_id"])), F.lit(slots)).cast("int")
+    # fits cost far more than their rows tell: as many tasks as shuffles have partitions, never fewer
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = jobs.withColumn("slot", slot).repartition(parts, "episode_id", "slot").groupBy("episode_id", "slot").agg(F.sort_array(F.collect_list(F.struct("job_id", *[c for c in own if c != "job_id"]))).alias("jobs"))
+    work = lists.join(packed, ["episode_id", "slot"]).drop("slot")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, e in batch.iterrows():
+                todo = pd.DataFrame([dict(j) if isinstance(j, dict) else j.asDict() for j in e["jobs"]]).assign(episode_id=e["episode_id"], treat_start=e["treat_start"], victim=e["victim"])
+                for done in fit_episode(np.asarray(e["units"], object), np.asarray(e["periods"], int), np.asarray(e["values"], float), todo, warm):
+                    yield done
+
+    return work.mapInPandas(run, FITTED)
 
 
 def scales(rows: DataFrame) -> DataFrame:
@@ -186,18 +249,20 @@ def _fold_rows(fitted: DataFrame) -> DataFrame:
     def ratio(a: Column, b: Column, least: float) -> Column:
         return F.when(b > least, a / (b + 1e-8)).otherwise(F.lit(1.0))
 
-    excess = F.when(F.col("q95") > 0, F.greatest(m - 3 * F.col("q95"), F.lit(0.0)) / (F.col("q95") + 1e-8)).otherwise(F.greatest(m - 10, F.lit(0.0)) / 10)
+    # fixed values: beyond three times the 95th percentile, or beyond 10 where that is 0
+    excess = F.when(F.col("q95") > 0, F.greatest(m - 3 * F.col("q95"), F.lit(0.0)) / (F.col("q95") + 1e-8))
+    largest = F.max(F.when(F.col("q95") <= 0, F.greatest(m - 10, F.lit(0.0)) / 10))
     pre = pre.withColumn("first_hidden", F.min(hold(F.col("t"))).over(Window.partitionBy(*JOB)))
     return pre.groupBy(*JOB).agg(
         F.sqrt(F.avg(hold(F.col("d2")))).alias("hold"), F.sqrt(F.avg(train(F.col("e2")))).alias("train"), F.sqrt(F.avg("d2")).alias("error"),
         ratio(spread(hold(m)), spread(hold(y)), 0.05).alias("cv_hold"), ratio(spread(m), spread(y), 0.05).alias("cv"),
         ratio(F.stddev_pop(hold(F.col("hm"))), F.stddev_pop(hold(F.col("hy"))), 1e-6).alias("steps_hold"), ratio(F.stddev_pop("dm"), F.stddev_pop("dy"), 1e-6).alias("steps"),
-        F.coalesce(correlation(y, m), F.lit(0.0)).alias("corr"), F.avg(excess).alias("spike"),
+        F.coalesce(correlation(y, m), F.lit(0.0)).alias("corr"), F.coalesce(F.avg(excess), largest, F.lit(0.0)).alias("spike"),
     )
 
 
 def penalised(per: DataFrame) -> DataFrame:
-    """(episode_id, spec_id, score): the upper quartile of the fold errors, plus penalties for fits that are too close,
+    """(episode_id, spec_id, score), with fixed weights and limits: the upper quartile of the fold errors, plus penalties for fits that are too close,
     too flat or too jumpy, worse ahead than behind, or spiky."""
     names = ["train", "error", "cv_hold", "cv", "steps_hold", "steps", "corr", "spike"]
     m = per.groupBy("episode_id", "spec_id").agg(F.percentile("hold", 0.75).alias("score"), *[F.percentile(n, 0.5).alias(n) for n in names])
@@ -211,14 +276,44 @@ def penalised(per: DataFrame) -> DataFrame:
     return m.select("episode_id", "spec_id", (F.col("score") + ahead + 3 * F.col("spike")).alias("score"))
 
 
-def select_spec(rows: DataFrame, specs: DataFrame, fold_table: DataFrame, penalties: bool = False) -> DataFrame:
+def _scores(per: DataFrame, penalties: bool) -> DataFrame:
+    return penalised(per) if penalties else per.groupBy("episode_id", "spec_id").agg(F.percentile("hold", 0.5).alias("score"))
+
+
+def select_spec(rows: DataFrame, specs: DataFrame, fold_table: DataFrame, penalties: bool = False, keep: float | None = None) -> DataFrame:
     """The specification with the lowest score per episode: the median fold error of log1p, or with
-    penalties the score of `penalised`."""
-    targets = fold_table.join(_victims(rows).select("episode_id", "hidden_unit"), "episode_id").withColumn("excluded_unit", F.lit(""))
-    per = _fold_rows(fits(rows, _jobs(specs, targets, "spec_id", "fold_id"))).withColumn("spec_id", F.substring_index("job_id", "|", 1))
-    best = penalised(per) if penalties else per.groupBy("episode_id", "spec_id").agg(F.percentile("hold", 0.5).alias("score"))
-    w = Window.partitionBy("episode_id").orderBy("score", "spec_id")
-    best = best.filter("score IS NOT NULL").withColumn("n", F.row_number().over(w)).filter("n = 1").select("episode_id", "spec_id", "score")
+    penalties the score of `penalised`.
+
+    With `keep` the folds are rungs, the last one first: only that share of an episode's specifications, the best by the
+    folds so far, is fitted on the next fold. What each rung found is written, so no fit is done twice.
+    """
+    victims = _victims(rows).select("episode_id", "hidden_unit")
+    targets = fold_table.join(victims, "episode_id").withColumn("excluded_unit", F.lit(""))
+
+    def tried(alive: DataFrame, at: DataFrame, warm: bool) -> DataFrame:
+        return _fold_rows(fits(rows, _jobs(alive, at, "spec_id", "fold_id"), warm)).withColumn("spec_id", F.substring_index("job_id", "|", 1))
+
+    each = Window.partitionBy("episode_id")
+    order = each.orderBy(F.asc_nulls_last("score"), "spec_id")
+    if keep is None:
+        best = _scores(tried(specs, targets, False), penalties)
+    else:
+        specs = stage(specs, "specs")
+        targets = stage(targets.withColumn("rung", F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("hide_from")))), "rungs")
+        alive, per = specs, None
+        for rung in range(1, (targets.agg(F.max("rung")).first()[0] or 0) + 1):
+            new = stage(tried(alive, targets.filter(F.col("rung") == rung).drop("rung"), True), "rung")
+            per = new if per is None else per.unionByName(new)
+            # all of an episode's specifications stay after its last fold, and while none has a score
+            reached = alive.select("episode_id", "spec_id").join(_scores(per, penalties), ["episode_id", "spec_id"], "left")
+            ranked = reached.withColumns({"n": F.row_number().over(order), "of": F.count("*").over(each), "scored": F.count("score").over(each)})
+            ranked = ranked.join(targets.groupBy("episode_id").agg(F.max("rung").alias("last")), "episode_id")
+            stay = ranked.filter((F.col("n") <= F.ceil(F.col("of") * keep)) | (F.col("last") <= rung) | (F.col("scored") == 0)).select("episode_id", "spec_id")
+            alive = stage(alive.join(stay, ["episode_id", "spec_id"], "left_semi"), "alive")
+        if per is None:
+            return specs.withColumn("score", F.lit(None).cast("double")).limit(0)
+        best = _scores(per.join(alive.select("episode_id", "spec_id"), ["episode_id", "spec_id"], "left_semi"), penalties)
+    best = best.filter("score IS NOT NULL").withColumn("n", F.row_number().over(order)).filter("n = 1").select("episode_id", "spec_id", "score")
     return specs.join(best, ["episode_id", "spec_id"])
 
 

@@ -631,7 +631,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("j9_random_search", "episode_id:s spec_id:s score")
 def _(t: Tables) -> DataFrame:
-    return gsc.select_spec(t.rows, gsc.random_specs(t.rows, 8, tau=(0.02, 0.25), alpha=(1e-4, 0.2), schedule=True), gsc.folds(t.rows), penalties=True)
+    """By rungs: each fold keeps a quarter of the draws."""
+    draws = gsc.random_specs(t.rows, 32, tau=(0.02, 0.25), alpha=(1e-4, 0.2), schedule=True)
+    return gsc.select_spec(t.rows, draws, gsc.folds(t.rows), penalties=True, keep=0.25)
 
 
 @query("j10_placebo_space", "episode_id:s job_id:s att")
@@ -759,5 +761,5 @@ def _(t: Tables) -> DataFrame:
 
 @query("j22_tuned_parameters", "regParam score")
 def _(t: Tables) -> DataFrame:
-    best, score = meta.tune(t.stack, "S", meta.Learner(t.stack_features), meta.time_folds(t.stack, 12, 2), meta.random_params("ridge", 4))
+    best, score = meta.tune(t.stack, "S", meta.Learner(t.stack_features), meta.time_folds(t.stack, 12, 2), meta.random_params("ridge", 12), keep=0.25)
     return t.spark.createDataFrame([(best["regParam"], score)], "regParam double, score double")

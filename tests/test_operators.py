@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,55 @@ def test_empty_panel(spark):
     assert exposure.exposure(df).count() == 0 and runs.runs(df).count() == 0 and pairs.promo_profile(df).count() == 0
 
 
+def test_packed_fits_equal_fits_of_the_bare_matrix(spark):
+    rows = episode_rows(spark, drop=2.0)
+    jobs = gsc.grid(rows, (1, 2), (0.05, 0.2)).withColumn("job_id", F.col("spec_id"))
+    v = rows.filter("is_victim = 1").groupBy("episode_id").agg(F.first("unit_id").alias("hidden_unit"), F.min("treat_start").alias("hide_from"), F.max("t").alias("hide_to"))
+    jobs = jobs.join(v, "episode_id").withColumn("excluded_unit", F.lit(""))
+    got = {(r.job_id, r.t): r.mu0_hat for r in gsc.fits(rows, jobs, slots=3).collect()}
+    wide = rows.toPandas().pivot_table(index="unit_id", columns="t", values="unit_sales", aggfunc="sum").sort_index()
+    y, times, units = wide.to_numpy(float), wide.columns.to_numpy(), wide.index.to_numpy()
+    for job in jobs.toPandas().assign(victim=lambda d: d["hidden_unit"], treat_start=lambda d: d["hide_from"]).to_dict("records"):
+        seen = gsc.train_mask(~np.isnan(y), units, times, pd.Series(job))
+        year = 2 * np.pi * times / 12.0
+        x = np.stack([np.broadcast_to(c, y.shape) for c in (np.sin(year), np.cos(year), (times - times.mean()) / times.std())], axis=2)
+        want = gsc.complete(np.nan_to_num(y), seen, x, job["rank"], job["tau"], job["alpha"])[units == job["hidden_unit"]][0]
+        assert np.allclose([got[job["job_id"], t] for t in times], want, rtol=1e-9)
+
+
+def test_warm_path_settles_where_cold_fits_do():
+    rng = np.random.default_rng(3)
+    y = np.exp(rng.normal(size=(8, 2)) @ rng.normal(size=(2, 30)) * 0.4 + 1) + rng.random((8, 30))
+    mask = rng.random((8, 30)) < 0.9
+    start = None
+    for tau in (6.0, 3.0, 1.5):
+        ends = []
+        warm = gsc.complete(y, mask, None, 8, tau, 0.01, inner=20_000, tol=1e-12, start=start, ends=ends)
+        assert np.allclose(warm, gsc.complete(y, mask, None, 8, tau, 0.01, inner=20_000, tol=1e-12), atol=1e-6)
+        start = tuple(ends)
+
+
+def test_soft_impute_equals_singular_values():
+    rng = np.random.default_rng(4)
+    for shape in ((5, 20), (20, 5)):
+        y, mask, low = rng.normal(size=shape), rng.random(shape) < 0.8, np.zeros(shape)
+        for _ in range(9):
+            u, s, v = np.linalg.svd(np.where(mask, y, low), full_matrices=False)
+            low = (u[:, :3] * np.maximum(s[:3] - 0.7, 0)) @ v[:3]
+        assert np.allclose(gsc.soft_impute(y, mask, 0.7, 3, 9, 0.0), low, atol=1e-10)
+
+
+def test_specifications_by_rungs(spark):
+    rows = episode_rows(spark, drop=2.0)
+    specs, folds = gsc.grid(rows, (1, 2), (0.001, 0.2, 5.0)), gsc.folds(rows)
+    one = gsc.select_spec(rows, specs, folds, keep=0.01).collect()  # one is left after the last fold
+    last = folds.orderBy(F.desc("hide_from")).limit(1)
+    assert [(r.episode_id, r.spec_id) for r in one] == [(r.episode_id, r.spec_id) for r in gsc.select_spec(rows, specs, last).collect()]
+    every = gsc.select_spec(rows, specs, folds, keep=1.0).collect()
+    assert len(every) == 1 and every[0].score < 1
+    assert gsc.select_spec(rows, specs, folds.limit(0), keep=0.5).count() == 0
+
+
 def poisson_trees(x, y, w, edges, p):
     """The same model by loops over arrays; returns the fitted means."""
     bins = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
