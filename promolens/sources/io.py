@@ -93,8 +93,10 @@ def write_table(df: DataFrame, path: str, *partitions: str, mode: str = "overwri
 
 
 def write_by_store(exposed: DataFrame, path: str) -> None:
-    """The exposure table in a folder per store: rows of a store meet first, so each folder gets few files."""
-    write_table(exposed.repartition("store_nbr"), path, "store_nbr")
+    """The exposure table in a folder per store. Rows of a store meet first, so each folder gets few files; a store
+    larger than a partition should be is split. Stores that `exposed` lacks keep what an earlier run has written."""
+    dealt = exposed.hint("rebalance", "store_nbr")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_nbr").parquet(path)
 
 
 def write_both(tables: dict[str, DataFrame], folder: str) -> None:
