@@ -165,6 +165,12 @@ def _(t: Tables) -> DataFrame:
     return t.rows
 
 
+@query("g7_panel_stack", "episode_id:s " + UNIT + "t:i unit_sales is_victim:i", "SELECT * FROM erows WHERE is_victim = 0 UNION ALL SELECT * FROM erows WHERE is_victim = 1")
+def _(t: Tables) -> DataFrame:
+    """The victims' and the donors' panels under each other."""
+    return t.rows.filter("is_victim = 1").unionByName(t.rows.filter("is_victim = 0"))
+
+
 @query("b19_treatment_labels", "episode_id:s unit_id:s t:i treated_time:i D:i is_pre:i train_mask:i", "SELECT *, treated_time * is_victim AS D, 1 - treated_time * is_victim AS train_mask FROM erows")
 def _(t: Tables) -> DataFrame:
     return t.rows
