@@ -244,3 +244,18 @@ def test_trie_of_an_empty_table_and_of_clashing_columns(spark):
     assert prefixes.prefix_trie(prefixes.rebuilt(prefixes.sequences(df.filter("false")))).count() == 0
     df = df.withColumns({c: F.lit(0) for c in ("base", "turns", "key", "head", "container", "depth", "n")})
     assert {tuple(r) for r in prefixes.prefix_trie(prefixes.rebuilt(prefixes.sequences(df))).collect()} == trie_rows(rows)
+
+
+@pytest.mark.parametrize("name", ["op11_source_divergence", "op13_conversation_trie"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from promolens.llm.queries import QUERIES, SQL
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    df = QUERIES[name](spark, folder)
+    names = sorted(df.columns)
+    want = con.execute(f"select {', '.join(names)} from ({SQL[name]})").fetchall()
+    assert len(want) > 300 and Counter(map(tuple, df.select(names).collect())) == Counter(want)
