@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promolens.queries.registry import query
@@ -15,6 +16,18 @@ from promolens.streaming import incremental as inc
 PARTS = 4
 
 
+@contextlib.contextmanager
+def state_per_core(spark: SparkSession) -> Iterator[None]:
+    """Streams started within it keep their state in no more partitions than there are cores: each costs a commit a batch."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def arrivals(t: Tables, df: DataFrame, name: str, last: DataFrame | None = None) -> Iterator[DataFrame]:
     """A stream of files as it stands after each part of df, by ranges of t, has arrived; `last` comes with the last."""
     path = fresh_path(t.spark, name)
@@ -32,11 +45,12 @@ def fed_exposure(t: Tables) -> str:
     """The folder of exposure tables kept up by a stream of the panel that is stopped and started after each part.
     Epochs of the first half are merged."""
     path = fresh_path(t.spark, "exposure")
-    for k, panel in enumerate(arrivals(t, t.sales, "sales"), 1):
-        query = inc.stream_exposure(panel, path, late="62 days")
-        query.awaitTermination()
-        if k == PARTS // 2:
-            inc.merge_epochs(t.spark, path, query.lastProgress["batchId"] - 1)
+    with state_per_core(t.spark):
+        for k, panel in enumerate(arrivals(t, t.sales, "sales"), 1):
+            query = inc.stream_exposure(panel, path, late="62 days")
+            query.awaitTermination()
+            if k == PARTS // 2:
+                inc.merge_epochs(t.spark, path, query.lastProgress["batchId"] - 1)
     return path
 
 
@@ -68,8 +82,9 @@ def _(t: Tables) -> DataFrame:
     ahead = rows.agg(F.max("t").alias("t")).select(F.lit(-1).alias("store_nbr"), F.lit(-1).alias("item_nbr"), (F.col("t") + 10_000).cast("int").alias("t"), F.lit(0).alias("onpromotion"))
     inc.rocksdb_state(t.spark)
     path = fresh_path(t.spark, "gap-runs")
-    for stream in arrivals(t, rows, "promotions", ahead):
-        found = inc.stream_gap_runs(stream, 2, 1, late="2 days")
-        out = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}/checkpoint")
-        out.trigger(availableNow=True).start().awaitTermination()
+    with state_per_core(t.spark):
+        for stream in arrivals(t, rows, "promotions", ahead):
+            found = inc.stream_gap_runs(stream, 2, 1, late="2 days")
+            out = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}/checkpoint")
+            out.trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(found.schema).parquet(path)
