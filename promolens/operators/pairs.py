@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolens.functions.scalars import episode_id, hash_order
-from promolens.operators.runs import first_runs, run_mask, windows
+from promolens.operators.runs import first_runs, windows, with_edges
 from promolens.schema import UNIT, Config
 
 
@@ -68,27 +68,47 @@ def sample_groups(base: DataFrame, fraction: float = 0.25, cap: int = 50, seed:
     return base.withColumn("__n", F.row_number().over(order)).withColumn("__keep", keep).filter("__n <= __keep").drop("__n", "__keep")
 
 
+SHARE_UNITS = 10**12  # shares are summed as whole numbers of so many parts: sums are exact up to 9 million periods
+
+
+def _whole(share: Column) -> Column:
+    return F.round(share * SHARE_UNITS).cast("long")
+
+
+def _contrast(on: str, n_on: str, off: str, n_off: str) -> Column:
+    """The mean on run periods less that on the others, from sums of whole numbers."""
+    return (F.col(on) / F.col(n_on) - F.col(off) / F.col(n_off)) / SHARE_UNITS
+
+
 def score_cannibals(candidates: DataFrame, exposed: DataFrame, found: DataFrame, exact: bool = True) -> DataFrame:
     """delta_H_cls: the neighbourhood's mean exposure on the unit's run periods less that on all others.
 
-    exact leaves the unit itself out of the mean. Sums per (store, class, t) make that one
-    equi-join of candidates with their neighbourhood's calendar.
+    exact leaves the unit itself out of the mean. The neighbourhood's means, and what leaving the unit out
+    changes in them, are summed up to each of the unit's rows, so that a run is two lookups: before its
+    first row and at its last. Runs start and end at rows of the unit, as those of runs() do.
     """
+    calendar = Window.partitionBy("store_nbr", "class").orderBy("t")
     groups = exposed.groupBy("store_nbr", "class", "t").agg(F.sum("H_prop_raw").alias("s"), F.count("H_prop_raw").alias("c"))
-    grid = candidates.select(*UNIT, "class").join(groups, ["store_nbr", "class"])
+    groups = groups.withColumn("m", F.coalesce(_whole(F.col("s") / F.col("c")), F.lit(0))).withColumn("k", (F.col("c") > 0).cast("long"))
+    groups = groups.withColumn("m_upto", F.sum("m").over(calendar)).withColumn("k_upto", F.sum("k").over(calendar))
+    rows = candidates.select(*UNIT, "class").join(exposed.select(*UNIT, "t", F.col("H_prop_raw").alias("x")), UNIT).join(groups, ["store_nbr", "class", "t"])
     if exact:
-        own = exposed.select(*UNIT, "t", F.col("H_prop_raw").alias("x"))
-        grid = grid.join(own, [*UNIT, "t"], "left")
-        n, total = F.col("c") - F.col("x").isNotNull().cast("int"), F.coalesce("s", F.lit(0.0)) - F.coalesce("x", F.lit(0.0))
+        n = F.col("c") - F.col("x").isNotNull().cast("int")
+        m = F.when(n > 0, _whole((F.col("s") - F.coalesce("x", F.lit(0.0))) / n)).otherwise(0)
+        rows = rows.withColumn("dm", m - F.col("m")).withColumn("dk", (n > 0).cast("long") - F.col("k"))
     else:
-        n, total = F.col("c"), F.col("s")
-    grid = run_mask(grid.withColumn("m", F.when(n > 0, total / n)), found, "on")
-    scored = grid.groupBy(*UNIT, "class").agg(*_contrast(F.col("m"), F.col("on")), F.count(F.when(F.col("on") == 1, F.col("m"))).alias("n_on"), F.count(F.when(F.col("on") == 0, F.col("m"))).alias("n_off"))
-    return scored.filter("n_on > 0 AND n_off > 0").withColumn("delta_H_cls", F.col("mean_on") - F.col("mean_off")).drop("mean_on", "mean_off")
-
-
-def _contrast(x: Column, on: Column) -> list[Column]:
-    return [F.avg(F.when(on == 1, x)).alias("mean_on"), F.avg(F.when(on == 0, x)).alias("mean_off")]
+        rows = rows.withColumns({"dm": F.lit(0).cast("long"), "dk": F.lit(0).cast("long")})
+    own = Window.partitionBy(*UNIT).orderBy("t")
+    rows = with_edges(rows, found)
+    aggs = []
+    for total, change, upto, name in (("m", "dm", "m_upto", "on"), ("k", "dk", "k_upto", "n_on")):
+        rows = rows.withColumn(f"to_{name}", F.col(upto) + F.sum(change).over(own))
+        before = F.col(f"to_{name}") - F.col(total) - F.col(change)
+        aggs += [F.sum(F.col("closes") * F.col(f"to_{name}") - F.col("opens") * before).alias(name), F.sum(change).alias(f"all_{name}")]
+    whole = groups.groupBy("store_nbr", "class").agg(F.sum("m").alias("m"), F.sum("k").alias("k"))
+    scored = rows.groupBy(*UNIT, "class").agg(*aggs).join(whole, ["store_nbr", "class"])
+    scored = scored.withColumn("off", F.col("m") + F.col("all_on") - F.col("on")).withColumn("n_off", F.col("k") + F.col("all_n_on") - F.col("n_on"))
+    return scored.filter("n_on > 0 AND n_off > 0").select(*UNIT, "class", "n_on", "n_off", _contrast("on", "n_on", "off", "n_off").alias("delta_H_cls"))
 
 
 def top_cannibals(scored: DataFrame, n: int) -> DataFrame:
@@ -97,19 +117,44 @@ def top_cannibals(scored: DataFrame, n: int) -> DataFrame:
 
 def score_victims(cannibals: DataFrame, victims: DataFrame, exposed: DataFrame, found: DataFrame, allow_overlap: bool = False) -> DataFrame:
     """delta_H_j for every (i, j) of a neighbourhood: j's mean exposure on i's run periods less that on the
-    others, without the periods of j's own runs unless they may overlap. The cannibals are few by
-    then, so the join stays linear in the panel."""
-    i = cannibals.select(F.col("store_nbr"), "class", F.col("item_nbr").alias("i_item"))
-    j = victims.select(*UNIT).join(exposed.select(*UNIT, "class", "t", "H_prop_raw"), UNIT)
-    if not allow_overlap:
-        j = run_mask(j, found, "own").filter("own = 0").drop("own")
-    both = i.join(j, ["store_nbr", "class"]).filter("i_item <> item_nbr")
-    both = run_mask(both, found.withColumnRenamed("item_nbr", "i_item"), "on", unit=["store_nbr", "i_item"])
-    x = F.col("H_prop_raw")
-    out = both.groupBy("store_nbr", "class", "i_item", F.col("item_nbr").alias("j_item")).agg(
-        *_contrast(x, F.col("on")), F.count(F.when(F.col("on") == 1, x)).alias("n_obs_i_on"), F.count(F.when(F.col("on") == 0, x)).alias("n_obs_i_off")
-    )
-    return out.withColumn("delta_H_j", F.col("mean_on") - F.col("mean_off")).drop("mean_on", "mean_off")
+    others, without the periods of j's own runs unless they may overlap.
+
+    A victim's series is one row of sums up to each period of its calendar, a cannibal one row of runs, so
+    the join gives a row per pair and each run is two lookups in it.
+    """
+    spans = found.groupBy("store_nbr", F.col("item_nbr").alias("i_item")).agg(F.collect_list(F.struct("run_start", "run_end")).alias("spans"))
+    none = F.array().cast("array<struct<run_start:bigint,run_end:bigint>>")
+    i = cannibals.select("store_nbr", "class", F.col("item_nbr").alias("i_item")).join(spans, ["store_nbr", "i_item"], "left")
+    i = i.withColumn("spans", F.coalesce(F.col("spans").cast("array<struct<run_start:bigint,run_end:bigint>>"), none))
+    own = Window.partitionBy(*UNIT).orderBy("t")
+    j = victims.select(*UNIT).join(exposed.select(*UNIT, "class", "t", F.col("H_prop_raw").alias("x")), UNIT)
+    if allow_overlap:
+        j = j.withColumn("free", F.lit(True))
+    else:
+        j = with_edges(j, found)
+        j = j.withColumn("free", F.sum(F.col("opens") - F.col("closes")).over(own) + F.col("closes") == 0)
+    x = F.when(F.col("free"), F.col("x"))
+    j = j.withColumn("sum", F.coalesce(F.sum(_whole(x)).over(own), F.lit(0))).withColumn("n", F.count(x).over(own)).withColumn("periods", F.coalesce(F.lead("t").over(own) - F.col("t"), F.lit(1)).cast("int"))
+    packed = j.groupBy(*UNIT, "class").agg(F.max("free").alias("free"), F.min("t").cast("long").alias("first"), F.array_sort(F.collect_list(F.struct("t", "periods", "sum", "n"))).alias("rows"))
+
+    def each_period(name: str) -> Column:
+        return F.flatten(F.transform("rows", lambda r: F.array_repeat(r[name], r["periods"]))).alias(name)
+
+    packed = packed.filter("free").select("store_nbr", "class", F.col("item_nbr").alias("j_item"), "first", each_period("sum"), each_period("n"))
+    both = i.join(packed, ["store_nbr", "class"]).filter("i_item <> j_item")
+
+    def upto(name: str, t: Column) -> Column:
+        at = F.least(t - F.col("first"), F.size(name).cast("long") - 1).cast("int")
+        return F.when(at < 0, F.lit(0).cast("long")).otherwise(F.col(name)[at])
+
+    def within(name: str) -> Column:
+        return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, r: acc + upto(name, r["run_end"]) - upto(name, r["run_start"] - 1))
+
+    last = {name: F.element_at(name, -1) for name in ("sum", "n")}
+    out = both.select("store_nbr", "class", "i_item", "j_item", within("sum").alias("on"), within("n").alias("n_obs_i_on"), last["sum"].alias("all"), last["n"].alias("n"))
+    out = out.withColumn("off", F.col("all") - F.col("on")).withColumn("n_obs_i_off", F.col("n") - F.col("n_obs_i_on"))
+    delta = F.when((F.col("n_obs_i_on") > 0) & (F.col("n_obs_i_off") > 0), _contrast("on", "n_obs_i_on", "off", "n_obs_i_off"))
+    return out.select("store_nbr", "class", "i_item", "j_item", "n_obs_i_on", "n_obs_i_off", delta.alias("delta_H_j"))
 
 
 def top_victims(scored: DataFrame, n: int) -> DataFrame:

@@ -51,6 +51,14 @@ def run_mask(df: DataFrame, found: DataFrame, name: str = "in_run", time: str =
     return joined.withColumn(name, F.col("run_start").isNotNull().cast("int")).drop(*[f"__{c}" for c in unit], "run_start", "run_end")
 
 
+def with_edges(df: DataFrame, found: DataFrame, time: str = "t", unit: list[str] = UNIT) -> DataFrame:
+    """df with opens and closes: 1 on the first and on the last row of a run of the unit. Runs start and end at rows;
+    where a unit has several rows at one time, each is marked."""
+    edges = F.array(F.struct(F.col("run_start").alias("at"), F.lit(1).alias("opens"), F.lit(0).alias("closes")), F.struct(F.col("run_end").alias("at"), F.lit(0).alias("opens"), F.lit(1).alias("closes")))
+    flat = found.select(*unit, F.explode(edges).alias("e")).groupBy(*unit, F.col("e.at").alias(time)).agg(F.max("e.opens").alias("opens"), F.max("e.closes").alias("closes"))
+    return df.join(flat, [*unit, time], "left").na.fill(0, ["opens", "closes"])
+
+
 def zero_streaks(df: DataFrame, value: str = "unit_sales", name: str = "zero_streak", time: str = "t", unit: list[str] = UNIT) -> DataFrame:
     """Number of rows without sales up to and including this one; 0 where something was sold."""
     marked = islands(df.withColumn("__zero", (F.coalesce(value, F.lit(0.0)) <= 0).cast("int")), "__zero", time, unit)

@@ -455,6 +455,61 @@ def test_ema_of_a_long_series_equals_pandas(spark):
     assert np.allclose(np.array(got, float), want.to_numpy(), equal_nan=True)
 
 
+def holed_panel(spark, seed=9, items=7, periods=40):
+    """A neighbourhood of units with holes in their calendars and runs of several lengths."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for item in range(items):
+        on = 0
+        for t in range(periods):
+            on = int(rng.random() < (0.7 if on else 0.25))
+            if rng.random() < 0.85:
+                rows.append((t, 1 + (item == 6), item, 0, 1.0, on))
+    return panel(spark, rows)
+
+
+def brute_runs(spark, found):
+    out = {}
+    for r in found.collect():
+        out.setdefault((r.store_nbr, r.item_nbr), []).append((r.run_start, r.run_end))
+    return out
+
+
+@pytest.mark.parametrize("min_run", [1, 3])
+def test_run_contrasts_equal_brute_force(spark, min_run):
+    exposed = exposure.exposure(holed_panel(spark)).select("store_nbr", "item_nbr", "class", "t", "H_prop_raw").cache()
+    found = runs.runs(holed_panel(spark), min_run)
+    spans = brute_runs(spark, found)
+    rows = [tuple(r) for r in exposed.collect()]
+    units = exposed.select("store_nbr", "item_nbr", "class").distinct()
+    inside = lambda u, t: any(a <= t <= b for a, b in spans.get(u, []))
+    for exact in (True, False):
+        want = {}
+        for u in {r[:2] for r in rows}:
+            means = {True: [], False: []}
+            for t in sorted({r[3] for r in rows if r[0] == u[0]}):
+                xs = [x for s, i, _, d, x in rows if s == u[0] and d == t and x is not None and not (exact and i == u[1])]
+                if xs:
+                    means[inside(u, t)].append(np.mean(xs))
+            if means[True] and means[False]:
+                want[u] = (len(means[True]), len(means[False]), np.mean(means[True]) - np.mean(means[False]))
+        got = {(r.store_nbr, r.item_nbr): (r.n_on, r.n_off, r.delta_H_cls) for r in pairs.score_cannibals(units, exposed, found, exact).collect()}
+        assert got.keys() == want.keys() and got
+        assert all(got[u][:2] == want[u][:2] and math.isclose(got[u][2], want[u][2], abs_tol=1e-9) for u in got)
+    for overlap in (True, False):
+        want = {}
+        for i in {r[:2] for r in rows}:
+            for j in {r[:2] for r in rows if r[0] == i[0] and r[1] != i[1]}:
+                own = [(t, x) for s, k, _, t, x in rows if (s, k) == j and (overlap or not inside(j, t))]
+                on, off = ([x for t, x in own if x is not None and inside(i, t) == side] for side in (True, False))
+                if own:
+                    want[i[0], i[1], j[1]] = (len(on), len(off), np.mean(on) - np.mean(off) if on and off else None)
+        got = {(r.store_nbr, r.i_item, r.j_item): (r.n_obs_i_on, r.n_obs_i_off, r.delta_H_j) for r in pairs.score_victims(units, units, exposed, found, overlap).collect()}
+        assert got.keys() == want.keys() and got
+        for k, (n, m, d) in got.items():
+            assert (n, m) == want[k][:2] and (d is None) == (want[k][2] is None) and (d is None or math.isclose(d, want[k][2], abs_tol=1e-9))
+
+
 def test_train_mask_hides_gap_fold_post_and_embargo():
     import pandas as pd
 
