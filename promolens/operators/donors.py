@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,19 +19,70 @@ def profiles(exposure_stats: DataFrame, items: DataFrame, stores: DataFrame) ->
     return stats.join(items.select("item_nbr", "class"), "item_nbr", "left").join(stores.select("store_nbr", "type", "city", "state"), "store_nbr", "left")
 
 
+PROFILE = ("h_mean", "h_sd", "p_any")
+GRID_BITS = (3, 6)  # per axis of the grids over a class's profiles, each inside the one before
+NO_PROFILE = -(1 << 40)  # cell of missing values, farther than all others
+
+
+def _grid(prof: DataFrame, bits: int) -> DataFrame:
+    """prof with its cell on each axis, c0 to c2; a cell is 2^-bits wide."""
+    return prof.withColumns({f"c{a}": F.coalesce(F.floor(F.col(x) * (1 << bits)), F.lit(NO_PROFILE)) for a, x in enumerate(PROFILE)})
+
+
+def near_cells(victim: DataFrame, grid: DataFrame, bits: tuple[int, ...] = GRID_BITS) -> DataFrame:
+    """The cells of the finest grid that may hold one of the `need` profiles nearest to a victim.
+
+    victim: episode_id, class, need, v_h_mean, v_h_sd, v_p_any; grid: profiles with d_class under _grid(). Cells are
+    taken by their farthest corner until they hold `need` profiles; that corner's distance bounds the search,
+    and cells whose nearest corner lies beyond it go, grid by grid. A victim without a profile keeps all cells.
+    """
+    axes = ["c0", "c1", "c2"]
+    finest = grid.groupBy("d_class", *axes).agg(F.count("*").alias("n"))
+    met = None
+    for level in bits:
+        up = bits[-1] - level
+        cells = finest.groupBy("d_class", *[F.shiftright(c, up).alias(c) for c in axes]).agg(F.sum("n").alias("n"))
+        if met is None:
+            met = victim.join(cells, victim["class"] == cells["d_class"])
+        else:
+            inside = [F.shiftright(F.col(f"c.{c}"), level - above) == F.col(f"m.{c}") for c in axes]
+            met = met.drop("n").alias("m").join(cells.alias("c"), [F.col("m.d_class") == F.col("c.d_class"), *inside]).select(*[f"m.{c}" for c in victim.columns], "c.*")
+        above, side = level, float(1 << level)
+        low = [F.col(c) / side - F.col(f"v_{x}") for c, x in zip(axes, PROFILE, strict=True)]
+        high = [F.col(f"v_{x}") - (F.col(c) + 1) / side for c, x in zip(axes, PROFILE, strict=True)]
+        near = profile_distance(*[F.greatest(a, b, F.lit(0.0)) for a, b in zip(low, high, strict=True)])
+        far = profile_distance(*[F.greatest(F.abs(a), F.abs(b)) for a, b in zip(low, high, strict=True)])
+        known = reduce(lambda a, b: a & b, [F.col(f"v_{x}").isNotNull() for x in PROFILE])
+        met = met.withColumn("near", F.when(known, near).otherwise(0.0)).withColumn("far", F.when(known, far).otherwise(float("inf")))
+        one = Window.partitionBy("episode_id")
+        met = met.withColumn("upto", F.sum("n").over(one.orderBy("far")))  # cells as far as each other count together
+        met = met.withColumn("reach", F.min(F.when(F.col("upto") >= F.col("need"), F.col("far"))).over(one))
+        met = met.filter(F.col("reach").isNull() | (F.col("near") <= F.col("reach") * (1 + 1e-9) + 1e-12)).drop("near", "far", "upto", "reach")
+    return met.drop("n", "class", "need")
+
+
 def candidates(ep: DataFrame, prof: DataFrame, preselect: int) -> DataFrame:
     """Nearest profiles per episode and kind: the same item in other stores, and other items of the class
-    in other stores. Both joins have an equality key; the cut to `preselect` follows at once."""
+    in other stores; those without a profile come last. The same item is looked up whole (one unit a store). Of a class
+    an episode reads the cells near its victim that hold `preselect` profiles beside those that don't qualify."""
     victim = ep.select("episode_id", "i_store", "j_store", "j_item", "pre_start", "pre_end", "class").join(
-        prof.select(F.col("store_nbr").alias("j_store"), F.col("item_nbr").alias("j_item"), *[F.col(c).alias(f"v_{c}") for c in ("h_mean", "h_sd", "p_any")]), ["j_store", "j_item"]
+        prof.select(F.col("store_nbr").alias("j_store"), F.col("item_nbr").alias("j_item"), *[F.col(c).alias(f"v_{c}") for c in PROFILE]), ["j_store", "j_item"]
     )
-    donor = prof.select(*UNIT, F.col("class").alias("d_class"), "h_mean", "h_sd", "p_any", "type", "city", "state")
+    donor = prof.select(*UNIT, F.col("class").alias("d_class"), *PROFILE, "type", "city", "state")
     elsewhere = (F.col("store_nbr") != F.col("j_store")) & (F.col("store_nbr") != F.col("i_store"))
     same_item = victim.join(donor, victim["j_item"] == donor["item_nbr"]).filter(elsewhere).withColumn("donor_kind", F.lit("same_item"))
-    same_class = victim.join(donor, victim["class"] == donor["d_class"]).filter(elsewhere & (F.col("item_nbr") != F.col("j_item"))).withColumn("donor_kind", F.lit("same_class"))
+    # units of the class that don't qualify: those of either store and those of the item
+    of_store = prof.groupBy("class", F.col("store_nbr").alias("j_store")).agg(F.count("*").alias("of_j"))
+    of_item = prof.groupBy("class", F.col("item_nbr").alias("j_item")).agg(F.count("*").alias("of_item"))
+    asked = victim.join(of_store, ["class", "j_store"], "left").join(of_store.select("class", F.col("j_store").alias("i_store"), F.col("of_j").alias("of_i")), ["class", "i_store"], "left")
+    asked = asked.join(of_item, ["class", "j_item"], "left").withColumn("need", F.lit(preselect) + sum(F.coalesce(c, F.lit(0)) for c in ("of_j", "of_i", "of_item")))
+    grid = _grid(donor, GRID_BITS[-1])
+    cells = near_cells(asked.select("episode_id", "class", "need", *[f"v_{c}" for c in PROFILE]).distinct(), grid).select("episode_id", "d_class", "c0", "c1", "c2")
+    near = cells.join(grid, ["d_class", "c0", "c1", "c2"]).drop("c0", "c1", "c2").join(victim, "episode_id")
+    same_class = near.filter((F.col("class") == F.col("d_class")) & elsewhere & (F.col("item_nbr") != F.col("j_item"))).withColumn("donor_kind", F.lit("same_class"))
     both = same_item.unionByName(same_class)
     d = profile_distance(F.col("h_mean") - F.col("v_h_mean"), F.col("h_sd") - F.col("v_h_sd"), F.col("p_any") - F.col("v_p_any"))
-    w = Window.partitionBy("episode_id", "donor_kind").orderBy("distance", *UNIT)
+    w = Window.partitionBy("episode_id", "donor_kind").orderBy(F.asc_nulls_last("distance"), *UNIT)
     near = both.withColumn("distance", d).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= preselect)
     return near.select("episode_id", "j_store", "j_item", *UNIT, "donor_kind", "distance", "type", "city", "state", "pre_start", "pre_end")
 

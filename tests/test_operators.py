@@ -510,6 +510,33 @@ def test_run_contrasts_equal_brute_force(spark, min_run):
             assert (n, m) == want[k][:2] and (d is None) == (want[k][2] is None) and (d is None or math.isclose(d, want[k][2], abs_tol=1e-9))
 
 
+def test_nearest_profiles_equal_brute_force_and_read_part_of_the_class(spark):
+    rng = np.random.default_rng(2)
+    prof = {(s, i): tuple(np.round(rng.random(3) * (1, 0.5, 1), 2)) for s in range(40) for i in range(100)}
+    prof[3, 7] = (None, 0.0, 0.0)  # no profile
+    prof |= {(s, 1): prof[0, 1] for s in range(20)}  # ties
+    at = lambda u: [None if x is None else float(x) for x in prof[u]]
+    table = spark.createDataFrame([(s, i, 0, *at((s, i)), "A", "B", "C") for s, i in prof], "store_nbr int, item_nbr int, `class` int, h_mean double, h_sd double, p_any double, type string, city string, state string")
+    victims = [(0, 1), (0, 50), (5, 99), (3, 7), (39, 0)]
+    ep_rows = [(f"e{n}", s, (i + 1) % 100, s, i, 0, 5, 0) for n, (s, i) in enumerate(victims)]
+    eps = spark.createDataFrame(ep_rows, "episode_id string, i_store int, i_item int, j_store int, j_item int, pre_start int, pre_end int, `class` int")
+    got = {}
+    for r in donors.candidates(eps, table, 10).collect():
+        got.setdefault((r.episode_id, r.donor_kind), set()).add((r.store_nbr, r.item_nbr))
+    for n, v in enumerate(victims):
+        def far(u, v=v):
+            if None in prof[u] or None in prof[v]:
+                return math.inf
+            a, b, c = (y - x for x, y in zip(prof[v], prof[u], strict=True))
+            return round(math.sqrt(0.5 * a * a + 0.2 * b * b + 0.3 * c * c), 12)
+
+        for kind, of in (("same_item", [u for u in prof if u[1] == v[1] and u[0] != v[0]]), ("same_class", [u for u in prof if u[1] != v[1] and u[0] != v[0]])):
+            assert [far(u) for u in sorted(got[f"e{n}", kind], key=lambda u: (far(u), u))] == [far(u) for u in sorted(of, key=lambda u: (far(u), u))[:10]]
+    grid = donors._grid(table.withColumnRenamed("class", "d_class"), donors.GRID_BITS[-1])
+    asked = table.filter("store_nbr = 0 AND item_nbr = 50").select(F.lit("e").alias("episode_id"), "class", F.lit(50).alias("need"), *[F.col(c).alias(f"v_{c}") for c in donors.PROFILE])
+    assert 50 <= donors.near_cells(asked, grid).join(grid, ["d_class", "c0", "c1", "c2"]).count() < 400  # of 4,000
+
+
 def test_train_mask_hides_gap_fold_post_and_embargo():
     import pandas as pd
 
