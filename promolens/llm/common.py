@@ -122,14 +122,17 @@ def discard(df: DataFrame) -> None:
 
 
 def save_buckets(df: DataFrame, name: str, *key: str) -> DataFrame:
-    """The same as a table in buckets by `key`, as many as shuffles have partitions: joins on the key leave it in place."""
+    """The same as a table in buckets by `key`, as many as shuffles have partitions: joins on the key leave it in place.
+    The catalog, which alone makes buckets, forgets the table at once; its files stay."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     buckets, made = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
     with tidy(spark):
         # sorted keys lie close together: version 2 of the format stores their differences
         write = df.write.bucketBy(buckets, *key).sortBy(*key).option("path", path)
         write.option("compression", "zstd").option("parquet.writer.version", "v2").saveAsTable(made)
-    return spark.table(made)
+    out = spark.table(made)
+    spark.sql(f"DROP TABLE {made}")
+    return out
 
 
 def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:

@@ -8,7 +8,8 @@ document's log-probability is a sum over words of the unigram level and the back
 for each bigram that the model has seen a gain over backing off. What needs these facts only is
 summed where the text is read; bitmaps of fixed size drop most other words and bigrams that the
 model doesn't know; the rest meet the sharded tables in one join, for which these are written in
-buckets, so that only the documents' side is shuffled. A trusted document is scored without its own
+buckets, so that only the documents' side is shuffled. What this join would ask for too often is found by
+a count over all documents before and is looked up in place as well. A trusted document is scored without its own
 bigram counts, so that training on it gives it no lead; a bigram that no other trusted document
 holds then gains nothing there.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promolens.llm.common import discard, save, save_buckets, share, shared_arrays, ship_by_value, small_batches, table, text_slices, tidy
+from promolens.operators.ranks import with_before
 
 ship_by_value(__name__)
 
@@ -43,6 +45,7 @@ class Params:
     quantile: float = 0.9  # of each language's perplexities; documents above it are rejected
     hot: int = 1 << 20  # bound on the most frequent bigrams of numbered words, looked up where the text is read
     hot_words: int = 1 << 19  # bound on the most frequent words, which are numbered; below WORDS
+    heavy: int = 1000  # keys of the sharded tables asked for more often than once in so many documents are looked up in place
     broadcast_ids: int = 2_000_000  # trusted ids that are broadcast; more are joined by shuffling
 
 
@@ -266,6 +269,40 @@ def bitmaps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.split(out.reshape(-1), [1 << BITMAP_BITS >> 3]))
 
 
+def heavy_keys(texts: DataFrame, lookups: str, share_of: int, n_docs: int) -> DataFrame:
+    """key: what the sharded tables would be asked for at least n_docs / share_of times, as occurrences.
+
+    A key of such a share has it in some part of the texts too, so each part names only those of its own share
+    that occur twice. One that is missed occurs at most once in each part of 32 MB beside its share. There are at
+    most share_of times as many as a document has words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *_, numbered, hot, _, known, _ = shared_arrays(lookups)
+        for batch in text_slices(batches):
+            ids, place, owner = tokens(batch.column(0))
+            ids = np.append(_numbered(ids, numbered), 0)
+            words = ids[place]
+            keys = np.concatenate([_key(ids[_before(place, owner, len(ids) - 1)], words), _key(words[_cold(words)], np.zeros(int(_cold(words).sum()), np.int64))])
+            keys, n = np.unique(keys, return_counts=True)
+            keep = n >= max(2, batch.num_rows / share_of)
+            keys, n = keys[keep], n[keep]
+            keep = _marked(known, _bits(keys)) & ~np.isin(keys, hot)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], ["key", "n"])
+
+    counts = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return save(counts.filter(F.col("n") * share_of >= n_docs).select("key"), "heavy")
+
+
+def _gained(model: Lower, key: np.ndarray, n: np.ndarray, follows: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray, held: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What rows gain from the facts found under their keys: of bigrams (follows below 0) and of cold words."""
+    pair, v, w = follows < 0, _first(key, v), _second(key, w)
+    near_v, near_w = pair & ~_cold(v), pair & ~_cold(w)
+    of_v, of_w = np.where(near_v, model.held[np.where(near_v, v, 0)], held), np.where(near_w, model.p[np.where(near_w, w, 0)], p)
+    seen = np.where(pair, np.maximum(count + np.minimum(n, 0), 0), 0)
+    return np.where(pair, np.abs(n) * model.gain(seen, of_v, of_w), n * held + follows * p)
+
+
 def _marked(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
@@ -296,10 +333,15 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     model = Lower.made(*levels)
     lower = share(spark, "lower", list(model.arrays))
     known = bitmaps(bigrams.select("key", "docs").union(cold.select("key", F.lit(1).cast("long"))))
-    lookups = share(spark, "lookups", [*model.arrays, numbered, keys[order], counts[order], *known])
+    arrays = [*model.arrays, numbered, keys[order], counts[order], *known]
+    heavy = heavy_keys(docs, share(spark, "known", arrays), params.heavy, docs.count())
+    facts = heavy.join(bigrams.select("key", "v", "w", "count").hint("merge"), "key", "left").join(cold.hint("merge"), "key", "left").orderBy("key")
+    raised = [c.fill_null(0).to_numpy() for c in facts.select("key", "v", "w", "count", "held", "p").toArrow().columns]
+    lookups = share(spark, "lookups", [*arrays, *raised])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *levels, numbered, hot, hot_counts, known, several = shared_arrays(lookups)
+        *levels, numbered, hot, hot_counts, known, several = shared_arrays(lookups)[:-6]
+        raised, *facts = shared_arrays(lookups)[-6:]
         model = Lower(*levels)
         for batch in text_slices(batches, limit=2 << 20):
             ids, place, owner = tokens(batch.column("text"))
@@ -335,17 +377,21 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
             words, back, times = np.unique(owner[lone] * len(ids) + place[lone], return_inverse=True, return_counts=True)
             follows = times - np.bincount(back, last[lone], len(words)).astype(np.int64)
 
+            # a row for each of both; those under raised keys are settled here
+            of = np.concatenate([doc, words // len(ids)])
+            key = np.concatenate([pairs[pair], _key(ids[words % len(ids)], np.zeros_like(words))])
+            n, follows = np.concatenate([np.where(own[doc], -n, n), times]), np.concatenate([np.full(len(doc), -1), follows])
+            at = np.minimum(np.searchsorted(raised, key), max(len(raised) - 1, 0))
+            settled = (raised[at] == key) if len(raised) else np.zeros(len(key), bool)
+            found = [x[at[settled]] for x in facts]
+            ll += np.bincount(of[settled], _gained(model, key[settled], n[settled], follows[settled], *found), n_docs)
+            of, key, n, follows = (x[~settled] for x in (of, key, n, follows))
+
             doc_rows, size = batch.column("row").to_numpy(), np.bincount(owner, minlength=n_docs)
             # the sums travel with these, under keys that spread them over the tasks
             spread = -np.random.default_rng(n_docs).integers(1, 1 << 62, n_docs)
-            asked_of = [np.arange(n_docs), doc, words // len(ids)]
-            columns = [
-                doc_rows[np.concatenate(asked_of)],
-                np.concatenate([spread, pairs[pair], _key(ids[words % len(ids)], np.zeros_like(words))]),
-                np.concatenate([size, np.where(own[doc], -n, n), times]),
-                np.concatenate([np.zeros(n_docs, np.int64), np.full(len(doc), -1), follows]),
-            ]
-            pad = len(doc) + len(words)
+            columns = [doc_rows[np.concatenate([np.arange(n_docs), of])], np.concatenate([spread, key]), np.concatenate([size, n]), np.concatenate([np.zeros(n_docs, np.int64), follows])]
+            pad = len(of)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[pa.array(c.astype(np.int64)) for c in columns],
@@ -361,12 +407,8 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
         for batch in batches:
             key, n, follows = (batch.column(c).to_numpy() for c in ("key", "n", "follows"))
             ll, v, w, count, held, p = (batch.column(c).fill_null(0).to_numpy() for c in ("ll", "v", "w", "count", "held", "p"))
-            whole, pair = batch.column("lang").is_valid().to_numpy(zero_copy_only=False), follows < 0
-            v, w = _first(key, v), _second(key, w)
-            near_v, near_w = pair & ~_cold(v), pair & ~_cold(w)
-            of_v, of_w = np.where(near_v, model.held[np.where(near_v, v, 0)], held), np.where(near_w, model.p[np.where(near_w, w, 0)], p)
-            seen = np.where(pair, np.maximum(count + np.minimum(n, 0), 0), 0)
-            gained = np.where(pair, np.abs(n) * model.gain(seen, of_v, of_w), n * held + follows * p)
+            whole = batch.column("lang").is_valid().to_numpy(zero_copy_only=False)
+            gained = _gained(model, key, n, follows, v, w, count, held, p)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("lang"), pa.array(np.where(whole, n, 0)), pa.array(np.where(whole, ll, gained))],
                 ["row", "doc_id", "lang", "n_words", "ll"],
@@ -380,7 +422,10 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     sums = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("ll") / F.col("n_words"))).otherwise(F.lit(1.0)))
     with small_batches(spark, 4000):
         sums = save(sums.drop("ll", "row"), "perplexity")
-    limits = save(sums.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(params.quantile), F.lit(10_000)).alias("limit")), "limits")
+    # the exact rank, over ranges of (lang, perplexity)
+    placed = with_before(sums.select("lang", "perplexity"), ["lang"], ["perplexity"], F.lit(1).cast("long"), "rank")
+    n = sums.groupBy("lang").agg((F.greatest(F.ceil(F.count("*") * params.quantile), F.lit(1)) - 1).alias("rank"))
+    limits = save(placed.join(n, ["lang", "rank"]).groupBy("lang").agg(F.max("perplexity").alias("limit")), "limits")
     return sums.join(limits, "lang").select("doc_id", "lang", "n_words", "perplexity", (F.col("perplexity") <= F.col("limit")).alias("keep"))
 
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -482,11 +483,31 @@ def test_perplexity_tells_colliding_words_apart(spark):
             ll += n * math.log((back[v] / total[v] if total[v] else 1.0) * p + (max(c - cut(c, d), 0) / total[v] if c else 0))
         want[i] = math.exp(-ll / len(w))
     lab = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
-    for params in (perplexity.Params(), perplexity.Params(hot=3, hot_words=5), perplexity.Params(hot=50, hot_words=100)):
+    few = perplexity.Params(hot=3, hot_words=5)
+    for params in (perplexity.Params(), few, replace(few, heavy=5), replace(few, heavy=1), perplexity.Params(hot=50, hot_words=100)):
         got = {r.doc_id: r.perplexity for r in perplexity.score(docs(spark, texts), lab, params).collect()}
         assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
 
 
+def test_perplexity_of_a_word_that_all_documents_share(spark, monkeypatch):
+    # rare in trusted texts, where it has no number
+    texts = [(i, f"{'the the the' if i % 40 == 0 else 'mark'} w{i} x{i % 7} y{i % 11}{' mark' * (i == 0)}") for i in range(400)]
+    lab = spark.createDataFrame([(i,) for i in range(0, 400, 40)], "doc_id long")
+    asked, found = [], perplexity.heavy_keys
+
+    def spy(*args):
+        asked.append(found(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(perplexity, "heavy_keys", spy)
+    got = [{r.doc_id: (r.perplexity, r.keep) for r in perplexity.score(docs(spark, texts), lab, perplexity.Params(hot=2, hot_words=1, heavy=h)).collect()} for h in (1, 2)]
+    assert [df.count() for df in asked] == [0, 1]
+    assert all(math.isclose(got[0][i][0], got[1][i][0], rel_tol=1e-9) for i, _ in texts)
+    limit = sorted(p for p, _ in got[1].values())[359]
+    assert all(keep == (p <= limit) for p, keep in got[1].values())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("bigrams", "cold"))]
+
+
 def test_perplexity_odd_rows(spark):
     lab = spark.createDataFrame([(3,), (None,)], "doc_id long")
     got = perplexity.score(docs(spark, ODD, keep=1, perplexity=2), lab).collect()
