@@ -335,8 +335,11 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     known = bitmaps(bigrams.select("key", "docs").union(cold.select("key", F.lit(1).cast("long"))))
     arrays = [*model.arrays, numbered, keys[order], counts[order], *known]
     heavy = heavy_keys(docs, share(spark, "known", arrays), params.heavy, docs.count())
-    facts = heavy.join(bigrams.select("key", "v", "w", "count").hint("merge"), "key", "left").join(cold.hint("merge"), "key", "left").orderBy("key")
-    raised = [c.fill_null(0).to_numpy() for c in facts.select("key", "v", "w", "count", "held", "p").toArrow().columns]
+    # at most `heavy` times as many keys as a document has words: the tables stay in place, unsorted
+    counted, beyond = (t.join(F.broadcast(heavy), "key") for t in (bigrams.select("key", "v", "w", "count"), cold))
+    facts = counted.join(beyond, "key", "full").orderBy("key").select("key", "v", "w", "count", "held", "p")
+    with tidy(spark):
+        raised = [c.fill_null(0).to_numpy() for c in facts.toArrow().columns]
     lookups = share(spark, "lookups", [*arrays, *raised])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
