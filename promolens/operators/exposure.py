@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,35 +43,102 @@ def ema_alpha(alpha: float | None = None, halflife: float | None = None, span: f
     return 2 / (span + 1)
 
 
-EMA_BLOCK = 64  # rows whose means one fold gathers
+SCAN_BLOCK = 64  # states that one fold gathers
+
+
+def _scan(rows: str, begin: Column, step, kind: str, out=lambda s: s) -> Column:
+    """out of the state after each of the rows, which step follows from `begin`. Adding to an array copies it,
+    so the states of a block are gathered first, and the blocks then."""
+    bind = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  the value is computed once
+    none = lambda t: F.array().cast(f"array<{t}>")
+
+    def one(acc: Column, r: Column) -> Column:
+        return bind(step(acc["s"], r), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(out(s))).alias("out")))
+
+    def block(acc: Column, i: Column) -> Column:
+        some = F.aggregate(F.slice(rows, i * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)), F.struct(acc["s"].alias("s"), none(kind).alias("out")), one)
+        return bind(some, lambda b: F.struct(b["s"].alias("s"), F.concat(acc["out"], F.array(b["out"])).alias("out")))
+
+    each = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / SCAN_BLOCK).cast("int"))
+    return F.flatten(F.aggregate(each, F.struct(begin.alias("s"), none(f"array<{kind}>").alias("out")), block, lambda acc: acc["out"]))
+
+
+def _ema_start() -> Column:
+    """The mean so far, none, and its weight."""
+    return F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
+
+
+def _ema_step(value: str, alpha: float):
+    def step(s: Column, r: Column) -> Column:
+        x, w = r[value].cast("double"), s["w"] * (1 - alpha)
+        y = F.when(x.isNull(), s["y"]).when(s["y"].isNull(), x).otherwise((w * s["y"] + alpha * x) / (w + alpha))
+        weight = F.when(x.isNull() & s["y"].isNotNull(), w).otherwise(F.lit(1.0))
+        return F.struct(y.alias("y"), weight.alias("w"))
+
+    return step
 
 
 def ema(df: DataFrame, value: str, name: str, alpha: float, time: str = "t", unit: list[str] = UNIT) -> DataFrame:
     """Exponential mean per unit in time order. A missing value carries the last mean on and lets its
-    weight decay; leading missing values stay missing. A group is one unit's series."""
+    weight decay; leading missing values stay missing. A group is one unit's series: for series that are
+    too long for a row, ema_of_long_series() gives the same."""
     keep = [c for c in df.columns if c not in unit]
     rows = F.array_sort(F.collect_list(F.struct(time, *[c for c in keep if c != time])))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("out"))
+    series = df.groupBy(*unit).agg(rows.alias("__rows"))
+    series = series.withColumn("__y", _scan("__rows", _ema_start(), _ema_step(value, alpha), "double", lambda s: s["y"]))
+    return _with_means(series, df.columns, unit, name)
 
-    def step(acc: Column, r: Column) -> Column:
-        x, w = r[value].cast("double"), acc["w"] * (1 - alpha)
-        y = F.when(x.isNull(), acc["y"]).when(acc["y"].isNull(), x).otherwise((w * acc["y"] + alpha * x) / (w + alpha))
-        weight = F.when(x.isNull() & acc["y"].isNotNull(), w).otherwise(F.lit(1.0))
-        return F.struct(y.alias("y"), weight.alias("w"), F.concat(acc["out"], F.array(y)).alias("out"))
 
-    # adding to an array copies it, so the values of a block are gathered first, and the blocks then
-    begin = F.struct(start["y"].alias("y"), start["w"].alias("w"), F.array().cast("array<array<double>>").alias("blocks"))
+def _with_means(series: DataFrame, columns: list[str], unit: list[str], name: str) -> DataFrame:
+    """A row for each of __rows, with its value of __y."""
+    flat = series.select(*unit, F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__y").alias("y"))).alias("z"))
+    return flat.select(*[F.col(c) if c in unit else F.col(f"z.r.{c}").alias(c) for c in columns if c != name], F.col("z.y").alias(name))
 
-    def block(acc: Column, i: Column) -> Column:
-        empty = F.struct(acc["y"].alias("y"), acc["w"].alias("w"), F.array().cast("array<double>").alias("out"))
-        inner = F.array(F.aggregate(F.slice("__rows", i * EMA_BLOCK + 1, F.lit(EMA_BLOCK)), empty, step))
-        return F.transform(inner, lambda b: F.struct(b["y"].alias("y"), b["w"].alias("w"), F.concat(acc["blocks"], F.array(b["out"])).alias("blocks")))[0]
 
-    series = df.groupBy(*unit).agg(rows.alias("__rows"))
-    each = F.sequence(F.lit(0), F.floor((F.size("__rows") - 1) / EMA_BLOCK).cast("int"))
-    series = series.withColumn("__y", F.flatten(F.aggregate(each, begin, block, lambda a: a["blocks"])))
-    flat = series.select(*unit, F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__y").alias("y"))).alias("z"))
-    return flat.select(*[F.col(f"z.r.{c}").alias(c) if c in keep else F.col(c) for c in df.columns if c != name], F.col("z.y").alias(name))
+def ema_of_long_series(df: DataFrame, value: str, name: str, alpha: float, time: str = "t", unit: list[str] = UNIT, piece: int = 4096) -> DataFrame:
+    """ema() where a unit may hold any share of the rows.
+
+    Rows are dealt by ranges of (unit, time) and cut into pieces of at most `piece` rows. From its first
+    present value on, the mean at a piece's end is an affine function of the mean at that value, so a
+    piece is summed up in six numbers; a unit's sums, one row, tell where each of its pieces starts.
+    """
+    keep = [c for c in df.columns if c not in unit]
+    rest = [c for c in keep if c != time]
+    dealt = stage(df.repartitionByRange(*unit, time).withColumn("__part", F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy(*unit, "__part").orderBy(time, *rest)
+    dealt = dealt.withColumn("__piece", F.floor((F.row_number().over(inside) - 1) / piece).cast("int"))
+    keys = [*unit, "__part", "__piece"]
+    pieces = dealt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(time, *rest))).alias("__rows"))
+    mean = _ema_step(value, alpha)
+
+    # lead: rows up to the first present value, x; slope: of the mean at the end in the mean at x, which was x
+    def add(s: Column, r: Column) -> Column:
+        here, later = r[value].isNotNull(), s["y"].isNotNull()
+        w = s["w"] * (1 - alpha)
+        after = mean(s, r)
+        return F.struct(
+            F.when(later, s["lead"]).otherwise(s["lead"] + 1).alias("lead"), F.coalesce(s["x"], r[value].cast("double")).alias("x"),
+            F.when(here & later, s["slope"] * w / (w + alpha)).otherwise(s["slope"]).alias("slope"), after["y"].alias("y"), after["w"].alias("w"))
+
+    none = _ema_start()
+    nothing = F.struct(F.lit(0).alias("lead"), F.lit(None).cast("double").alias("x"), F.lit(1.0).alias("slope"), none["y"].alias("y"), none["w"].alias("w"))
+
+    def pass_piece(s: Column, p: Column) -> Column:
+        w = s["w"] * F.pow(F.lit(1 - alpha), p["lead"])
+        at_x = (w * s["y"] + alpha * p["x"]) / (w + alpha)
+        y = F.when(p["x"].isNull(), s["y"]).when(s["y"].isNull(), p["y"]).otherwise(p["y"] + p["slope"] * (at_x - p["x"]))
+        weight = F.when(p["x"].isNotNull(), p["w"]).when(s["y"].isNull(), F.lit(1.0)).otherwise(w)
+        return F.struct(y.alias("y"), weight.alias("w"))
+
+    sums = pieces.select(*keys, F.aggregate("__rows", nothing, add).alias("__sum")).select(*keys, "__sum.*")
+    chains = sums.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("__part", "__piece", "lead", "x", "slope", "y", "w"))).alias("__sums"))
+    chains = chains.withColumn("__ends", _scan("__sums", _ema_start(), pass_piece, "struct<y:double,w:double>"))
+    chain = F.transform("__sums", lambda p, i: F.struct(p["__part"].alias("part"), p["__piece"].alias("piece"), F.when(i > 0, F.get("__ends", i - 1)).otherwise(_ema_start()).alias("start")))
+    starts = chains.select(*[F.col(c).alias(f"__{c}") for c in unit], F.explode(chain).alias("__c"))
+    same = [pieces[c].eqNullSafe(starts[f"__{c}"]) for c in unit]
+    met = pieces.join(starts, reduce(and_, [pieces["__part"] == starts["__c.part"], pieces["__piece"] == starts["__c.piece"], *same]))
+    met = met.withColumn("__y", _scan("__rows", F.col("__c.start"), mean, "double", lambda s: s["y"]))
+    return _with_means(met, df.columns, unit, name)
 
 
 def trailing_mean(df: DataFrame, value: str, name: str, rows: int, time: str = "t", unit: list[str] = UNIT) -> DataFrame:

@@ -450,6 +450,16 @@ def _(t: Tables) -> DataFrame:
     return ex.ema(t.exposed.select("store_nbr", "item_nbr", "t", "H_prop_raw"), "H_prop_raw", "H_prop", ex.ema_alpha(span=t.cfg.ema_span))
 
 
+@query("e3_ema_of_long_series", "event_type:s event_id:i mean", """
+  SELECT event_type, event_id, list_sum(list_transform(xs, lambda x, i: x * pow(0.75, len(xs) - i) * CASE WHEN i = 1 AND k = len(xs) THEN 1.0 ELSE 0.25 END)) AS mean
+  FROM (SELECT event_type, event_id, list(value) OVER (o ROWS 199 PRECEDING) AS xs, row_number() OVER o AS k
+        FROM events WHERE value IS NOT NULL WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id))""")
+def _(t: Tables) -> DataFrame:
+    # a type's events are one series; in the SQL what is older than 200 events weighs less than 1e-24
+    events = t.raw("events").filter("value IS NOT NULL").select("event_type", "ts", "event_id", "value")
+    return ex.ema_of_long_series(events, "value", "mean", 0.25, "ts", ["event_type"])
+
+
 @query("e3_trailing_mean", "store_nbr:i item_nbr:i t:i H_prop", "SELECT *, avg(H_prop_raw) OVER (PARTITION BY store_nbr, item_nbr ORDER BY t ROWS 6 PRECEDING) AS H_prop FROM exposure")
 def _(t: Tables) -> DataFrame:
     return ex.trailing_mean(t.exposed, "H_prop_raw", "H_prop", 7)

@@ -455,6 +455,41 @@ def test_ema_of_a_long_series_equals_pandas(spark):
     assert np.allclose(np.array(got, float), want.to_numpy(), equal_nan=True)
 
 
+@pytest.mark.parametrize("piece", [1, 3, 50, 4096])
+def test_ema_over_pieces_equals_pandas(spark, piece):
+    rng = np.random.default_rng(piece)
+    series = {
+        1: [None if rng.random() < 0.4 else float(rng.random()) for _ in range(400)],
+        2: [None] * 30 + [1.0] + [None] * 20 + [3.0],
+        3: [None] * 5,
+        4: [2.0],
+        None: [float(i % 7) for i in range(60)],
+    }
+    rows = [(u, t, x, f"r{t}") for u, xs in series.items() for t, x in enumerate(xs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(None if u is None else int(u), int(t), None if x is None else float(x), r) for u, t, x, r in rows], "u int, t int, x double, note string")
+    found = exposure.ema_of_long_series(df, "x", "y", 0.3, unit=["u"], piece=piece)
+    assert found.columns == ["u", "t", "x", "note", "y"]
+    got = {(r.u, r.t): r for r in found.collect()}
+    assert len(got) == len(rows) and all(r.note == f"r{t}" for (_, t), r in got.items())
+    for u, xs in series.items():
+        want = pd.Series(xs, dtype=float).ewm(alpha=0.3, adjust=False, ignore_na=False).mean()
+        assert np.allclose(np.array([got[u, t].y for t in range(len(xs))], float), want.to_numpy(), equal_nan=True)
+    whole = {(r.u, r.t): r.y for r in exposure.ema(df, "x", "y", 0.3, unit=["u"]).collect()}
+    assert all(got[k].y is None if y is None else math.isclose(got[k].y, y, rel_tol=1e-12) for k, y in whole.items())
+    assert exposure.ema_of_long_series(df.limit(0), "x", "y", 0.3, unit=["u"]).count() == 0
+
+
+def test_one_long_series_is_spread(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("u"), F.col("id").alias("t"), F.when(F.col("id") % 5 > 0, F.sin(F.col("id").cast("double"))).alias("x"))
+    got = exposure.ema_of_long_series(df, "x", "y", 0.01, unit=["u"]).withColumn("task", F.spark_partition_id()).cache()
+    pdf = got.toPandas().sort_values("t")
+    want = pdf["x"].ewm(alpha=0.01, adjust=False, ignore_na=False).mean()
+    assert np.allclose(pdf["y"], want, equal_nan=True) and pdf["task"].nunique() > 1
+    got.unpersist()
+
+
 def holed_panel(spark, seed=9, items=7, periods=40):
     """A neighbourhood of units with holes in their calendars and runs of several lengths."""
     rng = np.random.default_rng(seed)

@@ -7,7 +7,7 @@ from promolens.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
 NAMES = [
-    "a1_sales_panel", "a2_required_columns", "d1_collapse_sales", "e1_competitive_exposure", "e3_ema", "e4_winsorise", "e5_runs", "d16_cannibal_scores", "e9_sales_history", "k2_sessions", "b15_feature_panel", "i12_full_audit",
+    "a1_sales_panel", "a2_required_columns", "d1_collapse_sales", "e1_competitive_exposure", "e3_ema", "e3_ema_of_long_series", "e4_winsorise", "e5_runs", "d16_cannibal_scores", "e9_sales_history", "k2_sessions", "b15_feature_panel", "i12_full_audit",
     "e20_sales_buckets", "d48_iqr_bound", "d27_sensitivity", "d29_leave_one_out", "d57_radar", "j28_report", "j29_robustness", "j6_rolling_folds", "j7_holdout_mask", "j7_holdout_mask_all_rows", "d52_subgroup_effects", "a20_json_report",
     "a17_leave_one_out_sink", "a17_sensitivity_sink", "c17_coverage_flags", "d54_comparison", "g6_common_cells", "f1_nearest_candidates", "h13_count_target", "d36_date_store_matrix", "e7_gap_runs", "d15_donor_stats", "b12_donor_filters", "h11_donor_score", "k1_daily_exposure", "g7_panel_stack",
 ]
