@@ -273,25 +273,32 @@ def heavy_keys(texts: DataFrame, lookups: str, share_of: int, n_docs: int) -> Da
     """key: what the sharded tables would be asked for at least n_docs / share_of times, as occurrences.
 
     A key of such a share has it in some part of the texts too, so each part names only those of its own share
-    that occur twice. One that is missed occurs at most once in each part of 32 MB beside its share. There are at
-    most share_of times as many as a document has words.
+    that occur twice; both words of such a bigram occur as often. One that is missed occurs at most once in each
+    part of 8 MB beside its share. There are at most share_of times as many as a document has words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *_, numbered, hot, _, known, _ = shared_arrays(lookups)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=8 << 20):
             ids, place, owner = tokens(batch.column(0))
-            ids = np.append(_numbered(ids, numbered), 0)
-            words = ids[place]
-            keys = np.concatenate([_key(ids[_before(place, owner, len(ids) - 1)], words), _key(words[_cold(words)], np.zeros(int(_cold(words).sum()), np.int64))])
-            keys, n = np.unique(keys, return_counts=True)
-            keep = n >= max(2, batch.num_rows / share_of)
-            keys, n = keys[keep], n[keep]
-            keep = _marked(known, _bits(keys)) & ~np.isin(keys, hot)
+            ids, least = np.append(_numbered(ids, numbered), 0), max(2, batch.num_rows / share_of)
+            before = _before(place, owner, len(ids) - 1)
+            times = np.bincount(place, minlength=len(ids))
+            times[-1] = batch.num_rows  # beginnings of texts, at most
+            often = times >= least
+            both = np.flatnonzero(often[before] & often[place])
+            pairs, n = np.unique(_key(ids[before[both]], ids[place[both]]), return_counts=True)
+            pairs, n = pairs[n >= least], n[n >= least]
+            lone = np.flatnonzero(often & _cold(ids))
+            keys, n = np.concatenate([pairs, _key(ids[lone], np.zeros(len(lone), np.int64))]), np.concatenate([n, times[lone]])
+            keep = _marked(known, _bits(keys))
+            if len(hot):
+                keep &= hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] != keys
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], ["key", "n"])
 
     counts = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return save(counts.filter(F.col("n") * share_of >= n_docs).select("key"), "heavy")
+    with small_batches(texts.sparkSession, 4000):
+        return save(counts.filter(F.col("n") * share_of >= n_docs).select("key"), "heavy")
 
 
 def _gained(model: Lower, key: np.ndarray, n: np.ndarray, follows: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray, held: np.ndarray, p: np.ndarray) -> np.ndarray:
