@@ -37,6 +37,7 @@ WORDS = 1 << WORD_BITS  # numbers of words are below; so many words at least sha
 BITMAP_BITS = 28  # of the bitmap of all known keys
 FEWER_BITS = 2  # by which that of keys that several documents hold is smaller
 PIECE_BITS = 15  # of a bitmap that travel together
+TRAIN_BYTES = 4 << 20  # of trusted texts whose words a worker holds at a time
 PIECES = (1 << (BITMAP_BITS - PIECE_BITS)) + (1 << (BITMAP_BITS - FEWER_BITS - PIECE_BITS))
 
 
@@ -149,7 +150,7 @@ def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
     """Sorted ids of the words of column text that occur most often, at most `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=TRAIN_BYTES):
             ids, place, _ = tokens(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(place, minlength=len(ids)))], ["id", "n"])
 
@@ -167,7 +168,7 @@ def count_bigrams(texts: DataFrame, hot: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hot,) = shared_arrays(shared)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=TRAIN_BYTES):
             ids, place, owner = tokens(batch.column(0))
             ids = np.append(_numbered(ids, hot), 0)
             v, w = ids[_before(place, owner, len(ids) - 1)], ids[place]
