@@ -71,6 +71,11 @@ def small_batches(spark: SparkSession, rows: int) -> contextlib.AbstractContextM
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows), "10000")
 
 
+def sorted_buckets(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Within it, a bucket that is one sorted file, as save_buckets() writes it, isn't sorted again for a join."""
+    return setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true", "false")
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and later
     stages see one fixed result even if executors are lost."""
@@ -114,6 +119,12 @@ def shared_arrays(path: str) -> list[np.ndarray]:
     return _SHARED[path]
 
 
+def unshare(path: str) -> None:
+    """Delete what share() wrote and no task reads any more."""
+    fs, folder = open_fs(path.rsplit("/", 1)[0])
+    fs.delete_dir(folder)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that save() wrote and that nothing reads any more."""
     if files := df.inputFiles():

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import discard, save, save_buckets, share, shared_arrays, ship_by_value, small_batches, table, text_slices, tidy
+from promolens.llm.common import discard, save, save_buckets, share, shared_arrays, ship_by_value, small_batches, sorted_buckets, table, text_slices, tidy, unshare
 from promolens.operators.ranks import with_before
 
 ship_by_value(__name__)
@@ -342,7 +342,9 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     lower = share(spark, "lower", list(model.arrays))
     known = bitmaps(bigrams.select("key", "docs").union(cold.select("key", F.lit(1).cast("long"))))
     arrays = [*model.arrays, numbered, keys[order], counts[order], *known]
-    heavy = heavy_keys(docs, share(spark, "known", arrays), params.heavy, docs.count())
+    judged = share(spark, "known", arrays)
+    heavy = heavy_keys(docs, judged, params.heavy, docs.count())
+    unshare(judged)
     # at most `heavy` times as many keys as a document has words: the tables stay in place, unsorted
     counted, beyond = (t.join(F.broadcast(heavy), "key") for t in (bigrams.select("key", "v", "w", "count"), cold))
     facts = counted.join(beyond, "key", "full").orderBy("key").select("key", "v", "w", "count", "held", "p")
@@ -431,7 +433,7 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     met = met.mapInArrow(add, "row long, doc_id long, lang string, n_words long, ll double")
     sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("ll").alias("ll"))
     sums = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("ll") / F.col("n_words"))).otherwise(F.lit(1.0)))
-    with small_batches(spark, 4000):
+    with small_batches(spark, 4000), sorted_buckets(spark):
         sums = save(sums.drop("ll", "row"), "perplexity")
     # the exact rank, over ranges of (lang, perplexity)
     placed = with_before(sums.select("lang", "perplexity"), ["lang"], ["perplexity"], F.lit(1).cast("long"), "rank")
