@@ -7,12 +7,14 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,10 +81,15 @@ def sorted_buckets(spark: SparkSession) -> contextlib.AbstractContextManager:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and later
     stages see one fixed result even if executors are lost."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    with tidy(spark):
+    return df.sparkSession.read.schema(df.schema).parquet(save_path(df, name))
+
+
+def save_path(df: DataFrame, name: str) -> str:
+    """Write df to the shared folder; the path there."""
+    path = fresh_path(df.sparkSession, name)
+    with tidy(df.sparkSession):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -106,7 +113,7 @@ _SHARED: dict[str, list[np.ndarray]] = {}
 
 
 def shared_arrays(path: str) -> list[np.ndarray]:
-    """What share() wrote; a worker reads it once and keeps the last."""
+    """What share() wrote; a task reads it once and keeps the last."""
     if path not in _SHARED:
         _SHARED.clear()
         uri, n = path.rsplit("/", 1)
@@ -119,10 +126,30 @@ def shared_arrays(path: str) -> list[np.ndarray]:
     return _SHARED[path]
 
 
-def unshare(path: str) -> None:
-    """Delete what share() wrote and no task reads any more."""
-    fs, folder = open_fs(path.rsplit("/", 1)[0])
-    fs.delete_dir(folder)
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """make(), which a worker calls once for all its tasks; it keeps the last that it made. Functions that are
+    shipped by value have new globals in each task, so this lies in a module of the worker's own."""
+    held = vars(sys).setdefault("_promolens_kept", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
+
+
+def saved_files(path: str) -> Iterator[pa.Table]:
+    """What save_path() wrote, file by file, as a task reads it itself: for tables of bounded size that each
+    worker holds, which so pass neither through the driver nor lie on each executor's disk."""
+    fs, folder = open_fs(path)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda info: info.path):
+        if info.base_name.endswith(".parquet"):
+            with fs.open_input_file(info.path) as file:
+                yield pq.ParquetFile(file).read(use_threads=False)
+
+
+def saved_arrays(path: str, *names: str) -> list[np.ndarray]:
+    """Columns of what save_path() wrote; nulls are zeros."""
+    parts = [[pc.fill_null(t.column(c), 0).to_numpy() for c in names] for t in saved_files(path)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def discard(df: DataFrame) -> None:
@@ -139,7 +166,8 @@ def save_buckets(df: DataFrame, name: str, *key: str) -> DataFrame:
     buckets, made = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
     with tidy(spark):
         # sorted keys lie close together: version 2 of the format stores their differences
-        write = df.write.bucketBy(buckets, *key).sortBy(*key).option("path", path)
+        # by the key alone they are sorted as numbers; the writer's sort by bucket and key then finds them in order
+        write = df.sortWithinPartitions(*key).write.bucketBy(buckets, *key).sortBy(*key).option("path", path)
         write.option("compression", "zstd").option("parquet.writer.version", "v2").saveAsTable(made)
     out = spark.table(made)
     spark.sql(f"DROP TABLE {made}")

@@ -3,11 +3,12 @@
 Words are told apart by XXH64 and bigrams by 63 bits of a mix of their words (two of a billion words
 agree with a chance of 3 %). The words most frequent in trusted texts are numbered and every worker
 holds what the model knows of them, as of the most frequent bigrams of such words, up to stated bounds;
-the tables of all other words and bigrams have no bound and stay sharded. Scoring is additive: a
+the tables of all other words and bigrams have no bound and stay sharded. These bounded tables are files
+that each worker reads from the shared folder itself; none of them passes through the driver. Scoring is additive: a
 document's log-probability is a sum over words of the unigram level and the back-off weight, plus
 for each bigram that the model has seen a gain over backing off. What needs these facts only is
 summed where the text is read; bitmaps of fixed size drop most other words and bigrams that the
-model doesn't know; the rest meet the sharded tables in one join, for which these are written in
+model doesn't know; the rest meet the sharded tables in one join, for which these are written as one in
 buckets, so that only the documents' side is shuffled. What this join would ask for too often is found by
 a count over all documents before and is looked up in place as well. A trusted document is scored without its own
 bigram counts, so that training on it gives it no lead; a bigram that no other trusted document
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promolens.llm.common import discard, save, save_buckets, share, shared_arrays, ship_by_value, small_batches, sorted_buckets, table, text_slices, tidy, unshare
+from promolens.llm.common import discard, kept, save, save_buckets, save_path, saved_arrays, saved_files, ship_by_value, small_batches, sorted_buckets, table, text_slices
 from promolens.operators.ranks import with_before
 
 ship_by_value(__name__)
@@ -38,6 +39,7 @@ BITMAP_BITS = 28  # of the bitmap of all known keys
 FEWER_BITS = 2  # by which that of keys that several documents hold is smaller
 PIECE_BITS = 15  # of a bitmap that travel together
 TRAIN_BYTES = 4 << 20  # of trusted texts whose words a worker holds at a time
+TRAIN_ROWS = 2000  # of them that it is handed at a time
 PIECES = (1 << (BITMAP_BITS - PIECE_BITS)) + (1 << (BITMAP_BITS - FEWER_BITS - PIECE_BITS))
 
 
@@ -50,6 +52,15 @@ class Params:
     broadcast_ids: int = 2_000_000  # trusted ids that are broadcast; more are joined by shuffling
 
 
+def _bytes(strings: pa.StringArray) -> list[bytes]:
+    """Of strings without nulls; to_pylist() takes several times as long."""
+    _, ends, data = strings.buffers()
+    at = np.frombuffer(ends, np.int32, len(strings) + 1, 4 * strings.offset) if len(strings) else np.zeros(1, np.int32)
+    held = memoryview(data)[at[0] : at[-1]].tobytes() if data else b""
+    at = (at - at[0]).tolist()
+    return [held[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of lower-cased words between white space: 64-bit ids of the distinct ones, none in 0..WORDS-1; and for
     each word of the texts in order its place among them and its text's place."""
@@ -57,8 +68,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat, owner = words.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
     real = pc.greater(pc.binary_length(flat), 0)
     coded = flat.filter(real).dictionary_encode()
-    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-    ids = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, _bytes(coded.dictionary)), np.uint64, len(coded.dictionary)).view(np.int64)
     place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     return np.where((ids >= 0) & (ids < WORDS), ids + WORDS, ids), place, owner[real.to_numpy(zero_copy_only=False)]
 
@@ -106,6 +116,19 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip(d, [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])
 
 
+LEVELS = ["total", "once", "twice", "more", "before"]
+
+
+@dataclass
+class Levels:
+    """What Lower is made from."""
+
+    near: str  # path of the rows (id, *LEVELS) of numbered words
+    d: np.ndarray  # discounts of bigrams
+    e: np.ndarray  # and of the words before a word
+    rest: np.ndarray  # such words in all, an unknown word's probability
+
+
 class Lower:
     """The levels below the bigrams for numbered words: probability, count held back as a context, logarithms of
     the former and of the back-off weight; and of an unknown word's probability."""
@@ -117,9 +140,16 @@ class Lower:
         held = d[0] * once + d[1] * twice + d[2] * more
         return cls(p, held, np.log(p), np.log(np.where(total > 0, held / np.maximum(total, 1), 1.0)), np.append(d, np.log(floor)))
 
-    def __init__(self, *arrays: np.ndarray) -> None:
-        self.arrays = arrays
-        self.p, self.held, self.log_p, self.log_back, rest = arrays
+    @classmethod
+    def read(cls, levels: Levels) -> Lower:
+        at, *counts = saved_arrays(levels.near, "id", *LEVELS)
+        dense = np.zeros((len(LEVELS), max(at, default=0) + 1), np.int64)
+        for row, count in zip(dense, counts, strict=True):
+            row[at] = count
+        return cls.made(*dense, levels.d, levels.e, levels.rest)
+
+    def __init__(self, p: np.ndarray, held: np.ndarray, log_p: np.ndarray, log_back: np.ndarray, rest: np.ndarray) -> None:
+        self.p, self.held, self.log_p, self.log_back = p, held, log_p, log_back
         self.d, self.log_floor = rest[:3], float(rest[3])
 
     def gain(self, count: np.ndarray, held: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -146,8 +176,8 @@ def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
     return counted.filter(step >= least) if least is not None else counted.limit(0)
 
 
-def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
-    """Sorted ids of the words of column text that occur most often, at most `most`."""
+def frequent_words(texts: DataFrame, most: int) -> str:
+    """The path of a table of the ids of the words of column text that occur most often, at most `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=TRAIN_BYTES):
@@ -155,19 +185,23 @@ def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(place, minlength=len(ids)))], ["id", "n"])
 
     counts = texts.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counts = save(counts, "words")
-    found = np.sort(most_frequent(counts, "n", most).select("id").toArrow().column(0).to_numpy())
+    with small_batches(texts.sparkSession, TRAIN_ROWS):
+        counts = save(counts, "words")
+    found = save_path(most_frequent(counts, "n", most).select("id"), "numbered")
     discard(counts)
     return found
 
 
-def count_bigrams(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+def sorted_ids(path: str) -> np.ndarray:
+    return np.sort(saved_arrays(path, "id")[0])
+
+
+def count_bigrams(texts: DataFrame, numbered: str) -> DataFrame:
     """(key, v, w, count, docs) of the bigrams of column text: how often each occurs, and in how many
     rows; v and w are 0 where the key has them. A table in the shared folder, in buckets by key."""
-    shared = share(texts.sparkSession, "numbered", [hot])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot,) = shared_arrays(shared)
+        hot = kept(numbered, lambda: sorted_ids(numbered))
         for batch in text_slices(batches, limit=TRAIN_BYTES):
             ids, place, owner = tokens(batch.column(0))
             ids = np.append(_numbered(ids, hot), 0)
@@ -184,23 +218,24 @@ def count_bigrams(texts: DataFrame, hot: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["key", "v", "w", "count", "docs"])
 
     counts = texts.select("text").mapInArrow(run, "key long, v long, w long, count long, docs long").groupBy("key")
-    return save_buckets(counts.agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("count").alias("count"), F.sum("docs").alias("docs")), "bigrams", "key")
+    counts = counts.agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    with small_batches(texts.sparkSession, TRAIN_ROWS):
+        return save_buckets(counts, "bigrams", "key")
 
 
-def lower_levels(bigrams: DataFrame, n_hot: int) -> tuple[list[np.ndarray], DataFrame]:
+def lower_levels(bigrams: DataFrame) -> tuple[Levels, DataFrame]:
     """What Lower is made from, of numbered words only; and a table in buckets by key of what the others
     are needed for: of bigrams the count that the first word holds back and the probability of the
     second, null where these have numbers; of words their log-probability beyond an unknown word's
     and their log back-off weight."""
     bigrams = bigrams.withColumns({"v": _first(F.col("key"), F.col("v")), "w": _second(F.col("key"), F.col("w"))})
     seen = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).alias
-    names = ["total", "once", "twice", "more", "before"]
     kinds = lambda df, c: [k or 0 for k in df.agg(*[seen(F.col(c) == i)(f"n{i}") for i in range(1, 5)], seen(F.col(c) > 2)("many"), F.sum(c)).first()]
     by_context = bigrams.groupBy(F.col("v").alias("id")).agg(
         F.sum("count").alias("total"), seen(F.col("count") == 1)("once"), seen(F.col("count") == 2)("twice"), seen(F.col("count") > 2)("more")
     )
     by_word = bigrams.groupBy(F.col("w").alias("id")).agg(F.count("*").alias("before"))
-    levels = by_context.unionByName(by_word, allowMissingColumns=True).groupBy("id").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    levels = by_context.unionByName(by_word, allowMissingColumns=True).groupBy("id").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in LEVELS])
     levels = save(levels, "levels")
     d = discounts(np.array(kinds(bigrams, "count")[:4]))
     n1, n2, n3, n4, many, mass = kinds(levels, "before")
@@ -208,11 +243,7 @@ def lower_levels(bigrams: DataFrame, n_hot: int) -> tuple[list[np.ndarray], Data
     left = float(e @ [n1, n2, many]) / mass if mass else 1.0
     rest = np.array([max(mass, 1), left / max(WORDS, n1 + n2 + many + 1)], float)
 
-    rows, dense = levels.filter(~_cold(F.col("id"))).toArrow(), []
-    for name in names:
-        a = np.zeros(n_hot + 1, np.int64)
-        a[rows.column("id").to_numpy()] = rows.column(name).to_numpy()
-        dense.append(a)
+    near = save_path(levels.filter(~_cold(F.col("id"))), "near")
 
     p = (F.col("before") - F.element_at(F.array(*[F.lit(float(x)) for x in e]), F.least("before", F.lit(3)).cast("int"))) / float(rest[0]) + float(rest[1])
     held = F.col("once") * float(d[0]) + F.col("twice") * float(d[1]) + F.col("more") * float(d[2])
@@ -234,14 +265,26 @@ def lower_levels(bigrams: DataFrame, n_hot: int) -> tuple[list[np.ndarray], Data
     facts = parts[0].union(parts[1]).union(parts[2]).groupBy("key").agg(F.max("held").alias("held"), F.max("p").alias("p"))
     facts = save_buckets(facts, "cold", "key")
     discard(levels)
-    return [*dense, d, e, rest], facts
+    return Levels(near, d, e, rest), facts
 
 
-def bitmaps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def all_facts(bigrams: DataFrame, cold: DataFrame) -> DataFrame:
+    """One table in buckets by key in place of both, which go: (key, v, w, count, held, p). Of the first and second
+    words of bigrams that have a word without a number only numbers are left; words without are -1."""
+    near = [F.when(_cold(F.col(c)), F.lit(-1)).otherwise(F.col(c)).alias(c) for c in ("v", "w")]
+    spark = bigrams.sparkSession
+    with sorted_buckets(spark):
+        facts = save_buckets(bigrams.select("key", *near, "count").hint("merge").join(cold, "key", "full"), "facts", "key")
+    discard(bigrams)
+    discard(cold)
+    return facts
+
+
+def bitmaps(keys: DataFrame) -> str:
     """Two bitmaps of the hashes of the rows (key, docs): of all, and of those that several documents hold.
 
     A task holds both and sends what it has of them in pieces of 2^15 bits; each piece is put together
-    in one place, so at most 8192 + 2048 pieces of 4 KB come to the driver.
+    in one place. The path of a table of at most 8192 + 2048 pieces of 4 KB, for read_bitmaps().
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,15 +305,55 @@ def bitmaps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(packed, pa.binary())], ["piece", "bits"])
 
     fields = "piece long, bits binary"
-    with tidy(keys.sparkSession):
-        rows = keys.mapInArrow(deal, fields).repartition("piece").mapInArrow(put, fields).toArrow()
+    return save_path(keys.mapInArrow(deal, fields).repartition("piece").mapInArrow(put, fields), "bitmaps")
+
+
+def read_bitmaps(path: str) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((PIECES, 1 << PIECE_BITS >> 3), np.uint8)
-    for piece, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        out[piece] = np.frombuffer(bits, np.uint8)
+    for rows in saved_files(path):
+        for batch in rows.to_batches():
+            if batch.num_rows:
+                bits = batch.column("bits").cast(pa.binary(out.shape[1]))
+                out[batch.column("piece").to_numpy()] = np.frombuffer(bits.buffers()[1], np.uint8, len(bits) * out.shape[1], bits.offset * out.shape[1]).reshape(-1, out.shape[1])
     return tuple(np.split(out.reshape(-1), [1 << BITMAP_BITS >> 3]))
 
 
-def heavy_keys(texts: DataFrame, lookups: str, share_of: int, n_docs: int) -> DataFrame:
+@dataclass
+class Paths:
+    """Of the tables of bounded size that each worker holds."""
+
+    levels: Levels
+    numbered: str
+    hot: str
+    bitmaps: str
+    raised: str = ""
+
+
+FACTS = ["key", "v", "w", "count", "held", "p"]
+
+
+class Lookups:
+    """What is looked up where the text is read: numbered words, the hot bigrams and their counts, the bitmaps of
+    known keys and of those that several documents hold, raised keys and their facts."""
+
+    def __init__(self, paths: Paths) -> None:
+        self.model, self.numbered = Lower.read(paths.levels), sorted_ids(paths.numbered)
+        self.hot, counts = _by_key(*saved_arrays(paths.hot, "key", "count"))
+        self.hot_counts = counts.astype(np.int32)
+        self.known, self.several = read_bitmaps(paths.bitmaps)
+        self.raised, *self.facts = _by_key(*saved_arrays(paths.raised, *FACTS)) if paths.raised else [None]
+
+    @classmethod
+    def held(cls, paths: Paths) -> Lookups:
+        return kept(f"{paths.bitmaps} {paths.raised}", lambda: cls(paths))
+
+
+def _by_key(key: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(key)
+    return [x[order] for x in (key, *more)]
+
+
+def heavy_keys(texts: DataFrame, paths: Paths, share_of: int, n_docs: int) -> DataFrame:
     """key: what the sharded tables would be asked for at least n_docs / share_of times, as occurrences.
 
     A key of such a share has it in some part of the texts too, so each part names only those of its own share
@@ -279,7 +362,8 @@ def heavy_keys(texts: DataFrame, lookups: str, share_of: int, n_docs: int) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *_, numbered, hot, _, known, _ = shared_arrays(lookups)
+        at = Lookups.held(paths)
+        numbered, hot, known = at.numbered, at.hot, at.known
         for batch in text_slices(batches, limit=8 << 20):
             ids, place, owner = tokens(batch.column(0))
             ids, least = np.append(_numbered(ids, numbered), 0), max(2, batch.num_rows / share_of)
@@ -328,34 +412,26 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     ids = save(trusted.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("own", F.lit(True)), "trusted")
     if ids.count() <= params.broadcast_ids:
         ids = F.broadcast(ids)
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    # languages are told apart by 64 bits as words are: sums of a document are then of fixed width
+    marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(lang).alias("lang"), F.col("text").cast("string").alias("text"))
     marked = marked.join(ids, "doc_id", "left")
+    langs = save(docs.select(F.xxhash64(lang).alias("lang"), lang.alias("name")).distinct().groupBy("lang").agg(F.max("name").alias("name")), "langs")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
     numbered = frequent_words(texts, min(params.hot_words, WORDS - 1))
     bigrams = count_bigrams(texts, numbered)
-    levels, cold = lower_levels(bigrams, len(numbered))
-    top = most_frequent(bigrams.filter("key >= 0"), "count", params.hot).select("key", "count").toArrow()
-    keys, counts = top.column("key").to_numpy(), top.column("count").to_numpy().astype(np.int32)
-    order = np.argsort(keys)
+    levels, cold = lower_levels(bigrams)
     # files in place of broadcasts, of which each executor keeps a copy on disk
-    model = Lower.made(*levels)
-    lower = share(spark, "lower", list(model.arrays))
-    known = bitmaps(bigrams.select("key", "docs").union(cold.select("key", F.lit(1).cast("long"))))
-    arrays = [*model.arrays, numbered, keys[order], counts[order], *known]
-    judged = share(spark, "known", arrays)
+    hot = save_path(most_frequent(bigrams.filter("key >= 0"), "count", params.hot).select("key", "count"), "hot")
+    judged = Paths(levels, numbered, hot, bitmaps(bigrams.select("key", "docs").union(cold.select("key", F.lit(1).cast("long")))))
     heavy = heavy_keys(docs, judged, params.heavy, docs.count())
-    unshare(judged)
-    # at most `heavy` times as many keys as a document has words: the tables stay in place, unsorted
-    counted, beyond = (t.join(F.broadcast(heavy), "key") for t in (bigrams.select("key", "v", "w", "count"), cold))
-    facts = counted.join(beyond, "key", "full").orderBy("key").select("key", "v", "w", "count", "held", "p")
-    with tidy(spark):
-        raised = [c.fill_null(0).to_numpy() for c in facts.toArrow().columns]
-    lookups = share(spark, "lookups", [*arrays, *raised])
+    facts = all_facts(bigrams, cold)
+    # at most `heavy` times as many keys as a document has words: the table stays in place
+    paths = replace(judged, raised=save_path(facts.join(F.broadcast(heavy), "key").select(*FACTS), "raised"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *levels, numbered, hot, hot_counts, known, several = shared_arrays(lookups)[:-6]
-        raised, *facts = shared_arrays(lookups)[-6:]
-        model = Lower(*levels)
+        at = Lookups.held(paths)
+        model, numbered, hot, hot_counts, known, several, raised, facts = at.model, at.numbered, at.hot, at.hot_counts, at.known, at.several, at.raised, at.facts
         for batch in text_slices(batches, limit=2 << 20):
             ids, place, owner = tokens(batch.column("text"))
             ids, n_docs = np.append(_numbered(ids, numbered), 0), batch.num_rows
@@ -410,13 +486,13 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
                     *[pa.array(c.astype(np.int64)) for c in columns],
                     pa.concat_arrays([pa.array(ll), pa.nulls(pad, pa.float64())]),
                     pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(pad, pa.int64())]),
-                    pa.concat_arrays([batch.column("lang").cast(pa.string()), pa.nulls(pad, pa.string())]),
+                    pa.concat_arrays([batch.column("lang"), pa.nulls(pad, pa.int64())]),
                 ],
                 ["row", "key", "n", "follows", "ll", "doc_id", "lang"],
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Lower(*shared_arrays(lower))
+        model = kept(levels.near, lambda: Lower.read(levels))
         for batch in batches:
             key, n, follows = (batch.column(c).to_numpy() for c in ("key", "n", "follows"))
             ll, v, w, count, held, p = (batch.column(c).fill_null(0).to_numpy() for c in ("ll", "v", "w", "count", "held", "p"))
@@ -428,9 +504,8 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
             )
 
     # n: of a document's sums its words, of a bigram how often it occurs (below 0 in a trusted text), of a word the same
-    rows = marked.mapInArrow(read, "row long, key long, n long, follows long, ll double, doc_id long, lang string")
-    met = rows.join(bigrams.select("key", "v", "w", "count").hint("merge"), "key", "left").join(cold.hint("merge"), "key", "left")
-    met = met.mapInArrow(add, "row long, doc_id long, lang string, n_words long, ll double")
+    rows = marked.mapInArrow(read, "row long, key long, n long, follows long, ll double, doc_id long, lang long")
+    met = rows.join(facts.hint("merge"), "key", "left").mapInArrow(add, "row long, doc_id long, lang long, n_words long, ll double")
     sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n_words").alias("n_words"), F.sum("ll").alias("ll"))
     sums = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("ll") / F.col("n_words"))).otherwise(F.lit(1.0)))
     with small_batches(spark, 4000), sorted_buckets(spark):
@@ -439,7 +514,7 @@ def score(docs: DataFrame, trusted: DataFrame, params: Params = Params()) -> Dat
     placed = with_before(sums.select("lang", "perplexity"), ["lang"], ["perplexity"], F.lit(1).cast("long"), "rank")
     n = sums.groupBy("lang").agg((F.greatest(F.ceil(F.count("*") * params.quantile), F.lit(1)) - 1).alias("rank"))
     limits = save(placed.join(n, ["lang", "rank"]).groupBy("lang").agg(F.max("perplexity").alias("limit")), "limits")
-    return sums.join(limits, "lang").select("doc_id", "lang", "n_words", "perplexity", (F.col("perplexity") <= F.col("limit")).alias("keep"))
+    return sums.join(limits.join(langs, "lang"), "lang").select("doc_id", F.col("name").alias("lang"), "n_words", "perplexity", (F.col("perplexity") <= F.col("limit")).alias("keep"))
 
 
 def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

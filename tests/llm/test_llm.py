@@ -2,18 +2,21 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from promolens.llm import chat, decontam, mixing, neighbours, perplexity, secrets, shards, simhash, toxicity, warc
+from promolens.llm import chat, common, decontam, mixing, neighbours, perplexity, secrets, shards, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TINY = "/root/testdata/sf0.001"
@@ -508,6 +511,33 @@ def test_perplexity_of_a_word_that_all_documents_share(spark, monkeypatch):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("bigrams", "cold"))]
 
 
+def test_perplexity_gathers_no_table_in_the_driver(spark, monkeypatch):
+    def gathered(*_):
+        raise AssertionError("a table came to the driver")
+
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(type(spark.range(0)), name, gathered)
+    texts = [(i, f"a b c{i % 5} d{i % 3}") for i in range(40)]
+    got = perplexity.score(docs(spark, texts), spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long"), perplexity.Params(hot=3, hot_words=2, heavy=2))
+    assert {r.doc_id: (r.lang, r.n_words) for r in got.collect()} == {i: ("en", 4) for i, _ in texts}
+
+
+def test_a_worker_makes_what_it_keeps_once_for_all_its_tasks(spark):
+    def run(batches):
+        for batch in batches:
+            made = common.kept("a test's", lambda: uuid.uuid4().hex)
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([made])], ["pid", "made"])
+
+    rows = spark.range(0, 32, 1, 32).mapInArrow(run, "pid long, made string").collect()
+    assert len(rows) == 32 and len({r.made for r in rows}) == len({r.pid for r in rows}) < 32
+
+
+def test_words_are_told_apart_as_bytes():
+    words = pa.array(["zz", "a", "", "\U0001f600 é", "\x00b"])
+    for x in (words, words[1:4], words[2:2], words[:1], pa.array([], pa.string()), pa.array([""])):
+        assert perplexity._bytes(x) == [w.encode() for w in x.to_pylist()]
+
+
 def test_perplexity_odd_rows(spark):
     lab = spark.createDataFrame([(3,), (None,)], "doc_id long")
     got = perplexity.score(docs(spark, ODD, keep=1, perplexity=2), lab).collect()
