@@ -22,6 +22,8 @@ def profiles(exposure_stats: DataFrame, items: DataFrame, stores: DataFrame) ->
 PROFILE = ("h_mean", "h_sd", "p_any")
 GRID_BITS = (3, 6)  # per axis of the grids over a class's profiles, each inside the one before
 NO_PROFILE = -(1 << 40)  # cell of missing values, farther than all others
+DISTANCE_DIGITS = 12  # distances are rounded, so that equal ones are ties whatever the last bits of their terms
+DISTANCE_STEP = 10.0**-DISTANCE_DIGITS
 
 
 def _grid(prof: DataFrame, bits: int) -> DataFrame:
@@ -57,14 +59,15 @@ def near_cells(victim: DataFrame, grid: DataFrame, bits: tuple[int, ...] = GRID_
         one = Window.partitionBy("episode_id")
         met = met.withColumn("upto", F.sum("n").over(one.orderBy("far")))  # cells as far as each other count together
         met = met.withColumn("reach", F.min(F.when(F.col("upto") >= F.col("need"), F.col("far"))).over(one))
-        met = met.filter(F.col("reach").isNull() | (F.col("near") <= F.col("reach") * (1 + 1e-9) + 1e-12)).drop("near", "far", "upto", "reach")
+        met = met.filter(F.col("reach").isNull() | (F.col("near") <= F.col("reach") * (1 + 1e-9) + 2 * DISTANCE_STEP)).drop("near", "far", "upto", "reach")
     return met.drop("n", "class", "need")
 
 
 def candidates(ep: DataFrame, prof: DataFrame, preselect: int) -> DataFrame:
     """Nearest profiles per episode and kind: the same item in other stores, and other items of the class
-    in other stores; those without a profile come last. The same item is looked up whole (one unit a store). Of a class
-    an episode reads the cells near its victim that hold `preselect` profiles beside those that don't qualify."""
+    in other stores; equally near ones go by store and item, those without a profile come last. The same item is
+    looked up whole (one unit a store). Of a class an episode reads the cells near its victim that hold
+    `preselect` profiles beside those that don't qualify."""
     victim = ep.select("episode_id", "i_store", "j_store", "j_item", "pre_start", "pre_end", "class").join(
         prof.select(F.col("store_nbr").alias("j_store"), F.col("item_nbr").alias("j_item"), *[F.col(c).alias(f"v_{c}") for c in PROFILE]), ["j_store", "j_item"]
     )
@@ -83,7 +86,7 @@ def candidates(ep: DataFrame, prof: DataFrame, preselect: int) -> DataFrame:
     both = same_item.unionByName(same_class)
     d = profile_distance(F.col("h_mean") - F.col("v_h_mean"), F.col("h_sd") - F.col("v_h_sd"), F.col("p_any") - F.col("v_p_any"))
     w = Window.partitionBy("episode_id", "donor_kind").orderBy(F.asc_nulls_last("distance"), *UNIT)
-    near = both.withColumn("distance", d).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= preselect)
+    near = both.withColumn("distance", F.round(d, DISTANCE_DIGITS)).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= preselect)
     return near.select("episode_id", "j_store", "j_item", *UNIT, "donor_kind", "distance", "type", "city", "state", "pre_start", "pre_end")
 
 

@@ -10,11 +10,21 @@ from promolens.operators.runs import first_runs, windows, with_edges
 from promolens.schema import UNIT, Config
 
 
+def _share_moments(share: Column) -> tuple[Column, Column]:
+    """Mean and population deviation (0 without values) of shares from -1 to 1, as aggregates. Whole numbers of
+    1e-15 are summed as decimals, so units with equal shares get equal results, in whatever order their rows come."""
+    whole = F.round(share * 1e15).cast("decimal(16,0)")
+    mean = F.avg(whole)
+    variance = (F.avg(whole * whole) - mean * mean).cast("double")
+    return mean.cast("double") / 1e15, F.sqrt(F.greatest(variance, F.lit(0.0))) / 1e15
+
+
 def exposure_profile(exposed: DataFrame, value: str = "H_prop_raw") -> DataFrame:
-    """Per unit: n_obs (rows, also without a value), p_any, h_mean, h_sd (population)."""
+    """Per unit: n_obs (rows, also without a value), p_any, h_mean, h_sd (population) of shares."""
     x = F.col(value)
+    mean, sd = _share_moments(x)
     return exposed.groupBy(*UNIT, "class").agg(
-        F.count("*").alias("n_obs"), F.coalesce(F.avg((x > 0).cast("int")), F.lit(0.0)).alias("p_any"), F.avg(x).alias("h_mean"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("h_sd")
+        F.count("*").alias("n_obs"), F.coalesce(F.avg((x > 0).cast("int")), F.lit(0.0)).alias("p_any"), mean.alias("h_mean"), sd.alias("h_sd")
     )
 
 

@@ -218,6 +218,27 @@ def test_no_self_donors_and_top_k(spark):
     assert ranked.count() == 10 and ranked.agg(F.max("rank")).first()[0] == 10 and donors.self_donors(ranked).first().n_self == 0
 
 
+@pytest.fixture(scope="module")
+def tied_donors(spark):
+    """Two episodes of victim (0, 1) and one of (3, 1), and their donors; stores 1 to 30 sell item 1 with the victims' sales and the same shares, each in an order of its own."""
+    rng = np.random.default_rng(5)
+    shares = np.repeat([0.0, 0.25, 1 / 3, 0.5, 2 / 3, 1.0], [30, 20, 7, 5, 5, 3])
+    units = [(0, 1, *[float(x) for x in rng.permutation(shares)][:60]), *[(s, 1, *[float(x) for x in rng.permutation(shares)]) for s in range(1, 31)]]
+    seen = spark.createDataFrame([(s, i, 0, t, x) for s, i, *xs in units for t, x in enumerate(xs)], "store_nbr int, item_nbr int, `class` int, t int, H_prop_raw double")
+    eps = spark.createDataFrame([("e1", 0, 2, 0, 1, 0, 11, 0), ("e2", 0, 3, 0, 1, 0, 11, 0), ("e3", 3, 2, 3, 1, 0, 11, 0)], "episode_id string, i_store int, i_item int, j_store int, j_item int, pre_start int, pre_end int, `class` int")
+    attributes = [F.lit(x).alias(x) for x in ("type", "city", "state")]
+    prof = donors.profiles(pairs.exposure_profile(seen), spark.createDataFrame([(1, 0)], "item_nbr int, `class` int"), seen.select("store_nbr").distinct().select("store_nbr", *attributes))
+    sales = seen.filter("t < 12").select("store_nbr", "item_nbr", "t", (F.col("t") % 4 + 5.0).alias("unit_sales"))
+    ranked = donors.rank_per_victim(donors.choose(donors.with_stats(donors.candidates(eps, prof, 20), eps, sales), Config.monthly()), 10)
+    return eps, spark.createDataFrame(ranked.collect(), ranked.schema)
+
+
+def test_never_treated_donors_of_equal_profiles_go_by_store(tied_donors):
+    eps, ranked = tied_donors
+    got = donors.never_treated(donors.per_episode(ranked, eps), eps).filter("episode_id = 'e1'").orderBy("rank").collect()
+    assert [(r.store_nbr, r["rank"]) for r in got] == [(s, s) for s in range(1, 11) if s != 3]
+
+
 def test_transitions_complete(spark):
     got = {(r.prev, r.curr): r.n for r in eda.promo_transitions(series(spark, [(0, 0), (1, 1), (2, 1)])).collect()}
     assert got == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 1}
