@@ -220,7 +220,7 @@ def test_no_self_donors_and_top_k(spark):
 
 @pytest.fixture(scope="module")
 def tied_donors(spark):
-    """Two episodes of victim (0, 1) and one of (3, 1), and their donors; stores 1 to 30 sell item 1 with the victims' sales and the same shares, each in an order of its own."""
+    """Two episodes of victim (0, 1) and one of (3, 1), and their donors. Stores 0 to 30 sell item 1 alike; 1 to 30 have the same shares, each in an order of its own, store 0 some of them."""
     rng = np.random.default_rng(5)
     shares = np.repeat([0.0, 0.25, 1 / 3, 0.5, 2 / 3, 1.0], [30, 20, 7, 5, 5, 3])
     units = [(0, 1, *[float(x) for x in rng.permutation(shares)][:60]), *[(s, 1, *[float(x) for x in rng.permutation(shares)]) for s in range(1, 31)]]
@@ -239,6 +239,13 @@ def test_never_treated_donors_of_equal_profiles_go_by_store(tied_donors):
     assert [(r.store_nbr, r["rank"]) for r in got] == [(s, s) for s in range(1, 11) if s != 3]
 
 
+def test_each_episode_of_a_victim_has_its_equal_donors_by_store(tied_donors):
+    eps, ranked = tied_donors
+    got = {(r.episode_id, r.store_nbr, r["rank"]) for r in donors.per_episode(ranked, eps).collect()}
+    of_e3 = [s for s in range(1, 12) if s != 3]  # store 0 has other shares
+    assert got == {(e, s, s) for e in ("e1", "e2") for s in range(1, 11)} | {("e3", s, n + 1) for n, s in enumerate(of_e3)}
+
+
 def test_transitions_complete(spark):
     got = {(r.prev, r.curr): r.n for r in eda.promo_transitions(series(spark, [(0, 0), (1, 1), (2, 1)])).collect()}
     assert got == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 1}
