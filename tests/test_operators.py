@@ -246,6 +246,12 @@ def test_each_episode_of_a_victim_has_its_equal_donors_by_store(tied_donors):
     assert got == {(e, s, s) for e in ("e1", "e2") for s in range(1, 11)} | {("e3", s, n + 1) for n, s in enumerate(of_e3)}
 
 
+def test_donor_ranks_of_equal_profiles_go_by_store(tied_donors):
+    ranked = tied_donors[1].filter("j_store = 0").collect()
+    assert sorted((r["rank"], r.store_nbr, r.item_nbr, r.donor_kind) for r in ranked) == [(s, s, 1, "same_item") for s in range(1, 11)]
+    assert len({r.distance for r in ranked}) == 1
+
+
 def test_transitions_complete(spark):
     got = {(r.prev, r.curr): r.n for r in eda.promo_transitions(series(spark, [(0, 0), (1, 1), (2, 1)])).collect()}
     assert got == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 1}
