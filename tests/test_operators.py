@@ -252,6 +252,17 @@ def test_donor_ranks_of_equal_profiles_go_by_store(tied_donors):
     assert len({r.distance for r in ranked}) == 1
 
 
+def test_equal_distances_are_ties_on_either_side_of_the_victim(spark):
+    """Stores 1 to 9 are 0.1 off the victim's mean or 0.1 * sqrt(2.5) off its deviation, up or down by turns, store 10 is nearer."""
+    v, off, sds = 0.3, 0.1, 0.1 * math.sqrt(2.5)
+    near = [(v + off, 0.2, 0.5), (v - off, 0.2, 0.5), (v, 0.2 + sds, 0.5), (v, 0.2 - sds, 0.5)]
+    rows = [(0, 1, v, 0.2, 0.5), (10, 1, v, 0.2, 0.51), (10, 2, v, 0.2, 0.51), *[(s, i, *near[(s + i) % 4]) for s in range(1, 10) for i in (1, 2)]]
+    prof = spark.createDataFrame([(s, i, 0, *p, "A", "B", "C") for s, i, *p in rows], "store_nbr int, item_nbr int, `class` int, h_mean double, h_sd double, p_any double, type string, city string, state string")
+    eps = spark.createDataFrame([("e", 0, 2, 0, 1, 0, 5, 0)], "episode_id string, i_store int, i_item int, j_store int, j_item int, pre_start int, pre_end int, `class` int")
+    got = donors.candidates(eps, prof, 4).collect()
+    assert sorted((r.donor_kind, r.store_nbr) for r in got) == [(kind, s) for kind in ("same_class", "same_item") for s in (1, 2, 3, 10)]
+
+
 def test_transitions_complete(spark):
     got = {(r.prev, r.curr): r.n for r in eda.promo_transitions(series(spark, [(0, 0), (1, 1), (2, 1)])).collect()}
     assert got == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 1}
